@@ -7,8 +7,8 @@ fold depends on the kind of model: for a unigram model it is Viterbi, the path o
 model's scores are only the order of its merges, and no sum of them gives its encoding, so there the fold merges the
 best edge between neighbours until none is left. Either way the result is what the library gives for that model.
 
-Segments longer than `folded` characters without a cut, where folds of arrays grow with the square, are encoded by the
-same rules with a heap in an Arrow function. The documents stay in bucketed chunks: only distinct segments move to the
+Segments longer than `folded` characters without a cut, where folds grow with the square, are encoded by the same rules
+with a heap, where their chunk is. The documents stay in bucketed chunks: only distinct segments move to the
 lattice, and their ids back to the chunks that have them.
 
 Defined cases: null and empty texts have no pieces; characters no piece has are spelt in bytes (or the unknown piece,
@@ -32,6 +32,7 @@ from .common import _BASE, _BASE_INV, U64, mix, powers, text_bytes, workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+MARK, STOP = "\x01", "\x02"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -200,9 +201,16 @@ class Segments:
                 i = j
         self.keys, self.first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
 
-    def strings(self) -> list[str]:
-        raw = self.codes.tobytes()
-        return [raw[4 * self.starts[f] : 4 * self.ends[f]].decode("utf-32-le") for f in self.first]
+    def strings(self, which: np.ndarray) -> list[str]:
+        raw, first = self.codes.tobytes(), self.first[which]
+        return [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())]
+
+    def folded(self, most: int) -> np.ndarray:
+        """Which distinct segments go to the lattice: neither long nor holding the mark of the fold."""
+        marked = np.zeros(len(self.codes) + 1, np.int64)
+        marked[1:] = np.cumsum((self.codes == ord(MARK)) | (self.codes == ord(STOP)))
+        a, b = self.starts[self.first], self.ends[self.first]
+        return (b - a <= most) & (marked[a] == marked[b])
 
 
 _PLACES: dict[int, np.ndarray] = {}
@@ -228,80 +236,91 @@ def bucketed(df: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def merge_fold(edges, n):
-    """Boundaries of the pieces of n characters: the best edge between two neighbours is merged, while there is one."""
+def pair_of(left: str, right: str) -> str:
+    return f"{MARK}{left}{STOP}{MARK}{right}{STOP}"
+
+
+def merge_pairs(model: Model) -> pa.Table:
+    """Every way to merge a piece from two neighbours: piece, score, pair, and when its turn is: turn is the
+    rank of the piece, or of the part that comes later than the piece itself (late)."""
+    out: dict[str, list] = {c: [] for c in ("piece", "turn", "late", "pair", "score")}
+    rank = {p: -s for p, (_, s) in model.table.items()}
+    for piece, (_, score) in model.table.items():
+        for k in range(1, len(piece)):
+            left, right = piece[:k], piece[k:]
+            if (k > 1 and left not in rank) or (k < len(piece) - 1 and right not in rank):
+                continue
+            last = max([rank[x] for x in (left, right) if len(x) > 1], default=-1.0)
+            for name, value in zip(out, (piece, max(last, -score), int(last >= -score), pair_of(left, right), score)):
+                out[name].append(value)
+    return pa.table(out)
+
+
+def merge_fold(edges, text):
+    """The pieces of text, each between MARK and STOP: the best edge between two neighbours is merged, the leftmost of
+    equals, until there is none. An edge is (turn, late, pair, score).
+
+    One pass over the edges by turn does that, unless an edge whose part comes later than its piece is met, or one
+    turn merges twice (what a merge makes possible could then come between); only such texts search for the best edge
+    again and again."""
+    begin = F.concat(F.lit(MARK), F.array_join(F.split(text, ""), STOP + MARK), F.lit(STOP))
 
-    def step(bounds, _):
-        def fits(x):
-            i = F.array_position(bounds, x["b"])
-            return (i > 0) & (F.get(bounds, (i + 1).cast("int")) == x["e"])
+    def whole(pair):
+        return F.replace(pair, F.lit(STOP + MARK), F.lit(""))
 
-        best = F.array_max(F.transform(F.filter(edges, fits), lambda x: F.struct(x["score"].alias("score"), (-x["b"]).alias("at"), x["e"].alias("e"))))
-        return F.when(best.isNull(), bounds).otherwise(F.filter(bounds, lambda y: (y <= -best["at"]) | (y >= best["e"])))
+    def turn(a, x):
+        merged = F.replace(a["text"], x["pair"], whole(x["pair"]))
+        odd = (x["late"] == 1) | (a["last"] == x["turn"]) | (F.length(a["text"]) - F.length(merged) > 2)
+        done = F.struct(merged.alias("text"), x["turn"].alias("last"), odd.alias("odd"))
+        return F.when(a["odd"] | ~F.contains(a["text"], x["pair"]), a).otherwise(done)
 
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.sequence(F.lit(1), n + 1), step)
+    once = F.aggregate(F.array_sort(edges), F.struct(begin.alias("text"), F.lit(-1.0).alias("last"), F.lit(False).alias("odd")), turn)
 
+    def step(state, _):
+        found = F.filter(edges, lambda x: F.contains(state, x["pair"]))
+        best = F.array_max(F.transform(found, lambda x: F.struct(x["score"].alias("score"), (-F.instr(state, x["pair"])).alias("at"), x["pair"].alias("pair"))))
+        return F.when(best.isNull(), state).otherwise(F.overlay(state, whole(best["pair"]), -best["at"], F.length(best["pair"])))
 
-def viterbi_fold(edges, n, unknown: float):
-    """Boundaries of the best path over n characters."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
+    search = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), begin, step)
+    return once, lambda got: F.when(got["odd"], search).otherwise(got["text"])
+
+
+def viterbi_fold(edges, text, unknown: float):
+    """The pieces of the best path over text, between marks. An edge is (b, e, score)."""
+    n = F.length(text)
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("path")))
 
     def step(paths, e):
         ends = F.filter(edges, lambda x: x["e"] == e + 1)
-        known = F.transform(ends, lambda x: F.struct((F.get(paths, x["b"] - 1)["score"] + x["score"]).alias("score"), x["b"].alias("back")))
-        spelt = F.array(F.struct((F.get(paths, e - 1)["score"] + F.lit(unknown)).alias("score"), e.alias("back")))
+        to = lambda b, score: F.struct((F.get(paths, b - 1)["score"] + score).alias("score"), F.concat(F.get(paths, b - 1)["path"], F.lit(MARK), F.substring(text, b, e + 1 - b), F.lit(STOP)).alias("path"))
+        known = F.transform(ends, lambda x: to(x["b"], x["score"]))
         alone = F.exists(ends, lambda x: x["b"] == e)
-        return F.concat(paths, F.array(F.array_max(F.when(alone, known).otherwise(F.concat(known, spelt)))))
+        return F.concat(paths, F.array(F.array_max(F.when(alone, known).otherwise(F.concat(known, F.array(to(e, F.lit(unknown))))))))
 
-    paths = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    back = F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), lambda b, _: F.when(F.get(b, F.lit(0)) == 1, b).otherwise(F.concat(F.array(F.get(paths, F.get(b, F.lit(0)) - 1)["back"]), b)))
-    return back
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["path"]
 
 
-def segment_ids(segments: DataFrame, model: Model, folded: int) -> DataFrame:
-    """segments (seg, owners) with packed ids: three bytes each."""
+def segment_pieces(segments: DataFrame, model: Model) -> DataFrame:
+    """segments (seg, owners) to owners and pieces, with marks between."""
     spark = segments.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(pa.table({"piece": list(model.table), "id": pa.array([v[0] for v in model.table.values()], pa.int32()), "score": pa.array([v[1] for v in model.table.values()], pa.float64())})))
-    short = segments.where(F.length("seg") <= folded)
+    if model.kind == BPE:
+        table = merge_pairs(model)
+    else:
+        table = pa.table({"piece": list(model.table), "score": pa.array([v[1] for v in model.table.values()], pa.float64())})
+    pieces = F.broadcast(spark.createDataFrame(table))
+    least = 2 if model.kind == BPE else 1
     n = F.length("seg")
     # b = 0 is a row for the owners alone, so that they go through the explosion once
-    starts = short.select("seg", "owners", F.explode(F.sequence(F.lit(0), n)).alias("b"))
-    ends = starts.select("seg", F.when(F.col("b") == 0, F.col("owners")).alias("owners"), "b", F.explode(F.when(F.col("b") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("b") + 1, F.least(F.col("b") + model.longest, n + 1)))).alias("e"))
+    starts = segments.select("seg", "owners", F.explode(F.sequence(F.lit(0), F.greatest(n + 1 - least, F.lit(0)))).alias("b"))
+    ends = starts.select("seg", F.when(F.col("b") == 0, F.col("owners")).alias("owners"), "b", F.explode(F.when(F.col("b") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("b") + least, F.least(F.col("b") + model.longest, n + 1)))).alias("e"))
     subs = ends.withColumn("piece", F.when(F.col("b") > 0, F.expr("substring(seg, b, e - b)")))
-    edges = subs.join(pieces, "piece", "left").where("id is not null or b = 0")
-    edge = F.when(F.col("b") > 0, F.struct("b", "e", "id", "score"))
-    words = edges.groupBy("seg").agg(F.first("owners", ignorenulls=True).alias("owners"), F.collect_list(edge).alias("edges"))
-    e = F.col("edges")
-    bounds = merge_fold(e, n) if model.kind == BPE else viterbi_fold(e, n, model.unknown_score)
-    words = words.select("seg", "owners", "edges", bounds.alias("bounds"))
-    hexed = lambda x: F.lpad(F.hex(x), 6, "0")
-    spelt = F.lit(model.bytes) if -1 not in model.bytes else None
-
-    def ids(b, i):
-        stop = F.get(F.col("bounds"), i + 1)
-        hit = F.get(F.filter("edges", lambda x: (x["b"] == b) & (x["e"] == stop)), F.lit(0))["id"]
-        if spelt is None:
-            return hexed(F.coalesce(hit, F.lit(model.unknown)))
-        raw = F.hex(F.encode(F.substring(F.col("seg"), b, F.lit(1)), "UTF-8"))
-        each = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: hexed(F.element_at(spelt, F.conv(F.substring(raw, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + 1)))
-        return F.coalesce(hexed(hit), F.array_join(each, ""))
-
-    heads = F.slice("bounds", F.lit(1), F.size("bounds") - 1)
-    packed = F.unhex(F.array_join(F.transform(heads, ids), ""))
-    done = words.select("owners", packed.alias("ids"))
-
-    def long_(batches):
-        for b in batches:
-            out = [b"".join(i.to_bytes(3, "big") for i in model.encode(s)) for s in b.column("seg").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("owners"), pa.array(out, pa.binary())], names=["owners", "ids"])
-
-    rest = segments.where(F.length("seg") > folded)
-    return done.unionByName(rest.mapInArrow(long_, "owners array<struct<chunk:long,at:int>>, ids binary"))
-
-
-def flat_ids(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 3).astype(np.int32)
-    return (raw[:, 0] << 16) | (raw[:, 1] << 8) | raw[:, 2], np.array([len(p) // 3 for p in packed], np.int64)
+    edges = subs.join(pieces, "piece", "left").where("score is not null or b = 0")
+    edge = F.struct("turn", "late", "pair", "score") if model.kind == BPE else F.struct("b", "e", "score")
+    words = edges.groupBy("seg").agg(F.first("owners", ignorenulls=True).alias("owners"), F.collect_list(F.when(F.col("b") > 0, edge)).alias("edges"))
+    if model.kind == UNIGRAM:
+        return words.select("owners", viterbi_fold(F.col("edges"), F.col("seg"), model.unknown_score).alias("pieces"))
+    once, rest = merge_fold(F.col("edges"), F.col("seg"))
+    return words.withColumn("once", once).select("owners", rest(F.col("once")).alias("pieces"))
 
 
 def gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -337,20 +356,26 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = 64, most: int = 16
         for b in batches:
             for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
                 s = Segments(unpack(body.as_buffer()), sent.value)
-                n = len(s.keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(s.strings(), pa.string())], names=["chunk", "at", "seg"])
+                own = np.flatnonzero(s.folded(folded)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.array(s.strings(own), pa.string())], names=["chunk", "at", "seg"])
 
     sent_words = chunks.select("chunk", "body").mapInArrow(words, "chunk long, at int, seg string")
     segments = sent_words.groupBy("seg").agg(F.collect_list(F.struct("chunk", "at")).alias("owners"))
-    back = segment_ids(segments, model, folded).select(F.explode("owners").alias("o"), "ids").select("o.chunk", "o.at", "ids")
+    back = segment_pieces(segments, model).select(F.explode("owners").alias("o"), "pieces").select("o.chunk", "o.at", "pieces")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, n_pieces int, round_trip boolean"
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
         batch = unpack(left.column("body")[0].as_buffer())
         s = Segments(batch, m)
-        order = np.argsort(right.column("at").to_numpy())
-        flat, counts = flat_ids(right.column("ids").combine_chunks().take(pa.array(order)).to_pylist() if right.num_rows else [])
+        parts: list = [None] * len(s.keys)
+        for at, pieces in zip(right.column("at").to_pylist(), right.column("pieces").to_pylist()):
+            parts[at] = [m.table[p][0] if p in m.table else i for p in pieces[1:-1].split(STOP + MARK) for i in ((0,) if p in m.table else m.spelt(p))]
+        rest = np.flatnonzero(~s.folded(folded))
+        for at, text in zip(rest, s.strings(rest)):
+            parts[at] = m.encode(text)
+        counts = np.array([len(p) for p in parts], np.int64)
+        flat = np.array([i for p in parts for i in p], np.int32)
         begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
         ids = gather(flat, begins[s.at], counts[s.at]) if len(s.at) else np.zeros(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(counts[s.at] if len(s.at) else [])]).astype(np.int64)[s.before]
