@@ -241,19 +241,22 @@ def pair_of(left: str, right: str) -> str:
 
 
 def merge_pairs(model: Model) -> pa.Table:
-    """Every way to merge a piece from two neighbours: piece, score, pair, and when its turn is: turn is the
-    rank of the piece, or of the part that comes later than the piece itself (late)."""
-    out: dict[str, list] = {c: [] for c in ("piece", "turn", "late", "pair", "score")}
+    """piece and every way to merge it from two neighbours: score, pair, and when its turn is: the rank of the piece,
+    or of the part that comes later than the piece itself (late)."""
     rank = {p: -s for p, (_, s) in model.table.items()}
+    pieces, ways = [], []
     for piece, (_, score) in model.table.items():
+        own = []
         for k in range(1, len(piece)):
             left, right = piece[:k], piece[k:]
-            if (k > 1 and left not in rank) or (k < len(piece) - 1 and right not in rank):
-                continue
-            last = max([rank[x] for x in (left, right) if len(x) > 1], default=-1.0)
-            for name, value in zip(out, (piece, max(last, -score), int(last >= -score), pair_of(left, right), score)):
-                out[name].append(value)
-    return pa.table(out)
+            if (k == 1 or left in rank) and (k == len(piece) - 1 or right in rank):
+                last = max([rank[x] for x in (left, right) if len(x) > 1], default=-1.0)
+                own.append({"turn": max(last, -score), "late": int(last >= -score), "pair": pair_of(left, right), "score": score})
+        if own:
+            pieces.append(piece)
+            ways.append(own)
+    kind = pa.list_(pa.struct([("turn", pa.float64()), ("late", pa.int32()), ("pair", pa.string()), ("score", pa.float64())]))
+    return pa.table({"piece": pa.array(pieces), "ways": pa.array(ways, kind)})
 
 
 def merge_fold(edges, text):
@@ -274,7 +277,7 @@ def merge_fold(edges, text):
         done = F.struct(merged.alias("text"), x["turn"].alias("last"), odd.alias("odd"))
         return F.when(a["odd"] | ~F.contains(a["text"], x["pair"]), a).otherwise(done)
 
-    once = F.aggregate(F.array_sort(edges), F.struct(begin.alias("text"), F.lit(-1.0).alias("last"), F.lit(False).alias("odd")), turn)
+    once = F.aggregate(F.sort_array(edges), F.struct(begin.alias("text"), F.lit(-1.0).alias("last"), F.lit(False).alias("odd")), turn)
 
     def step(state, _):
         found = F.filter(edges, lambda x: F.contains(state, x["pair"]))
@@ -314,13 +317,13 @@ def segment_pieces(segments: DataFrame, model: Model) -> DataFrame:
     starts = segments.select("seg", "owners", F.explode(F.sequence(F.lit(0), F.greatest(n + 1 - least, F.lit(0)))).alias("b"))
     ends = starts.select("seg", F.when(F.col("b") == 0, F.col("owners")).alias("owners"), "b", F.explode(F.when(F.col("b") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("b") + least, F.least(F.col("b") + model.longest, n + 1)))).alias("e"))
     subs = ends.withColumn("piece", F.when(F.col("b") > 0, F.expr("substring(seg, b, e - b)")))
-    edges = subs.join(pieces, "piece", "left").where("score is not null or b = 0")
-    edge = F.struct("turn", "late", "pair", "score") if model.kind == BPE else F.struct("b", "e", "score")
+    edges = subs.join(pieces, "piece", "left").where(F.col("b").eqNullSafe(0) | F.col("ways" if model.kind == BPE else "score").isNotNull())
+    edge = F.col("ways") if model.kind == BPE else F.struct("b", "e", "score")
     words = edges.groupBy("seg").agg(F.first("owners", ignorenulls=True).alias("owners"), F.collect_list(F.when(F.col("b") > 0, edge)).alias("edges"))
     if model.kind == UNIGRAM:
         return words.select("owners", viterbi_fold(F.col("edges"), F.col("seg"), model.unknown_score).alias("pieces"))
     once, rest = merge_fold(F.col("edges"), F.col("seg"))
-    return words.withColumn("once", once).select("owners", rest(F.col("once")).alias("pieces"))
+    return words.withColumn("edges", F.flatten("edges")).withColumn("once", once).select("owners", rest(F.col("once")).alias("pieces"))
 
 
 def gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -334,7 +337,7 @@ def decode_flat(ids: np.ndarray, begins: np.ndarray, model_output, prefix: bool)
     data, at = model_output
     size = np.diff(at)[ids]
     out = gather(data, at[:-1][ids], size)
-    ends = np.concatenate([[0], np.cumsum(size)])[begins]
+    ends = np.concatenate([[0], np.cumsum(size)])[begins - begins[0]]
     if prefix:
         first = ends[:-1][(ends[1:] > ends[:-1])]
         first = first[out[first] == 32]
@@ -345,7 +348,19 @@ def decode_flat(ids: np.ndarray, begins: np.ndarray, model_output, prefix: bool)
     return out, ends
 
 
-def encode(docs: DataFrame, path: str = MODEL, folded: int = 64, most: int = 16 << 20) -> DataFrame:
+def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model: Model, block: int = 1 << 18) -> list[bool]:
+    """Of each row, whether its ids decode to its text."""
+    raw, off = text_bytes(batch.column("text"))
+    output, same, a = model.output(), [], 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(begins, begins[a] + block, "right")) - 1)
+        out, to = decode_flat(ids[begins[a] : begins[b]], begins[a : b + 1], output, model.prefix)
+        same += [np.array_equal(out[to[i - a] : to[i - a + 1]], raw[off[i] : off[i + 1]]) for i in range(a, b)]
+        a = b
+    return same
+
+
+def encode(docs: DataFrame, path: str = MODEL, folded: int = 64, most: int = 6 << 20) -> DataFrame:
     """docs and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
     docs = docs.drop("ids", "n_pieces", "round_trip")
     model = read_model(path)
@@ -379,9 +394,7 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = 64, most: int = 16
         begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
         ids = gather(flat, begins[s.at], counts[s.at]) if len(s.at) else np.zeros(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(counts[s.at] if len(s.at) else [])]).astype(np.int64)[s.before]
-        out, to = decode_flat(ids, ends, m.output(), m.prefix)
-        raw, off = text_bytes(batch.column("text"))
-        same = [np.array_equal(out[to[i] : to[i + 1]], raw[off[i] : off[i + 1]]) for i in range(batch.num_rows)]
+        same = same_text(ids, ends, batch, m)
         table = pa.Table.from_batches([batch])
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
         return table.append_column("ids", lists).append_column("n_pieces", pa.array(np.diff(ends).astype(np.int32))).append_column("round_trip", pa.array(same, pa.bool_()))
