@@ -20,15 +20,15 @@ from .common import U64, slices, stored
 CHUNK_BYTES = 8 << 20
 
 
-def chunk_rows(most: int = CHUNK_BYTES):
+def chunk_rows(most: int = CHUNK_BYTES, level: int = 3):
     """A map of batches to chunk (distinct), size (bytes of text), body (all columns of a slice, packed)."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << 16
         for whole in batches:
             for piece in slices(whole, "text", most):
                 out = io.BytesIO()
-                with pa.ipc.new_stream(out, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                with pa.ipc.new_stream(out, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
                     w.write_batch(piece)
                 size = piece.column("text").nbytes
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([out.getvalue()], pa.binary())], names=["chunk", "size", "body"])

@@ -33,6 +33,8 @@ from .common import _BASE, _BASE_INV, U64, mix, powers, text_bytes, workspace
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MARK, STOP = "\x01", "\x02"
+#: A chunk's number and a place in it share a long; a segment's cuts fit in another.
+PLACE_BITS, FOLDED = 24, 64
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -108,6 +110,17 @@ class Model:
             parts.append(bytes([int(p[3:-1], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else " ⁇ ".encode() if t == UNKNOWN else b"")
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def cut(self, text: str, cuts: int) -> list[int]:
+        """Ids of the pieces of text that begin at the bits of cuts."""
+        out, begin = [], 0
+        for end, bit in enumerate(f"{cuts:b}"[1:] + "1", 1):
+            if bit == "1":
+                piece = text[begin:end]
+                hit = self.table.get(piece)
+                out += self.spelt(piece) if hit is None else (hit[0],)
+                begin = end
+        return out
+
     def merged(self, text: str) -> list[int]:
         """Pieces of one segment by merges, best first, leftmost of equals."""
         n = len(text)
@@ -181,21 +194,23 @@ class Segments:
         self.codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         off = np.concatenate([[0], np.cumsum(size)])
         n = len(self.codes)
-        place = place_table(model)[self.codes]
+        table, block = place_table(model), 1 << 20
         cut = np.ones(n, bool)
-        cut[1:] = ~model.joined[place[:-1], place[1:]]
+        for i in range(0, n, block):
+            place = table[self.codes[max(i - 1, 0) : i + block]]
+            cut[max(i, 1) : i + block] = ~model.joined[place[:-1], place[1:]]
         cut[off[:-1][off[:-1] < n]] = True
         self.starts = np.flatnonzero(cut)
         self.ends = np.append(self.starts[1:], n)
         self.before = np.searchsorted(self.starts, off)
         hashes = np.empty(len(self.starts), np.uint64)
-        i, block = 0, 1 << 20
+        i = 0
         with np.errstate(over="ignore"):
             while i < len(self.starts):
                 j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + block, "right")))
                 a, b = int(self.starts[i]), int(self.ends[j - 1])
                 sums = np.zeros(b - a + 1, np.uint64)
-                np.cumsum(mix(self.codes[a:b].astype(np.uint64) + U64(1 << 40)) * powers(_BASE, b - a), out=sums[1:])
+                np.cumsum((self.codes[a:b].astype(np.uint64) + U64(0xC2B2AE3D27D4EB4F)) * powers(_BASE, b - a), out=sums[1:])
                 s, e = self.starts[i:j] - a, self.ends[i:j] - a
                 hashes[i:j] = mix((sums[e] - sums[s]) * powers(_BASE_INV, b - a + 1)[s] + (e - s).astype(np.uint64))
                 i = j
@@ -207,10 +222,9 @@ class Segments:
 
     def folded(self, most: int) -> np.ndarray:
         """Which distinct segments go to the lattice: neither long nor holding the mark of the fold."""
-        marked = np.zeros(len(self.codes) + 1, np.int64)
-        marked[1:] = np.cumsum((self.codes == ord(MARK)) | (self.codes == ord(STOP)))
         a, b = self.starts[self.first], self.ends[self.first]
-        return (b - a <= most) & (marked[a] == marked[b])
+        marks = np.flatnonzero((self.codes == ord(MARK)) | (self.codes == ord(STOP)))
+        return (b - a <= most) & (np.searchsorted(marks, a) == np.searchsorted(marks, b))
 
 
 _PLACES: dict[int, np.ndarray] = {}
@@ -264,8 +278,8 @@ def merge_fold(edges, text):
     equals, until there is none. An edge is (turn, late, pair, score).
 
     One pass over the edges by turn does that, unless an edge whose part comes later than its piece is met, or one
-    turn merges twice (what a merge makes possible could then come between); only such texts search for the best edge
-    again and again."""
+    turn merges twice and what a merge makes possible could come between; only such texts search for the best edge again
+    and again."""
     begin = F.concat(F.lit(MARK), F.array_join(F.split(text, ""), STOP + MARK), F.lit(STOP))
 
     def whole(pair):
@@ -273,7 +287,8 @@ def merge_fold(edges, text):
 
     def turn(a, x):
         merged = F.replace(a["text"], x["pair"], whole(x["pair"]))
-        odd = (x["late"] == 1) | (a["last"] == x["turn"]) | (F.length(a["text"]) - F.length(merged) > 2)
+        twice = F.length(a["text"]) - F.length(merged) > 2
+        odd = (x["late"] == 1) | (a["last"] == x["turn"]) | (twice & F.exists(edges, lambda y: (y["late"] == 1) & (y["turn"] == x["turn"])))
         done = F.struct(merged.alias("text"), x["turn"].alias("last"), odd.alias("odd"))
         return F.when(a["odd"] | ~F.contains(a["text"], x["pair"]), a).otherwise(done)
 
@@ -303,8 +318,15 @@ def viterbi_fold(edges, text, unknown: float):
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["path"]
 
 
-def segment_pieces(segments: DataFrame, model: Model) -> DataFrame:
-    """segments (seg, owners) to owners and pieces, with marks between."""
+def cut_bits(pieces):
+    """A bit for each character, the first one highest: whether a piece begins there."""
+    heads = F.regexp_replace(pieces, f"{MARK}[^{STOP}]{STOP}?", "\x03")
+    bits = F.translate(F.regexp_replace(heads, f"[^\x03{STOP}]", "0"), f"\x03{STOP}", "1")
+    return F.conv(bits, 2, -10).cast("long")
+
+
+def segment_cuts(segments: DataFrame, model: Model) -> DataFrame:
+    """segments (seg, owners) to owners and cuts: where pieces begin."""
     spark = segments.sparkSession
     if model.kind == BPE:
         table = merge_pairs(model)
@@ -321,9 +343,9 @@ def segment_pieces(segments: DataFrame, model: Model) -> DataFrame:
     edge = F.col("ways") if model.kind == BPE else F.struct("b", "e", "score")
     words = edges.groupBy("seg").agg(F.first("owners", ignorenulls=True).alias("owners"), F.collect_list(F.when(F.col("b") > 0, edge)).alias("edges"))
     if model.kind == UNIGRAM:
-        return words.select("owners", viterbi_fold(F.col("edges"), F.col("seg"), model.unknown_score).alias("pieces"))
+        return words.select("owners", cut_bits(viterbi_fold(F.col("edges"), F.col("seg"), model.unknown_score)).alias("cuts"))
     once, rest = merge_fold(F.col("edges"), F.col("seg"))
-    return words.withColumn("edges", F.flatten("edges")).withColumn("once", once).select("owners", rest(F.col("once")).alias("pieces"))
+    return words.withColumn("edges", F.flatten("edges")).withColumn("once", once).select("owners", cut_bits(rest(F.col("once"))).alias("cuts"))
 
 
 def gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -360,23 +382,29 @@ def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model:
     return same
 
 
-def encode(docs: DataFrame, path: str = MODEL, folded: int = 64, most: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 16 << 20) -> DataFrame:
     """docs and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
     docs = docs.drop("ids", "n_pieces", "round_trip")
-    model = read_model(path)
+    model, folded = read_model(path), min(folded, FOLDED)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chunks = bucketed(docs.mapInArrow(chunk_rows(most), "chunk long, size long, body binary"))
+    chunks = bucketed(docs.mapInArrow(chunk_rows(most, 9), "chunk long, size long, body binary"))
 
     def words(batches):
         for b in batches:
             for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
                 s = Segments(unpack(body.as_buffer()), sent.value)
-                own = np.flatnonzero(s.folded(folded)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.array(s.strings(own), pa.string())], names=["chunk", "at", "seg"])
-
-    sent_words = chunks.select("chunk", "body").mapInArrow(words, "chunk long, at int, seg string")
-    segments = sent_words.groupBy("seg").agg(F.collect_list(F.struct("chunk", "at")).alias("owners"))
-    back = segment_pieces(segments, model).select(F.explode("owners").alias("o"), "pieces").select("o.chunk", "o.at", "pieces")
+                own = np.flatnonzero(s.folded(folded))
+                segs = pa.array(s.strings(own), pa.string())
+                order = pa.compute.array_sort_indices(segs)  # neighbours share beginnings, which packs well
+                for part in range(0, len(own), 50_000):
+                    some = order.slice(part, 50_000)
+                    yield pa.RecordBatch.from_arrays([segs.take(some), pa.array((chunk << PLACE_BITS) + own[some.to_numpy()])], names=["seg", "owner"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent_words = chunks.select("chunk", "body").mapInArrow(words, "seg string, owner long").repartition(parts, "seg")
+    segments = sent_words.groupBy("seg").agg(F.collect_list("owner").alias("owners"))
+    back = segment_cuts(segments, model).select(F.explode("owners").alias("owner"), "cuts")
+    back = back.select(F.shiftright("owner", PLACE_BITS).alias("chunk"), F.col("owner").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, n_pieces int, round_trip boolean"
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -384,8 +412,9 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = 64, most: int = 6 <
         batch = unpack(left.column("body")[0].as_buffer())
         s = Segments(batch, m)
         parts: list = [None] * len(s.keys)
-        for at, pieces in zip(right.column("at").to_pylist(), right.column("pieces").to_pylist()):
-            parts[at] = [m.table[p][0] if p in m.table else i for p in pieces[1:-1].split(STOP + MARK) for i in ((0,) if p in m.table else m.spelt(p))]
+        place = right.column("at").to_numpy()
+        for at, text, cuts in zip(place.tolist(), s.strings(place), right.column("cuts").to_pylist()):
+            parts[at] = m.cut(text, cuts & (1 << 64) - 1)
         rest = np.flatnonzero(~s.folded(folded))
         for at, text in zip(rest, s.strings(rest)):
             parts[at] = m.encode(text)
