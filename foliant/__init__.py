@@ -1,0 +1 @@
+"""Office documents to tables, text and Markdown on Spark."""
