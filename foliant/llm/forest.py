@@ -41,30 +41,39 @@ def strings(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 class Forest:
+    """Of each tree a sorted array of strings, and whose they are."""
+
     def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(codes, self.order, 0).astype(np.uint64)
-
-    def search(self, codes: np.ndarray, enough: float):
-        """Of each query: (low, high) of its subtree in every tree, after the ascent."""
-        n, trees = codes.shape
-        rows = len(self.sorted)
-        codes = codes.astype(np.uint64)
-        at = np.stack([np.searchsorted(self.sorted[:, t], codes[:, t]) for t in range(trees)], 1)
-        near = [np.take_along_axis(self.sorted, np.clip(at - d, 0, rows - 1), 0) ^ codes for d in (0, 1)]
-        depth = (BITS - np.ceil(np.log2(np.minimum(*near).astype(np.float64) + 1))).astype(np.int64)  # longest prefix
-        low, high = np.zeros((n, trees), np.int64), np.zeros((n, trees), np.int64)
-        todo = np.arange(n)
-        for d in range(int(depth.max(initial=0)), -1, -1):
-            cut = np.uint64(BITS - d)
-            base = (codes[todo] >> cut) << cut
-            for t in range(trees):
-                low[todo, t] = np.searchsorted(self.sorted[:, t], base[:, t])
-                high[todo, t] = np.searchsorted(self.sorted[:, t], base[:, t] + (np.uint64(1) << cut))
-            todo = todo[(high[todo] - low[todo]).sum(1) < enough]
-            if not len(todo):
-                break
-        return low, high
+        self.order = np.ascontiguousarray(np.argsort(codes, axis=0, kind="stable").astype(np.int32).T)
+        self.sorted = np.take_along_axis(np.ascontiguousarray(codes.T), self.order, 1).astype(np.uint64)
+
+    def subtrees(self, codes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high) of the entries that share `depth` leading bits, by tree and query."""
+        cut = (BITS - depth).astype(np.uint64)
+        base = (codes >> cut) << cut
+        above = base + (np.uint64(1) << cut)
+        low = np.stack([np.searchsorted(s, b) for s, b in zip(self.sorted, base)])
+        return low, np.stack([np.searchsorted(s, b) for s, b in zip(self.sorted, above)])
+
+    def search(self, codes: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query the subtrees where the common ascent stops: the greatest depth at which they hold enough.
+
+        The descent to the longest match of each tree bounds it; as entries only grow on the way up, the level is
+        found by halving."""
+        codes = np.ascontiguousarray(codes.T).astype(np.uint64)
+        rows = self.sorted.shape[1]
+        at = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, codes)])
+        near = np.minimum(*[np.take_along_axis(self.sorted, np.clip(at - d, 0, rows - 1), 1) ^ codes for d in (0, 1)])
+        longest = BITS - np.ceil(np.log2(near.astype(np.float64) + 1)).astype(np.int64)
+        high = longest.max(0, initial=0)
+        low = np.zeros_like(high)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_] + 1) // 2
+            a, b = self.subtrees(codes[:, open_], mid)
+            held = (b - a).sum(0) >= enough
+            low[open_] = np.where(held, mid, low[open_])
+            high[open_] = np.where(held, high[open_], mid - 1)
+        return self.subtrees(codes, low)
 
 
 def vectors_of(embeddings: DataFrame) -> DataFrame:
@@ -114,8 +123,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 12
             low, high = forest.search(strings(np.column_stack([q, np.zeros(len(q))]), p), max(share * len(x), least_met))
             for i in range(len(q)):
                 met = np.zeros(len(x), bool)
-                for t in range(trees):
-                    met[forest.order[low[i, t] : high[i, t], t]] = True
+                met[np.concatenate([o[a:b] for o, a, b in zip(forest.order, low[:, i], high[:, i])])] = True
                 met = np.flatnonzero(met)
                 if len(met) > 4 * (k + 1):  # in single precision, whoever may be among the best
                     rough = np.take(x32, met, 0) @ q[i].astype(np.float32)
