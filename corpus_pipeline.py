@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of five-word Jaccard similarity 0.8 and more, the document of the least id; ids once."""
-    groups = jaccard.near_duplicates(docs, words=5, num=8, den=10)
+    groups = jaccard.near_duplicates(docs, words=5, num=8, den=10, scheme=(2, 1))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import U64, WHITE, ascii_lower, distinct_per_row, gram_hashes, mix, segment_sums, slices, span_hashes, stored, text_bytes, word_bounds
 from .components import components
 
-#: Sub-parts of a part, and how many of them may differ.
-N2, K2 = 3, 1
+#: Sub-parts of a part, and how many of them may differ: (3, 1) gives half as many signatures again as (2, 1), each
+#: over twice the sub-parts, so fewer sets share one by chance.
+SCHEME = (3, 1)
 #: 64-bit words of the parity sketch.
 SKETCH = 16
 
@@ -55,7 +56,7 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_row(*gram_hashes(span_hashes(low, starts, ends), before, words), len(off) - 1)
 
 
-def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, den: int, scheme: tuple[int, int] = SCHEME) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of the sets of these rows."""
     sizes = np.diff(begins)
     levels = bands(num, den, int(sizes.max(initial=0)))
@@ -67,7 +68,7 @@ def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, de
             own = rows[band[rows] == b]
             instance = int(b) + up
             k = distance(levels[instance + 1] - 1 if instance + 1 < len(levels) else levels[instance] * den // num, num, den)
-            n1, n2, k2 = (-(-(k + 1) // (K2 + 1)), N2, K2) if k else (1, 1, 0)
+            n1, n2, k2 = (-(-(k + 1) // (scheme[1] + 1)), *scheme) if k else (1, 1, 0)
             parts = n1 * n2
             for at in range(0, len(own), max(1, (1 << 22) // max(parts, int(levels[b])))):
                 some = own[at : at + max(1, (1 << 22) // max(parts, int(levels[b])))]
@@ -90,7 +91,7 @@ def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, de
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def set_table(docs: DataFrame, words: int, num: int, den: int, scheme: tuple[int, int] = SCHEME) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (digest of the set) and, of the first document with a set in its slice, its
     signatures and its sketch: of each of 64 * SKETCH cells of the hash domain, whether it holds an odd number."""
 
@@ -107,7 +108,7 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 order = order[known[order]]
                 first = np.ones(len(order), bool)
                 first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-                sig, owner = signatures(h, begins, np.sort(order[first]), num, den)
+                sig, owner = signatures(h, begins, np.sort(order[first]), num, den, scheme)
                 by = np.argsort(owner, kind="stable")
                 off = np.searchsorted(owner[by], np.arange(batch.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(sig[by].view(np.int64)))
@@ -212,10 +213,10 @@ def apart(p: str, q: str, num: int, den: int):
     return (differ * (den + num) <= (n + m) * (den - num)) & (F.least(n, m) * den >= F.greatest(n, m) * num)
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, pivots: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, pivots: int = 16, scheme: tuple[int, int] = SCHEME) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, classes, links): doc_id, n_shingles and set digest of each row; representative of each digest; links
     between representatives that connect all that is connected by similarity >= num/den."""
-    table = stored(set_table(docs, words, num, den))
+    table = stored(set_table(docs, words, num, den, scheme))
     classes = stored(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     first = table.where("size(sigs) > 0")
     rep_of = first.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("doc"), "rep")
@@ -258,9 +259,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, p
         used, step = used + step, step * 4
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, scheme: tuple[int, int] = SCHEME) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    table, classes, links = jaccard_join(docs, words, num, den)
+    table, classes, links = jaccard_join(docs, words, num, den, scheme=scheme)
     of = components(links, "x", "y")
     placed = classes.join(of, classes["rep"] == of["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id"))
