@@ -188,12 +188,19 @@ class Segments:
     distinct ones (sorted hashes), with the place of every segment among them."""
 
     def __init__(self, batch: pa.RecordBatch, model: Model):
-        texts = [t.replace(" ", SPACE) if t else "" for t in batch.column("text").to_pylist()]
-        texts = [SPACE + t if t and model.prefix else t for t in texts]
-        size = np.array([len(t) for t in texts], np.int64)
-        self.codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        column, rows = batch.column("text"), batch.num_rows
+        size = np.zeros(rows, np.int64)
+        self.codes = np.empty(column.nbytes + 2 * rows, np.uint32)
+        n, at = 0, 0
+        while at < rows:  # a few hundred texts at a time are Python strings
+            texts = [t.replace(" ", SPACE) if t else "" for t in column.slice(at, 256).to_pylist()]
+            texts = [SPACE + t if t and model.prefix else t for t in texts]
+            size[at : at + len(texts)] = [len(t) for t in texts]
+            part = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            self.codes[n : n + len(part)] = part
+            n, at = n + len(part), at + len(texts)
+        self.codes = self.codes[:n]
         off = np.concatenate([[0], np.cumsum(size)])
-        n = len(self.codes)
         table, block = place_table(model), 1 << 20
         cut = np.ones(n, bool)
         for i in range(0, n, block):
@@ -215,10 +222,11 @@ class Segments:
                 hashes[i:j] = mix((sums[e] - sums[s]) * powers(_BASE_INV, b - a + 1)[s] + (e - s).astype(np.uint64))
                 i = j
         self.keys, self.first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
+        self.at = self.at.astype(np.int32)
 
     def strings(self, which: np.ndarray) -> list[str]:
-        raw, first = self.codes.tobytes(), self.first[which]
-        return [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())]
+        first = self.first[which]
+        return [self.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())]
 
     def folded(self, most: int) -> np.ndarray:
         """Which distinct segments go to the lattice: neither long nor holding the mark of the fold."""
@@ -382,7 +390,7 @@ def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model:
     return same
 
 
-def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 12 << 20) -> DataFrame:
     """docs and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
     docs = docs.drop("ids", "n_pieces", "round_trip")
     model, folded = read_model(path), min(folded, FOLDED)
@@ -421,11 +429,17 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
         counts = np.array([len(p) for p in parts], np.int64)
         flat = np.array([i for p in parts for i in p], np.int32)
         begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        ids = gather(flat, begins[s.at], counts[s.at]) if len(s.at) else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(counts[s.at] if len(s.at) else [])]).astype(np.int64)[s.before]
+        ends = np.zeros(len(s.at) + 1, np.int64)
+        if len(s.at):
+            np.cumsum(counts[s.at], out=ends[1:])
+        ids = np.empty(ends[-1], np.int32)
+        for i in range(0, len(s.at), 1 << 18):
+            own = s.at[i : i + (1 << 18)]
+            ids[ends[i] : ends[min(i + (1 << 18), len(s.at))]] = gather(flat, begins[own], counts[own])
+        ends = ends[s.before]
         same = same_text(ids, ends, batch, m)
         table = pa.Table.from_batches([batch])
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
         return table.append_column("ids", lists).append_column("n_pieces", pa.array(np.diff(ends).astype(np.int32))).append_column("round_trip", pa.array(same, pa.bool_()))
 
     return chunks.select("chunk", "body").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, schema)
