@@ -312,13 +312,14 @@ def merge_fold(edges, text):
 
 
 def viterbi_fold(edges, text, unknown: float):
-    """The pieces of the best path over text, between marks. An edge is (b, e, score)."""
+    """The pieces of the best path over text, each between MARK and STOP; of equals the one whose last piece begins first
+    wins. An edge is (b, e, score)."""
     n = F.length(text)
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("path")))
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit("").alias("path")))
 
     def step(paths, e):
         ends = F.filter(edges, lambda x: x["e"] == e + 1)
-        to = lambda b, score: F.struct((F.get(paths, b - 1)["score"] + score).alias("score"), F.concat(F.get(paths, b - 1)["path"], F.lit(MARK), F.substring(text, b, e + 1 - b), F.lit(STOP)).alias("path"))
+        to = lambda b, score: F.struct((F.get(paths, b - 1)["score"] + score).alias("score"), (-b).alias("back"), F.concat(F.get(paths, b - 1)["path"], F.lit(MARK), F.substring(text, b, e + 1 - b), F.lit(STOP)).alias("path"))
         known = F.transform(ends, lambda x: to(x["b"], x["score"]))
         alone = F.exists(ends, lambda x: x["b"] == e)
         return F.concat(paths, F.array(F.array_max(F.when(alone, known).otherwise(F.concat(known, F.array(to(e, F.lit(unknown))))))))
