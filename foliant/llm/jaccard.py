@@ -34,6 +34,8 @@ from .components import components
 SCHEME = (3, 1)
 #: 64-bit words of the parity sketch.
 SKETCH = 16
+#: Cells of the hash domain whose counts are compared before whole sets.
+CELLS = 1024
 
 
 def bands(num: int, den: int, most: int) -> list[int]:
@@ -84,7 +86,7 @@ def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, de
                         sig = place + U64(c + 1)
                         for i in chosen:
                             sig = mix(sig * U64(0x9FB21C651E98DF25) + sums[:, :, i])
-                    sigs.append(np.broadcast_to(sig, (len(some), n1)).ravel())
+                    sigs.append(np.broadcast_to(sig, (len(some), n1)).ravel() >> U64(16))  # 48 bits; a clash is one candidate more
                     owners.append(np.repeat(some, n1))
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -168,28 +170,44 @@ def shared(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig long, doc long, pivot long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of class representatives whose sets are similar: exact counts of common shingles."""
-    left = sets.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("set").alias("sx"))
-    right = sets.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("set").alias("sy"))
+def tested(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (x, y) for which test holds of the arrays in a column of both: test(of x, of y, n of x, n of y)."""
+    left = sets.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col(column).alias("sx"))
+    right = sets.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col(column).alias("sy"))
 
     def run(batches):
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (sx, sy) in enumerate(zip(b.column("sx"), b.column("sy"))):
-                p, q = np.frombuffer(sx.as_buffer(), np.int64), np.frombuffer(sy.as_buffer(), np.int64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = den * common >= num * (len(p) + len(q) - common)
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(pa.array(keep)), b.column("y").filter(pa.array(keep))], names=["x", "y"])
+            keep = [test(p.as_buffer(), q.as_buffer(), n, m) for p, q, n, m in zip(b.column("sx"), b.column("sy"), b.column("nx").to_pylist(), b.column("ny").to_pylist())]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("x").filter(mask), b.column("y").filter(mask)], names=["x", "y"])
 
-    sized = pairs.join(left, "x").join(right, "y").where((F.least("nx", "ny") * den) >= (F.greatest("nx", "ny") * num))
-    return sized.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """(doc, n, set) of the wanted ids; their list goes to all tasks only up to broadcast_rows (8 bytes each)."""
+def verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of class representatives whose sets are similar: exact counts of common shingles. Whole sets
+    are made and sent only for pairs that the counts by cell of the hash domain, whose distance is no greater, leave."""
+
+    def near(p, q, n, m):
+        differ = np.abs(np.frombuffer(p, np.uint8).astype(np.int64) - np.frombuffer(q, np.uint8)).sum()
+        return bool(differ * (den + num) <= (n + m) * (den - num))
+
+    def similar(p, q, n, m):
+        both = np.concatenate([np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return den * common >= num * (n + m - common)
+
+    left = stored(tested(pairs, cells, "cells", near))
+    if left.isEmpty():
+        return left
+    ids = left.select(F.col("x").alias("doc")).unionByName(left.select(F.col("y").alias("doc"))).distinct()
+    sets = stored(sets_of(docs, ids, words, "set").dropDuplicates(["doc"]))
+    return tested(left, sets, "set", similar)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, column: str, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """(doc, n, column) of the wanted ids, column being set, or cells (shingles in each cell, 255 at most); their list goes to all tasks only up to broadcast_rows (8 bytes each)."""
     few = wanted.count() <= broadcast_rows
     picked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     picked = picked.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
@@ -198,10 +216,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, begins = shingle_sets(batch.column("text"), words)
-                blobs = [h[begins[i] : begins[i + 1]].tobytes() for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(begins)), pa.array(blobs, pa.binary())], names=["doc", "n", "set"])
+                if column == "set":
+                    blobs = [h[begins[i] : begins[i + 1]].tobytes() for i in range(batch.num_rows)]
+                else:
+                    at = np.repeat(np.arange(batch.num_rows), np.diff(begins)) * CELLS + (h & U64(CELLS - 1)).astype(np.int64)
+                    counts = np.minimum(np.bincount(at, minlength=batch.num_rows * CELLS), 255).astype(np.uint8)
+                    blobs = [c.tobytes() for c in counts.reshape(-1, CELLS)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(begins)), pa.array(blobs, pa.binary())], names=["doc", "n", column])
 
-    return picked.mapInArrow(run, "doc long, n long, set binary")
+    return picked.mapInArrow(run, f"doc long, n long, {column} binary")
 
 
 def apart(p: str, q: str, num: int, den: int):
@@ -229,12 +252,12 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, p
     known = owners.select(F.col("rep").alias("doc")).unionByName(owners.select(F.col("head").alias("doc"))).distinct()
     info = first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
     info = stored(info.join(known, "doc", "left_semi").dropDuplicates(["doc"]))
-    sets = stored(sets_of(docs, known, words).dropDuplicates(["doc"]))
+    cells = stored(sets_of(docs, known, words, "cells").dropDuplicates(["doc"]))
     pairs = owners.select(F.col("rep").alias("x"), F.col("head").alias("y")).unionByName(owners.select(F.col("head").alias("x"), F.col("top").alias("y")))
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     near = pairs.join(info.alias("p"), F.col("x") == F.col("p.doc")).join(info.alias("q"), (F.col("y") == F.col("q.doc")) & apart("p", "q", num, den))
     tried = stored(near.select("x", "y"))
-    links = stored(verified(tried, sets, num, den))
+    links = stored(verified(tried, cells, docs, words, num, den))
     members = owners.select("sig", F.col("rep").alias("doc")).distinct()
     used, step = 0, pivots
     while True:
@@ -255,7 +278,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, p
         more = stored(more.join(tried, ["x", "y"], "left_anti"))
         members = members.select("sig", "doc")
         tried = stored(tried.unionByName(more))
-        links = stored(links.unionByName(verified(more, sets, num, den)))
+        links = stored(links.unionByName(verified(more, cells, docs, words, num, den)))
         used, step = used + step, step * 4
 
 
