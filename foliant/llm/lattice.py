@@ -238,6 +238,29 @@ class Segments:
 _PLACES: dict[int, np.ndarray] = {}
 
 
+class Group:
+    """The chunks of a group, one after the other: the distinct segments of all that go to the lattice (sorted hashes
+    and strings), and of each chunk what its ids need; the bulky arrays of a chunk are gone before the next."""
+
+    def __init__(self, bodies, model: Model, folded: int, encode: bool):
+        self.chunks, keys, texts = [], [], []
+        seen = np.zeros(0, np.uint64)
+        for body in bodies:
+            batch = unpack(body.as_buffer())
+            s = Segments(batch, model)
+            own = s.folded(folded)
+            fresh = np.flatnonzero(own & ~np.isin(s.keys, seen))
+            keys.append(s.keys[fresh])
+            texts.append(pa.array(s.strings(fresh), pa.string()))
+            seen = np.concatenate([seen, s.keys[fresh]])
+            if encode:
+                rest = np.flatnonzero(~own)
+                self.chunks.append((batch, s.keys, own, s.at, s.before, {int(r): model.encode(t) for r, t in zip(rest, s.strings(rest))}))
+        order = np.argsort(seen, kind="stable")
+        self.keys = seen[order]
+        self.texts = pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(order))
+
+
 def place_table(model: Model) -> np.ndarray:
     """Of every code point, its place among the model's characters (0: none)."""
     key = len(model.chars)
@@ -250,11 +273,11 @@ def place_table(model: Model) -> np.ndarray:
 
 
 def bucketed(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, bucketed by chunk, so that joins by chunk don't move it."""
+    """A table in the shared folder, bucketed by group, so that joins by group don't move it."""
     spark = df.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    df.write.bucketBy(parts, "chunk").option("path", workspace(spark)).option("compression", "none").format("parquet").saveAsTable(name)
+    df.write.bucketBy(parts, "group").option("path", workspace(spark)).option("compression", "none").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -391,59 +414,62 @@ def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model:
     return same
 
 
-def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 4 << 20, together: int = 6) -> DataFrame:
     """docs and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
     docs = docs.drop("ids", "n_pieces", "round_trip")
     model, folded = read_model(path), min(folded, FOLDED)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chunks = bucketed(docs.mapInArrow(chunk_rows(most, 9), "chunk long, size long, body binary"))
+    chunks = docs.mapInArrow(chunk_rows(most, 9), "chunk long, size long, body binary")
+    # chunk numbers of a task follow each other, so a group is made of neighbours
+    chunks = bucketed(chunks.select(F.shiftright("chunk", 16).alias("_task"), (F.col("chunk").bitwiseAND(0xFFFF) / together).cast("long").alias("_n"), "body").select((F.shiftleft("_task", 16) + F.col("_n")).alias("group"), "body"))
 
-    def words(batches):
-        for b in batches:
-            for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
-                s = Segments(unpack(body.as_buffer()), sent.value)
-                own = np.flatnonzero(s.folded(folded))
-                segs = pa.array(s.strings(own), pa.string())
-                order = pa.compute.array_sort_indices(segs)  # neighbours share beginnings, which packs well
-                for part in range(0, len(own), 50_000):
-                    some = order.slice(part, 50_000)
-                    yield pa.RecordBatch.from_arrays([segs.take(some), pa.array((chunk << PLACE_BITS) + own[some.to_numpy()])], names=["seg", "owner"])
+    def words(table: pa.Table) -> pa.Table:
+        g = Group(table.column("body"), sent.value, folded, False)
+        order = pa.compute.array_sort_indices(g.texts)  # neighbours share beginnings, which packs well
+        return pa.table({"seg": g.texts.take(order), "owner": pa.array((table.column("group")[0].as_py() << PLACE_BITS) + order.to_numpy().astype(np.int64))})
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent_words = chunks.select("chunk", "body").mapInArrow(words, "seg string, owner long").repartition(parts, "seg")
+    sent_words = chunks.groupBy("group").applyInArrow(words, "seg string, owner long").repartition(parts, "seg")
     segments = sent_words.groupBy("seg").agg(F.collect_list("owner").alias("owners"))
     back = segment_cuts(segments, model).select(F.explode("owners").alias("owner"), "cuts")
-    back = back.select(F.shiftright("owner", PLACE_BITS).alias("chunk"), F.col("owner").bitwiseAND((1 << PLACE_BITS) - 1).alias("at"), "cuts")
+    back = back.select(F.shiftright("owner", PLACE_BITS).alias("group"), F.col("owner").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("at"), "cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, n_pieces int, round_trip boolean"
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
-        batch = unpack(left.column("body")[0].as_buffer())
-        s = Segments(batch, m)
-        parts: list = [None] * len(s.keys)
-        place = right.column("at").to_numpy()
-        for at, text, cuts in zip(place.tolist(), s.strings(place), right.column("cuts").to_pylist()):
-            parts[at] = m.cut(text, cuts & (1 << 64) - 1)
-        rest = np.flatnonzero(~s.folded(folded))
-        for at, text in zip(rest, s.strings(rest)):
-            parts[at] = m.encode(text)
-        counts = np.array([len(p) for p in parts], np.int64)
-        flat = np.array([i for p in parts for i in p], np.int32)
-        begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        ends = np.zeros(len(s.at) + 1, np.int64)
-        if len(s.at):
-            np.cumsum(counts[s.at], out=ends[1:])
-        ids = np.empty(ends[-1], np.int32)
-        for i in range(0, len(s.at), 1 << 18):
-            own = s.at[i : i + (1 << 18)]
-            ids[ends[i] : ends[min(i + (1 << 18), len(s.at))]] = gather(flat, begins[own], counts[own])
-        ends = ends[s.before]
-        same = same_text(ids, ends, batch, m)
-        table = pa.Table.from_batches([batch])
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        return table.append_column("ids", lists).append_column("n_pieces", pa.array(np.diff(ends).astype(np.int32))).append_column("round_trip", pa.array(same, pa.bool_()))
-
-    return chunks.select("chunk", "body").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, schema)
+        g = Group(left.column("body"), m, folded, True)
+        cuts = np.zeros(len(g.keys), np.int64)
+        cuts[right.column("at").to_numpy()] = right.column("cuts").to_numpy()
+        found = [np.array(m.cut(t, c & (1 << 64) - 1), np.int32) for t, c in zip(g.texts.to_pylist(), cuts.tolist())]
+        sizes = np.array([len(f) for f in found], np.int64)
+        pool = np.concatenate(found) if found else np.zeros(0, np.int32)
+        place = np.cumsum(sizes) - sizes
+        del found
+        return pa.concat_tables([chunk_ids(m, *c, g.keys, pool, place, sizes) for c in g.chunks])
+
+    return chunks.groupBy("group").cogroup(back.groupBy("group")).applyInArrow(join, schema)
+
+
+def chunk_ids(m: Model, batch, keys, own, at, before, rest: dict, known, pool, place, sizes) -> pa.Table:
+    """A chunk's rows with their ids: segments of the group by their place in pool, others by themselves."""
+    more = [rest[i] for i in sorted(rest)]
+    flat = np.concatenate([pool, np.array([i for p in more for i in p], np.int32)])
+    begins, counts = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    where = np.searchsorted(known, keys[own])
+    begins[own], counts[own] = place[where], sizes[where]
+    counts[~own] = [len(p) for p in more]
+    begins[~own] = len(pool) + np.cumsum(counts[~own]) - counts[~own]
+    ends = np.zeros(len(at) + 1, np.int64)
+    if len(at):
+        np.cumsum(counts[at], out=ends[1:])
+    ids = np.empty(ends[-1], np.int32)
+    for i in range(0, len(at), 1 << 18):
+        some = at[i : i + (1 << 18)]
+        ids[ends[i] : ends[min(i + (1 << 18), len(at))]] = gather(flat, begins[some], counts[some])
+    ends = ends[before]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    table = pa.Table.from_batches([batch]).append_column("ids", lists).append_column("n_pieces", pa.array(np.diff(ends).astype(np.int32)))
+    return table.append_column("round_trip", pa.array(same_text(ids, ends, batch, m), pa.bool_()))
 
 
 def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame:
