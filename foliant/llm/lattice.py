@@ -414,7 +414,7 @@ def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model:
     return same
 
 
-def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 4 << 20, together: int = 6) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 2 << 20, together: int = 6) -> DataFrame:
     """docs and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
     docs = docs.drop("ids", "n_pieces", "round_trip")
     model, folded = read_model(path), min(folded, FOLDED)
