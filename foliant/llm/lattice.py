@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -440,11 +441,13 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
         g = Group(left.column("body"), m, folded, True)
         cuts = np.zeros(len(g.keys), np.int64)
         cuts[right.column("at").to_numpy()] = right.column("cuts").to_numpy()
-        found = [np.array(m.cut(t, c & (1 << 64) - 1), np.int32) for t, c in zip(g.texts.to_pylist(), cuts.tolist())]
-        sizes = np.array([len(f) for f in found], np.int64)
-        pool = np.concatenate(found) if found else np.zeros(0, np.int32)
+        flat, sizes = array("i"), np.zeros(len(g.keys), np.int64)
+        for i, c in enumerate(cuts.tolist()):
+            ids = m.cut(g.texts[i].as_py(), c & (1 << 64) - 1)
+            flat.extend(ids)
+            sizes[i] = len(ids)
+        pool = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         place = np.cumsum(sizes) - sizes
-        del found
         return pa.concat_tables([chunk_ids(m, *c, g.keys, pool, place, sizes) for c in g.chunks])
 
     return chunks.groupBy("group").cogroup(back.groupBy("group")).applyInArrow(join, schema)
