@@ -97,10 +97,13 @@ def markdown(s, d) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "markdown")
 
 
-def styles_and_tables(s, d) -> DataFrame:
-    """Spans of a merged grid, by order: rows of a line that continue the cell above."""
+def orders_of_lines(s, d) -> DataFrame:
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(2)).alias("k"))
-    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "k"))).alias("t")).where("l_orderkey % 10 = 1")
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "k"))).alias("t"))
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """Spans of a merged grid, by order: rows of a line that continue the cell above."""
 
     def build(r):
         cell = lambda x, m: f"<w:tc><w:tcPr>{m}</w:tcPr><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>"
@@ -111,13 +114,22 @@ def styles_and_tables(s, d) -> DataFrame:
     return c.select(F.col("doc_id").cast("long").alias("l_orderkey"), (F.col("row") + 1).cast("long").alias("nth"), F.col("row_span").cast("long").alias("row_span"))
 
 
+def styles_and_tables(s, d) -> DataFrame:
+    """The tenth of the orders that the SQL of table_spans names; table_spans_all has every order."""
+    return spans(orders_of_lines(s, d).where("l_orderkey % 10 = 1"))
+
+
+def table_spans_all(s, d) -> DataFrame:
+    return spans(orders_of_lines(s, d))
+
+
 def quality_report(s, d) -> DataFrame:
     """Counts of what all documents hold, with a total (rollup over languages)."""
     b = render.blocks(docx_facts(s, d)).join(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang"), "doc_id")
     return b.rollup("lang").agg(F.countDistinct("doc_id").alias("n_docs"), F.count_if(F.col("block_type") == "Paragraph").alias("n_paragraphs"), F.count_if(F.col("block_type") == "Table").alias("n_tables"))
 
 
-QUERIES = {f.__name__: f for f in (docx_plain_text, docx_counts, xlsx_totals, pptx_turns, metadata, list_numbers, heading_sequences, cell_refs, serial_dates, paths, markdown, quality_report)} | {"table_spans": styles_and_tables}
+QUERIES = {f.__name__: f for f in (docx_plain_text, docx_counts, xlsx_totals, pptx_turns, metadata, list_numbers, heading_sequences, cell_refs, serial_dates, paths, markdown, quality_report, table_spans_all)} | {"table_spans": styles_and_tables}
 
 LINES = "string_split(coalesce(text, ''), chr(10))"
 ORACLES = {
@@ -134,4 +146,5 @@ ORACLES = {
     "markdown": r"SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM documents",
     "quality_report": f"SELECT lang, count(*) AS n_docs, sum(len({LINES}))::BIGINT AS n_paragraphs, 0::BIGINT AS n_tables FROM documents GROUP BY ROLLUP (lang)",
     "table_spans": "WITH r AS (SELECT l_orderkey, row_number() OVER w AS nth, CASE WHEN l_partkey % 2 = 1 OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS head FROM lineitem WHERE l_orderkey % 10 = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 2)), g AS (SELECT *, sum(head) OVER (PARTITION BY l_orderkey ORDER BY nth) AS grp FROM r) SELECT l_orderkey, min(nth) AS nth, count(*) AS row_span FROM g GROUP BY l_orderkey, grp",
+    "table_spans_all": "WITH r AS (SELECT l_orderkey, row_number() OVER w AS nth, CASE WHEN l_partkey % 2 = 1 OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS head FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 2)), g AS (SELECT *, sum(head) OVER (PARTITION BY l_orderkey ORDER BY nth) AS grp FROM r) SELECT l_orderkey, min(nth) AS nth, count(*) AS row_span FROM g GROUP BY l_orderkey, grp",
 }

@@ -147,6 +147,19 @@ def test_against_sql(spark, sf, against_sql, name):
     against_sql(queries.QUERIES[name](spark, sf), queries.ORACLES[name])
 
 
+def test_table_spans_of_all_orders(spark, sf):
+    """Every order's merged cells, against runs counted in Python."""
+    orders = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect():
+        orders.setdefault(r[0], []).append((r[1], r[2] % 2))
+    expected = []
+    for key, lines in orders.items():
+        heads = [i for i, (_, k) in enumerate(sorted(lines)) if k or not i]
+        expected += [(key, i + 1, j - i) for i, j in zip(heads, [*heads[1:], len(lines)])]
+    got = [(r["l_orderkey"], r["nth"], r["row_span"]) for r in queries.QUERIES["table_spans_all"](spark, sf).collect()]
+    assert len({x[0] for x in got}) == len(orders) and sorted(got) == sorted(expected)
+
+
 def test_events_sinks_and_functions(spark, tmp_path):
     from foliant.functions import sql
     from foliant.operators import sinks
