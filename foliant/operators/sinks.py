@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import HeadingConfig, RenderOptions
@@ -41,17 +43,31 @@ def split_resources(r: DataFrame) -> DataFrame:
     return r.withColumn("folder", F.when(F.col("type") == "image", "images").otherwise("media"))
 
 
+def document_folder(doc_id) -> str:
+    """A folder name of its own for every doc_id, whatever characters it holds."""
+    if doc_id is None:
+        return "doc"
+    name = "doc-" + quote(str(doc_id), safe="")
+    return name if len(name) <= 200 else "doc--" + hashlib.sha256(str(doc_id).encode()).hexdigest()
+
+
 def extract(files: DataFrame, target: str) -> None:
-    """Media as files below a folder all executors share; only the last part of a name counts."""
+    """Media as files below a folder all executors share: target/folder/name of a single document, and
+    target/doc-id/folder/name where there are several (ids escaped; rows of one doc_id are one document). The last part
+    of a name counts; where parts of a document share it, each is named by its escaped whole path."""
+    single = files.select("doc_id").distinct().limit(2).count() < 2
+    r = split_resources(office.resources(files)).where("data is not null")
+    r = r.withColumn("name", F.regexp_extract(F.regexp_replace("filename", r"\\", "/"), "[^/]*$", 0))
+    r = r.withColumn("same", F.size(F.collect_set("filename").over(Window.partitionBy("doc_id", "folder", "name"))))
 
     def write(rows) -> None:
         for r in rows:
-            name = os.path.basename(r["filename"].replace("\\", "/"))
-            if r["data"] is None or name in ("", ".", ".."):
+            if r["name"] in ("", ".", ".."):
                 continue
-            folder = os.path.join(target, r["folder"])
+            name = r["name"] if r["same"] == 1 else quote(r["filename"], safe="")
+            folder = os.path.join(target, *([] if single else [document_folder(r["doc_id"])]), r["folder"])
             os.makedirs(folder, exist_ok=True)
             with open(os.path.join(folder, name), "wb") as out:
                 out.write(r["data"])
 
-    split_resources(office.resources(files)).foreachPartition(write)
+    r.select("doc_id", "folder", "name", "filename", "same", "data").foreachPartition(write)

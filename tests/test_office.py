@@ -184,6 +184,18 @@ def test_events_sinks_and_functions(spark, tmp_path):
     assert spark.sql("SELECT * FROM files_, LATERAL doc_facts(content) WHERE kind = 'para'").count() == 1
 
 
+def test_extract_keeps_equal_names_of_several_documents(spark, tmp_path):
+    from foliant.operators import sinks
+
+    word = {"word/document.xml": f"<w:document {synth.W}><w:body/></w:document>"}
+    pack = lambda x, **more: bytearray(synth.package("docx", word | {"word/media/image1.png": x} | more))
+    docs = [("a/../b", pack(b"one")), ("..", pack(b"two"))]
+    sinks.extract(spark.createDataFrame(docs, "doc_id string, content binary"), str(tmp_path / "m"))
+    found = {str(p.relative_to(tmp_path / "m")): p.read_bytes() for p in (tmp_path / "m").rglob("*.png")}
+    assert found == {"doc-a%2F..%2Fb/images/image1.png": b"one", "doc-../images/image1.png": b"two"}
+    assert len({sinks.document_folder(x) for x in (None, "", "x" * 300, "x" * 301, "None")}) == 5
+
+
 def test_stream(spark, tmp_path):
     from foliant.streaming import ingest
 
