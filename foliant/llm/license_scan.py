@@ -9,6 +9,10 @@ A file without a header of its own takes the licence of the nearest directory ab
 holds a licence file: its ancestor paths are exploded and equi-joined to the licensed directories. All of it is
 DataFrame code; the template weights are the only thing broadcast, and their size is fixed by the templates.
 
+One-line notices (TEMPLATES) are weighed and compared as the SQL does. SPDX forms, licence bodies and long headers
+(license_texts) have weights of their own and are compared with every block of neighbouring lines, so a wrapped header
+or a paragraph of a licence file is found whatever surrounds it. The better of both counts.
+
 Defined cases: null and empty texts have no header; a null path has no directory and inherits nothing; among equal
 scores the first licence by name wins, among licence files of one directory the better, then the first licence by
 name; repeated rows are each judged; an empty table gives no rows; columns named like the results are replaced.
@@ -20,10 +24,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
+from .license_texts import TEXTS
 
 # Licence identifiers and the wording of their customary notices.
 TEMPLATES = [
@@ -81,6 +88,76 @@ class Weights:
         self.triggers = sorted(triggers)
 
 
+class Blocks:
+    """Templates compared with blocks of neighbouring lines."""
+
+    def __init__(self, templates, threshold: float):
+        w = Weights(templates, threshold)
+        self.idf, self.unknown, self.threshold = w.idf, w.unknown, threshold
+        self.names, self.word = [n for n, _ in templates], re.compile(WORD)
+        self.triggers = frozenset(w.triggers)
+        self.vectors = {word: np.zeros(len(templates)) for word in w.idf}
+        for at, _, word, v in w.rows:
+            self.vectors[word][at] = v
+        # beyond twice the longest template a block holds more of other things, or a template twice
+        self.most = 2 * max(len(re.findall(WORD, t.lower())) for _, t in templates)
+
+    def best(self, low: str) -> tuple[str, float] | None:
+        """The best (license, score) at the threshold or above of any block of lines."""
+        # no cosine exceeds the length of the part of a template whose words are there at all
+        mass = sum((self.vectors[w] ** 2 for w in self.vectors.keys() & set(self.word.findall(low))), np.zeros(len(self.names)))
+        if mass.max(initial=0) < (self.threshold - 1e-6) ** 2:
+            return None
+        lines = [self.word.findall(x) for x in low.split("\n")]
+        lines = [x for x in lines if x]
+        counts = [Counter(x) for x in lines]
+        held = [any(w in self.idf for w in c) for c in counts]
+        strong = [not self.triggers.isdisjoint(c) for c in counts]
+        dots = [sum((n * self.idf[w] * self.vectors[w] for w, n in c.items() if w in self.idf), np.zeros(len(self.names))) if h else None for c, h in zip(counts, held)]
+        top: tuple[float, str] | None = None
+        until = [len(lines)] * (len(lines) + 1)  # the next line with a trigger
+        for i in range(len(lines) - 1, -1, -1):
+            until[i] = i if strong[i] else until[i + 1]
+        for i in range(len(lines)):
+            if not held[i] or until[i] == len(lines):  # a block that starts with a foreign line is better without it
+                continue
+            seen: Counter = Counter()
+            square, n, dot = 0.0, 0, np.zeros(len(self.names))
+            for j in range(i, len(lines)):
+                n += len(lines[j])
+                if j > i and n > self.most:
+                    break
+                for w, c in counts[j].items():
+                    square += ((seen[w] + c) ** 2 - seen[w] ** 2) * self.idf.get(w, self.unknown) ** 2
+                    seen[w] += c
+                if not held[j]:
+                    continue
+                dot = dot + dots[j]
+                if until[i] > j:
+                    if n + len(lines[until[i]]) > self.most and until[i] > i + self.most:
+                        break
+                    continue
+                score = round(float(dot.max()) / math.sqrt(square), 9)
+                if score >= self.threshold and (top is None or score >= top[0]):
+                    for at in np.flatnonzero(np.round(dot / math.sqrt(square), 9) == score):
+                        if top is None or (-score, self.names[at]) < (-top[0], top[1]):
+                            top = (score, self.names[at])
+        return (top[1], top[0]) if top else None
+
+
+def block_matches(files: DataFrame, threshold: float, templates=TEXTS) -> DataFrame:
+    """files: _row, _low. _row, license, score of the best template of each row with any at the threshold or above."""
+
+    def run(batches):
+        blocks = Blocks(templates, threshold)
+        for whole in batches:
+            for batch in slices(whole, "_low"):
+                found = [(r, *b) for r, x in zip(batch.column("_row").to_pylist(), batch.column("_low").to_pylist()) if (b := blocks.best(x))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64())], names=["_row", "license", "score"])
+
+    return files.select("_row", "_low").mapInArrow(run, "_row long, license string, score double")
+
+
 def words_of(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1))
 
@@ -116,7 +193,9 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = 0.75, templates
     lines = F.array_distinct(F.when(is_file, F.concat(lines, F.array("_low"))).otherwise(lines))
     # what later steps need of the texts is a few lines of a few of them
     files = stored(keyed_low.select("_row", F.col("_path").alias("path"), is_file.alias("_file"), lines.alias("_lines")))
-    own = stored(header_matches(files.where("size(_lines) > 0").dropDuplicates(["_row", "path"]), weights, threshold))
+    own = stored(header_matches(files.where("size(_lines) > 0").dropDuplicates(["_row", "path"]), weights, threshold).unionByName(block_matches(keyed_low, threshold)))
+    best = own.groupBy("_row").agg(F.max("score").alias("score"))
+    own = stored(own.join(best, ["_row", "score"]).groupBy("_row", "score").agg(F.min("license").alias("license")))
     # rows equal in path and text are equal in all that follows
     licensed = files.where("_file").select("_row", "path").join(own, "_row").select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "license", "score")
     top = licensed.groupBy("dir").agg(F.max(F.struct("score", F.lit(0))).alias("top")).select("dir", F.col("top.score").alias("score"))

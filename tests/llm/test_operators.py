@@ -63,6 +63,21 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(spark, "path string, text string")).count() == 0
 
 
+def test_license_files_and_wrapped_headers(spark):
+    import textwrap
+
+    from foliant.llm import license_texts as T
+
+    body = "MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + "\n\n".join(textwrap.fill(x, 78) for x in (T.MIT, T.MIT_NOTICE, T.AS_IS.upper()))
+    gpl = next(t for n, t in T.BODIES if n == "GPL-3.0" and "either version" in t)
+    wrapped = "/*\n * tool.c: a tool\n *\n" + "\n".join(f" * {x}" for x in textwrap.wrap(gpl, 60)) + "\n */\nint main() { return 0; }"
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + "the rest of the text\n" * 50
+    files = [("m/LICENSE", body, "MIT"), ("m/x.txt", "nothing", "MIT"), ("g/tool.c", wrapped, "GPL-3.0"), ("h/COPYING", title, "GPL-2.0"), ("z/z.py", "# SPDX-License-Identifier: Zlib", None)]
+    files += [(f"s/{x}.py", f"# SPDX-License-Identifier: {x}\ncode", y) for x, y in (("GPL-3.0-or-later", "GPL-3.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("MPL-2.0", "MPL-2.0"), ("ISC", "ISC"), ("LGPL-2.1-only", "LGPL-2.1"))]
+    got = {r["path"]: r["license"] for r in license_scan.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert got == {p: x for p, _, x in files}
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "b<o>b", None), (1, 3, "ann", "é"), (1, 3, "ann", "é"), (1, None, None, "first"), (None, 1, "ann", "lost"), (2, 1, "system", "alone"), (3, 100, "x", "far"), (3, 1, "x", "near")]
     out = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
