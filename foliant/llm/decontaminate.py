@@ -117,6 +117,13 @@ class Benchmark:
         self.win_at, self.win_len = np.array(self.win_at, np.int64), np.array(self.win_len, np.int64)
         self.win_items = [sorted(x) for x in self.win_items]
         self.ids = [x[0] for x in items]
+        self.sorted = suffix_array(self.q, self.depth)
+        item_at = np.zeros(len(self.q), np.int64)
+        item_at[place] = shift
+        self.sorted_item = item_at[self.sorted]
+        length_at = np.zeros(len(self.q), np.int64)
+        length_at[place] = left
+        self.sorted_len = length_at[self.sorted]
 
 
 def search(shard: pa.Array, bench: Benchmark):
@@ -151,22 +158,36 @@ def search(shard: pa.Array, bench: Benchmark):
                 np.add.at(hits, places - own + bench.win_len[w], -1)
                 for r in np.unique(own):
                     found[r].update(bench.win_items[w])
-            here = bound(t, sa, bench.q, bench.suffix_at, bench.suffix_len, False)
-            for near in (np.maximum(here - 1, 0), np.minimum(here, len(sa) - 1)):
-                n = common_prefix(t, sa[near], bench.q, bench.suffix_at, bench.suffix_len)
-                for s in np.flatnonzero(n >= bench.least):
-                    r = row_at[sa[near[s]]]
-                    if n[s] > longest[r][0]:
-                        longest[r] = (int(n[s]), int(bench.suffix_item[s]), int(sa[near[s]] - r - before[r]))
+            # every suffix of the shard, not only those next to a test suffix, against its two neighbours among these
+            here = bound(t, sa, bench.q, bench.sorted, bench.sorted_len, False)
+            after = np.searchsorted(here, np.arange(len(sa)), "right")
+            n = np.zeros(len(sa), np.int64)
+            for near in (np.maximum(after - 1, 0), np.minimum(after, len(here) - 1)):
+                n = np.maximum(n, common_prefix(t, sa, bench.q, bench.sorted[near], bench.sorted_len[near]))
+            long = np.flatnonzero(n >= bench.least)
+            places, n = sa[long], n[long]
+            own = row_at[places]
+            order = np.lexsort((places, -n, own))
+            rows_hit, first = np.unique(own[order], return_index=True)
+            top = order[first]  # of each row the longest, and the first of these
+            low_at = bound(bench.q, bench.sorted, t, places[top], n[top], False)
+            high_at = bound(bench.q, bench.sorted, t, places[top], n[top], True)
+            for r, k, i, j in zip(rows_hit, top, low_at, high_at):
+                longest[r] = (int(n[k]), int(bench.sorted_item[i:j].min()), int(places[k] - r - before[r]))
     return counts, np.cumsum(hits[:-1]) > 0, before, found, longest
 
 
+def rank(match: tuple) -> tuple:
+    """Order of matches (words, item, place): the longest, then the first in the text, then the least item, null first."""
+    return -match[0], match[2], match[1] is not None, match[1] or 0
+
+
 FOUND = "n_words long, n_hit long, hit_words binary, items array<long>, match_words long, match_item long, match_at long"
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """docs and, of each: n_words, hit_words (a bit for each word), items found, and the longest verbatim match of a
-    test suffix found in its shard's neighbours (words, item, word it begins at)."""
+    """docs and, of each: n_words, hit_words (a bit for each word), items found, and its longest verbatim match
+    with a test suffix (words, item, word it begins at; ties: the first place, then the least item)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
@@ -196,8 +217,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, tex
                         if was:
                             flags = flags | np.unpackbits(np.frombuffer(was["hit_words"][r], np.uint8), count=len(flags)).astype(bool)
                             own_ids |= set(was["items"][r])
-                            if was["match_words"][r] > top[0]:
-                                top = tuple(was[c][r] for c in ("match_words", "match_item", "match_at"))
+                            old = tuple(was[c][r] for c in ("match_words", "match_item", "match_at"))
+                            if old[0] and (not top[0] or rank(old) < rank(top)):
+                                top = old
                         n_hit.append(int(flags.sum()))
                         bits.append(np.packbits(flags).tobytes())
                         ids.append(sorted(own_ids))

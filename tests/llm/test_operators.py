@@ -227,6 +227,28 @@ def test_sharding(spark, docs, rows):
     assert sharding.report(empty(spark)).count() == 0
 
 
+def test_every_copy_has_its_longest_match():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    text = lambda n: list(rng.choice([f"w{i}" for i in range(25)], n))
+    passages = [text(30), text(18), text(12)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(7, " ".join(passages[0][4:25]))]
+    texts = [" ".join(text(6) + p[int(rng.integers(0, 5)) :] + text(4)) for p in passages for _ in range(9)] + ["", " ".join(text(40))]
+    bench = decontaminate.Benchmark(items, 10)
+    _, hit, before, _, longest = decontaminate.search(pa.array(texts), bench)
+    tests = [(i, t.split()[s:]) for i, (_, t) in enumerate(items) for s in range(len(t.split()))]
+    for r, w in enumerate(map(str.split, texts)):
+        best = (0, None, None)
+        for at in range(len(w)):
+            for i, q in tests:
+                n = next((k for k, (a, b) in enumerate(zip(w[at:], q)) if a != b), min(len(w) - at, len(q)))
+                if n >= bench.least and (best[1] is None or (-n, at, i) < (-best[0], best[2], best[1])):
+                    best = (n, i, at)
+        assert longest[r] == best and (best[0] > 0 or not hit[before[r] : before[r + 1]].any())
+    assert sum(x[0] > 0 for x in longest) > 20
+
+
 def test_suffix_dedup(spark, docs, rows):
     order = sorted(((i, t) for i, t in rows if i is not None and i != 30), key=lambda r: r[0])
     seen, expected = set(), {}
