@@ -294,6 +294,15 @@ def test_jaccard(spark, docs, rows, n, num, den, scheme):
     assert jaccard.report(empty(spark)).count() == 0
 
 
+def test_components_settle_or_raise(spark):
+    from foliant.llm.components import components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "x long, y long")
+    assert {r["component"] for r in components(path, "x", "y").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, "x", "y", rounds=2)
+
+
 def test_signatures_are_shared():
     """Every pair at the threshold shares a signature, whatever its sizes."""
     rng = np.random.default_rng(9)
