@@ -21,6 +21,8 @@ def workspace(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -85,21 +87,6 @@ def word_bounds(raw: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tup
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | U64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
-_POW: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POW.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.full(size, U64(base), np.uint64)
-            have[0] = 1
-            np.multiply.accumulate(have, out=have)
-        _POW[base] = have
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,19 +97,39 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """64-bit hash of each span of bytes. Spans are sorted and don't overlap; done in blocks to stay in cache."""
+_WEIGHTS: dict[int, np.ndarray] = {}
+
+
+def weights(n: int, kind: int = 0) -> np.ndarray:
+    """n pseudo-random 64-bit numbers, the same ones each time; another kind, other numbers."""
+    have = _WEIGHTS.get(kind)
+    if have is None or len(have) < n:
+        with np.errstate(over="ignore"):
+            have = mix(mix(np.arange(max(n, 1 << 12), dtype=np.uint64) + U64(0x632BE59BD9B4E019 * (kind + 1) % 2**64)) ^ U64(0x2545F4914F6CDD1D))
+        if n <= 1 << 20:  # longer ones are rare and made anew
+            _WEIGHTS[kind] = have
+    return have[:n]
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18, kind: int = 0) -> np.ndarray:
+    """64-bit hash of each span of raw (bytes or code points). Spans are sorted and don't overlap; done in blocks to
+    stay in cache.
+
+    The hash is multilinear: every place of a span has a random weight of its own, so spans of one length that differ
+    share a hash once in 2**56 (2**43 for code points) whatever their contents; powers of one base, as weights modulo
+    2**64, would not do that. Where that is not rare enough, kinds are independent of each other."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
             a, b = int(starts[i]), int(ends[j - 1])
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_BYTE[raw[a:b]] * powers(_BASE, b - a), out=sums[1:])
             s, e = starts[i:j] - a, ends[i:j] - a
-            value = (sums[e] - sums[s]) * powers(_BASE_INV, b - a + 1)[s]
-            out[i:j] = mix(value + (e - s).astype(np.uint64))
+            gaps = np.diff(np.append(s, b - a))
+            place = np.arange(b - a) - np.repeat(s, gaps)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((raw[a:b].astype(np.uint64) + U64(1)) * weights(int(gaps.max()), kind)[place], out=sums[1:])
+            out[i:j] = mix(sums[e] - sums[s] + mix((e - s).astype(np.uint64)))
             i = j
     return out
 

@@ -5,16 +5,18 @@ lie in one band or in neighbours. For a pair of bands the similarity bounds the
 domain is cut into n1 parts of n2 sub-parts; in one part at least the sets differ in k2 sub-parts at most, hence they
 agree on some n2 - k2 sub-parts: every such subset gives a signature, and similar sets share one.
 
-Equal sets are one class, found by their 128-bit digest, so copies take no part beyond their first. Signatures are
-range-partitioned with their owners, so that a signature that many share spreads over tasks; each task streams its
-sorted rows and links owners to the first of their signature, and the ends of tasks are linked where a signature
-goes on. A candidate is counted exactly. Owners of a signature that are still in different components are tried
-against further pivots until each was one, so no link between different texts is lost, and no link inside a
-component is looked for.
+Equal sets are one class, found by their 128-bit digest and known by its first row (its node), so copies take no part
+beyond their first. Signatures are range-partitioned with their owners, so that a signature that many share spreads
+over tasks; each task streams its sorted rows, links owners to the first of their signature and numbers them by blocks
+of bounded size, and the ends of tasks are linked where a signature goes on. A candidate is counted exactly. Where
+owners of a signature are still in different components, the owners of a block are compared with those of every block
+(a sketch that bounds the distance is part of the join, so only candidates leave it), with more blocks a turn until each
+was one; so no link between different texts is lost, and no link inside a component is looked for. Components
+are found once; further links join those they touch.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is its own component; fewer words
-than `words` give one shingle, the whole sequence; rows of one doc_id are one document by its id, each row counted for
-itself; rows of null doc_id with words are linked by nothing; an empty table gives no rows.
+than `words` give one shingle, the whole sequence; rows of one doc_id are rows for
+themselves, linked by their own texts; rows of null doc_id are linked by nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ SCHEME = (3, 1)
 SKETCH = 16
 #: Cells of the hash domain whose counts are compared before whole sets.
 CELLS = 1024
+#: Owners of a signature that are compared with each other in one group.
+BLOCK = 512
 
 
 def bands(num: int, den: int, most: int) -> list[int]:
@@ -94,20 +99,20 @@ def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, de
 
 
 def set_table(docs: DataFrame, words: int, num: int, den: int, scheme: tuple[int, int] = SCHEME) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (digest of the set) and, of the first document with a set in its slice, its
-    signatures and its sketch: of each of 64 * SKETCH cells of the hash domain, whether it holds an odd number."""
+    """Of each row: row (its number), doc_id, t (a hash of the text), n_shingles, h1, h2 (digest of the set) and, if it is the first of its
+    digest in its slice, its signatures and its sketch: of each of 64 * SKETCH cells of the hash domain, whether it
+    holds an odd number."""
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, begins = shingle_sets(batch.column("text"), words)
                 n = np.diff(begins)
                 h1, h2 = segment_sums(mix(h), begins), segment_sums(mix(mix(h) ^ U64(0x5851F42D4C957F2D)), begins)
                 ids = batch.column("doc_id")
-                known = ids.is_valid().to_numpy(zero_copy_only=False) & (n > 0)
-                filled = ids.fill_null(0).to_numpy()
-                order = np.lexsort((filled, h2, h1))
-                order = order[known[order]]
+                order = np.lexsort((h2, h1))  # stable: of equal digests, the first row comes first
+                order = order[(ids.is_valid().to_numpy(zero_copy_only=False) & (n > 0))[order]]
                 first = np.ones(len(order), bool)
                 first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
                 sig, owner = signatures(h, begins, np.sort(order[first]), num, den, scheme)
@@ -121,59 +126,60 @@ def set_table(docs: DataFrame, words: int, num: int, den: int, scheme: tuple[int
                 one[order[first]] = True
                 ends = np.concatenate([[0], np.cumsum(one * SKETCH)]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(odd.reshape(-1, SKETCH)[one].ravel()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, sketch], names=["doc_id", "n_shingles", "h1", "h2", "sigs", "sketch"])
+                numbers = pa.array(number + np.arange(batch.num_rows))
+                number += batch.num_rows
+                yield pa.RecordBatch.from_arrays([numbers, ids, batch.column("t"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, sketch], names=["row", "doc_id", "t", "n_shingles", "h1", "h2", "sigs", "sketch"])
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sigs array<long>, sketch array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    return narrow.mapInArrow(run, "row long, doc_id long, t long, n_shingles long, h1 long, h2 long, sigs array<long>, sketch array<long>")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """rows: (sig, doc). (sig, doc, pivot) of the rows whose signature has another owner in its range, and of the
-    first and last signature of each range, where owners of the next range may be."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, "sig", "doc").sortWithinPartitions("sig", "doc")
+def shared(rows: DataFrame, parts: int) -> DataFrame:
+    """rows: (sig, node). (sig, node, pivot, block) of the rows whose signature has another owner in its range, and of
+    the first and last signature of each range, where owners of the next range may be. pivot: the first owner of the
+    range; block: a number that at most BLOCK owners of one signature share."""
+    dealt = rows.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node")
 
     def run(batches):
-        held = None  # the last run: signature, pivot, whether its pivot was given out
+        held = None  # the last run: signature, pivot, owners so far, whether its pivot was given out
         first_sig = None
+        base = TaskContext.get().partitionId() << 32
 
-        def out(sig, doc, pivot):
-            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(doc, pa.int64()), pa.array(pivot, pa.int64())], names=["sig", "doc", "pivot"])
+        def out(sig, node, pivot, at):
+            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node, pa.int64()), pa.array(pivot, pa.int64()), pa.array(base + np.asarray(at) // BLOCK, pa.int64())], names=["sig", "node", "pivot", "block"])
 
         for b in batches:
-            sig, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(sig):
                 continue
             if first_sig is None:
                 first_sig = sig[0]
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
-            goes_on = held is not None and held[0] == sig[0]
             start = np.flatnonzero(new)
-            pivot = doc[start]
-            if goes_on:
-                pivot[0] = held[1]
             run_of = np.cumsum(new) - 1
             size = np.diff(np.append(start, len(sig)))
+            pivot, at = node[start], np.arange(len(sig)) - start[run_of]
             keep = (size > 1)[run_of] | (sig == first_sig)
-            if goes_on:
+            before = 0
+            if held is not None and held[0] == sig[0]:
+                pivot[0], before = held[1], held[2]
+                at[run_of == 0] += before
                 keep |= run_of == 0
-            if held is not None and not held[2] and goes_on:
-                yield out([held[0]], [held[1]], [held[1]])
-            elif held is not None and not held[2]:
-                pass
-            yield out(sig[keep], doc[keep], pivot[run_of[keep]])
-            held = (sig[-1], pivot[-1], bool(keep[-1]))
-        if held is not None and not held[2]:
-            yield out([held[0]], [held[1]], [held[1]])
+                if not held[3]:
+                    yield out([held[0]], [held[1]], [held[1]], [0])
+            yield out(sig[keep], node[keep], pivot[run_of[keep]], at[keep])
+            held = (sig[-1], pivot[-1], int(size[-1]) + (before if len(start) == 1 else 0), bool(keep[-1]))
+        if held is not None and not held[3]:
+            yield out([held[0]], [held[1]], [held[1]], [0])
 
-    return dealt.mapInArrow(run, "sig long, doc long, pivot long")
+    return dealt.mapInArrow(run, "sig long, node long, pivot long, block long")
 
 
 def tested(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     """The pairs (x, y) for which test holds of the arrays in a column of both: test(of x, of y, n of x, n of y)."""
-    left = sets.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col(column).alias("sx"))
-    right = sets.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col(column).alias("sy"))
+    left = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col(column).alias("sx"))
+    right = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col(column).alias("sy"))
 
     def run(batches):
         for b in batches:
@@ -184,9 +190,9 @@ def tested(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of class representatives whose sets are similar: exact counts of common shingles. Whole sets
-    are made and sent only for pairs that the counts by cell of the hash domain, whose distance is no greater, leave."""
+def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose sets are similar: exact counts of common shingles. Whole sets are made and sent
+    only for pairs that the counts by cell of the hash domain, whose distance is no greater, leave."""
 
     def near(p, q, n, m):
         differ = np.abs(np.frombuffer(p, np.uint8).astype(np.int64) - np.frombuffer(q, np.uint8)).sum()
@@ -198,33 +204,39 @@ def verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, words: int, nu
         common = int((both[1:] == both[:-1]).sum())
         return den * common >= num * (n + m - common)
 
-    left = stored(tested(pairs, cells, "cells", near))
-    if left.isEmpty():
-        return left
-    ids = left.select(F.col("x").alias("doc")).unionByName(left.select(F.col("y").alias("doc"))).distinct()
-    sets = stored(sets_of(docs, ids, words, "set").dropDuplicates(["doc"]))
-    return tested(left, sets, "set", similar)
+    for column, test in (("cells", near), ("set", similar)):
+        if pairs.isEmpty():
+            return pairs
+        ends = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+        sets = stored(sets_of(docs, stored(info.select("node", "doc_id", "h1", "h2").join(ends, "node")), words, column))
+        pairs = stored(tested(pairs, sets, column, test))
+    return pairs
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, column: str, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """(doc, n, column) of the wanted ids, column being set, or cells (shingles in each cell, 255 at most); their list goes to all tasks only up to broadcast_rows (8 bytes each)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, column: str, broadcast_rows: int = 1 << 19) -> DataFrame:
+    """(node, n, column) of the wanted nodes (node, doc_id, h1, h2), column being set, or cells (shingles in each cell,
+    255 at most). Their ids go to all tasks only up to broadcast_rows (8 bytes each); the digest tells which of the rows
+    of an id is meant."""
+    ids = wanted.select("doc_id").distinct()
     few = wanted.count() <= broadcast_rows
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    picked = picked.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    picked = picked.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, begins = shingle_sets(batch.column("text"), words)
+                h1, h2 = segment_sums(mix(h), begins), segment_sums(mix(mix(h) ^ U64(0x5851F42D4C957F2D)), begins)
                 if column == "set":
                     blobs = [h[begins[i] : begins[i + 1]].tobytes() for i in range(batch.num_rows)]
                 else:
                     at = np.repeat(np.arange(batch.num_rows), np.diff(begins)) * CELLS + (h & U64(CELLS - 1)).astype(np.int64)
                     counts = np.minimum(np.bincount(at, minlength=batch.num_rows * CELLS), 255).astype(np.uint8)
                     blobs = [c.tobytes() for c in counts.reshape(-1, CELLS)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(begins)), pa.array(blobs, pa.binary())], names=["doc", "n", column])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(begins)), pa.array(blobs, pa.binary())], names=["h1", "h2", "n", column])
 
-    return picked.mapInArrow(run, f"doc long, n long, {column} binary")
+    made = picked.mapInArrow(run, f"h1 long, h2 long, n long, {column} binary").dropDuplicates(["h1", "h2"])
+    return made.join(wanted, ["h1", "h2"]).select("node", "n", column)
 
 
 def apart(p: str, q: str, num: int, den: int):
@@ -236,65 +248,80 @@ def apart(p: str, q: str, num: int, den: int):
     return (differ * (den + num) <= (n + m) * (den - num)) & (F.least(n, m) * den >= F.greatest(n, m) * num)
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, pivots: int = 16, scheme: tuple[int, int] = SCHEME) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(table, classes, links): doc_id, n_shingles and set digest of each row; representative of each digest; links
-    between representatives that connect all that is connected by similarity >= num/den."""
+def range_parts(table: DataFrame, each: int = 8_000_000) -> int:
+    """Ranges of about that many signatures at most, and as many as the session has shuffle partitions at least."""
+    total = table.agg(F.sum(F.greatest(F.size("sigs"), F.lit(0)))).first()[0] or 0
+    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, scheme: tuple[int, int] = SCHEME) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(table, classes, links, components): set_table of each row; node (its first row) and least doc_id of each digest;
+    links between nodes that connect all that is connected by similarity >= num/den; component of each linked node."""
     table = stored(set_table(docs, words, num, den, scheme))
-    classes = stored(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    first = table.where("size(sigs) > 0")
-    rep_of = first.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("doc"), "rep")
-    rows = table.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-    local = shared(rows).join(rep_of, "doc").select("sig", "rep", "pivot")
-    local = local.join(rep_of.withColumnsRenamed({"doc": "pivot", "rep": "head"}), "pivot").select("sig", "rep", "head").distinct()
-    # several ranges can hold one signature: they meet in its least head; alone is who has no other owner
-    least = local.groupBy("sig").agg(F.min("head").alias("top"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("sig", "top")
-    owners = stored(local.join(least, "sig"))
-    known = owners.select(F.col("rep").alias("doc")).unionByName(owners.select(F.col("head").alias("doc"))).distinct()
-    info = first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
-    info = stored(info.join(known, "doc", "left_semi").dropDuplicates(["doc"]))
-    cells = stored(sets_of(docs, known, words, "cells").dropDuplicates(["doc"]))
-    pairs = owners.select(F.col("rep").alias("x"), F.col("head").alias("y")).unionByName(owners.select(F.col("head").alias("x"), F.col("top").alias("y")))
+    classes = stored(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("least")))
+    nodes = table.where("size(sigs) > 0").withColumnRenamed("row", "node")
+    rows = nodes.select("node", "sigs").join(classes.select("node"), "node", "left_semi").select(F.explode("sigs").alias("sig"), "node")
+    owners = stored(shared(rows, range_parts(table)))
+    # ranges that one signature spans meet in its least pivot; a signature at an end may have one owner only
+    tops = owners.select("sig", "pivot").distinct()
+    tops = tops.join(tops.groupBy("sig").agg(F.min("pivot").alias("top"), F.max("pivot").alias("last")).where("top < last"), "sig")
+    pairs = owners.select(F.col("node").alias("x"), F.col("pivot").alias("y")).unionByName(tops.select(F.col("pivot").alias("x"), F.col("top").alias("y")))
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    near = pairs.join(info.alias("p"), F.col("x") == F.col("p.doc")).join(info.alias("q"), (F.col("y") == F.col("q.doc")) & apart("p", "q", num, den))
-    tried = stored(near.select("x", "y"))
-    links = stored(verified(tried, cells, docs, words, num, den))
-    members = owners.select("sig", F.col("rep").alias("doc")).distinct()
-    used, step = 0, pivots
+    known = owners.select("node").distinct()
+    info = nodes.select("node", "doc_id", "h1", "h2", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+    info = stored(info.join(known, "node", "left_semi"))
+    near = pairs.join(info.alias("p"), F.col("x") == F.col("p.node")).join(info.alias("q"), (F.col("y") == F.col("q.node")) & apart("p", "q", num, den))
+    links = verified(stored(near.select("x", "y")), info, docs, words, num, den)
+    of = components(links, "x", "y")
+    begin, end = 0, 1
     while True:
-        # signatures whose owners are in several components still: each owner in turn is a pivot for all the others
-        of = components(links, "x", "y")
-        placed = members.join(of, members["doc"] == of["node"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
-        mixed = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where(f"a < b and n > {used}")
-        members = stored(placed.join(mixed.select("sig"), "sig"))
-        if members.isEmpty():
-            return table, classes, links
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("doc"), "doc")
-        ranked = members.withColumn("at", F.row_number().over(order)).join(info, "doc")
-        ranked = stored(ranked)
-        chosen = ranked.where((F.col("at") > used) & (F.col("at") <= used + step)).alias("q")
-        other = F.col("p.component") != F.col("q.component")
-        more = ranked.alias("p").join(chosen, (F.col("p.sig") == F.col("q.sig")) & other & apart("p", "q", num, den))
-        more = more.select(F.least("p.doc", "q.doc").alias("x"), F.greatest("p.doc", "q.doc").alias("y")).distinct()
-        more = stored(more.join(tried, ["x", "y"], "left_anti"))
-        members = members.select("sig", "doc")
-        tried = stored(tried.unionByName(more))
-        links = stored(links.unionByName(verified(more, cells, docs, words, num, den)))
-        used, step = used + step, step * 4
+        # signatures whose owners are in several components still: the owners of some blocks are compared with all others
+        placed = owners.select("sig", "block", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        per = Window.partitionBy("sig")
+        blocks = placed.groupBy("sig", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        blocks = blocks.withColumns({"k": F.row_number().over(per.orderBy("block")) - 1, "a": F.min("a").over(per), "b": F.max("b").over(per), "blocks": F.count("*").over(per)})
+        blocks = stored(blocks.where((F.col("a") < F.col("b")) & (F.col("blocks") > begin)).select("sig", "block", "k"))
+        if blocks.isEmpty():
+            return table, classes, links, of
+        own = stored(placed.join(blocks, ["sig", "block"]).join(info.drop("doc_id", "h1", "h2"), "node"))
+        pivots = own.where((F.col("k") >= begin) & (F.col("k") < end)).drop("block").join(blocks.select("sig", "block"), "sig")
+        p, q = own.alias("p"), pivots.alias("q")
+        met = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.component") != F.col("q.component"))
+        once = (F.col("p.k") >= end) | ((F.col("p.k") >= begin) & (F.col("p.node") < F.col("q.node")))
+        more = p.join(q, met & once & apart("p", "q", num, den))
+        more = more.select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y")).distinct()
+        found = verified(stored(more), info, docs, words, num, den)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            of = stored(grown(of, found))
+        begin, end = end, end * 4
+
+
+def grown(of: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (x, y): only components that these touch are joined anew."""
+    edges = links
+    for end in ("x", "y"):
+        edges = edges.join(of.withColumnsRenamed({"node": end, "component": "c"}), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    new = stored(components(edges, "x", "y")).withColumnsRenamed({"node": "old", "component": "new"})
+    moved = of.join(new, of["component"] == new["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    return moved.unionByName(new.join(of, new["old"] == of["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, scheme: tuple[int, int] = SCHEME) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    table, classes, links = jaccard_join(docs, words, num, den, scheme=scheme)
-    of = components(links, "x", "y")
-    placed = classes.join(of, classes["rep"] == of["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    joined = table.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id"))
+    """doc_id, n_shingles, component_id of each row; t (xxhash64 of its text); keeper: whether it is the one row of its
+    component that stays, the first of the least doc_id."""
+    table, classes, _, of = jaccard_join(docs, words, num, den, scheme=scheme)
+    linked = classes.select("node", "least").join(of, "node")
+    linked = linked.select("node", "component").join(linked.groupBy("component").agg(F.min("least").alias("first")), "component").drop("component")
+    placed = classes.join(linked, "node", "left").select("h1", "h2", F.coalesce("first", "least").alias("first"))
+    joined = table.select("row", "doc_id", "t", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "t", (alone | (F.col("row") == F.col("first.row"))).alias("keeper"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The digest of the contract: three words, similarity 0.9."""
-    return near_duplicates(docs, 3, 90, 100)
+    return near_duplicates(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

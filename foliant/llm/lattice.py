@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_rows, unpack
-from .common import _BASE, _BASE_INV, U64, mix, powers, text_bytes, workspace
+from .common import span_hashes, text_bytes, workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -188,7 +188,7 @@ class Segments:
     """Where a chunk's texts fall apart: code points, starts and ends of segments, segments before each row; and the
     distinct ones (sorted hashes), with the place of every segment among them."""
 
-    def __init__(self, batch: pa.RecordBatch, model: Model):
+    def __init__(self, batch: pa.RecordBatch, model: Model, kind: int = 0):
         column, rows = batch.column("text"), batch.num_rows
         size = np.zeros(rows, np.int64)
         self.codes = np.empty(column.nbytes + 2 * rows, np.uint32)
@@ -211,19 +211,31 @@ class Segments:
         self.starts = np.flatnonzero(cut)
         self.ends = np.append(self.starts[1:], n)
         self.before = np.searchsorted(self.starts, off)
-        hashes = np.empty(len(self.starts), np.uint64)
-        i = 0
-        with np.errstate(over="ignore"):
-            while i < len(self.starts):
-                j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + block, "right")))
-                a, b = int(self.starts[i]), int(self.ends[j - 1])
-                sums = np.zeros(b - a + 1, np.uint64)
-                np.cumsum((self.codes[a:b].astype(np.uint64) + U64(0xC2B2AE3D27D4EB4F)) * powers(_BASE, b - a), out=sums[1:])
-                s, e = self.starts[i:j] - a, self.ends[i:j] - a
-                hashes[i:j] = mix((sums[e] - sums[s]) * powers(_BASE_INV, b - a + 1)[s] + (e - s).astype(np.uint64))
-                i = j
+        hashes = span_hashes(self.codes, self.starts, self.ends, kind=kind)
         self.keys, self.first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
         self.at = self.at.astype(np.int32)
+        self.kind = kind
+
+    def clash(self, block: int = 1 << 18) -> bool:
+        """Whether different segments share a hash: every segment is compared with the first one of its hash."""
+        home = self.starts[self.first]
+        if not np.array_equal((self.ends[self.first] - home)[self.at], self.ends - self.starts):
+            return True
+        i = 0
+        while i < len(self.starts):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + block, "right")))
+            a, b = int(self.starts[i]), int(self.ends[j - 1])
+            there = np.arange(a, b) + np.repeat(home[self.at[i:j]] - self.starts[i:j], self.ends[i:j] - self.starts[i:j])
+            if not np.array_equal(self.codes[a:b], self.codes[there]):
+                return True
+            i = j
+        return False
+
+    def seconds(self) -> np.ndarray:
+        """Another hash of each distinct segment."""
+        out, order = np.empty(len(self.first), np.uint64), np.argsort(self.first)
+        out[order] = span_hashes(self.codes, self.starts[self.first[order]], self.ends[self.first[order]], kind=self.kind + 1)
+        return out
 
     def strings(self, which: np.ndarray) -> list[str]:
         first = self.first[which]
@@ -244,22 +256,28 @@ class Group:
     and strings), and of each chunk what its ids need; the bulky arrays of a chunk are gone before the next."""
 
     def __init__(self, bodies, model: Model, folded: int, encode: bool):
-        self.chunks, keys, texts = [], [], []
-        seen = np.zeros(0, np.uint64)
+        self.chunks, texts = [], []
+        self.keys, second, place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for body in bodies:
             batch = unpack(body.as_buffer())
-            s = Segments(batch, model)
+            for kind in range(0, 1000, 2):  # other hashes, should two different segments share one
+                s = Segments(batch, model, kind)
+                more = s.seconds()
+                at = np.minimum(np.searchsorted(self.keys, s.keys), max(len(self.keys) - 1, 0))
+                known = self.keys[at] == s.keys if len(self.keys) else np.zeros(len(s.keys), bool)
+                if not s.clash() and np.array_equal(second[at[known]], more[known]):
+                    break
             own = s.folded(folded)
-            fresh = np.flatnonzero(own & ~np.isin(s.keys, seen))
-            keys.append(s.keys[fresh])
+            fresh = np.flatnonzero(own & ~known)
             texts.append(pa.array(s.strings(fresh), pa.string()))
-            seen = np.concatenate([seen, s.keys[fresh]])
+            place = np.concatenate([place, np.arange(len(place), len(place) + len(fresh))])
+            self.keys, second = np.concatenate([self.keys, s.keys[fresh]]), np.concatenate([second, more[fresh]])
+            order = np.argsort(self.keys, kind="stable")
+            self.keys, second, place = self.keys[order], second[order], place[order]
             if encode:
                 rest = np.flatnonzero(~own)
                 self.chunks.append((batch, s.keys, own, s.at, s.before, {int(r): model.encode(t) for r, t in zip(rest, s.strings(rest))}))
-        order = np.argsort(seen, kind="stable")
-        self.keys = seen[order]
-        self.texts = pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(order))
+        self.texts = pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(place))
 
 
 def place_table(model: Model) -> np.ndarray:

@@ -291,6 +291,10 @@ def test_jaccard(spark, docs, rows, n, num, den, scheme):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs.where("doc_id is not null and doc_id <> 30").repartition(3), n, num, den, scheme).collect()}
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
     assert jaccard.near_duplicates(docs).count() == len(rows)
+    # rows of one doc_id go by their own texts, rows of none are alone
+    odd = spark.createDataFrame([(1, "a b c d e f g"), (1, "t u v w x y z"), (2, "t u v w x y z"), (3, "a b c d e f g"), (None, "a b c d e f g"), (4, None), (4, None)], DOCS)
+    found = jaccard.near_duplicates(odd.withColumn("row", F.lit("old")), n, num, den, scheme).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["keeper"]) for r in found) == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (4, 4, True), (4, 4, True)])
     assert jaccard.report(empty(spark)).count() == 0
 
 
@@ -323,11 +327,33 @@ def test_signatures_are_shared():
                 assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
-tokenizer = pytest.importorskip("sentencepiece")
+def thue_morse(n):
+    """A word and its complement, which powers of one odd base modulo 2**64 don't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart(spark):
+    from foliant.llm.common import span_hashes
+
+    for n in (512, 1024, 4096):
+        a, b = thue_morse(n)
+        one, two = span_hashes(np.frombuffer((a + b).encode(), np.uint8), np.array([0, n]), np.array([n, 2 * n]))
+        assert one != two
+    a, b = thue_morse(1024)
+    data = spark.createDataFrame([(7, a), (8, b), (9, f"{a} {b}")], DOCS)
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(data, bench).collect()} == {7: 1, 8: 0, 9: 1}
+    assert {r["component_id"] for r in jaccard.report(data).collect()} == {7, 8, 9}
+    assert all(r["round_trip"] for r in lattice.encode(data).collect())
+    assert lattice.encode(data).select("ids").distinct().count() == 3
+
+
 
 
 @pytest.mark.parametrize("kind", [lattice.BPE, lattice.UNIGRAM])
 def test_lattice(spark, docs, rows, tmp_path, kind):
+    tokenizer = pytest.importorskip("sentencepiece")
     data = open(lattice.MODEL, "rb").read()
     model = lattice.Model(data)
     path = lattice.MODEL
