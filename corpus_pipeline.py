@@ -20,11 +20,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of five-word Jaccard similarity 0.8 and more, the document of the least id; ids once."""
+    """Of each component of five-word Jaccard similarity 0.8 and more, the first row of the least doc_id. Rows go by
+    doc_id and text; of equal rows that stay, one does."""
     groups = jaccard.near_duplicates(docs, words=5, num=8, den=10, scheme=(2, 1))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = F.sum(F.col("keeper").cast("int"))
+    # what is known of (doc_id, text) where some row goes; a list of bounded size is sent to the documents, a longer one
+    # is joined by key
+    going = stored(groups.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(kept.alias("kept"), F.count("*").alias("n")).where("kept < n"))
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_t": F.xxhash64(F.col("text").cast("string"))})
+    few = going.count() <= 1 << 19
+    rest = keyed.join(F.broadcast(going) if few else going, ["_id", "_t"], "left_anti")
+    again = going.where("kept > 0")
+    if not again.isEmpty():
+        rest = rest.unionByName(keyed.join(again, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]))
+    return rest.select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces."""
-    return lattice.encode(docs)
+    """Documents with the ids of their pieces. Groups are a third of those of the operator alone: more segments move,
+    in less memory beside what the stages before have left in the executors."""
+    return lattice.encode(docs, together=2)
 
 
 STAGES = [
