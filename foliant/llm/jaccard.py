@@ -3,14 +3,15 @@
 A document's feature set is its distinct word shingles (64-bit hashes). Sizes fall into bands such that similar sets
 lie in one band or in neighbours. For a pair of bands the similarity bounds the Hamming distance by k, so the hash
 domain is cut into n1 parts of n2 sub-parts; in one part at least the sets differ in k2 sub-parts at most, hence they
-agree on some n2 - k2 sub-parts: every such subset gives a signature, and similar sets share one.
+agree on some n2 - k2 sub-parts: every such subset gives a signature, and similar sets share one. What unlike sets
+often share is emptiness, so a subset without features gives none where it can't be the only one that agrees (`parts_of`).
 
 Equal sets are one class, found by their 128-bit digest and known by its first row (its node), so copies take no part
 beyond their first. Signatures are range-partitioned with their owners, so that a signature that many share spreads
 over tasks; each task streams its sorted rows, links owners to the first of their signature and numbers them by blocks
 of bounded size, and the ends of tasks are linked where a signature goes on. A candidate is counted exactly. Where
 owners of a signature are still in different components, the owners of a block are compared with those of every block
-(a sketch that bounds the distance is part of the join, so only candidates leave it), with more blocks a turn until each
+(a sketch that bounds the distance is part of the join, so only candidates leave it), with a few owners first and more blocks a turn until each
 was one; so no link between different texts is lost, and no link inside a component is looked for. Components
 are found once; further links join those they touch.
 
@@ -22,6 +23,7 @@ themselves, linked by their own texts; rows of null doc_id are linked by nothing
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, ascii_lower, distinct_per_row, gram_hashes, mix, segment_sums, slices, span_hashes, stored, text_bytes, word_bounds
+from .common import U64, WHITE, ascii_lower, distinct_per_row, gram_hashes, mix, release, segment_sums, slices, span_hashes, stored, text_bytes, word_bounds
 from .components import components
 
-#: Sub-parts of a part, and how many of them may differ: (3, 1) gives half as many signatures again as (2, 1), each
-#: over twice the sub-parts, so fewer sets share one by chance.
-SCHEME = (3, 1)
+#: Sub-parts of a part, and how many of them may differ.
+SCHEME = (2, 1)
 #: 64-bit words of the parity sketch.
 SKETCH = 16
 #: Cells of the hash domain whose counts are compared before whole sets.
 CELLS = 1024
 #: Owners of a signature that are compared with each other in one group.
 BLOCK = 512
+#: And how many of them are so first.
+FEW = 8
 
 
 def bands(num: int, den: int, most: int) -> list[int]:
@@ -56,6 +59,20 @@ def distance(largest: int, num: int, den: int) -> int:
     return (den - num) * 2 * largest // (den + num)
 
 
+def parts_of(k: int, least: int, scheme: tuple[int, int]) -> tuple[int, int]:
+    """(parts, good): into how many parts the hash domain is cut, and in how many of them sets at distance k share a
+    signature at least. A few more parts than needed are cut where that makes good exceed the parts that are empty in a
+    set of `least` features: then none need be found by emptiness, which unlike sets share too."""
+    n2, k2 = scheme
+    fewest = -(-(k + 1) // (k2 + 1))
+    for n1 in range(fewest, fewest + fewest // 4 + 1):
+        q = exp(-least / (n1 * n2))
+        empty = n1 * sum(comb(n2, i) * q**i * (1 - q) ** (n2 - i) for i in range(n2 - k2, n2 + 1))
+        if n1 - k // (k2 + 1) > empty + 4 * sqrt(empty):
+            return n1, n1 - k // (k2 + 1)
+    return fewest, fewest - k // (k2 + 1)
+
+
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     raw, off = text_bytes(texts)
     low = ascii_lower(raw)
@@ -75,7 +92,8 @@ def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, de
             own = rows[band[rows] == b]
             instance = int(b) + up
             k = distance(levels[instance + 1] - 1 if instance + 1 < len(levels) else levels[instance] * den // num, num, den)
-            n1, n2, k2 = (-(-(k + 1) // (scheme[1] + 1)), *scheme) if k else (1, 1, 0)
+            n2, k2 = scheme if k else (1, 0)
+            n1, good = parts_of(k, levels[max(instance - 1, 0)], (n2, k2))
             parts = n1 * n2
             for at in range(0, len(own), max(1, (1 << 22) // max(parts, int(levels[b])))):
                 some = own[at : at + max(1, (1 << 22) // max(parts, int(levels[b])))]
@@ -85,14 +103,18 @@ def signatures(h: np.ndarray, begins: np.ndarray, rows: np.ndarray, num: int, de
                 cell = np.repeat(np.arange(len(some)) * parts, count) + ((h[member] >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
                 edge = np.searchsorted(cell, np.arange(len(some) * parts + 1))
                 sums = segment_sums(value[member], edge).reshape(len(some), n1, n2)
+                empty = np.diff(edge).reshape(len(some), n1, n2) == 0
+                # fewer parts are empty than agree with any similar set: one that agrees is not
+                spare = (empty.sum(2) >= n2 - k2).sum(1) < good
                 place = mix(np.arange(n1, dtype=np.uint64) + U64(instance << 32))[None, :]
                 for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
                     with np.errstate(over="ignore"):
                         sig = place + U64(c + 1)
                         for i in chosen:
                             sig = mix(sig * U64(0x9FB21C651E98DF25) + sums[:, :, i])
-                    sigs.append(np.broadcast_to(sig, (len(some), n1)).ravel() >> U64(16))  # 48 bits; a clash is one candidate more
-                    owners.append(np.repeat(some, n1))
+                    told = ~(empty[:, :, chosen].all(2) & spare[:, None])
+                    sigs.append(np.broadcast_to(sig, (len(some), n1))[told] >> U64(16))  # 48 bits; a clash is one candidate more
+                    owners.append(np.repeat(some, n1).reshape(-1, n1)[told])
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(sigs), np.concatenate(owners)
@@ -129,15 +151,16 @@ def set_table(docs: DataFrame, words: int, num: int, den: int, scheme: tuple[int
                 numbers = pa.array(number + np.arange(batch.num_rows))
                 number += batch.num_rows
                 yield pa.RecordBatch.from_arrays([numbers, ids, batch.column("t"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, sketch], names=["row", "doc_id", "t", "n_shingles", "h1", "h2", "sigs", "sketch"])
+        release()
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     return narrow.mapInArrow(run, "row long, doc_id long, t long, n_shingles long, h1 long, h2 long, sigs array<long>, sketch array<long>")
 
 
 def shared(rows: DataFrame, parts: int) -> DataFrame:
-    """rows: (sig, node). (sig, node, pivot, block) of the rows whose signature has another owner in its range, and of
+    """rows: (sig, node). (sig, node, pivot, block, place) of the rows whose signature has another owner in its range, and of
     the first and last signature of each range, where owners of the next range may be. pivot: the first owner of the
-    range; block: a number that at most BLOCK owners of one signature share."""
+    range; block: a number that at most BLOCK owners of one signature share; place: which of these an owner is."""
     dealt = rows.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node")
 
     def run(batches):
@@ -146,7 +169,7 @@ def shared(rows: DataFrame, parts: int) -> DataFrame:
         base = TaskContext.get().partitionId() << 32
 
         def out(sig, node, pivot, at):
-            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node, pa.int64()), pa.array(pivot, pa.int64()), pa.array(base + np.asarray(at) // BLOCK, pa.int64())], names=["sig", "node", "pivot", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node, pa.int64()), pa.array(pivot, pa.int64()), pa.array(base + np.asarray(at) // BLOCK, pa.int64()), pa.array(np.asarray(at) % BLOCK, pa.int32())], names=["sig", "node", "pivot", "block", "place"])
 
         for b in batches:
             sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -173,7 +196,7 @@ def shared(rows: DataFrame, parts: int) -> DataFrame:
         if held is not None and not held[3]:
             yield out([held[0]], [held[1]], [held[1]], [0])
 
-    return dealt.mapInArrow(run, "sig long, node long, pivot long, block long")
+    return dealt.mapInArrow(run, "sig long, node long, pivot long, block long, place int")
 
 
 def tested(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
@@ -273,28 +296,36 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     near = pairs.join(info.alias("p"), F.col("x") == F.col("p.node")).join(info.alias("q"), (F.col("y") == F.col("q.node")) & apart("p", "q", num, den))
     links = verified(stored(near.select("x", "y")), info, docs, words, num, den)
     of = components(links, "x", "y")
-    begin, end = 0, 1
+    turn = 0
     while True:
-        # signatures whose owners are in several components still: the owners of some blocks are compared with all others
-        placed = owners.select("sig", "block", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # signatures whose owners are in several components still: the owners whose turn it is are compared with all others
+        placed = owners.select("sig", "block", "place", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         per = Window.partitionBy("sig")
-        blocks = placed.groupBy("sig", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        blocks = blocks.withColumns({"k": F.row_number().over(per.orderBy("block")) - 1, "a": F.min("a").over(per), "b": F.max("b").over(per), "blocks": F.count("*").over(per)})
-        blocks = stored(blocks.where((F.col("a") < F.col("b")) & (F.col("blocks") > begin)).select("sig", "block", "k"))
+        blocks = placed.groupBy("sig", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("place").alias("most"))
+        blocks = blocks.withColumns({"k": F.row_number().over(per.orderBy("block")) - 1, "a": F.min("a").over(per), "b": F.max("b").over(per)})
+        blocks = blocks.withColumn("last", F.max(turn_of("k", "most")).over(per)).where((F.col("a") < F.col("b")) & (F.col("last") >= turn))
+        blocks = stored(blocks.select("sig", "block", "k"))
         if blocks.isEmpty():
             return table, classes, links, of
-        own = stored(placed.join(blocks, ["sig", "block"]).join(info.drop("doc_id", "h1", "h2"), "node"))
-        pivots = own.where((F.col("k") >= begin) & (F.col("k") < end)).drop("block").join(blocks.select("sig", "block"), "sig")
-        p, q = own.alias("p"), pivots.alias("q")
+        own = placed.join(blocks, ["sig", "block"]).withColumn("turn", turn_of("k", "place")).where(f"turn >= {turn}")
+        own = stored(own.drop("k", "place").join(info.drop("doc_id", "h1", "h2"), "node"))
+        p = own.alias("p")
+        q = own.where(f"turn = {turn}").drop("block").join(blocks.select("sig", "block"), "sig").alias("q")
         met = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.component") != F.col("q.component"))
-        once = (F.col("p.k") >= end) | ((F.col("p.k") >= begin) & (F.col("p.node") < F.col("q.node")))
-        more = p.join(q, met & once & apart("p", "q", num, den))
+        more = p.join(q, met & ((F.col("p.turn") > turn) | (F.col("p.node") < F.col("q.node"))) & apart("p", "q", num, den))
         more = more.select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y")).distinct()
         found = verified(stored(more), info, docs, words, num, den)
         if not found.isEmpty():
             links = links.unionByName(found)
             of = stored(grown(of, found))
-        begin, end = end, end * 4
+        turn += 1
+
+
+def turn_of(k: str, place: str):
+    """When an owner is compared with all others of its signature: a few first, as most groups are one component then,
+    then the rest of the first block, then three blocks, twelve, and so on."""
+    later = 2 + F.floor(F.log2(F.greatest(F.col(k), F.lit(1))) / 2)
+    return F.when(F.col(k) > 0, later).otherwise((F.col(place) >= FEW).cast("int")).cast("int")
 
 
 def grown(of: DataFrame, links: DataFrame) -> DataFrame:

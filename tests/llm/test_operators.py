@@ -268,7 +268,7 @@ def test_suffix_dedup(spark, docs, rows):
     assert suffix_dedup.report(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("n,num,den,scheme", [(3, 90, 100, (3, 1)), (5, 8, 10, (2, 1))])
+@pytest.mark.parametrize("n,num,den,scheme", [(3, 90, 100, (2, 1)), (5, 8, 10, (1, 0)), (5, 8, 10, (3, 1))])
 def test_jaccard(spark, docs, rows, n, num, den, scheme):
     def shingles(t):
         w = words(t)
@@ -310,7 +310,7 @@ def test_components_settle_or_raise(spark):
 def test_signatures_are_shared():
     """Every pair at the threshold shares a signature, whatever its sizes."""
     rng = np.random.default_rng(9)
-    for num, den, scheme in ((90, 100, (3, 1)), (8, 10, (2, 1))):
+    for num, den, scheme in ((90, 100, (3, 1)), (90, 100, (2, 1)), (8, 10, (1, 0)), (8, 10, (4, 2))):
         for size in [1, 2, 9, 10, 11, 18, 19, 20, 57, 199, 500]:
             for _ in range(20):
                 a = rng.integers(0, 2**63, size, dtype=np.uint64)
