@@ -4,9 +4,12 @@ A sparse suffix array over the whole corpus. Of the 100-byte windows of a text e
 equal windows choose equal ones at equal places, so suffixes need sorting only where they begin with a chosen gram
 (an anchor; about one byte in 39). Anchors whose gram no other place has are dropped first (their hashes are
 exchanged, each once a chunk), with every window that chose one. The suffixes left carry the bytes of their windows;
-sampled splitters range-partition them by leading tokens (8 bytes each), each bucket sorts its own token by token and
-compares the windows of suffixes that begin alike: of equal windows, all but the first are covered. A gram at the end
-of a bucket may go on in the next, so the first window of each kind there is compared across boundaries, by hash.
+sampled splitters range-partition them by leading tokens (8 bytes each), and each bucket sorts its own by multikey
+quicksort, a token at a time among those still tied, onwards from the anchor and then backwards from it. The common
+prefixes of neighbours in both orders tell exactly which windows are equal: those whose suffixes are alike for all
+bytes after the anchor and all before it. Of equal windows, all but the first are covered. A gram at the end of
+a bucket may go on in the next (and one that very many share is worked off in pieces), so the first window of each kind
+there is compared across boundaries, by its bytes.
 
 Defined cases: null text has no bytes; texts under `length` bytes lose nothing; of equal doc_ids, rows come in the
 order of their slice; a null doc_id comes first; an empty table gives no rows.
@@ -14,15 +17,13 @@ order of their slice; a null doc_id comes first; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import buckets, chunk_table, split, unpack
-from .common import _BASE, _BYTE, U64, mix, stored, text_bytes
+from .common import _BASE, _BYTE, U64, mix, release, stored, text_bytes
 
 LENGTH, GRAM = 100, 24
 BLOCK = 1 << 20
@@ -104,6 +105,7 @@ def shared_grams(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame
                     [pa.array([chunk] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1].stop - p[1].start for p in parts], pa.int64()), pa.array([keys[p[1]].tobytes() for p in parts], pa.binary())],
                     names=["chunk", "bucket", "n", "keys"],
                 )
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         arrays = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
@@ -163,10 +165,10 @@ def suffixes(batch: pa.RecordBatch, chunk: int, shared: np.ndarray, keys: np.nda
     size = s2 - s1 + length
     at = np.concatenate([[0], np.cumsum(size)])
     data = raw[np.arange(at[-1]) + np.repeat(s1 - at[:-1], size)]
-    digest = [hashlib.blake2b(data[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() + int(place[i] - s1[i]).to_bytes(2, "little") for i in range(len(size))]
     seen: set[bytes] = set()
     again = np.zeros(len(size), bool)
-    for i, d in enumerate(digest):
+    for i in range(len(size)):
+        d = data[at[i] : at[i + 1]].tobytes() + int(place[i] - s1[i]).to_bytes(2, "little")
         again[i] = d in seen
         seen.add(d)
     return row, place, s1, s2, size, at, data, again, ids, off
@@ -226,23 +228,87 @@ def spill_suffixes(chunks: DataFrame, masks: DataFrame, length: int, gram: int)
     return chunks.select("chunk", "body").groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(join, SUFFIX + ", stop long")
 
 
+def words_of(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as a number that sorts as they do; bytes beyond the `left` ones count as 0. data goes on
+    for 8 bytes after its last place."""
+    word = data[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+    over = np.clip(8 - left, 0, 8).astype(np.uint64)
+    return np.where(over == 8, U64(0), word >> (over % U64(8) * U64(8)) << (over % U64(8) * U64(8)))
+
+
+def multikey_quicksort(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray, depth: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings data[at : at + size] within groups (numbers that ascend; strings of a group agree in their
+    first `depth` bytes), and of each place in that order the bytes that its string has in common with the one before,
+    `most` at most; 0 at the head of a group. Each round splits all that are still tied by their next 8 bytes."""
+    n = len(at)
+    order, common, places = np.arange(n), np.zeros(n, np.int64), np.arange(n)
+    data = np.concatenate([data, np.zeros(most + 8, np.uint8)])
+    while len(places):
+        word = words_of(data, at[order[places]] + depth, size[order[places]] - depth)
+        by = np.lexsort((word, group))
+        order[places], word = order[places][by], word[by]
+        same = group[1:] == group[:-1]
+        equal = same & (word[1:] == word[:-1])
+        apart = np.flatnonzero(same & ~equal)
+        differ = word[apart + 1] ^ word[apart]
+        common[places[apart + 1]] = depth + sum((differ >> U64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8))
+        depth += 8
+        if depth >= most:
+            common[places[np.flatnonzero(equal) + 1]] = most
+            break
+        new = np.ones(len(places), bool)
+        new[1:] = ~equal
+        run = np.cumsum(new) - 1
+        tied = np.bincount(run)[run] > 1
+        places, group = places[tied], run[tied]
+    return order, common
+
+
+def equal_from(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """A number of each string that those have which agree in their first `depth` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
 def compare(b: dict, length: int, gram: int, edge: np.ndarray):
-    """Windows of suffixes, in the order of place: covered spans, and claims (first windows of edge suffixes)."""
-    n = len(b["row"])
+    """Windows of suffixes, in the order of place: covered spans, and claims (first windows of edge suffixes): owner,
+    start, bytes before the anchor, and where the window begins in data."""
     data, begin = b["data"], b["off"][:-1]
-    count = b["windows"].astype(np.int64)
+    skip, count = b["skip"].astype(np.int64), b["windows"].astype(np.int64)
     heads = np.concatenate([[0], np.cumsum(count)])
-    owner = np.repeat(np.arange(n), count)
+    tokens = np.lexsort((b["t1"], b["t0"]))
+    new = np.ones(len(tokens), bool)
+    new[1:] = (b["t0"][tokens][1:] != b["t0"][tokens][:-1]) | (b["t1"][tokens][1:] != b["t1"][tokens][:-1])
+    order, common = multikey_quicksort(data, (begin + skip)[tokens], (b["off"][1:] - begin - skip)[tokens], np.cumsum(new), 16, length)
+    order = tokens[order]
+    # only suffixes that share their gram go on
+    alike = equal_from(order, common, gram)
+    live = np.flatnonzero(np.bincount(alike)[alike] > 1)
+    covered = np.zeros(heads[-1], bool)
+    if len(live):
+        onward = np.flatnonzero(np.isin(order, live))
+        place = np.empty(len(begin), np.int64)
+        place[live] = np.arange(len(live))
+        # between two live neighbours, what others stand between them have in common is no more than their own
+        least = np.minimum.reduceat(common, np.append(0, onward[:-1] + 1)) if len(onward) else common[:0]
+        order = place[order[onward]]
+        grams = equal_from(order, least, gram)
+        by = np.argsort(grams, kind="stable")
+        back = data[::-1]
+        order2, common2 = multikey_quicksort(back, (len(data) - begin - skip)[live][by], skip[live][by], grams[by], 0, length - gram)
+        order2 = by[order2]
+        own_skip, own_count, own_heads = skip[live], count[live], heads[live]
+        for r in range(length - gram + 1):
+            have = np.flatnonzero((own_skip >= r) & (own_skip - own_count < r))
+            if len(have) < 2:
+                continue
+            key = equal_from(order, least, length - r)[have] * (len(live) + 1) + equal_from(order2, common2, r)[have]
+            later = np.ones(len(have), bool)
+            later[np.unique(key, return_index=True)[1]] = False
+            covered[own_heads[have[later]] + own_skip[have[later]] - r] = True
+    owner = np.repeat(np.arange(len(begin)), count)
     shift = np.arange(heads[-1]) - heads[owner]
-    s = begin[owner] + shift
-    value = gram_values(data, length)[s]
-    with np.errstate(over="ignore"):
-        key = mix(mix(value) + (b["skip"][owner] - shift).astype(np.uint64) * U64(0x9E3779B97F4A7C15) + mix(b["t0"].view(np.uint64))[owner])
-    order = np.argsort(key, kind="stable")
-    first = np.ones(len(order), bool)
-    first[1:] = key[order][1:] != key[order][:-1]
-    covered = np.empty(len(order), bool)
-    covered[order] = ~first
     new = covered.copy()
     new[1:] &= ~(covered[:-1] & (owner[1:] == owner[:-1]))
     last = covered.copy()
@@ -250,44 +316,52 @@ def compare(b: dict, length: int, gram: int, edge: np.ndarray):
     f, l = np.flatnonzero(new), np.flatnonzero(last)
     spans = (owner[f], b["at"][owner[f]] + shift[f], b["at"][owner[l]] + shift[l] + length)
     c = np.flatnonzero(~covered & edge[owner])
-    return spans, (key[c], owner[c], b["at"][owner[c]] + shift[c])
+    return spans, (owner[c], b["at"][owner[c]] + shift[c], skip[owner[c]] - shift[c], begin[owner[c]] + shift[c])
 
 
-FOUND = SPAN + ", key long, doc_id long"
+FOUND = SPAN + ", doc_id long, before int, window binary"
+#: Suffixes that a bucket sorts at a time, and those of one beginning, beyond which they are sorted in pieces.
+HELD, PIECE = 50_000, 200_000
 
 
-def covered_spans(suffix: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans (key null), and claims: first windows that other ranges may have earlier (key: what they are)."""
-    parts = int(suffix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def covered_spans(suffix: DataFrame, length: int, gram: int, held_most: int = HELD, piece: int = PIECE) -> DataFrame:
+    """Spans (window null), and claims: first windows that other ranges or pieces may have earlier."""
+    windows = suffix.agg(F.sum("windows")).first()[0] or 0
+    parts = max(int(suffix.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // 4_000_000))
     dealt = suffix.drop("stop").repartitionByRange(parts, "t0", "t1", "doc_id", "chunk", "row", "at").sortWithinPartitions("t0", "t1")
     names = ["t0", "t1", "doc_id", "chunk", "row", "at", "skip", "windows"]
 
     def result(b, spans, claims):
-        owner = np.concatenate([spans[0], claims[1]])
-        none = pa.array(np.arange(len(owner)) < len(spans[0]))
-        keys = pa.array(np.concatenate([np.zeros(len(spans[0]), np.int64), claims[0].view(np.int64)]))
-        start = np.concatenate([spans[1], claims[2]])
+        owner = np.concatenate([spans[0], claims[0]])
+        n, m = len(spans[0]), len(claims[0])
+        start = np.concatenate([spans[1], claims[1]])
+        window = b["data"][claims[3][:, None] + np.arange(length)] if m else np.zeros((0, length), np.uint8)
+        offsets = np.concatenate([np.zeros(n, np.int32), np.arange(m + 1, dtype=np.int32) * length])
+        valid = np.packbits(np.arange(n + m) >= n, bitorder="little").tobytes()
+        blobs = pa.Array.from_buffers(pa.binary(), n + m, [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(window.tobytes())])
+        before = np.concatenate([np.zeros(n, np.int32), claims[2].astype(np.int32)])
         return pa.RecordBatch.from_arrays(
-            [pa.array(b["chunk"][owner]), pa.array(b["row"][owner].astype(np.int32)), pa.array(start), pa.array(np.concatenate([spans[2], claims[2] + length])), pa.compute.if_else(none, pa.scalar(None, pa.int64()), keys), pa.array(b["doc_id"][owner])],
-            names=["chunk", "row", "start", "stop", "key", "doc_id"],
+            [pa.array(b["chunk"][owner]), pa.array(b["row"][owner].astype(np.int32)), pa.array(start), pa.array(np.concatenate([spans[2], claims[1] + length])), pa.array(b["doc_id"][owner]), pa.array(before), blobs],
+            names=["chunk", "row", "start", "stop", "doc_id", "before", "window"],
         )
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        held_rows, begun = 0, None
+        held_rows = 0
+        open_: list[tuple] = []  # beginnings that other ranges or pieces may have too
 
-        def work(table: pa.Table, final: bool):
-            nonlocal begun
+        def work(table: pa.Table, goes_on: bool):
             b = {c: table.column(c).to_numpy() for c in names}
+            if not open_:
+                open_.append((b["t0"][0], b["t1"][0]))
+            if goes_on:
+                open_[1:] = [(b["t0"][-1], b["t1"][-1])]
             order = np.lexsort((b["at"], b["row"], b["chunk"], b["doc_id"]))
             b = {c: v[order] for c, v in b.items()}
             b["data"], b["off"] = text_bytes(table.column("bytes").take(pa.array(order)))
-            token_ = (table.column("t0")[-1].as_py(), table.column("t1")[-1].as_py())
-            if begun is None:
-                begun = (table.column("t0")[0].as_py(), table.column("t1")[0].as_py())
-            edge = (b["t0"] == begun[0]) & (b["t1"] == begun[1])
-            if final:
-                edge |= (b["t0"] == token_[0]) & (b["t1"] == token_[1])
+            edge = np.zeros(len(order), bool)
+            for t0, t1 in open_:
+                edge |= (b["t0"] == t0) & (b["t1"] == t1)
             return result(b, *compare(b, length, gram, edge))
 
         for batch in batches:
@@ -295,16 +369,23 @@ def covered_spans(suffix: DataFrame, length: int, gram: int) -> DataFrame:
                 continue
             held.append(batch)
             held_rows += batch.num_rows
-            if held_rows < 50_000:
+            if held_rows < held_most:
+                continue
+            ends = [(x.column("t0")[k].as_py(), x.column("t1")[k].as_py()) for x, k in ((held[0], 0), (batch, batch.num_rows - 1))]
+            if ends[0] == ends[1]:
+                if held_rows >= piece:
+                    yield work(pa.Table.from_batches(held), True)
+                    held, held_rows = [], 0
                 continue
             table = pa.Table.from_batches(held)
             t0, t1 = table.column("t0").to_numpy(), table.column("t1").to_numpy()
-            whole = int(np.flatnonzero((t0 != t0[-1]) | (t1 != t1[-1]))[-1]) + 1 if (t0[0], t1[0]) != (t0[-1], t1[-1]) else 0
-            if whole:
-                yield work(table.slice(0, whole), False)
+            whole = int(np.flatnonzero((t0 != t0[-1]) | (t1 != t1[-1]))[-1]) + 1
+            yield work(table.slice(0, whole), False)
             held, held_rows = table.slice(whole).to_batches(), table.num_rows - whole
         if held:
             yield work(pa.Table.from_batches(held), True)
+        held = []
+        release()
 
     return dealt.mapInArrow(run, FOUND)
 
@@ -315,9 +396,9 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     masks = shared_grams(chunks, buckets(chunks), length, gram)
     split_ = stored(spill_suffixes(chunks, masks, length, gram))
     found = stored(covered_spans(split_.where("stop is null"), length, gram))
-    first = Window.partitionBy("key").orderBy("doc_id", "chunk", "row", "start")
-    late = found.where("key is not null").withColumn("n", F.row_number().over(first)).where("n > 1")
-    spans = found.where("key is null").select("chunk", "row", "start", "stop").unionByName(late.select("chunk", "row", "start", "stop"))
+    first = Window.partitionBy("before", "window").orderBy("doc_id", "chunk", "row", "start")
+    late = found.where("window is not null").withColumn("n", F.row_number().over(first)).where("n > 1")
+    spans = found.where("window is null").select("chunk", "row", "start", "stop").unionByName(late.select("chunk", "row", "start", "stop"))
     own = split_.where("stop is not null").select("chunk", "row", F.col("at").alias("start"), "stop")
     return chunks, spans.unionByName(own)
 
