@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, slices, stored
+from .common import U64, release, slices, stored
 
 CHUNK_BYTES = 8 << 20
 
@@ -33,6 +33,8 @@ def chunk_rows(most: int = CHUNK_BYTES, level: int = 3):
                 size = piece.column("text").nbytes
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([out.getvalue()], pa.binary())], names=["chunk", "size", "body"])
                 number += 1
+            del whole, piece, out
+            release()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_rows, unpack
-from .common import span_hashes, text_bytes, workspace
+from .common import release, span_hashes, text_bytes, workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -445,7 +445,10 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
     def words(table: pa.Table) -> pa.Table:
         g = Group(table.column("body"), sent.value, folded, False)
         order = pa.compute.array_sort_indices(g.texts)  # neighbours share beginnings, which packs well
-        return pa.table({"seg": g.texts.take(order), "owner": pa.array((table.column("group")[0].as_py() << PLACE_BITS) + order.to_numpy().astype(np.int64))})
+        out = pa.table({"seg": g.texts.take(order), "owner": pa.array((table.column("group")[0].as_py() << PLACE_BITS) + order.to_numpy().astype(np.int64))})
+        del g
+        release()
+        return out
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent_words = chunks.groupBy("group").applyInArrow(words, "seg string, owner long").repartition(parts, "seg")
@@ -466,7 +469,12 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
             sizes[i] = len(ids)
         pool = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         place = np.cumsum(sizes) - sizes
-        return pa.concat_tables([chunk_ids(m, *c, g.keys, pool, place, sizes) for c in g.chunks])
+        out = []
+        while g.chunks:
+            out.append(chunk_ids(m, *g.chunks.pop(0), g.keys, pool, place, sizes))
+        del g, pool, flat
+        release()
+        return pa.concat_tables(out)
 
     return chunks.groupBy("group").cogroup(back.groupBy("group")).applyInArrow(join, schema)
 
