@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of five-word Jaccard similarity 0.8 and more, the first row of the least doc_id. Rows go by
     doc_id and text; of equal rows that stay, one does."""
-    groups = jaccard.near_duplicates(docs, words=5, num=8, den=10, scheme=(2, 1))
+    groups = jaccard.near_duplicates(docs, words=5, num=8, den=10, scheme=(1, 0))
     kept = F.sum(F.col("keeper").cast("int"))
     # what is known of (doc_id, text) where some row goes; a list of bounded size is sent to the documents, a longer one
     # is joined by key
