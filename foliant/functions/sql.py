@@ -1,8 +1,11 @@
-"""The engine as SQL functions: doc_parts(content) and doc_facts(content) are table functions, detect_format(content)
-is a scalar; render and cleanup are DataFrame functions."""
+"""The engine as SQL functions. Table functions of a package's bytes: doc_parts, doc_facts, doc_blocks, sheet_cells;
+scalars: detect_format, and clean_text(text) with clean_text_minimal and clean_text_aggressive, which are expressions
+of SQL that Spark puts in place of the call."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import OfficeError
 from ..sources.leaves import facts_of
 from ..sources.package import Package
+from .text import clean_sql
 
 
 def detect(data: bytes | None) -> str:
@@ -30,17 +34,56 @@ def register(spark: SparkSession) -> None:
         def eval(self, content):
             yield from facts_of(bytes(content or b""))
 
-    @F.udtf(returnType="part string, size bigint, bytes binary")
+    @F.udtf(returnType="part string, size bigint, bytes binary, error string")
     class DocParts:
         def eval(self, content):
             try:
                 p = Package(bytes(content or b""))
-                for name in p.names:
-                    body = p.bytes(name)
-                    yield name, len(body), body
-            except OfficeError:
+            except OfficeError as e:
+                yield e.part, None, None, e.name
                 return
+            for name in p.names:
+                try:
+                    body = p.bytes(name)
+                    yield name, len(body), body, None
+                except OfficeError as e:
+                    yield name, None, None, e.name
+
+    @F.udtf(returnType="block bigint, block_type string, region string, style_id string, text string, error string")
+    class DocBlocks:
+        """Paragraphs and tables of a Word package in order, as they stand in it."""
+
+        def eval(self, content):
+            for kind, _, ord_, a in facts_of(bytes(content or b"")):
+                if kind == "error":
+                    yield None, None, None, None, None, a["name"]
+                elif kind == "para":
+                    yield ord_, "Paragraph", a["region"], a.get("style"), "".join(r.get("t", "") for r in json.loads(a["runs"])), None
+                elif kind == "table":
+                    yield ord_, "Table", a["region"], None, None, None
+
+    @F.udtf(returnType="sheet_part string, cell_ref string, cell_type string, value string, formula string, error string")
+    class SheetCells:
+        """Cells of an Excel package as written: shared strings are resolved, styles aren't."""
+
+        def eval(self, content):
+            shared: dict[str, str] = {}
+            later = []
+            for kind, part, ord_, a in facts_of(bytes(content or b"")):
+                if kind == "error":
+                    yield part, None, None, None, None, a["name"]
+                elif kind == "shared":
+                    shared[str(ord_)] = a.get("text", "")
+                elif kind == "xcell":
+                    later.append((part, a))
+            for part, a in later:
+                value = a.get("value")
+                yield part, a.get("ref"), a.get("type"), shared.get(value or "", value) if a.get("type") == "s" else value, a.get("formula"), None
 
     spark.udf.register("detect_format", detect_format)
     spark.udtf.register("doc_facts", DocFacts)
     spark.udtf.register("doc_parts", DocParts)
+    spark.udtf.register("doc_blocks", DocBlocks)
+    spark.udtf.register("sheet_cells", SheetCells)
+    for name, how in (("clean_text", "default"), ("clean_text_minimal", "minimal"), ("clean_text_aggressive", "aggressive")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {clean_sql('x', how)}")

@@ -6,6 +6,7 @@ last line does not count.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -42,21 +43,47 @@ _FROM = BULLETS + DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + SPACES + NOTHING
 _TO = "•" * len(BULLETS) + "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + " " * len(SPACES)
 
 
+#: White space that a line can hold.
+INNER = SPACE.replace(r"\n", "")
+
+
 def trim(x: Column) -> Column:
     """Without White_Space at both ends."""
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(x, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+$", "")
 
 
 def lines(x: Column) -> Column:
-    parts = F.transform(F.split(x, "\n"), lambda s: F.regexp_replace(s, "\r$", ""))
-    raw = F.split(x, "\n")
-    return F.when(F.element_at(raw, -1) == "", F.slice(parts, F.lit(1), F.size(raw) - 1)).otherwise(parts)
+    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(replaced(x, ENDS), "\n"))
 
 
 def blank(x: Column) -> Column:
     return trim(x) == ""
 
 
+# Stages are lists of replacements over the whole text, so they run in generated code and take linear time however many
+# lines there are: a pattern neither starts again inside a run of white space nor repeats a group.
+#: Line ends are \n and the last one goes.
+ENDS = [(r"\r(?=\n|\z)", ""), (r"\n\z", "")]
+
+
+def without_lines(*patterns: str) -> list[tuple[str, str]]:
+    """Lines that match a pattern as a whole go; every line gets an end for that."""
+    return [*ENDS, (r"\z", "\n"), ("(?md)^(?:" + "|".join(patterns) + r")\n", ""), (r"\n\z", "")]
+
+
+def replaced(x: Column, stage: list[tuple[str, str]]) -> Column:
+    for pattern, by in stage:
+        x = F.regexp_replace(x, pattern, by)
+    return x
+
+
+def replaced_sql(x: str, stage: list[tuple[str, str]]) -> str:
+    """The same in SQL."""
+    for pattern, by in stage:
+        x = "regexp_replace({}, r'{}', {})".format(x, pattern, "'\\n'" if by == "\n" else f"r'{by}'")
+    return x
+
+
 def _nfc(x: Column) -> Column:
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
@@ -102,35 +129,50 @@ def is_contents(line: Column) -> Column:
     return dotted | F.lower(t).isin(*CONTENTS)
 
 
+def line_of(pattern: str) -> str:
+    return f"[{INNER}]*+(?:{pattern})[{INNER}]*"
+
+
+PRIVATE = [("[\\x{E000}-\\x{F8FF}\\x{F0000}-\\x{FFFFD}\\x{100000}-\\x{10FFFD}]", "")]
+FURNITURE = without_lines(
+    line_of(PAGE[1:-1].replace(SPACE, INNER)),
+    r"[^\n]*(?i:" + "|".join(re.escape(f) for f in FOOTERS) + r")[^\n]*",
+    line_of("(?i:" + "|".join(CONTENTS) + ")"),
+    r"(?=[^\n]*(?:\.\.\.|…))(?:[^\n.]*\.){4}[^\n]*",
+)
+COLLAPSE = [*ENDS, (rf"(?md)^([{INNER}]*+)\n[{INNER}\n]*(?=\n|\z)", "$1")]
+MARKS = [*without_lines(line_of("[" + re.escape(ORPHANS) + "]")), *COLLAPSE]
+FINAL = [*ENDS, (rf"(?<![{INNER}])[{INNER}]++(?=\n|\z)", ""), (rf"(?<=[^{INNER}\n])[{INNER}]+", " "), (r"\A\n+|(?<!\n)\n+\z", "")]
+
+
 def clean_lines(x: Column) -> Column:
     """Without page numbers, footer phrases and lines of contents; blank lines stay."""
-    drop = lambda s: (trim(s) != "") & (is_page_number(s) | is_footer(s) | is_contents(s))
-    return F.array_join(F.filter(lines(x), lambda s: ~drop(s)), "\n")
+    return replaced(x, FURNITURE)
 
 
 def collapse_blank_lines(x: Column) -> Column:
     """One blank line of several."""
-    all_ = lines(x)
-    keep = lambda s, i: ~(blank(s) & (i > 0) & blank(F.get(all_, i - 1)))
-    return F.array_join(F.filter(all_, keep), "\n")
+    return replaced(x, COLLAPSE)
 
 
 def filter_structure(x: Column) -> Column:
     """Without lines that are a single mark; then blank lines are collapsed."""
-    alone = lambda s: trim(s).isin(*ORPHANS)
-    return collapse_blank_lines(F.array_join(F.filter(lines(x), lambda s: ~alone(s)), "\n"))
+    return replaced(x, MARKS)
 
 
 def final_normalize(x: Column) -> Column:
     """Indents stay; runs of space inside become one, ends of lines and blank lines at both ends go."""
+    return replaced(x, FINAL)
 
-    def line(s):
-        right = F.regexp_replace(s, f"[{SPACE}]+$", "")
-        indent = F.regexp_extract(right, f"^[{SPACE}]*", 0)
-        return F.concat(indent, F.regexp_replace(F.substring(right, F.length(indent) + 1, F.length(right)), f"[{SPACE}]+", " "))
 
-    joined = F.array_join(F.transform(lines(x), line), "\n")
-    return F.regexp_replace(joined, "^\n+|\n+$", "")
+def clean_sql(x: str, how: Cleanup | str) -> str:
+    """The stages after NFC as an expression of SQL."""
+    how = Cleanup.named(how) if isinstance(how, str) else how
+    if how.normalize:
+        x = f"translate({x}, '{_FROM.replace(chr(39), chr(92) + chr(39))}', '{_TO.replace(chr(39), chr(92) + chr(39))}')"
+    for on, stage in ((how.private_use, PRIVATE), (how.lines, FURNITURE), (how.structure, MARKS), (how.final, [*FINAL, *COLLAPSE])):
+        x = replaced_sql(x, stage) if on else x
+    return x
 
 
 def split_frontmatter(x: Column) -> tuple[Column, Column]:

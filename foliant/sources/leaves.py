@@ -32,6 +32,13 @@ def relations(p: Package, parts) -> Iterator[Fact]:
             yield "rel", part, i, {"id": r["id"], "type": r["type"], "target": r["target"], "external": str(r["external"]).lower()}
 
 
+def index(point: Node, part: str) -> int:
+    value = point.attrs.get("idx", "0")
+    if not value.isascii() or not value.isdigit():
+        raise OfficeError("InvalidData", f"chart index {value!r}", part)
+    return int(value)
+
+
 def chart(p: Package, part: str, ord_: int) -> Iterator[Fact]:
     """Long rows: the title, and a row for each point of each series, by its idx."""
     root = p.tree(part, required=True)
@@ -41,7 +48,7 @@ def chart(p: Package, part: str, ord_: int) -> Iterator[Fact]:
     cats: dict[int, str] = {}
     for s in series:
         if not cats and (c := s.first("c:cat")):
-            cats = {int(n.attrs.get("idx", 0)): (n.first("c:v") or n).all_text() for n in c.walk() if n.name == "c:pt"}
+            cats = {index(n, part): (n.first("c:v") or n).all_text() for n in c.walk() if n.name == "c:pt"}
     for i, c in cats.items():
         yield "category", part, i, {"value": c}
     for i, s in enumerate(series):
@@ -55,7 +62,7 @@ def chart(p: Package, part: str, ord_: int) -> Iterator[Fact]:
                     float(value)
                 except ValueError as e:
                     raise OfficeError("InvalidData", f"chart value {value!r}", part) from e
-                yield "point", part, i, {"idx": n.attrs.get("idx", "0"), "value": value}
+                yield "point", part, i, {"idx": str(index(n, part)), "value": value}
 
 
 # --------------------------------------------------------------------------- Word
@@ -103,10 +110,12 @@ def word_images(p: Node) -> list[dict]:
 
 
 def outside(node: Node, closed: set[str]):
-    for c in node.children:
+    todo = node.children[::-1]
+    while todo:
+        c = todo.pop()
         if c.name not in closed:
             yield c
-            yield from outside(c, closed)
+            todo.extend(reversed(c.children))
 
 
 def word_paragraph(p: Node) -> dict:
@@ -389,5 +398,7 @@ def facts_of(data: bytes) -> Iterator[Fact]:
         yield "format", "", 0, {"format": p.format}
         yield from metadata(p)
         yield from {"docx": lambda: Word(p).facts(), "xlsx": lambda: excel(p), "pptx": lambda: powerpoint(p)}[p.format]()
-    except OfficeError as e:
+    except (OfficeError, RecursionError) as e:
+        if isinstance(e, RecursionError):
+            e = OfficeError("InvalidData", "elements are nested too deeply")
         yield "error", e.part, 0, {"kind": str(e.kind), "name": e.name, "message": e.message}

@@ -6,6 +6,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -73,7 +74,7 @@ class Package:
             return self.zip.read(name)
         except KeyError:
             return None
-        except (zipfile.BadZipFile, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+        except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
             raise OfficeError("ZipArchive", str(e), name) from e
 
     def tree(self, name: str, required: bool = False) -> Node | None:
@@ -158,9 +159,12 @@ class Node:
         return next(self.each(*names), None)
 
     def walk(self):
-        for c in self.children:
-            yield c
-            yield from c.walk()
+        """All nodes below, in the order of the text."""
+        todo = self.children[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(reversed(node.children))
 
     def at(self, *path: str):
         node = self
@@ -169,15 +173,28 @@ class Node:
         return node
 
     def all_text(self) -> str:
-        return self.text if not self.children else self.text + "".join(c.all_text() + c.attrs.get("\0tail", "") for c in self.children)
+        out, todo = [self.text], self.children[::-1]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+                continue
+            out.append(node.text)
+            todo.append(node.attrs.get("\0tail", ""))
+            todo.extend(reversed(node.children))
+        return "".join(out)
 
 
 _LOOSE = re.compile(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)")
-_NUMERIC = re.compile(r"&#(x[0-9A-Fa-f]+|[0-9]+);")
+_NUMERIC = re.compile(r"&#([^;&<>\s]{0,12});")
 
 
 def _valid(m: re.Match) -> str:
-    n = int(m[1][1:], 16) if m[1][0] == "x" else int(m[1])
+    """The reference if it is one to a character; nothing if it is not."""
+    digits = m[1][1:] if m[1][:1] == "x" else m[1]
+    if not re.fullmatch("[0-9A-Fa-f]+" if m[1][:1] == "x" else "[0-9]+", digits):
+        return ""
+    n = int(digits, 16 if m[1][0] == "x" else 10)
     ok = n in (9, 10, 13) or 0x20 <= n <= 0xD7FF or 0xE000 <= n <= 0xFFFD or 0x10000 <= n <= 0x10FFFF
     return m[0] if ok else ""
 
