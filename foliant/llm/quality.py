@@ -3,7 +3,7 @@
 A document is a bag of passages of about 400 bytes. A passage is encoded (hashed byte pairs, byte classes, repetition;
 then a learned hidden layer), a gated attention learned from the documents' labels weighs the passages, and the
 weighted representation is scored. Only the text goes in. The model is trained on the driver from a bounded sample of
-labelled documents (`sample`, those of the least hashed ids), whole texts each; it is then a few tens of kilobytes,
+labelled documents (`sample` and `sample_bytes`, those of the least hashed ids), whole texts each; it is then a few tens of kilobytes,
 sent to all tasks, and every document is scored where it is read: no shuffle.
 
 Defined cases: null and empty texts are one passage without content; several labels of an id count as their mean
@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, slices, span_hashes, text_bytes, word_bounds
+from .common import U64, WHITE, release, slices, span_hashes, stored, text_bytes, word_bounds
 
 PASSAGE, PAIRS, HIDDEN, GATE = 400, 320, 24, 12
+#: Bytes of text that are encoded at a time, some 60 of memory each; a longer text is one piece.
+SLICE = 1 << 20
 #: upper case, lower case, digits, white space, line ends, other ASCII, bytes beyond ASCII
 CLASSES = 7
 _CLASS = np.full(256, 6, np.int64)
@@ -146,8 +148,9 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
-    """The model from at most `sample` labelled documents whose ids are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 64 << 20) -> Model:
+    """The model from at most `sample` labelled documents whose ids are not held out, and from as many of them, in the
+    order of a hash, as have passages of `sample_bytes` together (2 * FEATURES bytes each); whole documents only."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -156,12 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
 
     def encode(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 x, begins = passages(b.column("text"))
                 blobs = [x[begins[i] : begins[i + 1]].astype(np.float16).tobytes() for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(blobs, pa.binary())], names=["doc_id", "y", "bag"])
 
-    rows = picked.mapInArrow(encode, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")
+    rows = stored(picked.mapInArrow(encode, "doc_id long, y int, bag binary"))
+    # `sample` numbers in one task at most
+    so_far = F.sum(F.octet_length("bag")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= sample_bytes).select("doc_id").distinct()
+    rows = rows.join(F.broadcast(within), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b.as_buffer(), np.float16).reshape(-1, FEATURES).astype(np.float32) for b in rows.column("bag")]
     return fit(bags, rows.column("y").to_numpy().astype(np.float32))
 
@@ -176,11 +183,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Da
     def run(batches):
         model = sent.value
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 x, begins = passages(b.column("text"))
                 score, weight = model.scores(x, begins)
                 top = [int(np.argmax(weight[begins[i] : begins[i + 1]])) for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score), pa.array(np.diff(begins).astype(np.int32)), pa.array(top, pa.int32())], names=[*names, "score", "n_passages", "top_passage"])
+        release()
 
     return docs.mapInArrow(run, schema)
 

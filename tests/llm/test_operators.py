@@ -388,3 +388,29 @@ def test_pipeline(spark, sf):
         seen = P.stored(out)
     assert 0 < seen.count() < docs.count() and seen.where("not round_trip").count() == 0
     assert P.run(spark, sf).count() == seen.count()
+
+
+def test_attention_by_hand():
+    """Forward pass and gradients of the attention model against plain sums and differences."""
+    rng = np.random.default_rng(2)
+    model = quality.Model(np.float32(0.1), np.float32(1.5), None)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, begins, y = rng.standard_normal((7, quality.FEATURES)), np.array([0, 3, 4, 7]), np.array([1.0, 0.0, 1.0])
+    p, scores = model.p, []
+    for a, b in zip(begins, begins[1:]):
+        h = [np.tanh((v - model.mean) / model.scale @ p["W"] + p["b"]) for v in x[a:b]]
+        e = [float(np.exp((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"])) for v in h]
+        z = sum(w * v for w, v in zip(e, h)) / sum(e)
+        scores.append(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+    assert np.allclose(model.forward(x, begins)[6], scores)
+    loss = lambda: -np.mean(np.where(y > 0, np.log(s := model.forward(x, begins)[6]), np.log(1 - s)))
+    found = model.step(x, begins, y, np.ones(3))
+    for k in p:
+        at = tuple(rng.integers(0, n) for n in p[k].shape)
+        kept, d = p[k][at], 1e-6
+        p[k][at] = kept + d
+        up = loss()
+        p[k][at] = kept - d
+        down = loss()
+        p[k][at] = kept
+        assert abs((up - down) / (2 * d) + 1e-4 * kept * (k == "W") - found[k][at]) < 1e-5, k
