@@ -450,7 +450,9 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
         release()
         return out
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a group's segments make some 100 MB of edges at most, and a task holds a third of that
+    groups = chunks.select("group").distinct().count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * groups)
     sent_words = chunks.groupBy("group").applyInArrow(words, "seg string, owner long").repartition(parts, "seg")
     segments = sent_words.groupBy("seg").agg(F.collect_list("owner").alias("owners"))
     back = segment_cuts(segments, model).select(F.explode("owners").alias("owner"), "cuts")
