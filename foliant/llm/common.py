@@ -4,37 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
 
-U64 = np.uint64
-
-
-# --------------------------------------------------------------------------- work tables
-def workspace(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+from ..work import stored, workspace  # noqa: F401
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, packed: bool = False) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again. packed: already compressed."""
-    path = workspace(df.sparkSession)
-    df.write.option("compression", "none" if packed else "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+U64 = np.uint64
 
 
 def release() -> None:

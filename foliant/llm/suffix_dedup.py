@@ -119,6 +119,8 @@ def shared_grams(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame
         flags[order] = twice
         cuts = np.cumsum([len(a) for a in arrays])[:-1]
         masks = [np.packbits(f).tobytes() for f in np.split(flags, cuts)]
+        del keys, order, s, twice, flags
+        release()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": table.column("n"), "mask": pa.array(masks, pa.binary())})
 
     sent = chunks.select("chunk", "body").mapInArrow(send, "chunk long, bucket long, n long, keys binary")
@@ -212,6 +214,7 @@ def spill_suffixes(chunks: DataFrame, masks: DataFrame, length: int, gram: int)
         both = np.concatenate([own, spans])
         mine = pa.array(np.arange(len(both)) >= len(own))
         where = at[:-1] + skip
+        release()
         return pa.table({
             "t0": pa.array(token(data, where)[both]),
             "t1": pa.array(token(data, where + 8)[both]),
@@ -430,6 +433,8 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         out = pa.Table.from_batches([batch])
         for name, values, t in (("n_bytes", sizes, pa.int64()), ("n_removed", removed, pa.int64()), ("spans", lists, kind), ("kept", kept, pa.binary()), ("kept_text", [k.decode(errors="ignore") for k in kept], pa.string())):
             out = out.append_column(name, pa.array(values, t))
+        del batch, raw, mark, gone
+        release()
         return out
 
     return chunks.select("chunk", "body").groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(join, schema)
