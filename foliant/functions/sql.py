@@ -62,7 +62,7 @@ def register(spark: SparkSession) -> None:
                 elif kind == "table":
                     yield ord_, "Table", a["region"], None, None, None
 
-    @F.udtf(returnType="sheet_part string, cell_ref string, cell_type string, value string, formula string, error string")
+    @F.udtf(returnType="sheet_part string, cell_ref string, cell_type string, value string, error string")
     class SheetCells:
         """Cells of an Excel package as written: shared strings are resolved, styles aren't."""
 
@@ -71,14 +71,13 @@ def register(spark: SparkSession) -> None:
             later = []
             for kind, part, ord_, a in facts_of(bytes(content or b"")):
                 if kind == "error":
-                    yield part, None, None, None, None, a["name"]
-                elif kind == "shared":
-                    shared[str(ord_)] = a.get("text", "")
-                elif kind == "xcell":
+                    yield part, None, None, None, a["name"]
+                elif kind == "string":
+                    shared[str(ord_)] = a["value"]
+                elif kind == "sheet_cell":
                     later.append((part, a))
             for part, a in later:
-                value = a.get("value")
-                yield part, a.get("ref"), a.get("type"), shared.get(value or "", value) if a.get("type") == "s" else value, a.get("formula"), None
+                yield part, a.get("r"), a.get("t"), shared.get(a["raw"], a["raw"]) if a.get("t") == "s" else a["raw"], None
 
     spark.udf.register("detect_format", detect_format)
     spark.udtf.register("doc_facts", DocFacts)

@@ -17,7 +17,7 @@ def table(s, d, name):
 
 
 def docx_facts(s, d):
-    return office.facts(synth.documents_as_docx(table(s, d, "documents")))
+    return office.stored_facts(synth.documents_as_docx(table(s, d, "documents")))
 
 
 def docx_plain_text(s, d) -> DataFrame:
@@ -30,7 +30,7 @@ def docx_counts(s, d) -> DataFrame:
 
 
 def xlsx_cells(s, d) -> DataFrame:
-    return excel.cells(office.facts(synth.orders_as_xlsx(table(s, d, "orders"), table(s, d, "lineitem"))))
+    return excel.cells(office.stored_facts(synth.orders_as_xlsx(table(s, d, "orders"), table(s, d, "lineitem"))))
 
 
 def xlsx_totals(s, d) -> DataFrame:
@@ -41,7 +41,7 @@ def xlsx_totals(s, d) -> DataFrame:
 
 
 def pptx_turns(s, d) -> DataFrame:
-    p = slides.paragraphs(office.facts(synth.conversations_as_pptx(table(s, d, "conversations")))).withColumn("text", M.plain_text(F.col("runs")))
+    p = slides.paragraphs(office.stored_facts(synth.conversations_as_pptx(table(s, d, "conversations")))).withColumn("text", M.plain_text(F.col("runs")))
     return p.groupBy(F.col("doc_id").cast("long").alias("conv_id"), F.col("slide_idx").cast("long").alias("slide_idx")).agg(F.max(F.when(F.col("heading") == 1, F.col("text"))).alias("title"), F.count_if(F.col("heading") == 0).alias("n_paragraphs"), F.sum(F.when(F.col("heading") == 0, F.length("text")).otherwise(0)).alias("n_chars"))
 
 
@@ -52,7 +52,7 @@ def metadata(s, d) -> DataFrame:
         core = f'<cp:coreProperties><dc:title>{r["source"]}</dc:title><dc:creator>{r["lang"]}</dc:creator><cp:keywords>a, {r["lang"]}; b</cp:keywords><dc:title>{r["source"]}-{r["doc_id"]}</dc:title></cp:coreProperties>'
         return synth.package("docx", {"word/document.xml": f"<w:document {synth.W}><w:body/></w:document>", "docProps/core.xml": core, "docProps/app.xml": f"<Properties><Words>{r['n_chars']}</Words><Pages>3</Pages><Slides>9</Slides></Properties>"})
 
-    m = office.documents(office.facts(synth.files(docs, build, "doc_id")))
+    m = office.documents(office.stored_facts(synth.files(docs, build, "doc_id")))
     return m.select(F.col("doc_id").cast("long").alias("doc_id"), "format", "title", "author", F.array_join("keywords", "|").alias("keywords"), "page_count", "word_count")
 
 
@@ -110,7 +110,7 @@ def spans(rows: DataFrame) -> DataFrame:
         body = "".join("<w:tr>" + cell(x["l_linenumber"], '<w:vMerge w:val="restart"/>' if x["k"] or not i else "<w:vMerge/>") + cell("v", "") + "</w:tr>" for i, x in enumerate(r["t"]))
         return synth.docx(f"<w:tbl>{body}</w:tbl>")
 
-    c = word.cells(office.facts(synth.files(rows, build, "l_orderkey"))).where("col = 0")
+    c = word.cells(office.stored_facts(synth.files(rows, build, "l_orderkey"))).where("col = 0")
     return c.select(F.col("doc_id").cast("long").alias("l_orderkey"), (F.col("row") + 1).cast("long").alias("nth"), F.col("row_span").cast("long").alias("row_span"))
 
 

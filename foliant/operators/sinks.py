@@ -17,16 +17,24 @@ from ..sources import office
 FORMATS = {"md": "md", "markdown": "md", "txt": "txt", "text": "txt", "json": "json"}
 
 
-def convert(files: DataFrame, target: str, formats: list[str], options: RenderOptions | None = None) -> None:
-    """target/md, target/txt, target/json: rows of doc_id and text as Parquet. Packages are parsed once."""
-    facts = office.facts(files).persist()
-    try:
-        o = options or RenderOptions(frontmatter=True, headings=HeadingConfig())
-        for name in dict.fromkeys(FORMATS[f] for f in formats):
-            out = {"md": lambda: render.to_markdown(facts, o), "txt": lambda: render.to_text(facts, o.cleanup), "json": lambda: render.to_json(facts)}[name]()
+def convert(files: DataFrame, target: str, formats: list[str], options: RenderOptions | None = None, as_files: bool = False) -> None:
+    """target/md, target/txt, target/json: rows of doc_id and text as Parquet, or (as_files) below a folder for each
+    document a text file whose lines are the document's. Packages are parsed once."""
+    facts = office.stored_facts(files)
+    o = options or RenderOptions(frontmatter=True, headings=HeadingConfig())
+    for name in dict.fromkeys(FORMATS[f] for f in formats):
+        out = {"md": lambda: render.to_markdown(facts, o), "txt": lambda: render.to_text(facts, o.cleanup), "json": lambda: render.to_json(facts)}[name]()
+        if not as_files:
             out.write.mode("overwrite").parquet(f"{target}/{name}")
-    finally:
-        facts.unpersist()
+            continue
+        body = next(c for c in out.columns if c != "doc_id")
+        named = out.select(F.col(body).alias("value"), document_name(F.col("doc_id")).alias("document"))
+        named.write.mode("overwrite").partitionBy("document").option("lineSep", "\n").text(f"{target}/{name}")
+
+
+def document_name(doc_id):
+    """A folder name of its own for every doc_id: letters, digits and a few marks as they are, and a hash of the whole."""
+    return F.concat(F.regexp_replace(F.right(doc_id, F.lit(60)), "[^A-Za-z0-9._-]", "_"), F.lit("-"), F.substring(F.sha2(doc_id, 256), 1, 16))
 
 
 def info(f: DataFrame) -> DataFrame:

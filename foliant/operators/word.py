@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.model import IMAGES, runs_of
+from ..functions.model import IMAGES, merge_runs, plain_text, runs_of
 from ..sources.office import kind, targets
 
 HOPS = 11
@@ -71,18 +73,37 @@ def cells(f: DataFrame) -> DataFrame:
     return kept.join(spans, ["doc_id", "cell"]).select("doc_id", "table_id", "cell", "row", "col", F.col("ord").alias("cell_idx"), F.col("span").alias("col_span"), "row_span", (F.col("head") | (F.col("row") == 0)).alias("is_header"))
 
 
-def cell_texts(f: DataFrame) -> DataFrame:
-    """Cells with their paragraphs: a repeated neighbour goes, and the second of two equal halves."""
-    from ..functions.model import plain_text
-
+def cell_texts(f: DataFrame, shown: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Cells with their paragraphs: a repeated neighbour goes, and the second of two equal halves. texts are plain;
+    shown (of merged runs, images, and whether bold goes without saying) gives another
+    rendering of each, in parts; alignment is the first one's."""
     p = paragraphs(f).where("region = 'cell'").withColumn("text", plain_text(F.col("runs")))
     w = Window.partitionBy("doc_id", "cell").orderBy("ord")
     p = p.where("text <> '' or size(images) > 0").withColumn("_before", F.lag("text").over(w)).where(~F.col("text").eqNullSafe(F.col("_before")) | (F.col("text") == ""))
-    text = p.groupBy("doc_id", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"), F.max("alignment").alias("alignment"))
-    half = (F.size("texts") / 2).cast("int")
-    twice = (F.size("texts") % 2 == 0) & (F.size("texts") > 0) & (F.slice("texts", F.lit(1), half) == F.slice("texts", half + 1, half))
-    text = text.withColumn("texts", F.when(twice, F.slice("texts", F.lit(1), half)).otherwise(F.col("texts")))
-    return cells(f).join(text, ["doc_id", "cell"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    grid = cells(f)
+    p = p.join(grid.select("doc_id", "cell", "is_header"), ["doc_id", "cell"])
+    if shown:  # columns of their own, as each is used several times in the next
+        p = p.withColumn("_merged", merge_runs(F.col("runs")))
+        filled = F.filter("_merged", lambda r: F.trim(F.coalesce(r["t"], F.lit(""))) != "")
+        p = p.withColumn("_plain", F.col("is_header") & (F.size(filled) > 0) & F.forall(filled, lambda r: F.coalesce(r["b"], F.lit(False))))
+        p = p.withColumn("part", shown(F.col("_merged"), F.col("images"), F.col("_plain")))
+    else:
+        p = p.withColumn("part", F.col("text"))
+    bold = F.forall("runs", lambda r: (F.trim(F.coalesce(r["t"], F.lit(""))) == "") | F.coalesce(r["b"], F.lit(False)))
+    all_ = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text", "part", "alignment", bold.alias("bold")))), lambda x: x.dropFields("ord"))
+    text = p.groupBy("doc_id", "cell").agg(all_.alias("all"))
+    texts = lambda x: F.transform(x, lambda y: y["text"])
+    half = (F.size("all") / 2).cast("int")
+    twice = (F.size("all") % 2 == 0) & (F.size("all") > 0) & (texts(F.slice("all", F.lit(1), half)) == texts(F.slice("all", half + 1, half)))
+    text = text.withColumn("all", F.when(twice, F.slice("all", F.lit(1), half)).otherwise(F.col("all")))
+    empty = F.array().cast("array<string>")
+    out = grid.join(text, ["doc_id", "cell"], "left")
+    return out.withColumns({
+        "texts": F.coalesce(texts(F.col("all")), empty),
+        "parts": F.coalesce(F.filter(F.transform("all", lambda x: x["part"]), lambda x: x != ""), empty),
+        "alignment": F.coalesce(F.get("all", F.lit(0))["alignment"], F.lit("left")),
+        "bold": F.coalesce(F.forall("all", lambda x: x["bold"]), F.lit(False)),
+    }).drop("all")
 
 
 def note_definitions(f: DataFrame) -> DataFrame:

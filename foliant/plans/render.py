@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from ..operators import excel, headings, slides, word
 from ..options import HeadingConfig, RenderOptions
 from ..sources.office import documents, kind
 
-BLOCK = ["doc_id", "section_idx", "region", "class", "ord", "block_type", "runs", "images", "heading", "list_type", "list_level", "list_number", "style_id", "style_name", "table_id"]
+BLOCK = ["doc_id", "section_idx", "region", "class", "ord", "block_type", "runs", "images", "heading", "list_type", "list_level", "list_number", "style_id", "style_name", "table_id", "alignment"]
 
 
 # --------------------------------------------------------------------------- blocks of all formats
@@ -23,7 +24,7 @@ def blocks(f: DataFrame) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
 
     def shaped(df: DataFrame, **have: Column) -> DataFrame:
-        base = {"section_idx": F.lit(0), "region": F.lit("body"), "class": F.lit(0), "block_type": F.lit("Paragraph"), "runs": F.array().cast(RUNS), "images": F.array().cast(IMAGES), "heading": F.lit(0), "list_type": none("string"), "list_level": none("int"), "list_number": none("long"), "style_id": none("string"), "style_name": none("string"), "table_id": none("string")}
+        base = {"section_idx": F.lit(0), "region": F.lit("body"), "class": F.lit(0), "block_type": F.lit("Paragraph"), "runs": F.array().cast(RUNS), "images": F.array().cast(IMAGES), "heading": F.lit(0), "list_type": none("string"), "list_level": none("int"), "list_number": none("long"), "style_id": none("string"), "style_name": none("string"), "table_id": none("string"), "alignment": none("string")}
         cols = {c: have.get(c, F.col(c) if c in df.columns else base.get(c)) for c in BLOCK}
         return df.select(*[cols[c].alias(c) for c in BLOCK])
 
@@ -49,27 +50,41 @@ def blocks(f: DataFrame) -> DataFrame:
     return out
 
 
-def grid_cells(f: DataFrame) -> DataFrame:
-    """doc_id, table_id, row, col, text, col_span, row_span, is_header of all tables; charts included."""
-    one = lambda c: F.array_join(F.col(c), "<br>")
-    w = word.cell_texts(f).select("doc_id", "table_id", "row", "col", one("texts").alias("text"), "col_span", "row_span", "is_header")
+def grid_cells(f: DataFrame, shown: Callable | None = None) -> DataFrame:
+    """doc_id, table_id, row, col, text, col_span, row_span, is_header, align, bold of all tables; charts included. shown
+    renders the paragraphs of Word cells (else they are plain)."""
+    w = word.cell_texts(f, shown)
+    w = w.select("doc_id", "table_id", "row", "col", F.array_join("parts" if shown else "texts", "<br>").alias("text"), "col_span", "row_span", "is_header", F.col("alignment").alias("align"), "bold")
     value = F.coalesce("value", F.lit(""))
     value = F.when(F.col("link").isNotNull() & (value != ""), F.concat(F.lit("["), value, F.lit("]("), F.col("link"), F.lit(")"))).otherwise(value)
     value = F.concat(value, F.coalesce(F.concat(F.lit(" *[Comment: "), F.col("comment"), F.lit("]*")), F.lit("")))
-    x = excel.table_cells(f)
-    x = x.select("doc_id", F.concat(F.lit("sheet#"), F.col("sheet_idx")).alias("table_id"), F.col("row_idx").alias("row"), "col", value.alias("text"), "col_span", "row_span", (F.col("row_idx") == 0).alias("is_header"))
-    s = slides.table_cells(f).select("doc_id", "table_id", "row", "col", "text", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), "is_header")
+    x = excel.table_cells(f).join(excel.rich_images(f).groupBy("doc_id", "vm").agg(F.min("image").alias("picture")), ["doc_id", "vm"], "left")
+    value = F.concat(value, F.coalesce(F.concat(F.lit("![]("), F.col("picture"), F.lit(")")), F.lit("")))
+    left = {"align": F.lit("left"), "bold": F.lit(False)}
+    x = x.select("doc_id", F.concat(F.lit("sheet#"), F.col("sheet_idx")).alias("table_id"), F.col("row_idx").alias("row"), "col", value.alias("text"), "col_span", "row_span", (F.col("row_idx") == 0).alias("is_header")).withColumns(left)
+    s = slides.table_cells(f).select("doc_id", "table_id", "row", "col", "text", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), "is_header").withColumns(left)
     c = slides.chart_tables(f).select("doc_id", F.col("chart").alias("table_id"), F.posexplode(F.concat(F.array("header"), F.col("rows"))).alias("row", "values")).select("doc_id", "table_id", "row", F.posexplode("values").alias("col", "text"))
-    c = c.select("doc_id", "table_id", "row", "col", "text", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), (F.col("row") == 0).alias("is_header"))
+    c = c.select("doc_id", "table_id", "row", "col", "text", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), (F.col("row") == 0).alias("is_header")).withColumns(left)
     return w.unionByName(x).unionByName(s).unionByName(c)
 
 
+def with_nested(f: DataFrame, bodies: DataFrame, sep: str) -> DataFrame:
+    """doc_id, table_id, body: a table's nested ones, at whatever depth, follow it in their order."""
+    tree = kind(f, "table", table_id="table", root="root").select("doc_id", "table_id", "root", "ord")
+    rows = bodies.join(tree, ["doc_id", "table_id"], "left")
+    rows = rows.select("doc_id", F.coalesce("root", "table_id").alias("table_id"), F.coalesce("ord", F.lit(0)).alias("ord"), "body")
+    return ordered(rows, ["doc_id", "table_id"], "body", sep, ["ord"])
+
+
 # --------------------------------------------------------------------------- Markdown scalars
+_BEFORE, _AFTER = r"(?<=[^\s\p{Z}(\[{:\-/\\])", r"(?=[^\s\p{Z})\]}:\-/\\])"
+
+
 def escape(t: Column, cell: bool = False) -> Column:
-    """Backslashes and backquotes always, bars in cells, stars and underscores where they could open or close."""
-    t = F.regexp_replace(t, r"([\\`])", r"\\$1")
-    t = F.regexp_replace(t, r"\*(?=\S)|(?<=\S)\*", r"\\*")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\s])_(?=\S)|(?<=\S)_(?![\p{L}\p{N}\s_])(?<!\s_)", "_")
+    """Backslashes and backquotes always, bars in cells, stars and underscores between characters where they could open
+    or close; no underscore inside a word."""
+    word = r"(?:(?<![\p{L}\p{N}]_)|(?![\p{L}\p{N}]))"
+    t = F.regexp_replace(t, rf"([\\`]|{_BEFORE}\*{_AFTER}|{_BEFORE}_{_AFTER}{word})", r"\\$1")
     return F.replace(t, F.lit("|"), F.lit("\\|")) if cell else t
 
 
@@ -113,31 +128,55 @@ def join_runs(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(""), step)
 
 
-def image_markdown(images: Column, prefix: str) -> Column:
-    return F.array_join(F.transform(images, lambda i: F.concat(F.lit("!["), F.coalesce(i["alt"], F.lit("")), F.lit("]("), link_target(F.concat(F.lit(prefix), F.coalesce(i["rid"], F.lit("")))), F.lit(")"))), "\n")
+def image_markdown(images: Column, prefix: str, sep: str = "\n") -> Column:
+    return F.array_join(F.transform(images, lambda i: F.concat(F.lit("!["), F.coalesce(i["alt"], F.lit("")), F.lit("]("), link_target(F.concat(F.lit(prefix), F.coalesce(i["rid"], F.lit("")))), F.lit(")"))), sep)
+
+
+def cell_markdown(o: RenderOptions) -> Callable[[Column, Column, Column], Column]:
+    """A paragraph of a Word cell with its formats, links and pictures; bold as a whole is left out in a header."""
+
+    def shown(runs: Column, images: Column, uniform: Column) -> Column:
+        body = join_runs(F.transform(runs, lambda r: run_markdown(r, o, uniform)))
+        if o.preserve_breaks:
+            body = F.replace(body, F.lit("  \n"), F.lit("<br>"))
+        return F.concat_ws("<br>", F.nullif(body, F.lit("")), F.nullif(image_markdown(images, o.image_prefix, "<br>"), F.lit("")))
+
+    return shown
 
 
 def tables_markdown(f: DataFrame, o: RenderOptions) -> DataFrame:
     """doc_id, table_id, body: pipe tables, or HTML for merged ones if that is asked for. Cells stand at their
-    column, and what spans cover is empty."""
-    c = grid_cells(f)
+    column, and what spans cover is empty; columns are aligned as the cells of the first row of data are."""
+    c = grid_cells(f, cell_markdown(o))
+    keys = ["doc_id", "table_id"]
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
-    size = c.groupBy("doc_id", "table_id").agg(F.max(F.col("col") + F.col("col_span")).alias("width"), F.max(F.greatest("col_span", "row_span")).alias("spans"))
-    rows = c.groupBy("doc_id", "table_id", "row").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("col", F.replace(text, F.lit("|"), F.lit("\\|")).alias("text"))))).alias("at"), F.array_sort(F.collect_list(F.struct("col", text.alias("text"), "col_span", "row_span", "is_header"))).alias("cells"))
-    rows = rows.join(size, ["doc_id", "table_id"])
-    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.coalesce(F.element_at("at", k), F.lit(""))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("\n| "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("width")), lambda _: F.lit("---")), " | "), F.lit(" |"))
+    size = c.groupBy(*keys).agg(F.max(F.col("col") + F.col("col_span")).alias("width"), F.max(F.greatest("col_span", "row_span")).alias("spans"))
+    cell = F.struct("col", text.alias("text"), "col_span", "row_span", "is_header", "align", "bold")
+    rows = c.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(cell)).alias("cells")).join(size, keys)
+    barred = lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))
+    rows = rows.withColumn("at", F.map_from_entries(F.transform(F.array_distinct(F.transform("cells", lambda x: x["col"])), lambda k: F.struct(k, barred(F.filter("cells", lambda x: x["col"] == k)[0]["text"])))))
+    columns = F.sequence(F.lit(0), F.col("width") - 1)
+    line = F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda k: F.coalesce(F.element_at("at", k), F.lit(""))), " | "), F.lit(" |"))
+    # a column that a merge covers is aligned as the cell that covers it
+    side = lambda k: F.try_element_at(F.filter("cells", lambda x: x["col"] <= k), F.lit(-1))["align"]
+    mark = lambda k: F.when(side(k) == "center", ":---:").when(side(k) == "right", "---:").otherwise("---")
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(columns, mark), " | "), F.lit(" |"))
     html = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     attr = lambda n, x: F.when(x > 1, F.concat(F.lit(f' {n}="'), x.cast("string"), F.lit('"'))).otherwise("")
     tag = lambda x: F.when(x["is_header"], "th").otherwise("td")
-    cell = lambda x: F.concat(F.lit("<"), tag(x), attr("colspan", x["col_span"]), attr("rowspan", x["row_span"]), F.lit(">"), html(x["text"]), F.lit("</"), tag(x), F.lit(">"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "table_id").orderBy("row")) == 1
-    rows = rows.withColumn("_md", F.concat(line, F.when(first, rule).otherwise(""))).withColumn("_html", F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", cell), ""), F.lit("</tr>")))
-    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", x))), lambda s: s[x]), "\n")
-    out = rows.groupBy("doc_id", "table_id").agg(joined("_md").alias("md"), joined("_html").alias("html"), F.first("spans").alias("spans"))
-    if o.table != "html":
-        return out.select("doc_id", "table_id", F.col("md").alias("body"))
-    return out.select("doc_id", "table_id", F.when(F.col("spans") > 1, F.concat(F.lit("<table>\n"), F.col("html"), F.lit("\n</table>"))).otherwise(F.col("md")).alias("body"))
+    html_cell = lambda x: F.concat(F.lit("<"), tag(x), attr("colspan", x["col_span"]), attr("rowspan", x["row_span"]), F.lit(">"), html(x["text"]), F.lit("</"), tag(x), F.lit(">"))
+    rows = rows.withColumns({"_md": line, "_rule": rule, "_html": F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", html_cell), ""), F.lit("</tr>"))})
+    joined = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("row", x))), lambda s: s[x])
+    rows = rows.withColumn("_head", F.forall("cells", lambda x: x["is_header"]))
+    out = rows.groupBy(*keys).agg(joined("_md").alias("md"), joined("_html").alias("html"), F.min_by("_rule", F.struct("_head", "row")).alias("rule"), F.first("spans").alias("spans"), F.count("*").alias("rows"), F.first("cells").alias("cells"))
+    body = F.array_join(F.array_insert("md", 2, F.col("rule")), "\n")
+    if o.table == "html":
+        body = F.when(F.col("spans") > 1, F.concat(F.lit("<table>\n"), F.array_join("html", "\n"), F.lit("\n</table>"))).otherwise(body)
+    if o.callouts:
+        only = F.get("cells", F.lit(0))
+        quoted = F.transform(F.split(only["text"], "<br>"), lambda x: F.when(F.trim(x) == "", ">").otherwise(F.concat(F.lit("> **"), F.trim(x), F.lit("**"))))
+        body = F.when((F.col("rows") == 1) & (F.size("cells") == 1) & only["bold"] & (F.trim(only["text"]) != ""), F.array_join(quoted, "\n")).otherwise(body)
+    return with_nested(f, out.select(*keys, body.alias("body")), "\n\n")
 
 
 def frontmatter(f: DataFrame) -> DataFrame:
@@ -225,7 +264,7 @@ def tables_text(f: DataFrame) -> DataFrame:
     line = lambda k: F.concat(F.lit("| "), F.array_join(F.transform("x", lambda s: s[k]), " | "), F.lit(" |"))
     first = F.row_number().over(Window.partitionBy("doc_id", "table_id").orderBy("row")) == 1
     rows = rows.withColumn("line", F.concat(line("cell"), F.when(first, F.concat(F.lit("\n"), line("rule"))).otherwise("")))
-    return ordered(rows, ["doc_id", "table_id"], "line", "\n", ["row"]).withColumnRenamed("line", "body")
+    return with_nested(f, ordered(rows, ["doc_id", "table_id"], "line", "\n", ["row"]).withColumnRenamed("line", "body"), "\n")
 
 
 def to_text(f: DataFrame, cleanup=None) -> DataFrame:
@@ -245,7 +284,8 @@ def plain(f: DataFrame) -> DataFrame:
     """doc_id, text: paragraphs and tables of bodies only."""
     b = blocks(f).where("region = 'body'")
     c = ordered(grid_cells(f).withColumn("text", F.replace(F.coalesce("text", F.lit("")), F.lit("<br>"), F.lit("\n"))), ["doc_id", "table_id", "row"], "text", "\t", ["col"])
-    b = b.join(ordered(c, ["doc_id", "table_id"], "text", "\n", ["row"]).withColumnRenamed("text", "body"), ["doc_id", "table_id"], "left")
+    bodies = with_nested(f, ordered(c, ["doc_id", "table_id"], "text", "\n", ["row"]).withColumnRenamed("text", "body"), "\n")
+    b = b.join(bodies, ["doc_id", "table_id"], "left")
     b = b.withColumn("text", F.when(F.col("block_type") == "Table", F.coalesce("body", F.lit(""))).otherwise(plain_text(F.coalesce("runs", F.array().cast(RUNS)))))
     s = ordered(b, ["doc_id", "section_idx"], "text", "\n", ["class", "ord"])
     return ordered(s, ["doc_id"], "text", "\n\n", ["section_idx"]).withColumn("text", F.regexp_replace("text", "^\n+|\n+$", ""))
@@ -257,12 +297,19 @@ def to_json(f: DataFrame, pretty: bool = False) -> DataFrame:
     run = lambda r: F.struct(r["t"].alias("text"), F.struct(on(r["b"]).alias("bold"), on(r["i"]).alias("italic"), on(r["u"]).alias("underline"), on(r["s"]).alias("strikethrough"), on(r["sup"]).alias("superscript"), on(r["sub"]).alias("subscript"), r["font"].alias("font"), r["size"].try_cast("int").alias("size"), r["color"].alias("color"), r["hl"].alias("highlight")).alias("style"), r["rid"].alias("hyperlink"), on(r["lb"]).alias("line_break"), on(r["pb"]).alias("page_break"), r["rev"].alias("revision"))
     cells = grid_cells(f).groupBy("doc_id", "table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.struct(F.col("text").alias("content"), F.when(F.col("col_span") > 1, F.col("col_span")).alias("col_span"), F.when(F.col("row_span") > 1, F.col("row_span")).alias("row_span"), on(F.col("is_header")).alias("is_header")).alias("c")))).alias("cells"))
     tables = cells.groupBy("doc_id", "table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: F.struct(F.transform(r["cells"], lambda x: x["c"]).alias("cells"))).alias("rows"))
-    b = blocks(f).where("region = 'body'").join(tables, ["doc_id", "table_id"], "left")
+    tree = kind(f, "table", table_id="table", root="root").select("doc_id", "table_id", "root", "ord").where("root <> table_id")
+    nested = tree.join(tables, ["doc_id", "table_id"]).groupBy("doc_id", F.col("root").alias("table_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rows"))), lambda x: F.struct(x["rows"].alias("rows"))).alias("nested_tables"))
+    b = blocks(f).join(tables, ["doc_id", "table_id"], "left").join(nested, ["doc_id", "table_id"], "left")
     heading = F.when(F.col("heading") > 0, F.concat(F.lit("H"), F.col("heading").cast("string")))
-    block = F.struct(F.col("block_type").alias("type"), F.when(F.col("block_type") == "Paragraph", F.transform("runs", run)).alias("runs"), heading.alias("heading"), F.when(F.col("list_type").isNotNull(), F.struct("list_type", F.col("list_level").alias("level"), F.col("list_number").alias("number"))).alias("list_info"), "style_id", "style_name", "rows", F.when(F.size("images") > 0, F.col("images")).alias("images"))
-    content = b.groupBy("doc_id", "section_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "ord", F.to_json(block).alias("j")))), lambda x: x["j"]).alias("content"))
-    s = sections(f).join(content, ["doc_id", "section_idx"], "left")
-    s = s.withColumn("j", F.concat(F.lit('{"index":'), F.col("section_idx").cast("string"), F.coalesce(F.concat(F.lit(',"name":'), F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)")), F.lit("")), F.lit(',"content":['), F.array_join(F.coalesce("content", F.array().cast("array<string>")), ","), F.lit("]}")))
+    listed = F.when(F.col("list_type").isNotNull(), F.struct("list_type", F.col("list_level").alias("level"), F.col("list_number").alias("number")))
+    aligned = F.when(F.col("alignment") != "left", F.col("alignment"))
+    block = F.struct(F.col("block_type").alias("type"), F.when(F.col("block_type") == "Paragraph", F.transform("runs", run)).alias("runs"), heading.alias("heading"), aligned.alias("alignment"), listed.alias("list_info"), "style_id", "style_name", "rows", "nested_tables", F.when(F.size("images") > 0, F.col("images")).alias("images"))
+    b = b.withColumn("_block", F.struct("class", "ord", F.to_json(block).alias("j")))
+    of = lambda region: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("region") == region, F.col("_block")))), lambda x: x["j"]), ",").alias(region)
+    s = sections(f).join(b.groupBy("doc_id", "section_idx").agg(*(of(r) for r in ("body", "header", "footer", "notes"))), ["doc_id", "section_idx"], "left")
+    name = F.when(F.col("name").isNotNull(), F.concat(F.lit(',"name":'), F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)"))).otherwise("")
+    more = [F.when(F.coalesce(r, F.lit("")) != "", F.concat(F.lit(f',"{r}":['), F.col(r), F.lit("]"))).otherwise("") for r in ("header", "footer", "notes")]
+    s = s.withColumn("j", F.concat(F.lit('{"index":'), F.col("section_idx").cast("string"), name, F.lit(',"content":['), F.coalesce("body", F.lit("")), F.lit("]"), *more, F.lit("}")))
     s = ordered(s, ["doc_id"], "j", ",", ["section_idx"])
     d = documents(f).withColumn("keywords", F.when(F.size("keywords") > 0, F.col("keywords")))
     meta = F.to_json(F.struct(*[c for c in d.columns if c not in ("doc_id", "format", "error")]))

@@ -165,11 +165,11 @@ class Word:
             self.block += 1
             yield "para", part, self.block, x
 
-    def table(self, node: Node, part: str, region: str, parent: str = "") -> Iterator[Fact]:
+    def table(self, node: Node, part: str, region: str, parent: str = "", root: str = "") -> Iterator[Fact]:
         self.tables += 1
         table = f"{part}#{self.tables}"
         self.block += 1
-        yield "table", part, self.block, {"table": table, "parent": parent, "region": region}
+        yield "table", part, self.block, {"table": table, "parent": parent, "root": root or table, "region": region}
         for r, row in enumerate(node.each("w:tr")):
             head = flag((row.first("w:trPr") or Node("", {})).first("w:tblHeader")) if row.first("w:trPr") else False
             for c, cell in enumerate(row.each("w:tc")):
@@ -182,7 +182,7 @@ class Word:
                     if child.name == "w:p":
                         yield from self.paragraph(child, part, "cell", {"cell": name, "table": table})
                     elif child.name == "w:tbl":
-                        yield from self.table(child, part, region, name)
+                        yield from self.table(child, part, region, name, root or table)
 
     def body(self, node: Node, part: str, region: str) -> Iterator[Fact]:
         for c in node.children:

@@ -49,11 +49,8 @@ def stream_markdown(spark: SparkSession, source: str, target: str, checkpoint: s
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(source)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        facts = office.facts(batch, "path").persist()
-        try:
-            render.to_markdown(facts, options).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")  # a repeated epoch replaces itself
-        finally:
-            facts.unpersist()
+        facts = office.stored_facts(batch, "path")
+        render.to_markdown(facts, options).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")  # a repeated epoch replaces itself
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -12,7 +12,7 @@ from foliant.sources.package import OfficeError, Package, parse_xml
 
 
 def facts(spark, content, doc="d"):
-    return office.facts(spark.createDataFrame([(doc, bytearray(content))], "doc_id string, content binary"))
+    return office.stored_facts(spark.createDataFrame([(doc, bytearray(content))], "doc_id string, content binary"))
 
 
 def cfb(names):
@@ -203,3 +203,63 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/a.docx").write_bytes(synth.docx_of(["hello", "there"]))
     ingest.stream_markdown(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["markdown"] == "hello\n\nthere"
+
+
+def test_tables_in_cells(spark):
+    p = lambda t, pr="", rpr="": f"<w:p><w:pPr>{pr}</w:pPr><w:r><w:rPr>{rpr}</w:rPr><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda x: f"<w:tc>{x}</w:tc>"
+    inner = f"<w:tbl><w:tr>{cell(p('inner'))}</w:tr></w:tbl>"
+    rows = f"<w:tr>{cell(p('Name', rpr='<w:b/>'))}{cell(p('Sum'))}</w:tr><w:tr>{cell(p('a', rpr='<w:i/>') + inner)}{cell(p('7|8', pr='<w:jc w:val=&quot;right&quot;/>'.replace('&quot;', chr(34))))}</w:tr>"
+    f = facts(spark, synth.docx(f"<w:tbl>{rows}</w:tbl>"))
+    md = render.to_markdown(f).first()["markdown"]
+    assert md == "| Name | Sum |\n| --- | ---: |\n| *a* | 7\\|8 |\n\n| inner |\n| --- |"
+    assert "inner" in render.to_text(f).first()["text"] and "inner" in render.plain(f).first()["text"]
+    assert '"nested_tables":[{"rows":[{"cells":[{"content":"inner"' in render.to_json(f).first()["json"] and '"name":null' not in render.to_json(f).first()["json"]
+    quote = facts(spark, synth.docx(f"<w:tbl><w:tr>{cell(p('Mind', rpr='<w:b/>') + p('the gap', rpr='<w:b/>'))}</w:tr></w:tbl>"))
+    assert render.to_markdown(quote, RenderOptions(callouts=True)).first()["markdown"] == "> **Mind**\n> **the gap**"
+
+
+def test_escapes(spark):
+    cases = {"a*b": "a\\*b", "2 * 3": "2 * 3", "some_name_here": "some_name_here", "x_!": "x\\_!", "(*)": "(*)", "b\\c": "b\\\\c", "`q`": "\\`q\\`"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [tuple(r) for r in df.select(render.escape(F.col("t")).alias("got"), "want").where("got <> want").collect()] == []
+
+
+def test_damage_is_a_row(spark):
+    import io
+    import zipfile
+
+    whole = bytearray(synth.docx("<w:p><w:r><w:t>" + "text " * 400 + "</w:t></w:r></w:p>"))
+    with zipfile.ZipFile(io.BytesIO(bytes(whole))) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    broken = bytearray(out.getvalue())
+    at = broken.index(b"word/document.xml") + len("word/document.xml")
+    broken[at : at + 40] = b"\xff" * 40
+    deep = synth.docx("<w:tbl><w:tr><w:tc>" * 3000 + "</w:tc></w:tr></w:tbl>" * 3000)
+    rows = spark.createDataFrame([("broken", broken), ("deep", bytearray(deep)), ("whole", whole)], "doc_id string, content binary")
+    found = {r["doc_id"]: r["error"] for r in office.documents(office.facts(rows)).collect()}
+    assert found["broken"] is not None and found["deep"] is not None and found["whole"] is None
+
+
+def test_facts_are_stored_once(spark):
+    f = office.stored_facts(spark.createDataFrame([("d", bytearray(synth.docx("<w:p><w:r><w:t>hi</w:t></w:r></w:p>")))], "doc_id string, content binary"))
+    out = render.to_markdown(f)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString() and out.first()["markdown"] == "hi"
+
+
+def test_sql_functions(spark):
+    from foliant.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(bytearray(synth.docx("<w:p><w:r><w:t>one</w:t></w:r></w:p>")),), (bytearray(b"nothing"),)], "content binary").createOrReplaceTempView("packages")
+    rows = spark.sql("SELECT b.* FROM packages, LATERAL doc_blocks(content) b").collect()
+    assert sorted((r["text"] or "", r["error"] or "") for r in rows) == [("", "UnknownFormat"), ("one", "")]
+    assert spark.sql("SELECT count(*) AS n FROM packages, LATERAL doc_parts(content) p WHERE p.error IS NOT NULL").first()["n"] == 1
+    book = bytearray(synth.xlsx({"s": '<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>5</v></c></row></sheetData>'}, ["hello"], [0]))
+    spark.createDataFrame([(book,)], "content binary").createOrReplaceTempView("books")
+    assert {(r["cell_ref"], r["value"]) for r in spark.sql("SELECT c.* FROM books, LATERAL sheet_cells(content) c").collect()} == {("A1", "hello"), ("B1", "5")}
+    assert spark.sql("SELECT clean_text('a  b' || chr(10) || chr(10) || chr(10) || 'Page 3' || chr(10) || 'c') AS t").first()["t"] == "a b\n\nc"
