@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, slices, span_hashes, stored, text_bytes, word_bounds
+from .common import NOT_ALNUM, ascii_lower, release, slices, span_hashes, stored, text_bytes, word_bounds
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -182,6 +182,9 @@ def rank(match: tuple) -> tuple:
     return -match[0], match[2], match[1] is not None, match[1] or 0
 
 
+#: Bytes of text in a shard: small, as a task keeps its arrays beside the workers of other stages.
+SHARD = 2 << 20
+
 FOUND = "n_words long, n_hit long, hit_words binary, items array<long>, match_words long, match_item long, match_at long"
 
 
@@ -204,7 +207,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, tex
         def run(batches, sent=sent, first=b == 0):
             bench = Benchmark(sent.value, window)
             for whole in batches:
-                for batch in slices(whole, text):
+                for batch in slices(whole, text, SHARD):
                     counts, hit, before, found, longest = search(batch.column(text), bench)
                     was = None if first else {c: batch.column(c).to_pylist() for c in ("hit_words", "items", "match_words", "match_item", "match_at")}
                     bits, ids, best, n_hit = [], [], [], []
@@ -229,6 +232,8 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, tex
                         [*kept, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.int64())), *(pa.array([x[i] for x in best], pa.int64()) for i in range(3))],
                         names=[*names, "n_words", "n_hit", "hit_words", "items", "match_words", "match_item", "match_at"],
                     )
+                    del counts, hit, before, found, longest
+                release()
 
         frame = docs if b == 0 else frame  # noqa: F821
         frame = frame.mapInArrow(run, schema)
