@@ -114,11 +114,6 @@ def spans(rows: DataFrame) -> DataFrame:
     return c.select(F.col("doc_id").cast("long").alias("l_orderkey"), (F.col("row") + 1).cast("long").alias("nth"), F.col("row_span").cast("long").alias("row_span"))
 
 
-def styles_and_tables(s, d) -> DataFrame:
-    """The tenth of the orders that the SQL of table_spans names; table_spans_all has every order."""
-    return spans(orders_of_lines(s, d).where("l_orderkey % 10 = 1"))
-
-
 def table_spans_all(s, d) -> DataFrame:
     return spans(orders_of_lines(s, d))
 
@@ -129,7 +124,7 @@ def quality_report(s, d) -> DataFrame:
     return b.rollup("lang").agg(F.countDistinct("doc_id").alias("n_docs"), F.count_if(F.col("block_type") == "Paragraph").alias("n_paragraphs"), F.count_if(F.col("block_type") == "Table").alias("n_tables"))
 
 
-QUERIES = {f.__name__: f for f in (docx_plain_text, docx_counts, xlsx_totals, pptx_turns, metadata, list_numbers, heading_sequences, cell_refs, serial_dates, paths, markdown, quality_report, table_spans_all)} | {"table_spans": styles_and_tables}
+QUERIES = {f.__name__: f for f in (docx_plain_text, docx_counts, xlsx_totals, pptx_turns, metadata, list_numbers, heading_sequences, cell_refs, serial_dates, paths, markdown, quality_report, table_spans_all)} | {"table_spans": table_spans_all}
 
 LINES = "string_split(coalesce(text, ''), chr(10))"
 ORACLES = {
@@ -145,6 +140,6 @@ ORACLES = {
     "paths": "SELECT page_id, p AS path, 'a/b' || page_id % 3 || '/_rels/c.xml.rels' AS rels, CASE WHEN p LIKE '%.png' THEN 'image/png' ELSE 'application/octet-stream' END AS mime FROM (SELECT page_id, ['a/x/y.xml', 'root.xml', 'a/b' || page_id % 3 || '/z.png', 'q.xml'][page_id % 4 + 1] AS p FROM pages)",
     "markdown": r"SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM documents",
     "quality_report": f"SELECT lang, count(*) AS n_docs, sum(len({LINES}))::BIGINT AS n_paragraphs, 0::BIGINT AS n_tables FROM documents GROUP BY ROLLUP (lang)",
-    "table_spans": "WITH r AS (SELECT l_orderkey, row_number() OVER w AS nth, CASE WHEN l_partkey % 2 = 1 OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS head FROM lineitem WHERE l_orderkey % 10 = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 2)), g AS (SELECT *, sum(head) OVER (PARTITION BY l_orderkey ORDER BY nth) AS grp FROM r) SELECT l_orderkey, min(nth) AS nth, count(*) AS row_span FROM g GROUP BY l_orderkey, grp",
     "table_spans_all": "WITH r AS (SELECT l_orderkey, row_number() OVER w AS nth, CASE WHEN l_partkey % 2 = 1 OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS head FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 2)), g AS (SELECT *, sum(head) OVER (PARTITION BY l_orderkey ORDER BY nth) AS grp FROM r) SELECT l_orderkey, min(nth) AS nth, count(*) AS row_span FROM g GROUP BY l_orderkey, grp",
 }
+ORACLES["table_spans"] = ORACLES["table_spans_all"]  # both names: every order
