@@ -7,8 +7,8 @@ the exact inner product. Vectors of any norm get one more component that evens t
 product is the smallest angle.
 
 Equal vectors are one class: only the k + 1 least ids of a class can be among the k nearest of anyone, and equal
-queries are searched once. Classes are dealt into blocks of bounded size, each with its own sorted arrays; the stated
-query set visits the blocks in bounded groups, so no task holds more than a block and a group.
+queries are searched once. Classes are dealt into blocks of bounded size, each moved once and indexed once; the stated
+query set then streams past every block's sorted arrays in batches, so a task holds one block and one batch.
 
 Uniform random vectors, as in the test tables, have no near neighbours to speak of: a recall of 0.9 takes two fifths of
 all vectors as candidates. `trees` and `share` are the price; on clustered vectors a small share will do.
@@ -86,7 +86,7 @@ def vectors_of(embeddings: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.sha2(F.col("v").cast("string"), 256))
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 128, share: float = 0.4, least_met: int = 4000, block: int = 16384, group: int = 4096) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 128, share: float = 0.4, least_met: int = 4000, block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every vec_id that `every` divides."""
     rows = vectors_of(embeddings)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -100,44 +100,71 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 12
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key", "v")
     queries = asked.groupBy("key").agg(F.first("v").alias("v"))
     blocks = max(1, -(-int(n or 0) // block))
-    groups = max(1, -(-int(n or 0) // every // group) * 2)
-    deal = lambda n: F.pmod(F.xxhash64("key", F.lit(n)), F.lit(n)).cast("int")
-    index = classes.withColumn("block", deal(blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    visits = queries.withColumn("group", deal(groups)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    deal = F.pmod(F.xxhash64("key", F.lit(blocks)), F.lit(blocks)).cast("int")
+    none = F.lit(None).cast("array<long>")
+    index = classes.select(deal.alias("block"), F.lit(0).alias("kind"), "key", "v", "ids")
+    visits = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "key", "v", none.alias("ids"))
+    # of each block first the classes, then the queries that pass them
+    dealt = index.unionByName(visits).repartition(blocks, "block").sortWithinPartitions("block", "kind", "key")
 
     def matrix(column) -> np.ndarray:
         flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
         return flat.to_numpy(zero_copy_only=False).reshape(-1, dims)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"key": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("key")
-            x, q = matrix(left.column("v")), matrix(right.column("v"))
-            x32 = x.astype(np.float32)
-            p = planes(dims + 1, trees)
-            spare = np.sqrt(np.maximum((longest or 0) - (x * x).sum(1), 0))
-            forest = Forest(strings(np.column_stack([x, spare]), p))
-            owners, keys = left.column("ids").to_pylist(), right.column("key").to_pylist()
-            least = np.array([o[0] for o in owners])
-            low, high = forest.search(strings(np.column_stack([q, np.zeros(len(q))]), p), max(share * len(x), least_met))
+    p = planes(dims + 1, trees)
+    # the products of two single-precision vectors are off by no more than this, either way
+    off = (dims + 2) * 2.0**-23 * float(longest or 0)
+
+    class Block:
+        """The classes of a block, indexed."""
+
+        def __init__(self, parts: list[pa.RecordBatch]):
+            held = pa.Table.from_batches(parts)
+            self.x, self.owners = matrix(held.column("v")), held.column("ids").to_pylist()
+            self.x32 = self.x.astype(np.float32)
+            spare = np.sqrt(np.maximum((longest or 0) - (self.x * self.x).sum(1), 0))
+            self.forest = Forest(strings(np.column_stack([self.x, spare]), p))
+            self.least = np.array([o[0] for o in self.owners])
+
+        def nearest(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: dict[str, list] = {"key": [], "vec_id": [], "score": []}
+            q, keys = matrix(batch.column("v")), batch.column("key").to_pylist()
+            low, high = self.forest.search(strings(np.column_stack([q, np.zeros(len(q))]), p), max(share * len(self.x), least_met))
             for i in range(len(q)):
-                met = np.zeros(len(x), bool)
-                met[np.concatenate([o[a:b] for o, a, b in zip(forest.order, low[:, i], high[:, i])])] = True
+                met = np.zeros(len(self.x), bool)
+                met[np.concatenate([o[a:b] for o, a, b in zip(self.forest.order, low[:, i], high[:, i])])] = True
                 met = np.flatnonzero(met)
                 if len(met) > 4 * (k + 1):  # in single precision, whoever may be among the best
-                    rough = np.take(x32, met, 0) @ q[i].astype(np.float32)
+                    rough = np.take(self.x32, met, 0) @ q[i].astype(np.float32)
                     top = np.partition(rough, len(met) - k - 1)[len(met) - k - 1]
-                    met = met[rough >= top - 1e-5 * (longest + 1)]
-                score = np.einsum("ij,j->i", x[met], q[i])
-                best = np.lexsort((least[met], -score))[: k + 1]
-                flat = sorted((-score[b], v) for b in best for v in owners[met[b]])[: k + 1]
+                    met = met[rough >= top - off]
+                score = np.einsum("ij,j->i", self.x[met], q[i])
+                best = np.lexsort((self.least[met], -score))[: k + 1]
+                flat = sorted((-score[b], v) for b in best for v in self.owners[met[b]])[: k + 1]
                 out["key"] += [keys[i]] * len(flat)
                 out["vec_id"] += [v for _, v in flat]
                 out["score"] += [-s for s, _ in flat]
-        return pa.table({"key": pa.array(out["key"], pa.string()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    found = index.groupBy("block", "group").cogroup(visits.groupBy("block", "group")).applyInArrow(run, "key string, vec_id long, score double")
+            return pa.RecordBatch.from_arrays([pa.array(out["key"], pa.string()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], names=list(out))
+
+    def run(batches):
+        now, parts, indexed = None, [], None
+        for whole in batches:
+            runs = whole.column("block").to_numpy() * 2 + whole.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), whole.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                part = whole.slice(a, b - a)
+                if (at := int(runs[a]) // 2) != now:
+                    now, parts, indexed = at, [], None
+                if runs[a] % 2 == 0:
+                    parts.append(part)
+                elif parts or indexed:  # a block may have no class
+                    indexed = indexed or Block(parts)
+                    parts = []
+                    yield indexed.nearest(part)
+
+    found = dealt.mapInArrow(run, "key string, vec_id long, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     own = asked.select("query_id", "key").join(found, "key").where("query_id <> vec_id")
