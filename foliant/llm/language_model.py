@@ -3,8 +3,9 @@ weights that depend on how often the context was seen, learned by expectation-ma
 
 Every chunk sends each of its distinct unigrams and bigrams once, with its counts in the training texts and in their
 deleted part (a tenth of the training texts, by id); what all chunks have comes back in the same order. Weights are
-learned where the counts without the deleted part meet the events of that part: all its tokens count, gathered in
-cells of an eighth of a bit of either estimate, so that their number is bounded. Scores use all training counts.
+learned where the counts without the deleted part meet the events of that part: all its tokens count, gathered by
+the exact counts that their estimates are made of. That table stays in Spark: a round of expectation-maximisation is
+one aggregate over it, of which a row a level comes to the driver. Scores use all training counts.
 
 Defined cases: null and empty texts are one token, the end; a null doc_id counts as the empty text in the split; rows
 of one doc_id are each scored and each learned from; without training texts the estimates are uniform; an empty table
@@ -24,7 +25,7 @@ from .chunks import buckets, chunk_table, pack, split, unpack, unpack_array
 from .common import U64, WHITE, ascii_lower, mix, span_hashes, stored, text_bytes, word_bounds
 
 END, BEGIN = U64(0x3C6EF372FE94F82B), U64(0x510E527FADE682D1)
-FINE = 8  # cells a bit
+LEVELS = 64
 FEWEST = 1e-6  # of any weight
 
 
@@ -138,56 +139,59 @@ def level(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def cells(p: np.ndarray) -> np.ndarray:
-    """0 for none; else 1 + eighths of a bit below 1."""
-    return np.where(p > 0, np.rint(-np.log2(np.where(p > 0, p, 1)) * FINE).astype(np.int64) + 1, 0)
-
-
 def estimates(g: Grams, count: np.ndarray, tokens: int, own: np.ndarray | slice = slice(None)):
     c = count[g.context[own]]
     return level(c), count[g.pair[own]] / np.maximum(c, 1), count[g.token[own]] / max(tokens, 1)
 
 
-def held_out_cells(chunks: DataFrame, back: DataFrame, tokens: int) -> np.ndarray:
-    """(level, bigram cell, unigram cell, events) of all tokens of the deleted part."""
+def held_out_events(chunks: DataFrame, back: DataFrame) -> DataFrame:
+    """l, context, pair, own, n of the deleted part: how many of its tokens have these counts (context, bigram, token) in
+    the other training texts, and the level of the context; written once, as every round reads it."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], pa.int64()) for c in ("l", "a", "b", "n")})
+        empty = pa.table({c: pa.array([], pa.int64()) for c in ("l", "context", "pair", "own", "n")})
         if not left.num_rows or not right.num_rows:
             return empty
         g = Grams(unpack(left.column("body")[0].as_buffer()))
         own = (~held_out(g.crc) & deleted(g.crc))[g.row]
         if not own.any():
             return empty
-        l, p2, p1 = estimates(g, aligned(right, "all") - aligned(right, "cut"), tokens, own)
-        key, n = np.unique((l << 40) | (cells(p2) << 20) | cells(p1), return_counts=True)
-        return pa.table({"l": key >> 40, "a": (key >> 20) & 0xFFFFF, "b": key & 0xFFFFF, "n": n})
-
-    rows = chunks.select("chunk", "body").groupBy("chunk").cogroup(back.where("chunk >= 0").groupBy("chunk")).applyInArrow(join, "l long, a long, b long, n long")
-    found = rows.groupBy("l", "a", "b").agg(F.sum("n").alias("n")).toPandas()
-    return found.to_numpy().astype(np.int64).reshape(-1, 4)
-
-
-def learn(events: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
-    """Weights (level x bigram, unigram, uniform) by expectation-maximisation; a level with few events leans on all."""
-    levels = 64
-    if not len(events):
-        return np.tile([0.4, 0.5, 0.1], (levels, 1))
-    l, a, b, n = events.T
-    p = np.stack([np.where(a > 0, 2.0 ** (-(a - 1) / FINE), 0), np.where(b > 0, 2.0 ** (-(b - 1) / FINE), 0), np.full(len(a), uniform)], 1)
+        count = aligned(right, "all") - aligned(right, "cut")
+        found = np.stack([count[g.context[own]], count[g.pair[own]], count[g.token[own]]])
+        found = found[:, np.lexsort(found)]
+        first = np.flatnonzero(np.append(True, (np.diff(found) != 0).any(0)))
+        c, pair, token = found[:, first]
+        return pa.table({"l": level(c), "context": c, "pair": pair, "own": token, "n": np.diff(np.append(first, found.shape[1]))})
+
+    rows = chunks.select("chunk", "body").groupBy("chunk").cogroup(back.where("chunk >= 0").groupBy("chunk")).applyInArrow(join, "l long, context long, pair long, own long, n long")
+    return stored(rows.groupBy("l", "context", "pair", "own").agg(F.sum("n").alias("n")))
+
+
+def learn(events: DataFrame, tokens: int, uniform: float, rounds: int = 60, settled: float = 1e-4) -> np.ndarray:
+    """Weights (level x bigram, unigram, uniform) by expectation-maximisation: one set for all events, and by level one
+    that leans on it with eight events. Rounds end when no weight moves by more than `settled`."""
+    p = [F.col("pair") / F.greatest("context", F.lit(1)), F.col("own") / F.lit(max(tokens, 1)), F.lit(uniform)]
     common = np.array([0.4, 0.5, 0.1])
+    weights = np.tile(common, (LEVELS, 1))
     for _ in range(rounds):
-        share = p * common
-        share /= share.sum(1, keepdims=True)
-        common = np.maximum((share * n[:, None]).sum(0) / n.sum(), FEWEST)
+        own = [F.get(F.lit(weights[:, i].tolist()), F.col("l").cast("int")) * p[i] for i in range(3)]
+        all_ = [F.lit(float(common[i])) * p[i] for i in range(3)]
+        share = lambda x, i: F.sum(F.col("n") * x[i] / (x[0] + x[1] + x[2]))
+        sums = events.groupBy("l").agg(*[share(x, i).alias(f"{name}{i}") for name, x in (("o", own), ("a", all_)) for i in range(3)]).collect()  # a row a level
+        if not sums:
+            break
+        got, total = np.zeros((LEVELS, 3)), np.zeros(3)
+        for r in sorted(sums):
+            got[r["l"]] = [r["o0"], r["o1"], r["o2"]]
+            total += [r["a0"], r["a1"], r["a2"]]
+        before = np.vstack([weights, common])
+        common = np.maximum(total / total.sum(), FEWEST)
         common /= common.sum()
-    weights = np.tile(common, (levels, 1))
-    for _ in range(rounds):
-        share = p * weights[l]
-        share /= share.sum(1, keepdims=True)
-        got = np.stack([np.bincount(l, share[:, i] * n, levels) for i in range(3)], 1) + 8 * common
+        got += 8 * common
         weights = np.maximum(got / got.sum(1, keepdims=True), FEWEST)
         weights /= weights.sum(1, keepdims=True)
+        if np.abs(np.vstack([weights, common]) - before).max() <= settled:
+            break
     return weights
 
 
@@ -199,7 +203,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     for n, a, c in back.where("chunk = -1").select("n", "all", "cut").toLocalIterator():  # a row a bucket
         types, tokens, cut = types + n, tokens + int.from_bytes(a, "little"), cut + int.from_bytes(c, "little")
     uniform = 1 / (types + 1)
-    weights = learn(held_out_cells(chunks, back, tokens - cut), uniform)
+    weights = learn(held_out_events(chunks, back), tokens - cut, uniform)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         g = Grams(unpack(left.column("body")[0].as_buffer()))

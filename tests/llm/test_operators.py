@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,36 @@ def test_forest(spark):
     assert forest.nearest(empty(spark, "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_forest_meets_a_part(spark):
+    """A full block with the parameters of the query: most of the nearest are found among under half of all vectors."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((16384, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())}))
+    got = forest.nearest(data, every=64).toPandas().groupby("query_id").vec_id.apply(set)
+    asked = np.arange(0, len(x), 64)
+    score = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    score[np.arange(len(asked)), asked] = -9
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert sorted(got.index) == list(asked)
+    assert sum(len(got[q] & set(b)) for q, b in zip(asked.tolist(), best.tolist())) >= 0.9 * 20 * len(asked)
+    codes = forest.strings(np.column_stack([x, np.zeros(len(x))]), forest.planes(65, 128))
+    index = forest.Forest(codes)
+    low, high = index.search(codes[asked], 0.4 * len(x))
+    met = [len(np.unique(np.concatenate([o[a:b] for o, a, b in zip(index.order, low[:, i], high[:, i])]))) for i in range(len(asked))]
+    assert np.mean(met) < 0.5 * len(x)
+
+
+def test_forest_blocks(spark):
+    """Several blocks, extra columns: the same scores as by brute force where all is met."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 8))
+    data = spark.createDataFrame([(i, [float(v) for v in x[i]], "a", 1) for i in range(300)], "vec_id long, embedding array<double>, key string, score int")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in forest.nearest(data, k=5, block=40).collect()}
+    score = x @ x.T
+    assert got == {(q, n + 1): v for q in range(0, 300, 20) for n, v in enumerate(sorted(set(range(300)) - {q}, key=lambda v: (-score[q, v], v))[:5])}
+
+
 def brute_windows(text, items):
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     w, hit, ids = tokens(text), set(), set()
@@ -174,12 +205,24 @@ def test_language_model_by_hand(spark):
     one, two = count(part)
     n = sum(v for w, v in one.items() if w != "B")
     types = len({w for t in train for w in t} - {"B"})
-    cells = Counter()
-    for t in cut:
-        for a, b in zip(t, t[1:]):
-            l = int(language_model.level(np.array([one[a]]))[0])
-            cells[l, int(language_model.cells(np.array([two[a, b] / max(one[a], 1)]))[0]), int(language_model.cells(np.array([one[b] / n]))[0])] += 1
-    weights = language_model.learn(np.array([[*k, v] for k, v in cells.items()]), 1 / (types + 1))
+    events = [(int(language_model.level(np.array([one[a]]))[0]), one[a], two[a, b], one[b]) for t in cut for a, b in zip(t, t[1:])]
+    table = [(*k, v) for k, v in Counter(events).items()]
+    uniform = 1 / (types + 1)
+    weights = language_model.learn(spark.createDataFrame(table, "l long, context long, pair long, own long, n long"), n, uniform)
+    # token by token, to the end
+    common = np.array([0.4, 0.5, 0.1])
+    slow = np.tile(common, (language_model.LEVELS, 1))
+    p = np.array([[pair / max(c, 1), own / n, uniform] for _, c, pair, own in events])
+    for _ in range(3000):
+        share = p * common
+        common = np.maximum((share / share.sum(1, keepdims=True)).mean(0), language_model.FEWEST)
+        common /= common.sum()
+        for l in range(language_model.LEVELS):
+            share = p[[e[0] == l for e in events]] * slow[l]
+            got = (share / share.sum(1, keepdims=True)).sum(0) + 8 * common
+            slow[l] = np.maximum(got / got.sum(), language_model.FEWEST)
+            slow[l] /= slow[l].sum()
+    assert np.abs(weights - slow).max() < 0.02
     assert np.allclose(weights.sum(1), 1)
     one, two = count(train)
     n = sum(v for w, v in one.items() if w != "B")
