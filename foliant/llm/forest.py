@@ -104,8 +104,8 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 12
     none = F.lit(None).cast("array<long>")
     index = classes.select(deal.alias("block"), F.lit(0).alias("kind"), "key", "v", "ids")
     visits = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "key", "v", none.alias("ids"))
-    # of each block first the classes, then the queries that pass them
-    dealt = index.unionByName(visits).repartition(blocks, "block").sortWithinPartitions("block", "kind", "key")
+    # of each block first the classes, then the queries that pass them; more partitions than blocks, so few share one
+    dealt = index.unionByName(visits).repartition(4 * blocks, "block").sortWithinPartitions("block", "kind", "key")
 
     def matrix(column) -> np.ndarray:
         flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
