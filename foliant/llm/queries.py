@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, forest, jaccard, language_model, lattice, license_scan, quality, sharding, suffix_dedup
+from . import chat, decontaminate, forest, hard_negatives, jaccard, language_id, language_model, lattice, license_scan, prefix_trie, quality, sharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece_lattice": lambda s, d: lattice.report(t(s, d, "documents")),
         "op9_suffix_dedup": lambda s, d: suffix_dedup.report(t(s, d, "documents")),
         "op10_jaccard_join": lambda s, d: jaccard.report(t(s, d, "documents")),
+        "op11_prefix_trie": lambda s, d: prefix_trie.report(t(s, d, "conversations")),
+        "op12_hard_negatives": lambda s, d: hard_negatives.report(t(s, d, "embeddings")),
+        "op13_language_id": lambda s, d: language_id.report(t(s, d, "documents")),
     }
 
 
@@ -35,4 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_rotation": chat.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op10_jaccard_join": jaccard.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
+        "op13_language_id": language_id.ORACLE,
     }
