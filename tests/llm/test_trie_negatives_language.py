@@ -153,7 +153,7 @@ def test_negatives_of_nothing_and_of_large_numbers(spark):
     assert hard_negatives.report(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         hard_negatives.report(spark.createDataFrame([(0, [1e300], 1)], schema))
-    rows = [(i * 50, [float(2**21 + i), -float(i)], i % 3) for i in range(1, 30)]
+    rows = [(i * 50, [float(2**19 + i), -float(i)], i % 3) for i in range(1, 30)]
     got = sorted(tuple(r) for r in hard_negatives.report(spark.createDataFrame(rows, schema)).collect())
     assert got and got[0][4] > 2**53
 
