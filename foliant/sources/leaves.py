@@ -3,6 +3,7 @@ a window or an aggregate can: ids stay ids, styles, numbers, shared strings and
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -19,17 +20,30 @@ def flag(node: Node | None, attr: str = "w:val") -> bool:
 def metadata(p: Package) -> Iterator[Fact]:
     core = {"dc:title": "title", "dc:creator": "author", "dc:subject": "subject", "dc:description": "description", "cp:keywords": "keywords", "dcterms:created": "created", "dcterms:modified": "modified", "cp:lastModifiedBy": "last_modified_by"}
     n = 0
-    for part, names in (("docProps/core.xml", core), ("docProps/app.xml", {"Application": "application", "Pages": "page_count", "Slides": "page_count", "Words": "word_count"})):
+    root = {r["type"].rpartition("/")[2]: r["target"] for r in reversed(p.rels("")) if not r["external"]}
+    usual = lambda kind, name: root[kind] if root.get(kind) in p.known else name
+    for part, names in ((usual("core-properties", "docProps/core.xml"), core), (usual("extended-properties", "docProps/app.xml"), {"Application": "application", "Pages": "page_count", "Slides": "page_count", "Words": "word_count"})):
         root = p.tree(part)
         for node in root.children if root else ():
             if node.name in names:
-                yield "meta", part, (n := n + 1), {"name": names[node.name], "value": node.all_text(), "app": str(part.endswith("app.xml")).lower()}
-
-
-def relations(p: Package, parts) -> Iterator[Fact]:
-    for part in parts:
-        for i, r in enumerate(p.rels(part)):
-            yield "rel", part, i, {"id": r["id"], "type": r["type"], "target": r["target"], "external": str(r["external"]).lower()}
+                yield "meta", part, (n := n + 1), {"name": names[node.name], "value": node.all_text(), "app": str(names is not core).lower()}
+
+
+def manifest(p: Package) -> Iterator[Fact]:
+    """All parts, and all relationships by the part they start from ("": the package). A relationship part that can't be
+    read counts for nothing here; whoever needs it says so."""
+    for i, info in enumerate(p.zip.infolist()):
+        if not info.is_dir():
+            yield "part", info.filename, i, {"size": str(info.file_size)}
+    for name in p.names:
+        folder, _, file = name.rpartition("/")
+        if not file.endswith(".rels") or folder.rpartition("/")[2] != "_rels":
+            continue
+        above = folder.rpartition("/")[0]
+        source = file[:-5] if not above else f"{above}/{file[:-5]}"
+        with contextlib.suppress(OfficeError):
+            for i, r in enumerate(p.rels(source)):
+                yield "rel", source, i, {"id": r["id"], "type": r["type"], "target": r["target"], "external": str(r["external"]).lower()}
 
 
 def index(point: Node, part: str) -> int:
@@ -145,6 +159,24 @@ def word_paragraph(p: Node) -> dict:
     return out
 
 
+def style(n: Node) -> dict:
+    """A style's own properties; what it does not say is absent, so that the styles it is based on can."""
+    a = {"id": n.attrs.get("w:styleId", ""), "type": n.attrs.get("w:type", "paragraph"), "default": str(n.attrs.get("w:default") in ("1", "true")).lower()}
+    for k, x in (("name", n.first("w:name")), ("based", n.first("w:basedOn")), ("outline", n.at("w:pPr", "w:outlineLvl"))):
+        if x is not None:
+            a[k] = x.attrs.get("w:val", "")
+    run = n.first("w:rPr") or Node("", {})
+    for k, tag in (("bold", "w:b"), ("italic", "w:i"), ("strike", "w:strike")):
+        if (x := run.first(tag)) is not None:
+            a[k] = str(flag(x)).lower()
+    if (x := run.first("w:u")) is not None:
+        a["underline"] = str(x.attrs.get("w:val", "single") != "none").lower()
+    for k, tag, name in (("font", "w:rFonts", "w:ascii"), ("size", "w:sz", "w:val"), ("color", "w:color", "w:val"), ("highlight", "w:highlight", "w:val")):
+        if (x := run.first(tag)) is not None and name in x.attrs:
+            a[k] = x.attrs[name]
+    return a
+
+
 class Word:
     """Facts of a body, in the order of blocks; seq is the order of parsing, which numbering follows."""
 
@@ -194,29 +226,29 @@ class Word:
                 yield from self.body(c, part, region)
 
     def facts(self) -> Iterator[Fact]:
-        p, main = self.p, "word/document.xml"
-        root = p.tree(main, required=True)
-        body = root.first("w:body") or Node("", {})
-        yield from self.body(body, main, "body")
-        seen, rels = set(), {r["id"]: r for r in p.rels(main)}
-        for n in root.walk():
-            if n.name in ("w:headerReference", "w:footerReference") and (rid := n.attrs.get("r:id")) not in seen:
-                seen.add(rid)
-                if rid in rels and (tree := p.tree(rels[rid]["target"])):
-                    yield from self.body(tree, rels[rid]["target"], n.name[2:8])
-                    yield from relations(p, [rels[rid]["target"]])
-        yield from relations(p, [main])
+        """The body is pulled child by child; regions follow in the order in which they are first named."""
+        p, main = self.p, self.p.main
+        rels = {r["id"]: r for r in p.rels(main)}
+        regions: dict[str, str] = {}
+        for child in p.pull(main, lambda parent, name: parent == "w:body", required=True):
+            yield from self.body(Node("w:body", {}, [child]), main, "body")
+            for n in (child, *child.walk()):
+                if n.name in ("w:headerReference", "w:footerReference"):
+                    regions.setdefault(n.attrs.get("r:id", ""), n.name[2:8])
+        for rid, region in regions.items():
+            if rid in rels and (tree := p.tree(rels[rid]["target"])):
+                p.rels(rels[rid]["target"])
+                yield from self.body(tree, rels[rid]["target"], region)
         for kind in ("footnote", "endnote"):
-            for i, n in enumerate((p.tree(f"word/{kind}s.xml") or Node("", {})).each(f"w:{kind}")):
+            part = p.related(f"{kind}s", f"word/{kind}s.xml")
+            for i, n in enumerate(p.pull(part, lambda parent, name: name == f"w:{kind}")):  # noqa: B023
                 text = "\n".join("".join(t.all_text() for t in q.walk() if t.name == "w:t") for q in n.walk() if q.name == "w:p").strip()
                 if text and n.attrs.get("w:type") not in ("separator", "continuationSeparator"):
-                    yield "note", f"word/{kind}s.xml", i, {"kind": kind, "id": n.attrs.get("w:id", ""), "text": text}
-        for i, n in enumerate((p.tree("word/styles.xml") or Node("", {})).each("w:style")):
-            outline = n.at("w:pPr", "w:outlineLvl")
-            a = {"id": n.attrs.get("w:styleId", ""), "type": n.attrs.get("w:type", "paragraph")}
-            a |= {k: x.attrs.get("w:val", "") for k, x in (("name", n.first("w:name")), ("based", n.first("w:basedOn")), ("outline", outline)) if x is not None}
-            yield "style", "word/styles.xml", i, a
-        numbering = p.tree("word/numbering.xml") or Node("", {})
+                    yield "note", part, i, {"kind": kind, "id": n.attrs.get("w:id", ""), "text": text}
+        part = p.related("styles", "word/styles.xml")
+        for i, n in enumerate(p.pull(part, lambda parent, name: name == "w:style")):
+            yield "style", part, i, style(n)
+        numbering = p.tree(p.related("numbering", "word/numbering.xml")) or Node("", {})
         levels = {a.attrs.get("w:abstractNumId"): list(a.each("w:lvl")) for a in numbering.each("w:abstractNum")}
         for i, n in enumerate(numbering.each("w:num")):
             for lvl in levels.get((n.first("w:abstractNumId") or Node("", {})).attrs.get("w:val"), ()):
@@ -229,49 +261,59 @@ class Word:
 
 # --------------------------------------------------------------------------- Excel
 def excel(p: Package) -> Iterator[Fact]:
-    main = "xl/workbook.xml"
+    main = p.main
     root = p.tree(main, required=True)
     rels = {r["id"]: r for r in p.rels(main, required=True)}
-    yield from relations(p, [main])
     sheets = [n for n in (root.first("sheets") or Node("", {})).each("sheet") if n.attrs.get("name")]
     for i, n in enumerate(sheets):
         part = rels.get(n.attrs.get("r:id"), {}).get("target", "")
         yield "sheet", main, i, {"name": n.attrs["name"], "id": n.attrs.get("sheetId", ""), "rid": n.attrs.get("r:id", ""), "part": part}
-    for i, n in enumerate((p.tree("xl/sharedStrings.xml") or Node("", {})).each("si")):
-        yield "string", "xl/sharedStrings.xml", i, {"value": "".join(t.all_text() for t in n.walk() if t.name == "t")}
-    styles = p.tree("xl/styles.xml") or Node("", {})
+    strings = p.related("sharedStrings", "xl/sharedStrings.xml")
+    for i, n in enumerate(p.pull(strings, lambda parent, name: name == "si")):
+        yield "string", strings, i, {"value": "".join(t.all_text() for t in n.walk() if t.name == "t")}
+    part = p.related("styles", "xl/styles.xml")
+    styles = p.tree(part) or Node("", {})
     for i, n in enumerate((styles.first("numFmts") or Node("", {})).each("numFmt")):
-        yield "number_format", "xl/styles.xml", i, {"id": n.attrs.get("numFmtId", ""), "code": n.attrs.get("formatCode", "")}
+        yield "number_format", part, i, {"id": n.attrs.get("numFmtId", ""), "code": n.attrs.get("formatCode", "")}
     for i, n in enumerate((styles.first("cellXfs") or Node("", {})).each("xf")):
-        yield "xf", "xl/styles.xml", i, {"format": n.attrs.get("numFmtId", "0")}
+        yield "xf", part, i, {"format": n.attrs.get("numFmtId", "0")}
     for part in dict.fromkeys(r["target"] for n in sheets if (r := rels.get(n.attrs.get("r:id")))):
-        if (sheet := p.tree(part)) is None:
+        if part not in p.known:
             continue
-        yield from relations(p, [part])
-        for r, row in enumerate((sheet.first("sheetData") or Node("", {})).each("row")):
-            for c, cell in enumerate(row.each("c")):
-                inline = cell.first("is")
-                raw = "".join(t.all_text() for t in inline.walk() if t.name == "t") if inline else (cell.first("v") or Node("", {})).all_text()
-                a = {k: cell.attrs[k] for k in ("r", "t", "s", "vm") if k in cell.attrs}
-                yield "sheet_cell", part, c, a | {"row": str(r), "raw": raw}
-        for i, m in enumerate((sheet.first("mergeCells") or Node("", {})).each("mergeCell")):
-            yield "merge", part, i, {"ref": m.attrs.get("ref", "")}
-        for i, h in enumerate((sheet.first("hyperlinks") or Node("", {})).each("hyperlink")):
-            if "r:id" in h.attrs:
-                yield "link", part, i, {"ref": h.attrs.get("ref", ""), "rid": h.attrs["r:id"]}
+        yield from worksheet(p, part)
         for r in p.rels(part):
             kind = r["type"].rpartition("/")[2]
             if kind == "comments" and (tree := p.tree(r["target"])):
                 for i, n in enumerate((tree.first("commentList") or Node("", {})).each("comment")):
                     yield "comment", part, i, {"ref": n.attrs.get("ref", ""), "text": " ".join(t.all_text() for t in n.walk() if t.name == "t")}
             elif kind == "drawing" and (tree := p.tree(r["target"])):
-                yield from relations(p, [r["target"]])
+                p.rels(r["target"])
                 for i, n in enumerate(x for x in tree.walk() if x.name == "xdr:pic"):
                     get = lambda name: next((x.attrs for x in n.walk() if x.name == name), {})  # noqa: B023, E731
                     yield "drawing", part, i, {"drawing": r["target"], "rid": get("a:blip").get("r:embed", ""), "name": get("xdr:cNvPr").get("descr") or get("xdr:cNvPr").get("name", ""), "w": get("a:ext").get("cx", ""), "h": get("a:ext").get("cy", "")}
     yield from rich_values(p)
 
 
+def worksheet(p: Package, part: str) -> Iterator[Fact]:
+    """Rows, merges and links of a sheet, as they are pulled: a row is all that is held."""
+    rows = merges = links = 0
+    for n in p.pull(part, lambda parent, name: (parent, name) in (("sheetData", "row"), ("mergeCells", "mergeCell"), ("hyperlinks", "hyperlink"))):
+        if n.name == "row":
+            for c, cell in enumerate(n.each("c")):
+                inline = cell.first("is")
+                raw = "".join(t.all_text() for t in inline.walk() if t.name == "t") if inline else (cell.first("v") or Node("", {})).all_text()
+                a = {k: cell.attrs[k] for k in ("r", "t", "s", "vm") if k in cell.attrs}
+                yield "sheet_cell", part, c, a | {"row": str(rows), "raw": raw}
+            rows += 1
+        elif n.name == "mergeCell":
+            yield "merge", part, merges, {"ref": n.attrs.get("ref", "")}
+            merges += 1
+        else:
+            if "r:id" in n.attrs:
+                yield "link", part, links, {"ref": n.attrs.get("ref", ""), "rid": n.attrs["r:id"]}
+            links += 1
+
+
 def rich_values(p: Package) -> Iterator[Fact]:
     """The hops from a cell's vm to a picture, each as rows."""
     meta = p.tree("xl/metadata.xml") or Node("", {})
@@ -290,8 +332,6 @@ def rich_values(p: Package) -> Iterator[Fact]:
     rel_part = "xl/richData/richValueRel.xml"
     for i, r in enumerate((p.tree(rel_part) or Node("", {})).each("rel")):
         yield "rv_rel", rel_part, i, {"rid": r.attrs.get("r:id", "")}
-    if rel_part in p.names:
-        yield from relations(p, [rel_part])
 
 
 # --------------------------------------------------------------------------- PowerPoint
@@ -335,7 +375,7 @@ def slide(p: Package, part: str) -> Iterator[Fact]:
             texts = [j for j in paras if any(r["t"] for r in json.loads(j))]
             base = {"ph": "true", **ph} if ph else {"ph": "false"}
             for k, runs in enumerate(texts or ["[]"]):
-                yield "slide_para", part, i * 10000 + k, base | {"runs": runs}
+                yield "slide_para", part, (i << 32) + k, base | {"runs": runs}
         elif s.name == "p:graphicFrame":
             for t in (n for n in s.walk() if n.name == "a:tbl"):
                 rows = [[" ".join("".join(x.all_text() for x in q.walk() if x.name == "a:t") for q in c.walk() if q.name == "a:p").strip() for c in r.each("a:tc")] for r in t.each("a:tr")]
@@ -357,7 +397,7 @@ def layout(p: Package, part: str, level: str, slide_part: str) -> Iterator[Fact]
 
 
 def powerpoint(p: Package) -> Iterator[Fact]:
-    main = "ppt/presentation.xml"
+    main = p.main
     root = p.tree(main, required=True)
     rels = {r["id"]: r for r in p.rels(main, required=True)}
     for i, n in enumerate((root.first("p:sldIdLst") or Node("", {})).each("p:sldId")):
@@ -368,7 +408,6 @@ def powerpoint(p: Package) -> Iterator[Fact]:
         try:
             yield from slide(p, part)
             own = p.rels(part)
-            yield from relations(p, [part])
             for r in own:
                 kind = r["type"].rpartition("/")[2]
                 if kind == "slideLayout":
@@ -392,13 +431,16 @@ def powerpoint(p: Package) -> Iterator[Fact]:
 
 
 def facts_of(data: bytes) -> Iterator[Fact]:
-    """All facts of a package; a failure is a last fact of its own."""
+    """All facts of a package; a failure, whatever it is, is a last fact of its own."""
     try:
         p = Package(data)
-        yield "format", "", 0, {"format": p.format}
+        yield "format", p.main, 0, {"format": p.format}
+        yield from manifest(p)
         yield from metadata(p)
         yield from {"docx": lambda: Word(p).facts(), "xlsx": lambda: excel(p), "pptx": lambda: powerpoint(p)}[p.format]()
-    except (OfficeError, RecursionError) as e:
+    except Exception as e:  # one package must not end a job over all of them
         if isinstance(e, RecursionError):
             e = OfficeError("InvalidData", "elements are nested too deeply")
+        elif not isinstance(e, OfficeError):
+            e = OfficeError("Other", f"{type(e).__name__}: {e}")
         yield "error", e.part, 0, {"kind": str(e.kind), "name": e.name, "message": e.message}

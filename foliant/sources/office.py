@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from .leaves import facts_of
 from .package import Package
 
 FACTS = "doc_id string, kind string, part string, ord long, attrs map<string,string>"
+AT_ONCE = 16384
 PARTS = "doc_id string, part string, ord int, bytes binary, error struct<kind:int,name:string,message:string,part:string>"
 
 
@@ -31,9 +34,10 @@ def facts(files: DataFrame, key: str = "doc_id", content: str = "content") -> Da
     def run(batches):
         for b in batches:
             for key_, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = list(facts_of(data.as_py() or b""))
-                attrs = pa.array([list(r[3].items()) for r in rows], pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([key_] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), attrs], names=["doc_id", "kind", "part", "ord", "attrs"])
+                found = facts_of(data.as_py() or b"")
+                while rows := list(islice(found, AT_ONCE)):  # a large package goes on while it is parsed
+                    attrs = pa.array([list(r[3].items()) for r in rows], pa.map_(pa.string(), pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([key_] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), attrs], names=["doc_id", "kind", "part", "ord", "attrs"])
 
     return files.select(F.col(key).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, FACTS)
 
@@ -72,7 +76,9 @@ def parts(files: DataFrame, prefix: str = "", key: str = "doc_id", content: str
 def kind(f: DataFrame, which: str, /, **columns: str) -> DataFrame:
     """Facts of a kind with attributes as columns: name=attribute or name='attribute:type'."""
     out = [F.expr(f"try_cast(attrs['{a.split(':')[0]}'] as {a.split(':')[1] if ':' in a else 'string'})").alias(c) for c, a in columns.items()]
-    return f.where(F.col("kind") == which).select("doc_id", "part", "ord", *out)
+    present = getattr(f, "_present", None)
+    # a kind that no package has is no rows, and joins with it go before anything runs
+    return f.where(F.lit(False) if present is not None and which not in present else F.col("kind") == which).select("doc_id", "part", "ord", *out)
 
 
 def errors(f: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def documents(f: DataFrame) -> DataFrame:
     meta = core.unionByName(app).groupBy("doc_id").pivot("name", names).agg(F.first("value"))
     words = F.filter(F.transform(F.split("keywords", "[,;]"), lambda k: F.trim(k)), lambda k: k != "")
     meta = meta.withColumn("keywords", F.coalesce(words, F.array().cast("array<string>"))).withColumns({c: F.expr(f"try_cast({c} as bigint)") for c in ("page_count", "word_count")})
-    units = f.where(F.col("kind").isin("sheet", "slide")).groupBy("doc_id").agg(F.count("*").alias("units"))
+    units = kind(f, "sheet").unionByName(kind(f, "slide")).groupBy("doc_id").agg(F.count("*").alias("units"))
     formats = kind(f, "format", format="format").select("doc_id", "format")
     failed = errors(f).groupBy("doc_id").agg(F.min("error").alias("error"))
     out = formats.join(failed, "doc_id", "full").join(meta, "doc_id", "left").join(units, "doc_id", "left")

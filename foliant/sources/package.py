@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import struct
 import zipfile
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -17,12 +19,16 @@ ZIP_MAGIC, CFB_MAGIC = b"PK\x03\x04", bytes.fromhex("D0CF11E0A1B11AE1")
 CONTENT_TYPES = [("docx", "wordprocessingml.document.main"), ("xlsx", "spreadsheetml.sheet.main"), ("pptx", "presentationml.presentation.main")]
 FOLDERS = [("docx", "word/"), ("xlsx", "xl/"), ("pptx", "ppt/")]
 LEGACY = {"WordDocument": "Word 97-2003", "Workbook": "Excel 97-2003", "Book": "Excel 97-2003", "PowerPoint Document": "PowerPoint 97-2003"}
-MOST_PART, MOST_PARTS = 512 << 20, 100_000
+#: Bytes of a part that is read whole (pulled parts have no bound), parts of a package, bytes pulled at a time.
+MOST_PART, MOST_PARTS, PULL = 512 << 20, 100_000, 1 << 16
+MAINS = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "ppt/presentation.xml"}
 
 
 def cfb_names(data: bytes) -> set[str]:
     """Names in the directory of a compound file."""
     shift = struct.unpack_from("<H", data, 30)[0]
+    if shift not in (9, 12):  # the two sector sizes there are
+        raise OfficeError("UnsupportedFormat", "compound file with sectors of an unknown size")
     size, first = 1 << shift, struct.unpack_from("<I", data, 48)[0]
     fat: list[int] = []
     for s in struct.unpack_from("<109I", data, 76):
@@ -64,7 +70,11 @@ class Package:
         self.names = self.zip.namelist()
         if len(self.names) > MOST_PARTS:
             raise OfficeError("InvalidData", "too many parts")
+        self.known = set(self.names)
+        self.pulled = 0
+        self._rels: dict[str, list[dict]] = {}
         self.format = self.detect()
+        self.main = self.main_part()
 
     def bytes(self, name: str) -> bytes | None:
         """None if the part is absent; damage is an error."""
@@ -77,6 +87,39 @@ class Package:
         except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
             raise OfficeError("ZipArchive", str(e), name) from e
 
+    def main_part(self) -> str:
+        """The target of the package's own relationship to its document, else where it usually is."""
+        usual = MAINS[self.format]
+        try:
+            found = [r["target"] for r in self.rels("") if r["type"].endswith("/officeDocument") and not r["external"]]
+        except OfficeError:
+            if usual in self.known:
+                return usual
+            raise
+        return next((t for t in found if t in self.known), usual)
+
+    def related(self, kind: str, usual: str) -> str:
+        """The part that the main one names for a kind of relationship, else where it usually is."""
+        found = (r["target"] for r in self.rels(self.main) if r["type"].endswith(f"/{kind}") and not r["external"])
+        return next((t for t in found if t in self.known), usual)
+
+    def pull(self, name: str, wanted: Callable[[str, str], bool], required: bool = False) -> Iterator[Node]:
+        """Elements of a part for which wanted(name of the parent, own name) holds, one after another, each as a tree of
+        its own: the part is unzipped, decoded and parsed by the piece, and no further than the caller goes on."""
+        if name not in self.known:
+            if required:
+                raise OfficeError("MissingComponent", f"{name} is missing", name)
+            return
+        reader = Puller(name, wanted)
+        try:
+            with self.zip.open(name) as stream:
+                while data := stream.read(PULL):
+                    self.pulled += len(data)
+                    yield from reader.feed(data)
+                yield from reader.feed(b"", True)
+        except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+            raise OfficeError("ZipArchive", str(e), name) from e
+
     def tree(self, name: str, required: bool = False) -> Node | None:
         data = self.bytes(name)
         if data is None:
@@ -99,8 +142,10 @@ class Package:
         return found[0]
 
     def rels(self, part: str, required: bool = False) -> list[dict]:
-        """Relationships of a part, targets resolved against it."""
+        """Relationships of a part ("": the package), targets resolved against it."""
         name = rels_path(part)
+        if part in self._rels and (self._rels[part] or not required):
+            return self._rels[part]
         root = self.tree(name, required)
         out = []
         for n in root.children if root else ():
@@ -110,6 +155,7 @@ class Package:
                     raise OfficeError("XmlParse", "relationship without Id, Type or Target", name)
                 external = a.get("TargetMode", "").lower() == "external"
                 out.append({"id": a["Id"], "type": a["Type"], "raw": a["Target"], "target": a["Target"] if external else resolve(part, a["Target"]), "external": external})
+        self._rels[part] = out
         return out
 
 
@@ -129,18 +175,24 @@ def resolve(base: str, target: str) -> str:
     return "/".join(out)
 
 
+def encoding_of(data: bytes) -> tuple[str, int]:
+    """The encoding, by its mark, else by its zero bytes, else UTF-8; and the length of the mark."""
+    if data[:3] == b"\xef\xbb\xbf":
+        return "utf-8", 3
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return ("utf-16-le" if data[:1] == b"\xff" else "utf-16-be"), 2
+    if data[:1] == b"<" and data[1:2] == b"\0":
+        return "utf-16-le", 0
+    if data[:1] == b"\0" and data[1:2] == b"<":
+        return "utf-16-be", 0
+    return "utf-8", 0
+
+
 def decode_xml(data: bytes, part: str = "") -> str:
     """By its mark, else by its zero bytes, else UTF-8; strictly."""
+    name, skip = encoding_of(data)
     try:
-        if data[:3] == b"\xef\xbb\xbf":
-            return data[3:].decode("utf-8")
-        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return data[2:].decode("utf-16-le" if data[:1] == b"\xff" else "utf-16-be")
-        if data[:1] == b"<" and data[1:2] == b"\0":
-            return data.decode("utf-16-le")
-        if data[:1] == b"\0" and data[1:2] == b"<":
-            return data.decode("utf-16-be")
-        return data.decode("utf-8")
+        return data[skip:].decode(name)
     except UnicodeDecodeError as e:
         raise OfficeError("Encoding", str(e), part) from e
 
@@ -232,3 +284,74 @@ def parse_xml(data: bytes, part: str = "") -> Node:
     except expat.ExpatError as e:
         raise OfficeError("XmlParse", str(e), part) from e
     return root.children[0]
+
+
+class Puller:
+    """Bytes of an XML part, as they come, to trees of the elements that are wanted. The rules are those of parse_xml."""
+
+    def __init__(self, part: str, wanted: Callable[[str, str], bool]):
+        self.part, self.wanted = part, wanted
+        self.decoder: codecs.IncrementalDecoder | None = None
+        self.first, self.rest, self.begun = b"", "", False
+        self.path: list[str] = [""]
+        self.stack: list[Node] = []
+        self.ready: list[Node] = []
+        p = self.parser = expat.ParserCreate("utf-8")
+        p.buffer_text = True
+        p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = self.start, self.end, self.chars
+        p.StartDoctypeDeclHandler = self.doctype
+
+    def doctype(self, *_) -> None:
+        raise OfficeError("XmlParse", "document types are not accepted", self.part)
+
+    def start(self, name: str, attrs: dict) -> None:
+        if self.stack:
+            node = Node(name, attrs)
+            self.stack[-1].children.append(node)
+            self.stack.append(node)
+        elif self.wanted(self.path[-1], name):
+            self.stack.append(Node(name, attrs))
+        self.path.append(name)
+
+    def end(self, name: str) -> None:
+        self.path.pop()
+        if self.stack:
+            node = self.stack.pop()
+            if not self.stack:
+                self.ready.append(node)
+
+    def chars(self, s: str) -> None:
+        if not self.stack:
+            return
+        top = self.stack[-1]
+        if top.children:
+            last = top.children[-1]
+            last.attrs["\0tail"] = last.attrs.get("\0tail", "") + s
+        else:
+            top.text += s
+
+    def feed(self, data: bytes, final: bool = False) -> list[Node]:
+        try:
+            if self.decoder is None:
+                self.first += data
+                if len(self.first) < 4 and not final:
+                    return []
+                name, skip = encoding_of(self.first)
+                self.decoder, data = codecs.getincrementaldecoder(name)(), self.first[skip:]
+            text = self.rest + self.decoder.decode(data, final)
+        except UnicodeDecodeError as e:
+            raise OfficeError("Encoding", str(e), self.part) from e
+        at = text.rfind("&", max(0, len(text) - 16))  # what may be a reference waits for its end
+        cut = len(text) if final or at < 0 or ";" in text[at:] else at
+        self.rest, text = text[cut:], text[:cut]
+        if not self.begun:
+            if "?>" not in text and text.lstrip()[:5] in "<?xml" and not final:
+                self.rest = text + self.rest
+                return []
+            text, self.begun = re.sub(r"^\s*<\?xml[^>]*\?>", "", text), True
+        try:
+            self.parser.Parse(_LOOSE.sub("&amp;", _NUMERIC.sub(_valid, text)).encode("utf-8", "surrogatepass"), final)
+        except expat.ExpatError as e:
+            raise OfficeError("XmlParse", str(e), self.part) from e
+        out, self.ready = self.ready, []
+        return out

@@ -28,4 +28,14 @@ def stored(df: DataFrame, packed: bool = False, by: str | None = None) -> DataFr
     path = workspace(df.sparkSession)
     writer = df.write.option("compression", "none" if packed else "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if by:  # what is not there need not be planned
+        out._present = values_of(df.sparkSession, path)
+    return out
+
+
+def values_of(spark: SparkSession, path: str) -> set[str]:
+    """Values of the column by which a work table was partitioned: the names of its folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return {s.getPath().getName().partition("=")[2] for s in found if s.isDirectory()}
