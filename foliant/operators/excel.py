@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import column_of, is_date_format, row_of, serial_date
-from ..sources.office import kind, relationships
+from ..sources.office import kind, present, relationships
 
 
 def sheets(f: DataFrame) -> DataFrame:
@@ -20,6 +20,27 @@ def merges(f: DataFrame) -> DataFrame:
     return m.select("doc_id", F.col("part").alias("sheet"), F.least(c, d).alias("col"), F.least(r, s).alias("row"), (F.abs(c - d) + 1).alias("col_span"), (F.abs(r - s) + 1).alias("row_span"))
 
 
+def level(span: Column) -> Column:
+    """The least k with 2**k >= span."""
+    return F.when(span <= 1, 0).otherwise(F.ceil(F.log2((span - 0.5).cast("double")))).cast("int")
+
+
+def covered(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc_id, sheet, row, col of the cells that lie in a range but not at its top left: a join of points with
+    rectangles. A rectangle stands in the blocks of a grid as coarse as itself (four at most, whatever it covers), and a
+    cell asks only the grids that its sheet has."""
+    keys = ["doc_id", "sheet"]
+    r = ranges.where("col_span > 1 or row_span > 1").select(*keys, F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("row_span") - 1).alias("r1"), (F.col("col") + F.col("col_span") - 1).alias("c1"), level(F.col("row_span")).alias("rl"), level(F.col("col_span")).alias("cl"))
+    side = lambda a, b, k: F.explode(F.array_distinct(F.array(F.expr(f"shiftright({a}, {k})"), F.expr(f"shiftright({b}, {k})"))))
+    blocks = r.withColumn("rb", side("r0", "r1", "rl")).withColumn("cb", side("c0", "c1", "cl"))
+    grids = r.groupBy(*keys).agg(F.collect_set(F.struct("rl", "cl")).alias("grids"))  # 21 by 15 at most
+    points = cells.select(*keys, "row", "col").join(grids, keys).withColumn("g", F.explode("grids"))
+    points = points.select(*keys, "row", "col", "g.rl", "g.cl", F.expr("shiftright(row, g.rl)").alias("rb"), F.expr("shiftright(col, g.cl)").alias("cb"))
+    met = points.join(blocks, [*keys, "rl", "cl", "rb", "cb"])
+    inside = met.where("row between r0 and r1 and col between c0 and c1 and not (row = r0 and col = c0)")
+    return inside.select(*keys, "row", "col").distinct()
+
+
 def formats(f: DataFrame) -> DataFrame:
     """doc_id, style: which cell styles are dates."""
     x = kind(f, "xf", format="format:int").select("doc_id", F.col("ord").cast("int").alias("style"), "format")
@@ -53,12 +74,20 @@ def cells(f: DataFrame) -> DataFrame:
     rels = relationships(f).select("doc_id", F.col("source_part").alias("sheet"), F.col("rel_id").alias("rid"), "target")
     links = kind(f, "link", ref="ref", rid="rid").withColumnRenamed("part", "sheet").join(rels, ["doc_id", "sheet", "rid"]).select("doc_id", "sheet", "ref", F.col("target").alias("link")).dropDuplicates(["doc_id", "sheet", "ref"])
     comments = kind(f, "comment", ref="ref", comment="text").withColumnRenamed("part", "sheet").drop("ord").dropDuplicates(["doc_id", "sheet", "ref"])
-    c = c.select("doc_id", "sheet", "row_idx", "ord", "ref", "row", "col", "vm", value.alias("value"), F.coalesce("is_date", F.lit(False)).alias("is_date"), bad.alias("error"))
-    c = c.join(links, ["doc_id", "sheet", "ref"], "left").join(comments, ["doc_id", "sheet", "ref"], "left")
+    c = c.select("doc_id", "sheet", "row_idx", "ord", "ref", "type", "row", "col", "vm", value.alias("value"), F.coalesce("is_date", F.lit(False)).alias("is_date"), bad.alias("error"))
+    if present(f, "link"):
+        c = c.join(links, ["doc_id", "sheet", "ref"], "left")
+    else:
+        c = c.withColumn("link", F.lit(None).cast("string"))
+    if present(f, "comment"):
+        c = c.join(comments, ["doc_id", "sheet", "ref"], "left")
+    else:
+        c = c.withColumn("comment", F.lit(None).cast("string"))
+    if not present(f, "merge"):
+        return c.withColumns({"col_span": F.lit(1), "row_span": F.lit(1)}).join(sheets(f), ["doc_id", "sheet"])
     m = merges(f)
-    c = c.join(m, ["doc_id", "sheet", "row", "col"], "left")
-    area = m.where("col_span * row_span > 1").select("doc_id", "sheet", F.explode(F.flatten(F.transform(F.sequence("row", F.col("row") + F.col("row_span") - 1), lambda r: F.transform(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1), lambda k: F.struct(r.alias("row"), k.alias("col"), ((r == F.col("row")) & (k == F.col("col"))).alias("origin")))))).alias("x")).select("doc_id", "sheet", "x.row", "x.col", "x.origin").where("not origin").drop("origin").distinct()
-    c = c.join(area, ["doc_id", "sheet", "row", "col"], "left_anti")
+    c = c.join(m.groupBy("doc_id", "sheet", "row", "col").agg(F.max("col_span").alias("col_span"), F.max("row_span").alias("row_span")), ["doc_id", "sheet", "row", "col"], "left")
+    c = c.join(covered(c, m), ["doc_id", "sheet", "row", "col"], "left_anti")
     c = c.withColumns({"col_span": F.coalesce("col_span", F.lit(1)), "row_span": F.coalesce("row_span", F.lit(1))})
     return c.join(sheets(f), ["doc_id", "sheet"])
 

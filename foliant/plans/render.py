@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.model import IMAGES, RUNS, display_width, merge_runs, plain_text
 from ..operators import excel, headings, slides, word
 from ..options import HeadingConfig, RenderOptions
-from ..sources.office import documents, kind
+from ..sources.office import documents, errors, kind, present
 
 BLOCK = ["doc_id", "section_idx", "region", "class", "ord", "block_type", "runs", "images", "heading", "list_type", "list_level", "list_number", "style_id", "style_name", "table_id", "alignment"]
 
@@ -28,44 +28,91 @@ def blocks(f: DataFrame) -> DataFrame:
         cols = {c: have.get(c, F.col(c) if c in df.columns else base.get(c)) for c in BLOCK}
         return df.select(*[cols[c].alias(c) for c in BLOCK])
 
-    paras = shaped(word.paragraphs(f).where("region <> 'cell'"))
-    tables = shaped(kind(f, "table", table_id="table", parent="parent", region="region").where("parent = ''"), block_type=F.lit("Table"))
     text = lambda col: F.from_json(F.to_json(F.array(F.struct(col.alias("t")))), RUNS)
     picture = lambda df: F.array(F.struct(F.col("image").alias("rid"), F.col("alt"), F.col("w").cast("string").alias("w"), F.col("h").cast("string").alias("h")))
-    notes = shaped(word.note_definitions(f), region=F.lit("notes"), ord=F.col("rank").cast("long"), runs=text(F.concat(F.lit("[^"), F.when(F.col("kind") == "endnote", "e").otherwise(""), F.col("id"), F.lit("]: "), F.col("text"))))
-    sheet = shaped(excel.table_cells(f).select("doc_id", "sheet_idx").distinct(), section_idx=F.col("sheet_idx").cast("int"), ord=F.lit(0).cast("long"), block_type=F.lit("Table"), table_id=F.concat(F.lit("sheet#"), F.col("sheet_idx")))
-    sheet_pics = excel.drawings(f)
-    sheet_pics = shaped(sheet_pics, section_idx=F.col("sheet_idx").cast("int"), **{"class": F.lit(3)}, block_type=F.lit("Image"), images=picture(sheet_pics))
-    sp = shaped(slides.paragraphs(f), section_idx=F.col("slide_idx").cast("int"))
-    st = shaped(slides.table_cells(f).select("doc_id", "slide_idx", "table_id", "table_ord").distinct(), section_idx=F.col("slide_idx").cast("int"), **{"class": F.lit(1)}, ord=F.col("table_ord").cast("long"), block_type=F.lit("Table"))
-    pics = slides.pictures(f)
-    pics = shaped(pics, section_idx=F.col("slide_idx").cast("int"), **{"class": F.lit(3)}, block_type=F.lit("Image"), images=picture(pics))
-    sn = shaped(slides.notes(f), section_idx=F.col("slide_idx").cast("int"), region=F.lit("notes"), runs=text(F.col("text")))
-    charts = slides.chart_tables(f).select("doc_id", "chart")
-    where = kind(f, "slide_chart", chart="chart").withColumnRenamed("part", "slide").join(slides.slides(f), ["doc_id", "slide"]).select("doc_id", "chart", "slide_idx")
-    charts = shaped(charts.join(where, ["doc_id", "chart"], "left"), section_idx=F.coalesce("slide_idx", F.lit(0)).cast("int"), **{"class": F.lit(2)}, ord=F.lit(0).cast("long"), block_type=F.lit("Table"), table_id=F.col("chart"))
-    out = paras
-    for df in (tables, notes, sheet, sheet_pics, sp, st, pics, sn, charts):
+
+    def paras():
+        return shaped(word.paragraphs(f).where("region <> 'cell'"))
+
+    def tables():
+        return shaped(kind(f, "table", table_id="table", parent="parent", region="region").where("parent = ''"), block_type=F.lit("Table"))
+
+    def notes():
+        note = F.concat(F.lit("[^"), F.when(F.col("kind") == "endnote", "e").otherwise(""), F.col("id"), F.lit("]: "), F.col("text"))
+        return shaped(word.note_definitions(f), region=F.lit("notes"), ord=F.col("rank").cast("long"), runs=text(note))
+
+    def sheet():
+        rows = excel.table_cells(f).select("doc_id", "sheet_idx").distinct()
+        return shaped(rows, section_idx=F.col("sheet_idx").cast("int"), ord=F.lit(0).cast("long"), block_type=F.lit("Table"), table_id=F.concat(F.lit("sheet#"), F.col("sheet_idx")))
+
+    def sheet_pictures():
+        d = excel.drawings(f)
+        return shaped(d, section_idx=F.col("sheet_idx").cast("int"), **{"class": F.lit(3)}, block_type=F.lit("Image"), images=picture(d))
+
+    def slide_paras():
+        return shaped(slides.paragraphs(f), section_idx=F.col("slide_idx").cast("int"))
+
+    def slide_tables():
+        rows = slides.table_cells(f).select("doc_id", "slide_idx", "table_id", "table_ord").distinct()
+        return shaped(rows, section_idx=F.col("slide_idx").cast("int"), **{"class": F.lit(1)}, ord=F.col("table_ord").cast("long"), block_type=F.lit("Table"))
+
+    def pictures():
+        d = slides.pictures(f)
+        return shaped(d, section_idx=F.col("slide_idx").cast("int"), **{"class": F.lit(3)}, block_type=F.lit("Image"), images=picture(d))
+
+    def slide_notes():
+        return shaped(slides.notes(f), section_idx=F.col("slide_idx").cast("int"), region=F.lit("notes"), runs=text(F.col("text")))
+
+    def charts():
+        where = kind(f, "slide_chart", chart="chart").withColumnRenamed("part", "slide").join(slides.slides(f), ["doc_id", "slide"]).select("doc_id", "chart", "slide_idx")
+        rows = slides.chart_tables(f).select("doc_id", "chart").join(where, ["doc_id", "chart"], "left")
+        return shaped(rows, section_idx=F.coalesce("slide_idx", F.lit(0)).cast("int"), **{"class": F.lit(2)}, ord=F.lit(0).cast("long"), block_type=F.lit("Table"), table_id=F.col("chart"))
+
+    branches = [(paras, "para"), (tables, "table"), (notes, "note"), (sheet, "sheet_cell"), (sheet_pictures, "drawing"), (slide_paras, "slide_para"), (slide_tables, "slide_cell"), (pictures, "slide_pic"), (slide_notes, "slide_note"), (charts, "chart")]
+    return united([make() for make, which in branches if present(f, which)] or [paras()])
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
         out = out.unionByName(df)
     return out
 
 
-def grid_cells(f: DataFrame, shown: Callable | None = None) -> DataFrame:
+def grid_cells(f: DataFrame, shown: Callable | None = None, prefix: str = "") -> DataFrame:
     """doc_id, table_id, row, col, text, col_span, row_span, is_header, align, bold of all tables; charts included. shown
     renders the paragraphs of Word cells (else they are plain)."""
-    w = word.cell_texts(f, shown)
-    w = w.select("doc_id", "table_id", "row", "col", F.array_join("parts" if shown else "texts", "<br>").alias("text"), "col_span", "row_span", "is_header", F.col("alignment").alias("align"), "bold")
-    value = F.coalesce("value", F.lit(""))
-    value = F.when(F.col("link").isNotNull() & (value != ""), F.concat(F.lit("["), value, F.lit("]("), F.col("link"), F.lit(")"))).otherwise(value)
-    value = F.concat(value, F.coalesce(F.concat(F.lit(" *[Comment: "), F.col("comment"), F.lit("]*")), F.lit("")))
-    x = excel.table_cells(f).join(excel.rich_images(f).groupBy("doc_id", "vm").agg(F.min("image").alias("picture")), ["doc_id", "vm"], "left")
-    value = F.concat(value, F.coalesce(F.concat(F.lit("![]("), F.col("picture"), F.lit(")")), F.lit("")))
     left = {"align": F.lit("left"), "bold": F.lit(False)}
-    x = x.select("doc_id", F.concat(F.lit("sheet#"), F.col("sheet_idx")).alias("table_id"), F.col("row_idx").alias("row"), "col", value.alias("text"), "col_span", "row_span", (F.col("row_idx") == 0).alias("is_header")).withColumns(left)
-    s = slides.table_cells(f).select("doc_id", "table_id", "row", "col", "text", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), "is_header").withColumns(left)
-    c = slides.chart_tables(f).select("doc_id", F.col("chart").alias("table_id"), F.posexplode(F.concat(F.array("header"), F.col("rows"))).alias("row", "values")).select("doc_id", "table_id", "row", F.posexplode("values").alias("col", "text"))
-    c = c.select("doc_id", "table_id", "row", "col", "text", F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), (F.col("row") == 0).alias("is_header")).withColumns(left)
-    return w.unionByName(x).unionByName(s).unionByName(c)
+    single = {"col_span": F.lit(1), "row_span": F.lit(1)}
+    columns = ["doc_id", "table_id", "row", "col", "text", "col_span", "row_span", "is_header", "align", "bold"]
+
+    def of_word():
+        w = word.cell_texts(f, shown)
+        return w.withColumns({"text": F.array_join("parts" if shown else "texts", "<br>"), "align": F.col("alignment")}).select(*columns)
+
+    def of_excel():
+        x = excel.table_cells(f)
+        value = F.coalesce("value", F.lit(""))
+        if present(f, "rv_rel"):  # a picture stands for the error that a cell shows in its place
+            x = x.join(excel.rich_images(f).groupBy("doc_id", "vm").agg(F.min("image").alias("picture")), ["doc_id", "vm"], "left")
+            value = F.when(F.col("picture").isNotNull() & (F.col("type") == "e"), "").otherwise(value)
+        linked = F.concat(F.lit("["), value, F.lit("]("), link_target(F.col("link")), F.lit(")"))
+        value = F.when(F.col("link").isNotNull() & (value != ""), linked).otherwise(value)
+        value = F.concat(value, F.coalesce(F.concat(F.lit(" *[Comment: "), F.col("comment"), F.lit("]*")), F.lit("")))
+        if present(f, "rv_rel"):
+            shot = F.concat(F.lit("![image]("), link_target(F.concat(F.lit(prefix), F.col("picture"))), F.lit(")"))
+            value = F.concat_ws("<br>", F.nullif(value, F.lit("")), shot)
+        return x.select("doc_id", F.concat(F.lit("sheet#"), F.col("sheet_idx")).alias("table_id"), F.col("row_idx").alias("row"), "col", value.alias("text"), "col_span", "row_span", (F.col("row_idx") == 0).alias("is_header")).withColumns(left).select(*columns)
+
+    def of_slides():
+        return slides.table_cells(f).withColumns(left | single).select(*columns)
+
+    def of_charts():
+        c = slides.chart_tables(f).select("doc_id", F.col("chart").alias("table_id"), F.posexplode(F.concat(F.array("header"), F.col("rows"))).alias("row", "values")).select("doc_id", "table_id", "row", F.posexplode("values").alias("col", "text"))
+        return c.withColumns(left | single | {"is_header": F.col("row") == 0}).select(*columns)
+
+    branches = [(of_word, "cell"), (of_excel, "sheet_cell"), (of_slides, "slide_cell"), (of_charts, "chart")]
+    return united([make() for make, which in branches if present(f, which)] or [of_slides()])
 
 
 def with_nested(f: DataFrame, bodies: DataFrame, sep: str) -> DataFrame:
@@ -94,28 +141,29 @@ def link_target(url: Column) -> Column:
 
 
 def run_markdown(r: Column, o: RenderOptions, plain_bold: Column) -> Column:
+    """A run: its marks before and after its text, from the outside in revision, link, emphasis, then strike,
+    underline, sub- and superscript."""
     t = F.coalesce(r["t"], F.lit(""))
-    hide = F.lit(False)
-    if o.revisions == "accept":
-        hide = F.coalesce(r["rev"] == "deleted", F.lit(False))
-    elif o.revisions == "reject":
-        hide = F.coalesce(r["rev"] == "inserted", F.lit(False))
     on = lambda k: F.coalesce(r[k], F.lit(False))
-    around = lambda x, cond, a, b: F.when(cond, F.concat(F.lit(a), x, F.lit(b))).otherwise(x)
-    styled = on("b") | on("i") | on("s") | on("u") | on("sup") | on("sub") | r["rid"].isNotNull()
+    mark = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(""))
+    linked, noted, shown = r["rid"].isNotNull(), r["note"].isNotNull(), ~plain_bold
+    styled = on("b") | on("i") | on("s") | on("u") | on("sup") | on("sub") | linked
     core = F.when(styled, F.trim(t)).otherwise(t)
-    x = escape(core) if o.escape else core
-    x = F.when(r["note"].isNotNull(), t).otherwise(x)
-    for k, a, b in (("sup", "<sup>", "</sup>"), ("sub", "<sub>", "</sub>"), ("u", "<u>", "</u>"), ("s", "~~", "~~")):
-        x = around(x, on(k), a, b)
-    bold, italic = on("b") & ~plain_bold, on("i") & ~plain_bold
-    x = F.when(bold & italic, F.concat(F.lit("***"), x, F.lit("***"))).otherwise(around(around(x, bold, "**", "**"), italic, "*", "*"))
-    x = F.when(r["rid"].isNotNull(), F.concat(F.lit("["), x, F.lit("]("), link_target(r["rid"]), F.lit(")"))).otherwise(x)
+    if o.escape:
+        core = F.when(noted, t).otherwise(escape(core))
+    bold, italic = on("b") & shown, on("i") & shown
+    stars = F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
+    rev = F.coalesce(r["rev"], F.lit(""))
+    before, after = [], []
     if o.revisions == "markup":
-        x = F.when(r["rev"] == "deleted", F.concat(F.lit("~~"), x, F.lit("~~"))).when(r["rev"] == "inserted", F.concat(F.lit("<ins>"), x, F.lit("</ins>"))).otherwise(x)
-    out = F.when(F.trim(t) == "", t).otherwise(x)
-    tail = F.when(on("pb"), "\n\n---\n\n").when(on("lb"), "  \n").otherwise("")
-    return F.when(hide, F.lit("")).otherwise(F.concat(out, tail))
+        before.append(F.when(rev == "deleted", "~~").when(rev == "inserted", "<ins>").otherwise(""))
+        after.append(F.when(rev == "deleted", "~~").when(rev == "inserted", "</ins>").otherwise(""))
+    before += [mark(linked, "["), stars, mark(on("s"), "~~"), mark(on("u"), "<u>"), mark(on("sub"), "<sub>"), mark(on("sup"), "<sup>")]
+    after += [F.when(linked, F.concat(F.lit("]("), link_target(r["rid"]), F.lit(")"))).otherwise(""), stars, mark(on("s"), "~~"), mark(on("u"), "</u>"), mark(on("sub"), "</sub>"), mark(on("sup"), "</sup>")]
+    out = F.when(F.trim(t) == "", t).otherwise(F.concat(*before, core, *reversed(after)))
+    out = F.concat(out, F.when(on("pb"), "\n\n---\n\n").when(on("lb"), "  \n").otherwise(""))
+    hidden = {"accept": "deleted", "reject": "inserted"}.get(o.revisions)
+    return F.when(rev == hidden, F.lit("")).otherwise(out) if hidden else out
 
 
 def join_runs(parts: Column) -> Column:
@@ -129,7 +177,7 @@ def join_runs(parts: Column) -> Column:
 
 
 def image_markdown(images: Column, prefix: str, sep: str = "\n") -> Column:
-    return F.array_join(F.transform(images, lambda i: F.concat(F.lit("!["), F.coalesce(i["alt"], F.lit("")), F.lit("]("), link_target(F.concat(F.lit(prefix), F.coalesce(i["rid"], F.lit("")))), F.lit(")"))), sep)
+    return F.array_join(F.transform(images, lambda i: F.concat(F.lit("!["), F.coalesce(F.nullif(i["alt"], F.lit("")), F.lit("image")), F.lit("]("), link_target(F.concat(F.lit(prefix), F.coalesce(i["rid"], F.lit("")))), F.lit(")"))), sep)
 
 
 def cell_markdown(o: RenderOptions) -> Callable[[Column, Column, Column], Column]:
@@ -147,7 +195,7 @@ def cell_markdown(o: RenderOptions) -> Callable[[Column, Column, Column], Column
 def tables_markdown(f: DataFrame, o: RenderOptions) -> DataFrame:
     """doc_id, table_id, body: pipe tables, or HTML for merged ones if that is asked for. Cells stand at their
     column, and what spans cover is empty; columns are aligned as the cells of the first row of data are."""
-    c = grid_cells(f, cell_markdown(o))
+    c = grid_cells(f, cell_markdown(o), o.image_prefix)
     keys = ["doc_id", "table_id"]
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
     size = c.groupBy(*keys).agg(F.max(F.col("col") + F.col("col_span")).alias("width"), F.max(F.greatest("col_span", "row_span")).alias("spans"))
@@ -191,41 +239,62 @@ def frontmatter(f: DataFrame) -> DataFrame:
 
 def sections(f: DataFrame) -> DataFrame:
     """doc_id, section_idx, format, name."""
-    s = excel.sheets(f).select("doc_id", F.col("sheet_idx").cast("int").alias("section_idx"), F.lit("xlsx").alias("format"), "name")
-    p = slides.slides(f).select("doc_id", F.col("slide_idx").cast("int").alias("section_idx"), F.lit("pptx").alias("format"), F.concat(F.lit("Slide "), F.col("slide_idx") + 1).alias("name"))
-    w = kind(f, "format", format="format").where("format = 'docx'").select("doc_id", F.lit(0).alias("section_idx"), "format", F.lit(None).cast("string").alias("name"))
-    return s.unionByName(p).unionByName(w)
+    named = lambda df, at, how, name: df.select("doc_id", F.col(at).cast("int").alias("section_idx"), F.lit(how).alias("format"), name.alias("name"))
+    branches = [
+        (lambda: named(excel.sheets(f), "sheet_idx", "xlsx", F.col("name")), "sheet"),
+        (lambda: named(slides.slides(f), "slide_idx", "pptx", F.concat(F.lit("Slide "), F.col("slide_idx") + 1)), "slide"),
+        (lambda: named(kind(f, "format", format="format", zero="zero").where("format = 'docx'").withColumn("zero", F.lit(0)), "zero", "docx", F.lit(None).cast("string")), "format"),
+    ]
+    out = united([make() for make, which in branches if present(f, which)] or [branches[2][0]()])
+    if present(f, "error"):  # a document that failed as a whole has no sections, whatever was read before
+        out = out.join(kind(f, "error", section="section").where("section is null").select("doc_id").distinct(), "doc_id", "left_anti")
+    return out
 
 
 def ordered(df: DataFrame, by: list[str], column: str, sep: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, column))), lambda x: x[column]), sep).alias(column))
 
 
-def to_markdown(f: DataFrame, options: RenderOptions | None = None) -> DataFrame:
-    """doc_id, section_idx markdown joined: one Markdown text a document."""
+def section_markdown(f: DataFrame, options: RenderOptions | None = None, resource_map: DataFrame | None = None) -> DataFrame:
+    """doc_id, section_idx, format, name, markdown: every section by itself. resource_map (doc_id, resource_id,
+    filename) says where pictures lie; without it they go by the names of their parts."""
     o = options or RenderOptions()
     b = blocks(f).where(F.lit(o.headers_footers) | ~F.col("region").isin("header", "footer")).where(F.lit(o.notes) | (F.col("region") != "notes"))
     b = b.withColumn("runs", merge_runs(F.coalesce("runs", F.array().cast(RUNS)))).withColumn("text", plain_text(F.col("runs")))
+    b = b.withColumn("images", F.coalesce("images", F.array().cast(IMAGES)))
+    if resource_map is not None:  # a map a document, of as many entries as it has pictures
+        maps = resource_map.groupBy("doc_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("resource_id", "filename")))).alias("files"))
+        named = lambda i: i.withField("rid", F.coalesce(F.try_element_at("files", i["rid"]), i["rid"]))
+        b = b.join(maps, "doc_id", "left").withColumn("images", F.transform("images", named)).drop("files")
     config = o.headings or HeadingConfig(max_level=o.max_heading)
     if o.headings:
         b = headings.analyze(b, config).withColumn("level", F.col("decision.level"))
     else:
         b = b.withColumn("level", headings.simple_heading(F.col("heading"), F.col("text"), config))
-    b = b.join(tables_markdown(f, o).withColumnRenamed("body", "table_body"), ["doc_id", "table_id"], "left")
+    if present(f, "table", "sheet_cell", "slide_cell", "chart"):
+        b = b.join(tables_markdown(f, o).withColumnRenamed("body", "table_body"), ["doc_id", "table_id"], "left")
+    else:
+        b = b.withColumn("table_body", F.lit(""))
     is_list = F.col("list_type").isNotNull()
-    level = F.when(is_list, 0).otherwise(F.col("level"))
+    b = b.withColumn("level", F.when(is_list, 0).otherwise(F.col("level")))
     filled = F.filter("runs", lambda r: F.trim(F.coalesce(r["t"], F.lit(""))) != "")
-    uniform = (level > 0) & (F.size(filled) > 0) & F.forall(filled, lambda r: F.coalesce(r["b"], F.lit(False)))
-    body = join_runs(F.transform("runs", lambda r: run_markdown(r, o, uniform)))
+    uniform = (F.col("level") > 0) & (F.size(filled) > 0) & F.forall(filled, lambda r: F.coalesce(r["b"], F.lit(False)))
+    b = b.withColumn("_uniform", uniform)
+    b = b.withColumns({"_body": join_runs(F.transform("runs", lambda r: run_markdown(r, o, F.col("_uniform")))), "_pictures": image_markdown(F.col("images"), o.image_prefix)})
     bullet = F.when(F.col("list_type") == "numbered", F.concat(F.col("list_number").cast("string"), F.lit(". "))).otherwise("- ")
-    prefix = F.when(is_list, F.concat(F.repeat(F.lit("  "), F.col("list_level")), bullet)).when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "))).otherwise("")
-    pictures = image_markdown(F.coalesce("images", F.array().cast(IMAGES)), o.image_prefix)
-    para = F.concat(F.when(F.trim(body) != "", F.concat(prefix, body)).otherwise(""), F.when((F.trim(body) != "") & (pictures != ""), "\n\n").otherwise(""), pictures)
-    marked = F.when(F.col("region").isin("header", "footer"), F.concat(F.lit("> *"), F.initcap("region"), F.lit(": "), para, F.lit("*"))).otherwise(para)
-    shown = F.when(F.col("block_type") == "Table", F.coalesce("table_body", F.lit(""))).otherwise(marked)
-    b = b.withColumn("shown", shown).where("shown <> ''")
+    prefix = F.when(is_list, F.concat(F.repeat(F.lit("  "), F.col("list_level")), bullet)).when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).otherwise("")
+    said = F.when(F.trim("_body") != "", F.concat(prefix, F.col("_body"))).otherwise("")
+    gap = F.when((F.trim("_body") != "") & (F.col("_pictures") != ""), "\n\n").otherwise("")
+    b = b.withColumn("shown", F.when(F.col("block_type") == "Table", F.coalesce("table_body", F.lit(""))).otherwise(F.concat(said, gap, F.col("_pictures")))).where("shown <> ''")
+    if o.headers_footers and present(f, "para"):  # all paragraphs of a region are one line
+        around = F.col("region").isin("header", "footer")
+        lines = ordered(b.where(around), ["doc_id", "section_idx", "region"], "shown", " | ", ["class", "ord"])
+        lines = lines.withColumn("shown", F.concat(F.lit("> *"), F.initcap("region"), F.lit(": "), F.col("shown"), F.lit("*")))
+        lines = lines.withColumns({"class": F.lit(0), "ord": F.lit(0).cast("long"), "list_type": F.lit(None).cast("string")})
+        keep = ["doc_id", "section_idx", "region", "class", "ord", "list_type", "shown"]
+        b = b.where(~around).select(*keep).unionByName(lines.select(*keep))
     region = F.when(F.col("region") == "header", 0).when(F.col("region") == "body", 1).when(F.col("region") == "notes", 2).otherwise(3)
-    b = b.withColumns({"_region": region, "_list": is_list, "_note": (F.col("region") == "notes")})
+    b = b.withColumns({"_region": region, "_list": F.col("list_type").isNotNull(), "_note": (F.col("region") == "notes")})
     place = Window.partitionBy("doc_id", "section_idx").orderBy("_region", "class", "ord")
     b = b.withColumn("_next", F.lead("_list").over(place)).withColumn("_prev_note", F.lag("_note", 1, False).over(place))
     slide_note = F.col("_note") & ~F.col("shown").startswith("[^")
@@ -236,8 +305,13 @@ def to_markdown(f: DataFrame, options: RenderOptions | None = None) -> DataFrame
     comment = F.when(F.col("name").isNotNull(), F.concat(F.lit("<!-- "), unit, F.lit(" "), (F.col("section_idx") + 1).cast("string"), F.lit(": "), F.col("name"), F.lit(" -->\n\n"))).otherwise("") if o.section_markers else F.lit("")
     rule = F.when(F.col("name").isNotNull() & (F.col("section_idx") > 0), "\n---\n\n").otherwise("")
     head = F.when(F.col("name").isNotNull(), F.concat(F.lit("## "), F.col("name"), F.lit("\n\n"))).otherwise("")
-    s = s.withColumn("markdown", F.concat(rule, comment, head, F.coalesce("shown", F.lit(""))))
-    out = ordered(s, ["doc_id"], "markdown", "", ["section_idx"])
+    return s.select("doc_id", "section_idx", "format", "name", F.concat(comment, rule, head, F.coalesce("shown", F.lit(""))).alias("markdown"))
+
+
+def to_markdown(f: DataFrame, options: RenderOptions | None = None) -> DataFrame:
+    """doc_id, markdown: the sections of a document, joined."""
+    o = options or RenderOptions()
+    out = ordered(section_markdown(f, o), ["doc_id"], "markdown", "", ["section_idx"])
     if o.cleanup:
         out = T.clean(out, "markdown", o.cleanup, "markdown")
     out = out.withColumn("markdown", F.regexp_replace(F.regexp_replace("markdown", "\n{3,}", "\n\n"), r"^\s+|\s+$", ""))

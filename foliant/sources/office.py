@@ -81,6 +81,12 @@ def kind(f: DataFrame, which: str, /, **columns: str) -> DataFrame:
     return f.where(F.lit(False) if present is not None and which not in present else F.col("kind") == which).select("doc_id", "part", "ord", *out)
 
 
+def present(f: DataFrame, *kinds: str) -> bool:
+    """Whether any of the kinds may be among the facts: a plan need not have branches for what no package has."""
+    known = getattr(f, "_present", None)
+    return known is None or not known.isdisjoint(kinds)
+
+
 def errors(f: DataFrame) -> DataFrame:
     e = kind(f, "error", kind="kind:int", name="name", message="message")
     return e.select("doc_id", F.struct("kind", "name", "message", "part").alias("error"))
