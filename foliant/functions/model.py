@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 RUN = "struct<t:string,b:boolean,i:boolean,u:boolean,s:boolean,sup:boolean,sub:boolean,code:boolean,font:string,size:string,color:string,hl:string,rid:string,lb:boolean,pb:boolean,rev:string,note:string>"
 RUNS, IMAGES = f"array<{RUN}>", "array<struct<rid:string,alt:string,w:string,h:string>>"
 STYLE = ["b", "i", "u", "s", "sup", "sub", "code", "font", "size", "color", "hl"]
-# Media types by extension, extensions by media type.
-MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tiff": "image/tiff", "tif": "image/tiff", "svg": "image/svg+xml", "webp": "image/webp", "emf": "image/x-emf", "wmf": "image/x-wmf", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "avi": "video/x-msvideo", "wmv": "video/x-ms-wmv"}
+# Media types by extension, extensions by media type, kinds of resources by extension.
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tiff": "image/tiff", "tif": "image/tiff", "svg": "image/svg+xml", "wmf": "image/x-wmf", "emf": "image/x-emf", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "m4a": "audio/mp4", "mp4": "video/mp4", "avi": "video/x-msvideo", "mov": "video/quicktime", "webm": "video/webm"}
+PICTURES = ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "tif", "svg", "emf", "wmf")
+SLIDE_MEDIA = {"webp": "image/webp", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "avi": "video/x-msvideo", "wmv": "video/x-ms-wmv"}
+EXTENSION = {"image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/bmp": "bmp", "image/tiff": "tiff", "image/svg+xml": "svg", "image/x-wmf": "wmf", "image/x-emf": "emf", "audio/mpeg": "mp3", "audio/wav": "wav", "video/mp4": "mp4"}
+AUDIO, VIDEO = ("mp3", "wav", "ogg", "m4a", "wma"), ("mp4", "avi", "mov", "wmv", "webm")
 
 
 def runs_of(json: Column) -> Column:
@@ -22,7 +26,7 @@ def plain_text(runs: Column) -> Column:
 
 
 def is_empty(runs: Column, images: Column) -> Column:
-    return (F.coalesce(F.size(images), F.lit(0)) <= 0) & F.forall(runs, lambda r: F.coalesce(r["t"], F.lit("")) == "")
+    return (F.coalesce(F.size(images), F.lit(0)) <= 0) & F.forall(F.coalesce(runs, F.array().cast(RUNS)), lambda r: F.coalesce(r["t"], F.lit("")) == "")
 
 
 def merge_runs(runs: Column) -> Column:
@@ -90,26 +94,92 @@ def extension(name: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(name, r"\.([A-Za-z0-9]{1,5})$", 1), F.lit("")))
 
 
+def _map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
 def mime_of(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
-    return F.coalesce(F.element_at(table, extension(name)), F.lit("application/octet-stream"))
+    return F.coalesce(F.try_element_at(_map(MIME), extension(name)), F.lit("application/octet-stream"))
+
+
+def mime_in(name: Column, format: Column) -> Column:
+    """Media type of a part in a package of a format, null where that format's documents have none: pictures in all,
+    sound and film in presentations."""
+    pictures = {e: MIME[e] for e in PICTURES}
+    e = extension(name)
+    return F.when(format == "pptx", F.try_element_at(_map(pictures | SLIDE_MEDIA), e)).otherwise(F.try_element_at(_map(pictures), e))
 
 
 def resource_type(mime: Column) -> Column:
-    return F.when(mime.startswith("image/"), "image").when(mime.startswith("audio/"), "audio").when(mime.startswith("video/"), "video").otherwise("other")
+    m = F.lower(mime)
+    return F.when(m.startswith("image/"), "image").when(m.startswith("audio/"), "audio").when(m.startswith("video/"), "video").when(F.contains(m, F.lit("chart")), "chart").when(F.contains(m, F.lit("ole")), "ole").otherwise("other")
+
+
+def resource_type_of(name: Column) -> Column:
+    """The kind of a resource by the extension of its name."""
+    e = extension(name)
+    return F.when(e.isin(*PICTURES), "image").when(e.isin(*AUDIO), "audio").when(e.isin(*VIDEO), "video").otherwise("other")
 
 
-def suggested_name(filename: Column, resource_id: Column, mime: Column) -> Column:
-    """The file name, else the id with an extension of its type."""
-    first = {m: e for e, m in reversed(MIME.items())}
-    table = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
-    return F.coalesce(filename, F.concat(resource_id, F.lit("."), F.coalesce(F.element_at(table, mime), F.lit("bin"))))
+def is_image(type_: Column) -> Column:
+    return type_.isin("image", "chart")
 
 
+def is_media(type_: Column) -> Column:
+    return type_.isin("audio", "video")
+
+
+def suggested_name(filename: Column, resource_id: Column, mime: Column, type_: Column | None = None) -> Column:
+    """The file name, else the id with the extension of its media type if it is a picture, else of its kind."""
+    type_ = resource_type(mime) if type_ is None else type_
+    picture = F.coalesce(F.try_element_at(_map(EXTENSION), mime), F.lit("png"))
+    end = F.when(type_ == "image", picture).when(type_ == "audio", "mp3").when(type_ == "video", "mp4").when(type_ == "chart", "png").otherwise("bin")
+    return F.coalesce(filename, F.concat(resource_id, F.lit("."), end))
+
+
+# --------------------------------------------------------------------------- predicates and constructors
 def heading_name(level: Column) -> Column:
     return F.when(level.between(1, 6), F.concat(F.lit("H"), level.cast("string"))).otherwise("None")
 
 
+def heading_number(name: Column) -> Column:
+    """The level of a heading's name, 0 for none."""
+    return F.coalesce(F.regexp_extract(name, "^H([1-6])$", 1).try_cast("int"), F.lit(0))
+
+
+def is_heading(level: Column) -> Column:
+    return F.coalesce(level, F.lit(0)) > 0
+
+
+def is_list_item(list_type: Column) -> Column:
+    return list_type.isNotNull()
+
+
+def is_link(run: Column) -> Column:
+    return run["rid"].isNotNull()
+
+
+def has_formatting(run: Column) -> Column:
+    """Whether a run is anything but plain; fonts, sizes and colours don't count."""
+    out = F.lit(False)
+    for c in ("b", "i", "u", "s", "sup", "sub", "code"):
+        out = out | F.coalesce(run[c], F.lit(False))
+    return out
+
+
+def run(text: Column | str, rid: Column | str | None = None, **style: bool) -> Column:
+    """A run of that text, linked and styled as said."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    given = {"t": lit(text), "rid": lit(rid)} | {k: F.lit(v) for k, v in style.items()}
+    types = dict(x.split(":") for x in RUN[len("struct<") : -1].split(","))
+    return F.struct(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def paragraph(*runs: Column, heading: int = 0) -> Column:
+    """A paragraph of those runs."""
+    return F.struct((F.array(*runs) if runs else F.array().cast(RUNS)).alias("runs"), F.array().cast(IMAGES).alias("images"), F.lit(heading).alias("heading"))
+
+
 def display_width(s: Column) -> Column:
     """Wide East Asian characters count twice."""
     wide = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}\x{20000}-\x{3FFFD}]"

@@ -8,21 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import IMAGES, merge_runs, plain_text, runs_of
-from ..sources.office import kind, targets
+from ..sources.office import kind, present, targets
 
 HOPS = 11
+#: What a style can say, and what its readers take from the nearest one along basedOn that says it.
+PROPERTIES = {"outline": "int", "bold": "boolean", "italic": "boolean", "underline": "boolean", "strike": "boolean", "font": "string", "size": "int", "color": "string", "highlight": "string"}
+
+
+def style_properties(f: DataFrame) -> DataFrame:
+    """doc_id, style_id, style_name and PROPERTIES: of each the value of the nearest style along basedOn that has one,
+    itself first, over HOPS styles at most. A document's styles are folded where they lie, as one map."""
+    own = kind(f, "style", style_id="id", style_name="name", based="based", **{c: f"{c}:{t}" for c, t in PROPERTIES.items()})
+    of = ["based", *PROPERTIES]
+    s = own.groupBy("doc_id", "style_id").agg(F.min_by(F.struct("style_name", *of), "ord").alias("s")).select("doc_id", "style_id", "s.*")
+    maps = s.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", F.struct(*of)))).alias("all"), F.collect_list(F.struct("style_id", "style_name")).alias("names"))
+    rows = maps.select("doc_id", "all", F.explode("names").alias("n")).select("doc_id", "all", "n.style_id", "n.style_name")
+
+    def hop(acc: Column, _: Column) -> Column:
+        here = lambda c: F.try_element_at("all", acc["up"])[c]
+        return F.struct(here("based").alias("up"), *[F.coalesce(acc[c], here(c)).alias(c) for c in PROPERTIES])
+
+    start = F.struct(F.col("style_id").alias("up"), *[F.lit(None).cast(t).alias(c) for c, t in PROPERTIES.items()])
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HOPS)), start, hop)
+    return rows.select("doc_id", "style_id", "style_name", found.alias("p")).select("doc_id", "style_id", "style_name", *[f"p.{c}" for c in PROPERTIES])
 
 
 def styles(f: DataFrame) -> DataFrame:
     """doc_id, style_id, style_name, heading: the nearest outline along basedOn, else Title and Subtitle by name."""
-    s = kind(f, "style", style_id="id", name="name", based="based", outline="outline:int").drop("part", "ord")
-    s = s.groupBy("doc_id", "style_id").agg(F.first("name").alias("name"), F.first("based").alias("based"), F.first("outline").alias("outline"))
-    up = s.select("doc_id", F.col("style_id").alias("up"), F.col("based").alias("next"), F.col("outline").alias("inherited"))
-    known = s.withColumnRenamed("based", "up")
-    for _ in range(HOPS - 1):
-        known = known.join(up, ["doc_id", "up"], "left").select("doc_id", "style_id", "name", F.col("next").alias("up"), F.coalesce("outline", "inherited").alias("outline"))
-    level = F.when(F.col("outline").between(0, 5), F.col("outline") + 1).when(F.lower("name") == "title", 1).when(F.lower("name") == "subtitle", 2)
-    return known.select("doc_id", "style_id", F.col("name").alias("style_name"), F.coalesce(level, F.lit(0)).alias("heading"))
+    level = F.when(F.col("outline").between(0, 5), F.col("outline") + 1).when(F.lower("style_name") == "title", 1).when(F.lower("style_name") == "subtitle", 2)
+    return style_properties(f).select("doc_id", "style_id", "style_name", F.coalesce(level, F.lit(0)).alias("heading"))
 
 
 def number_window(items: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -49,8 +63,15 @@ def paragraphs(f: DataFrame) -> DataFrame:
     """Every paragraph of bodies, headers, footers and cells, with its style, list and resolved runs."""
     p = kind(f, "para", seq="seq:long", region="region", style_id="style", jc="jc", table_id="table", cell="cell", runs="runs", images="images")
     p = p.withColumns({"runs": runs_of(F.col("runs")), "images": F.from_json("images", IMAGES)})
-    notes = kind(f, "note", kind="kind", id="id").groupBy("doc_id").agg(F.collect_set(F.concat(F.when(F.col("kind") == "endnote", "e").otherwise(""), F.col("id"))).alias("notes"))
-    p = p.join(styles(f), ["doc_id", "style_id"], "left").join(list_numbers(f), ["doc_id", "seq"], "left").join(targets(f), ["doc_id", "part"], "left").join(notes, "doc_id", "left")
+    none = lambda *cols: [F.lit(None).cast(t).alias(c) for c, t in cols]
+    p = p.join(styles(f), ["doc_id", "style_id"], "left") if present(f, "style") else p.select("*", *none(("style_name", "string"), ("heading", "int")))
+    p = p.join(list_numbers(f), ["doc_id", "seq"], "left") if present(f, "num_level") else p.select("*", *none(("list_type", "string"), ("list_level", "int"), ("list_number", "long")))
+    p = p.join(targets(f), ["doc_id", "part"], "left")
+    if present(f, "note"):
+        notes = kind(f, "note", kind="kind", id="id").groupBy("doc_id").agg(F.collect_set(F.concat(F.when(F.col("kind") == "endnote", "e").otherwise(""), F.col("id"))).alias("notes"))
+        p = p.join(notes, "doc_id", "left")
+    else:
+        p = p.withColumn("notes", F.lit(None).cast("array<string>"))
     mark = lambda r: F.when(F.array_contains(F.col("notes"), r["note"]), F.concat(F.lit("[^"), r["note"], F.lit("]"))).otherwise("")
     run = lambda r: r.withField("rid", F.element_at("targets", r["rid"])).withField("t", F.when(r["note"].isNotNull(), mark(r)).otherwise(r["t"]))
     fixed = F.filter(F.transform("runs", run), lambda r: r["note"].isNull() | (r["t"] != ""))

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.model import IMAGES, RUNS, display_width, merge_runs, plain_text
 from ..operators import excel, headings, slides, word
 from ..options import HeadingConfig, RenderOptions
-from ..sources.office import documents, errors, kind, present
+from ..sources.office import documents, kind, present, resource_list
 
 BLOCK = ["doc_id", "section_idx", "region", "class", "ord", "block_type", "runs", "images", "heading", "list_type", "list_level", "list_number", "style_id", "style_name", "table_id", "alignment"]
 
@@ -387,7 +387,10 @@ def to_json(f: DataFrame, pretty: bool = False) -> DataFrame:
     s = ordered(s, ["doc_id"], "j", ",", ["section_idx"])
     d = documents(f).withColumn("keywords", F.when(F.size("keywords") > 0, F.col("keywords")))
     meta = F.to_json(F.struct(*[c for c in d.columns if c not in ("doc_id", "format", "error")]))
-    out = d.join(s, "doc_id").select("doc_id", F.concat(F.lit('{"format":"'), F.col("format"), F.lit('","metadata":'), meta, F.lit(',"sections":['), F.col("j"), F.lit("]}")).alias("json"))
+    named = F.concat(F.expr("substring(to_json(array(resource_id)), 2, length(to_json(array(resource_id))) - 2)"), F.lit(":"), F.to_json(F.struct("type", "filename", "mime_type", "size")))
+    r = ordered(resource_list(f).withColumn("r", named), ["doc_id"], "r", ",", ["resource_id"])
+    held = F.when(F.col("r").isNotNull(), F.concat(F.lit(',"resources":{'), F.col("r"), F.lit("}"))).otherwise("")
+    out = d.join(s, "doc_id").join(r, "doc_id", "left").select("doc_id", F.concat(F.lit('{"format":"'), F.col("format"), F.lit('","metadata":'), meta, F.lit(',"sections":['), F.col("j"), F.lit("]"), held, F.lit("}")).alias("json"))
     return pretty_json(out) if pretty else out
 
 

@@ -260,7 +260,7 @@ class Word:
 
 
 # --------------------------------------------------------------------------- Excel
-def excel(p: Package) -> Iterator[Fact]:
+def excel(p: Package, but_sheets: bool = False) -> Iterator[Fact]:
     main = p.main
     root = p.tree(main, required=True)
     rels = {r["id"]: r for r in p.rels(main, required=True)}
@@ -280,7 +280,8 @@ def excel(p: Package) -> Iterator[Fact]:
     for part in dict.fromkeys(r["target"] for n in sheets if (r := rels.get(n.attrs.get("r:id")))):
         if part not in p.known:
             continue
-        yield from worksheet(p, part)
+        if not but_sheets:
+            yield from worksheet(p, part)
         for r in p.rels(part):
             kind = r["type"].rpartition("/")[2]
             if kind == "comments" and (tree := p.tree(r["target"])):
@@ -430,17 +431,40 @@ def powerpoint(p: Package) -> Iterator[Fact]:
             yield "error", e.part or part, i, {"kind": str(e.kind), "name": e.name, "message": e.message, "section": str(i)}
 
 
-def facts_of(data: bytes) -> Iterator[Fact]:
+def units_of(p: Package) -> list[str]:
+    """Sheets of a book, by which a large one can be read in pieces; what else there is is one piece."""
+    if p.format != "xlsx":
+        return []
+    rels = {r["id"]: r["target"] for r in p.rels(p.main)}
+    sheets = (p.tree(p.main, required=True).first("sheets") or Node("", {})).each("sheet")
+    return list(dict.fromkeys(t for n in sheets if (t := rels.get(n.attrs.get("r:id"))) in p.known))
+
+
+def unit_facts(data, unit: str) -> Iterator[Fact]:
+    """The facts of one sheet."""
+    try:
+        yield from worksheet(Package(data), unit)
+    except Exception as e:
+        yield from failure(e)
+
+
+def failure(e: Exception) -> Iterator[Fact]:
+    if isinstance(e, RecursionError):
+        e = OfficeError("InvalidData", "elements are nested too deeply")
+    elif not isinstance(e, OfficeError):
+        e = OfficeError("Other", f"{type(e).__name__}: {e}")
+    yield "error", e.part, 0, {"kind": str(e.kind), "name": e.name, "message": e.message}
+
+
+def facts_of(data, only_manifest: bool = False, but_sheets: bool = False) -> Iterator[Fact]:
     """All facts of a package; a failure, whatever it is, is a last fact of its own."""
     try:
         p = Package(data)
         yield "format", p.main, 0, {"format": p.format}
         yield from manifest(p)
+        if only_manifest:
+            return
         yield from metadata(p)
-        yield from {"docx": lambda: Word(p).facts(), "xlsx": lambda: excel(p), "pptx": lambda: powerpoint(p)}[p.format]()
+        yield from {"docx": lambda: Word(p).facts(), "xlsx": lambda: excel(p, but_sheets), "pptx": lambda: powerpoint(p)}[p.format]()
     except Exception as e:  # one package must not end a job over all of them
-        if isinstance(e, RecursionError):
-            e = OfficeError("InvalidData", "elements are nested too deeply")
-        elif not isinstance(e, OfficeError):
-            e = OfficeError("Other", f"{type(e).__name__}: {e}")
-        yield "error", e.part, 0, {"kind": str(e.kind), "name": e.name, "message": e.message}
+        yield from failure(e)

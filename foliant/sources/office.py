@@ -28,13 +28,14 @@ def container(content: Column) -> Column:
     return F.when(F.substring(content, 1, 4) == F.unhex(F.lit("504B0304")), "zip").when(F.substring(content, 1, 8) == F.unhex(F.lit("D0CF11E0A1B11AE1")), "cfb").otherwise("unknown")
 
 
-def facts(files: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """All facts of all packages. Store them (partitioned by kind) if several results are read from them."""
+def facts(files: DataFrame, key: str = "doc_id", content: str = "content", only_manifest: bool = False) -> DataFrame:
+    """All facts of all packages (only_manifest: format, parts and relationships). Store them (partitioned by kind) if
+    several results are read from them."""
 
     def run(batches):
         for b in batches:
             for key_, data in zip(b.column(0).to_pylist(), b.column(1)):
-                found = facts_of(data.as_py() or b"")
+                found = facts_of(data.as_py() or b"", only_manifest)
                 while rows := list(islice(found, AT_ONCE)):  # a large package goes on while it is parsed
                     attrs = pa.array([list(r[3].items()) for r in rows], pa.map_(pa.string(), pa.string()))
                     yield pa.RecordBatch.from_arrays([pa.array([key_] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), attrs], names=["doc_id", "kind", "part", "ord", "attrs"])
@@ -118,10 +119,41 @@ def targets(f: DataFrame) -> DataFrame:
     return r.groupBy("doc_id", F.col("source_part").alias("part")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("rel_id", "target")))).alias("targets"))
 
 
-def resources(files: DataFrame) -> DataFrame:
-    """Media parts: resource_id (file name), type, mime_type, size, data."""
-    from ..functions.model import mime_of, resource_type
+def resource_list(f: DataFrame) -> DataFrame:
+    """doc_id, resource_id, part, filename, type, mime_type, size of what a document carries: in Word what the main part's
+    relationships name as pictures, by their ids; else the parts of the media folder, by their file names."""
+    from ..functions.model import mime_in, resource_type_of
 
+    held = kind(f, "part", size="size:long").select("doc_id", "part", "size")
+    main = f.where("kind = 'format'").select("doc_id", F.col("part").alias("main"), F.col("attrs")["format"].alias("format"))
+    pictures = relationships(f).where(F.contains("rel_type", F.lit("/image")) & ~F.col("external"))
+    word = main.where("format = 'docx'").join(pictures.withColumnRenamed("source_part", "main"), ["doc_id", "main"])
+    word = word.select("doc_id", "format", F.col("rel_id").alias("resource_id"), F.col("target").alias("part")).join(held, ["doc_id", "part"])
     name = F.element_at(F.split("part", "/"), -1)
-    media = parts(files).where(F.col("part").rlike("^(word|xl|ppt)/media/[^/]+$"))
-    return media.select("doc_id", name.alias("resource_id"), resource_type(mime_of(name)).alias("type"), name.alias("filename"), mime_of(name).alias("mime_type"), F.octet_length("bytes").cast("long").alias("size"), F.col("bytes").alias("data"), "error")
+    media = held.where(F.col("part").rlike("^(xl|ppt)/media/[^/]+$")).join(main.where("format <> 'docx'"), "doc_id")
+    both = word.select("doc_id", "format", "resource_id", "part", "size").unionByName(media.select("doc_id", "format", name.alias("resource_id"), "part", "size"))
+    return both.select("doc_id", "resource_id", "part", name.alias("filename"), resource_type_of(name).alias("type"), mime_in(name, F.col("format")).alias("mime_type"), "size")
+
+
+def resources(files: DataFrame) -> DataFrame:
+    """resource_list with the bytes (data). Only the packages' lists of parts and their relationships are parsed."""
+    listed = resource_list(facts(files, only_manifest=True))
+    return listed.drop("size").join(parts(files), ["doc_id", "part"]).select("doc_id", "resource_id", "part", "type", "filename", "mime_type", F.octet_length("bytes").cast("long").alias("size"), F.col("bytes").alias("data"), "error")
+
+
+def reachable(f: DataFrame, most: int = 64) -> DataFrame:
+    """doc_id, part, hops: the parts that relationships lead to from the package, by the least number of steps (null:
+    none do). A round takes one more step from the parts that the last one found."""
+    r = stored(relationships(f).where("not external").select("doc_id", "source_part", "target").distinct())
+    found = stored(r.where("source_part = ''").select("doc_id", F.col("target").alias("part"), F.lit(1).alias("hops")))
+    new = found
+    for hops in range(2, most + 1):
+        step = new.select("doc_id", F.col("part").alias("source_part")).join(r, ["doc_id", "source_part"]).select("doc_id", F.col("target").alias("part")).distinct()
+        new = stored(step.join(found, ["doc_id", "part"], "left_anti").withColumn("hops", F.lit(hops)))
+        if new.isEmpty():
+            break
+        found = stored(found.unionByName(new))
+    else:
+        raise ValueError(f"parts more than {most} relationships away")
+    listed = kind(f, "part").select("doc_id", "part").where("part <> '[Content_Types].xml' and part not like '%.rels'")
+    return listed.join(found, ["doc_id", "part"], "left")

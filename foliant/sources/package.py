@@ -61,10 +61,18 @@ def check_container(data: bytes) -> None:
 
 
 class Package:
-    def __init__(self, data: bytes):
-        check_container(data)
+    """A package in bytes, or in a file that can be sought in (then only what is read is fetched)."""
+
+    def __init__(self, data):
+        if isinstance(data, bytes):
+            check_container(data)
+            data = io.BytesIO(data)
+        else:
+            head = data.read(8)
+            data.seek(0)
+            check_container(head if head[:8] != CFB_MAGIC else data.read())
         try:
-            self.zip = zipfile.ZipFile(io.BytesIO(data))
+            self.zip = zipfile.ZipFile(data)
         except (zipfile.BadZipFile, EOFError, ValueError) as e:
             raise OfficeError("ZipArchive", str(e)) from e
         self.names = self.zip.namelist()
