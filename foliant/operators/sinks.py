@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-from urllib.parse import quote
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import HeadingConfig, RenderOptions
 from ..plans import render
-from ..sources import office
+from ..sources import datasource, office
 
 # Names of formats.
 FORMATS = {"md": "md", "markdown": "md", "txt": "txt", "text": "txt", "json": "json"}
 
 
+def save(rows: DataFrame, target: str, overwrite: bool = False) -> None:
+    """Rows of path and data as files below target: all of them once every task has ended, or none."""
+    datasource.register(rows.sparkSession)
+    rows.write.format("office").mode("overwrite" if overwrite else "append").save(target)
+
+
 def convert(files: DataFrame, target: str, formats: list[str], options: RenderOptions | None = None, as_files: bool = False) -> None:
-    """target/md, target/txt, target/json: rows of doc_id and text as Parquet, or (as_files) below a folder for each
-    document a text file whose lines are the document's. Packages are parsed once."""
+    """target/md, target/txt, target/json: rows of doc_id and text as Parquet, or (as_files) a text file for each
+    document, named after it. Packages are parsed once."""
     facts = office.stored_facts(files)
     o = options or RenderOptions(frontmatter=True, headings=HeadingConfig())
     for name in dict.fromkeys(FORMATS[f] for f in formats):
@@ -28,13 +30,7 @@ def convert(files: DataFrame, target: str, formats: list[str], options: RenderOp
             out.write.mode("overwrite").parquet(f"{target}/{name}")
             continue
         body = next(c for c in out.columns if c != "doc_id")
-        named = out.select(F.col(body).alias("value"), document_name(F.col("doc_id")).alias("document"))
-        named.write.mode("overwrite").partitionBy("document").option("lineSep", "\n").text(f"{target}/{name}")
-
-
-def document_name(doc_id):
-    """A folder name of its own for every doc_id: letters, digits and a few marks as they are, and a hash of the whole."""
-    return F.concat(F.regexp_replace(F.right(doc_id, F.lit(60)), "[^A-Za-z0-9._-]", "_"), F.lit("-"), F.substring(F.sha2(doc_id, 256), 1, 16))
+        save(out.select(F.concat(document_folder(F.col("doc_id")), F.lit(f".{name}")).alias("path"), F.col(body).alias("data")), f"{target}/{name}", True)
 
 
 def info(f: DataFrame) -> DataFrame:
@@ -51,31 +47,25 @@ def split_resources(r: DataFrame) -> DataFrame:
     return r.withColumn("folder", F.when(F.col("type") == "image", "images").otherwise("media"))
 
 
-def document_folder(doc_id) -> str:
-    """A folder name of its own for every doc_id, whatever characters it holds."""
-    if doc_id is None:
-        return "doc"
-    name = "doc-" + quote(str(doc_id), safe="")
-    return name if len(name) <= 200 else "doc--" + hashlib.sha256(str(doc_id).encode()).hexdigest()
+def escaped(name: Column) -> Column:
+    """A name without separators: everything but letters, digits and a few marks by its bytes."""
+    return F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+
+
+def document_folder(doc_id: Column) -> Column:
+    """A name of its own for every doc_id, whatever characters it holds."""
+    name = F.concat(F.lit("doc-"), escaped(doc_id))
+    return F.when(doc_id.isNull(), "doc").when(F.length(name) > 200, F.concat(F.lit("doc--"), F.sha2(doc_id, 256))).otherwise(name)
 
 
 def extract(files: DataFrame, target: str) -> None:
-    """Media as files below a folder all executors share: target/folder/name of a single document, and
-    target/doc-id/folder/name where there are several (ids escaped; rows of one doc_id are one document). The last part
-    of a name counts; where parts of a document share it, each is named by its escaped whole path."""
+    """Media as files: target/folder/name of a single document, and target/doc-id/folder/name where there are several
+    (ids escaped; rows of one doc_id are one document). The last part of a name counts; where parts of a document share
+    it, each is named by its escaped whole path."""
     single = files.select("doc_id").distinct().limit(2).count() < 2
-    r = split_resources(office.resources(files)).where("data is not null")
-    r = r.withColumn("name", F.regexp_extract(F.regexp_replace("filename", r"\\", "/"), "[^/]*$", 0))
-    r = r.withColumn("same", F.size(F.collect_set("filename").over(Window.partitionBy("doc_id", "folder", "name"))))
-
-    def write(rows) -> None:
-        for r in rows:
-            if r["name"] in ("", ".", ".."):
-                continue
-            name = r["name"] if r["same"] == 1 else quote(r["filename"], safe="")
-            folder = os.path.join(target, *([] if single else [document_folder(r["doc_id"])]), r["folder"])
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, name), "wb") as out:
-                out.write(r["data"])
-
-    r.select("doc_id", "folder", "name", "filename", "same", "data").foreachPartition(write)
+    name = F.regexp_extract(F.regexp_replace("filename", r"\\", "/"), "[^/]*$", 0)
+    r = split_resources(office.resources(files)).where("data is not null").dropDuplicates(["doc_id", "part"]).withColumn("name", name).where(~F.col("name").isin("", ".", ".."))
+    r = r.withColumn("same", F.count("*").over(Window.partitionBy("doc_id", "folder", "name")))
+    last = F.when(F.col("same") == 1, F.col("name")).otherwise(escaped(F.col("part")))
+    home = F.lit("") if single else F.concat(document_folder(F.col("doc_id")), F.lit("/"))
+    save(r.select(F.concat(home, F.col("folder"), F.lit("/"), last).alias("path"), "data"), target)

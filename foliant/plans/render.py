@@ -230,10 +230,11 @@ def tables_markdown(f: DataFrame, o: RenderOptions) -> DataFrame:
 def frontmatter(f: DataFrame) -> DataFrame:
     d = documents(f)
     label = F.when(F.col("format") == "pptx", "slides").when(F.col("format") == "xlsx", "sheets").otherwise("pages")
-    quoted = lambda name, col: F.concat(F.lit(f"{name}: "), F.to_json(F.array(F.col(col))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(col)))) - 2))
+    text = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    quoted = lambda name, col: F.concat(F.lit(f"{name}: "), text(F.col(col)))
     rows = [F.concat(F.lit("format: "), F.col("format")), *(F.when(F.col(c).isNotNull(), quoted(c, c)) for c in ("title", "author", "subject", "created", "modified"))]
     rows += [F.when(F.col("page_count").isNotNull(), F.concat(label, F.lit(": "), F.col("page_count").cast("string"))), F.when(F.col("word_count").isNotNull(), F.concat(F.lit("words: "), F.col("word_count").cast("string")))]
-    rows += [F.when(F.size("keywords") > 0, F.concat(F.lit("keywords: "), F.to_json("keywords"))), F.when(F.col("application").isNotNull(), quoted("application", "application"))]
+    rows += [F.when(F.size("keywords") > 0, F.concat(F.lit("keywords:\n"), F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("  - "), text(k))), "\n"))), F.when(F.col("application").isNotNull(), quoted("application", "application"))]
     return d.select("doc_id", F.concat(F.lit("---\n"), F.concat_ws("\n", *rows), F.lit("\n---\n\n")).alias("front"))
 
 
