@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..work import spread
 
 #: Lines that make the rules act, put around texts by id; the same in SQL.
 TRIGGERS = ["Page 12", "- 5 -", "15", "Chapter 1 ..... 5", "CONTENTS", "|", "", "  two   words  ", "- 7", "Copyright (c) 2020", "a–b “q” ‘s’", "cafÃ©"]
@@ -15,7 +16,7 @@ def with_triggers(docs: DataFrame) -> DataFrame:
     """Texts with two lines before and two after, chosen by the id."""
     pick = lambda k: F.element_at(F.lit(TRIGGERS), (F.pmod(F.col("doc_id") * k + k, F.lit(len(TRIGGERS))) + 1).cast("int"))
     front = F.when(F.col("doc_id") % 10 == 3, F.lit("---\ntitle: x\nPage 1\n---\n\n")).otherwise(F.lit(""))
-    return docs.select("doc_id", F.concat(front, pick(1), F.lit("\n"), pick(5), F.lit("\n"), F.col("text"), F.lit("\n"), pick(7), F.lit("\n"), pick(11)).alias("text"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.concat(front, pick(1), F.lit("\n"), pick(5), F.lit("\n"), F.col("text"), F.lit("\n"), pick(7), F.lit("\n"), pick(11)).alias("text"))
 
 
 SQL_TEXT = (
@@ -98,7 +99,7 @@ def queries():
         return lambda s, d: T.clean(with_triggers(s.read.parquet(f"{d}/documents.parquet")), "text", how).select("doc_id", F.col("cleaned").alias("text"))
 
     def counts(s: SparkSession, d: str) -> DataFrame:
-        rows = T.clean(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text", "aggressive", "clean")
+        rows = T.clean(spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "text", "aggressive", "clean")
         return rows.select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), F.octet_length("text").cast("long").alias("bytes"), F.size(T.lines(F.col("text"))).cast("long").alias("n_lines"), T.word_count(F.col("clean")).cast("long").alias("clean_words"), F.octet_length("clean").cast("long").alias("clean_bytes"))
 
     def footers(s: SparkSession, d: str) -> DataFrame:

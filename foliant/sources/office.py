@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +30,22 @@ def facts(files: DataFrame, key: str = "doc_id", content: str = "content", only_
     """All facts of all packages (only_manifest: format, parts and relationships). Store them (partitioned by kind) if
     several results are read from them."""
 
+    def out(rows: list) -> pa.RecordBatch:
+        attrs = pa.array([list(r[4].items()) for r in rows], pa.map_(pa.string(), pa.string()))
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, attrs], names=["doc_id", "kind", "part", "ord", "attrs"])
+
     def run(batches):
+        rows: list = []  # of several small packages, or a part of a large one that is still being parsed
         for b in batches:
             for key_, data in zip(b.column(0).to_pylist(), b.column(1)):
-                found = facts_of(data.as_py() or b"", only_manifest)
-                while rows := list(islice(found, AT_ONCE)):  # a large package goes on while it is parsed
-                    attrs = pa.array([list(r[3].items()) for r in rows], pa.map_(pa.string(), pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([key_] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), attrs], names=["doc_id", "kind", "part", "ord", "attrs"])
+                for fact in facts_of(data.as_py() or b"", only_manifest):
+                    rows.append((key_, *fact))
+                    if len(rows) == AT_ONCE:
+                        yield out(rows)
+                        rows = []
+        if rows:
+            yield out(rows)
 
     return files.select(F.col(key).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, FACTS)
 

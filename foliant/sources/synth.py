@@ -80,7 +80,8 @@ def files(df: DataFrame, build, key: str) -> DataFrame:
             rows = b.to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([str(r[key]) for r in rows]), pa.array([build(r) for r in rows], pa.binary())], names=["doc_id", "content"])
 
-    return df.mapInArrow(run, "doc_id string, content binary")
+    # a number of partitions that is asked for is not merged again: packages are small rows and much work
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "doc_id string, content binary")
 
 
 def documents_as_docx(docs: DataFrame) -> DataFrame:
@@ -92,11 +93,11 @@ def conversations_as_pptx(turns: DataFrame) -> DataFrame:
     return files(decks, lambda r: pptx([shape([x["role"]], "title") + shape((x["text"] or "").split("\n")) for x in r["t"]]), "conv_id")
 
 
-def orders_as_xlsx(orders: DataFrame, lineitem: DataFrame, books: int = 16) -> DataFrame:
-    """Workbooks of line items: strings shared, dates as serial numbers, the order merged over its lines."""
+def orders_as_xlsx(orders: DataFrame, lineitem: DataFrame, each: int = 512) -> DataFrame:
+    """Workbooks of the line items of so many orders each: strings shared, dates as serial numbers."""
     rows = lineitem.join(orders.select("o_orderkey", "o_orderdate"), lineitem["l_orderkey"] == orders["o_orderkey"])
     serial = F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date"))
-    rows = rows.select(F.pmod("l_orderkey", F.lit(books)).alias("book"), F.struct("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("q"), serial.alias("d")).alias("x"))
+    rows = rows.select(F.floor(F.col("l_orderkey") / each).alias("book"), F.struct("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("q"), serial.alias("d")).alias("x"))
 
     def build(r: dict) -> bytes:
         flags = sorted({x["l_returnflag"] for x in r["rows"]})

@@ -39,3 +39,10 @@ def values_of(spark: SparkSession, path: str) -> set[str]:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
     return {s.getPath().getName().partition("=")[2] for s in found if s.isDirectory()}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a plain scan, over all cores where its files make fewer partitions than there are cores: what follows is
+    dearer than moving so little. Scans of as many partitions and more stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

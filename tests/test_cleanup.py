@@ -8,15 +8,15 @@ CASES = [
     (T.plain_characters, "Hi – all — of it", "Hi - all - of it"),
     (T.plain_characters, "“q” ‘s’", "\"q\" 's'"),
     (T.remove_private_use, "plainhiddentext", "plainhiddentext"),
-    (T.clean_lines, "Start\n- 5\n- 2026\n— 7\nEnd", "Start\n- 5\n- 2026\n— 7\nEnd"),
-    (T.clean_lines, "Start\n- 5 -\n— 7—\nPage 12\n15\nEnd", "Start\nEnd"),
+    (T.clean_lines, "Begun\n- 8\n- 1999\n— 3\nDone", "Begun\n- 8\n- 1999\n— 3\nDone"),
+    (T.clean_lines, "Begun\n- 8 -\n— 3—\nPage 44\n61\nDone", "Begun\nDone"),
     (T.clean_lines, "Part 1 ..... 5\nCONTENTS\nwait...", "wait..."),
     (T.collapse_blank_lines, "A\n\n   \n\t\nB", "A\n\nB"),
     (T.filter_structure, "|\n*\nx", "x"),
-    (T.final_normalize, "  - a   nested   item   \n", "  - a nested item"),
+    (T.final_normalize, "   * two   wide   gaps   \n", "   * two wide gaps"),
     (T.final_normalize, "a　　b", "a b"),
     (T.final_normalize, "\n   \n\n", ""),
-    (lambda x: T.clean_text(x, "aggressive"), "- top\n  - nested\n    - deeper", "- top\n  - nested\n    - deeper"),
+    (lambda x: T.clean_text(x, "aggressive"), "- oak\n  - branch\n    - twig", "- oak\n  - branch\n    - twig"),
     (lambda x: T.clean_text(x, "aggressive"), "---\ntitle: T\nlist:\n    - one\n---\nBody\nPage 1", "---\ntitle: T\nlist:\n    - one\n---\n\nBody"),
     (lambda x: T.clean_text(x, "default"), "---\ntitle: T\nBody", "---\ntitle: T\nBody"),
 ]
