@@ -65,7 +65,7 @@ STAGES = [
     ("sentencepiece", to_pieces),
 ]
 
-#: SQL has no learned model, no merges of pieces and no removal of repeated bytes; the tests use brute force.
+#: SQL has no learned model, no merges of pieces and no removal of repeated bytes; the tests hold counts of rows only.
 ORACLE_SQL = None
 
 
