@@ -21,6 +21,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
@@ -147,10 +148,9 @@ class OfficeWriter(DataSourceWriter):
             for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if info.base_name != self.stage:
                     (system.delete_dir if info.type == fs.FileType.Directory else system.delete_file)(info.path)
-        for folder in {posixpath.dirname(f"{root}/{name}") for _, name in pairs}:
-            system.create_dir(folder, recursive=True)
-        for source, name in pairs:
-            system.move(source, f"{root}/{name}")
+        with ThreadPoolExecutor(32) as pool:  # each is a round trip to the store and no work
+            list(pool.map(lambda folder: system.create_dir(folder, recursive=True), {posixpath.dirname(f"{root}/{name}") for _, name in pairs}))
+            list(pool.map(lambda pair: system.move(pair[0], f"{root}/{pair[1]}"), pairs))
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
