@@ -20,6 +20,13 @@ from .common import U64, release, slices, stored
 CHUNK_BYTES = 8 << 20
 
 
+def packed_batch(batch: pa.RecordBatch, level: int = 3) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
+
 def chunk_rows(most: int = CHUNK_BYTES, level: int = 3):
     """A map of batches to chunk (distinct), size (bytes of text), body (all columns of a slice, packed)."""
 
@@ -27,13 +34,10 @@ def chunk_rows(most: int = CHUNK_BYTES, level: int = 3):
         number = TaskContext.get().partitionId() << 16
         for whole in batches:
             for piece in slices(whole, "text", most):
-                out = io.BytesIO()
-                with pa.ipc.new_stream(out, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
-                    w.write_batch(piece)
                 size = piece.column("text").nbytes
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([out.getvalue()], pa.binary())], names=["chunk", "size", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([packed_batch(piece, level)], pa.binary())], names=["chunk", "size", "body"])
                 number += 1
-            del whole, piece, out
+            del whole, piece
             release()
 
     return run

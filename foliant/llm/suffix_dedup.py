@@ -9,7 +9,8 @@ quicksort, a token at a time among those still tied, onwards from the anchor and
 prefixes of neighbours in both orders tell exactly which windows are equal: those whose suffixes are alike for all
 bytes after the anchor and all before it. Of equal windows, all but the first are covered. A gram at the end of
 a bucket may go on in the next (and one that very many share is worked off in pieces), so the first window of each kind
-there is compared across boundaries, by its bytes.
+there is compared across boundaries, by its bytes. A piece keeps these claims packed and exchanges their hashes; only
+windows whose hash another piece has too leave it as rows.
 
 Defined cases: null text has no bytes; texts under `length` bytes lose nothing; of equal doc_ids, rows come in the
 order of their slice; a null doc_id comes first; an empty table gives no rows.
@@ -17,12 +18,15 @@ order of their slice; a null doc_id comes first; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import buckets, chunk_table, split, unpack
+from .chunks import buckets, chunk_table, packed_batch, split, unpack
 from .common import _BASE, _BYTE, U64, mix, release, stored, text_bytes
 
 LENGTH, GRAM = 100, 24
@@ -93,19 +97,20 @@ def grams_of(batch: pa.RecordBatch, length: int, gram: int):
     return keys, count > 1
 
 
-def shared_grams(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame:
-    """(chunk, bucket, mask): of the sorted distinct anchor hashes of a chunk in a bucket, which other chunks have."""
+SENT = "chunk long, bucket long, n long, keys binary"
 
-    def send(batches):
-        for b in batches:
-            for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
-                keys, _ = grams_of(unpack(body.as_buffer()), length, gram)
-                parts = split(keys, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1].stop - p[1].start for p in parts], pa.int64()), pa.array([keys[p[1]].tobytes() for p in parts], pa.binary())],
-                    names=["chunk", "bucket", "n", "keys"],
-                )
-        release()
+
+def message(chunk: int, keys: np.ndarray, n: int) -> pa.RecordBatch:
+    """Sorted distinct keys of a chunk, a row for each bucket that has some."""
+    parts = split(keys, n)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1].stop - p[1].start for p in parts], pa.int64()), pa.array([keys[p[1]].tobytes() for p in parts], pa.binary())],
+        names=["chunk", "bucket", "n", "keys"],
+    )
+
+
+def masks_of(sent: DataFrame) -> DataFrame:
+    """(chunk, bucket, n, mask) of messages: which of a chunk's keys in a bucket other chunks have sent too."""
 
     def meet(table: pa.Table) -> pa.Table:
         arrays = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
@@ -123,10 +128,26 @@ def shared_grams(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame
         release()
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": table.column("n"), "mask": pa.array(masks, pa.binary())})
 
-    sent = chunks.select("chunk", "body").mapInArrow(send, "chunk long, bucket long, n long, keys binary")
     return sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket long, n long, mask binary")
 
 
+def flags_of(masks) -> np.ndarray:
+    """The flags of a chunk's sorted keys, from its (bucket, n, mask)."""
+    return np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for _, n, m in sorted(masks)])
+
+
+def shared_grams(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """(chunk, bucket, n, mask): of the sorted distinct anchor hashes of a chunk in a bucket, which other chunks have."""
+
+    def send(batches):
+        for b in batches:
+            for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
+                yield message(chunk, grams_of(unpack(body.as_buffer()), length, gram)[0], n)
+        release()
+
+    return masks_of(chunks.select("chunk", "body").mapInArrow(send, SENT))
+
+
 def suffixes(batch: pa.RecordBatch, chunk: int, shared: np.ndarray, keys: np.ndarray, length: int, gram: int):
     """Of a chunk: (anchor suffixes with the bytes of their windows), and spans covered by what the chunk has earlier.
 
@@ -198,10 +219,9 @@ def spill_suffixes(chunks: DataFrame, masks: DataFrame, length: int, gram: int)
         chunk = left.column("chunk")[0].as_py()
         batch = unpack(left.column("body")[0].as_buffer())
         keys, twice = grams_of(batch, length, gram)
-        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("mask").to_pylist()))
-        if not parts:
+        if not right.num_rows:
             return empty
-        shared = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for _, n, m in parts]) | twice
+        shared = flags_of(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("mask").to_pylist())) | twice
         got = suffixes(batch, chunk, shared, keys, length, gram)
         if got is None:
             return empty
@@ -275,8 +295,8 @@ def equal_from(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 
 def compare(b: dict, length: int, gram: int, edge: np.ndarray):
-    """Windows of suffixes, in the order of place: covered spans, and claims (first windows of edge suffixes): owner,
-    start, bytes before the anchor, and where the window begins in data."""
+    """Windows of suffixes, in the order of place: covered spans, and claims (first windows of edge suffixes): owner and
+    how many bytes after the suffix's first the window begins, in the order of owners."""
     data, begin = b["data"], b["off"][:-1]
     skip, count = b["skip"].astype(np.int64), b["windows"].astype(np.int64)
     heads = np.concatenate([[0], np.cumsum(count)])
@@ -319,39 +339,40 @@ def compare(b: dict, length: int, gram: int, edge: np.ndarray):
     f, l = np.flatnonzero(new), np.flatnonzero(last)
     spans = (owner[f], b["at"][owner[f]] + shift[f], b["at"][owner[l]] + shift[l] + length)
     c = np.flatnonzero(~covered & edge[owner])
-    return spans, (owner[c], b["at"][owner[c]] + shift[c], skip[owner[c]] - shift[c], begin[owner[c]] + shift[c])
+    return spans, (owner[c], shift[c])
 
 
-FOUND = SPAN + ", doc_id long, before int, window binary"
+FOUND = SPAN + ", piece long, claims long, body binary"
 #: Suffixes that a bucket sorts at a time, and those of one beginning, beyond which they are sorted in pieces.
 HELD, PIECE = 50_000, 200_000
 
 
 def covered_spans(suffix: DataFrame, length: int, gram: int, held_most: int = HELD, piece: int = PIECE) -> DataFrame:
-    """Spans (window null), and claims: first windows that other ranges or pieces may have earlier."""
+    """Spans (body null), and of each piece of a range, packed, its claims: first windows that other ranges or pieces may
+    have earlier."""
     windows = suffix.agg(F.sum("windows")).first()[0] or 0
     parts = max(int(suffix.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows // 4_000_000))
     dealt = suffix.drop("stop").repartitionByRange(parts, "t0", "t1", "doc_id", "chunk", "row", "at").sortWithinPartitions("t0", "t1")
     names = ["t0", "t1", "doc_id", "chunk", "row", "at", "skip", "windows"]
+    found = [f.split()[0] for f in FOUND.split(", ")]
+
+    def span_rows(b, owner, start, stop):
+        none = [pa.nulls(len(owner), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(b["chunk"][owner]), pa.array(b["row"][owner].astype(np.int32)), pa.array(start), pa.array(stop), *none], names=found)
 
-    def result(b, spans, claims):
-        owner = np.concatenate([spans[0], claims[0]])
-        n, m = len(spans[0]), len(claims[0])
-        start = np.concatenate([spans[1], claims[1]])
-        window = b["data"][claims[3][:, None] + np.arange(length)] if m else np.zeros((0, length), np.uint8)
-        offsets = np.concatenate([np.zeros(n, np.int32), np.arange(m + 1, dtype=np.int32) * length])
-        valid = np.packbits(np.arange(n + m) >= n, bitorder="little").tobytes()
-        blobs = pa.Array.from_buffers(pa.binary(), n + m, [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(window.tobytes())])
-        before = np.concatenate([np.zeros(n, np.int32), claims[2].astype(np.int32)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(b["chunk"][owner]), pa.array(b["row"][owner].astype(np.int32)), pa.array(start), pa.array(np.concatenate([spans[2], claims[1] + length])), pa.array(b["doc_id"][owner]), pa.array(before), blobs],
-            names=["chunk", "row", "start", "stop", "doc_id", "before", "window"],
-        )
+    def claim_row(b, owner, shift, piece: int):
+        own, first = np.unique(owner, return_index=True)
+        shifts = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(shift.astype(np.int32)))
+        columns = {c: pa.array(b[c][own]) for c in ("doc_id", "chunk", "row", "at", "skip")}
+        body = packed_batch(pa.RecordBatch.from_arrays([*columns.values(), b["bytes"].take(pa.array(own)), shifts], names=[*columns, "bytes", "shifts"]))
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array([piece]), pa.array([len(owner)]), pa.array([body], pa.binary())], names=found)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         held_rows = 0
         open_: list[tuple] = []  # beginnings that other ranges or pieces may have too
+        numbers = itertools.count(TaskContext.get().partitionId() << 24)
 
         def work(table: pa.Table, goes_on: bool):
             b = {c: table.column(c).to_numpy() for c in names}
@@ -361,11 +382,15 @@ def covered_spans(suffix: DataFrame, length: int, gram: int, held_most: int = HE
                 open_[1:] = [(b["t0"][-1], b["t1"][-1])]
             order = np.lexsort((b["at"], b["row"], b["chunk"], b["doc_id"]))
             b = {c: v[order] for c, v in b.items()}
-            b["data"], b["off"] = text_bytes(table.column("bytes").take(pa.array(order)))
+            b["bytes"] = table.column("bytes").combine_chunks().take(pa.array(order))
+            b["data"], b["off"] = text_bytes(b["bytes"])
             edge = np.zeros(len(order), bool)
             for t0, t1 in open_:
                 edge |= (b["t0"] == t0) & (b["t1"] == t1)
-            return result(b, *compare(b, length, gram, edge))
+            spans, (owner, shift) = compare(b, length, gram, edge)
+            yield span_rows(b, *spans)
+            if len(owner):
+                yield claim_row(b, owner, shift, next(numbers))
 
         for batch in batches:
             if not batch.num_rows:
@@ -377,22 +402,73 @@ def covered_spans(suffix: DataFrame, length: int, gram: int, held_most: int = HE
             ends = [(x.column("t0")[k].as_py(), x.column("t1")[k].as_py()) for x, k in ((held[0], 0), (batch, batch.num_rows - 1))]
             if ends[0] == ends[1]:
                 if held_rows >= piece:
-                    yield work(pa.Table.from_batches(held), True)
+                    yield from work(pa.Table.from_batches(held), True)
                     held, held_rows = [], 0
                 continue
             table = pa.Table.from_batches(held)
             t0, t1 = table.column("t0").to_numpy(), table.column("t1").to_numpy()
             whole = int(np.flatnonzero((t0 != t0[-1]) | (t1 != t1[-1]))[-1]) + 1
-            yield work(table.slice(0, whole), False)
+            yield from work(table.slice(0, whole), False)
             held, held_rows = table.slice(whole).to_batches(), table.num_rows - whole
         if held:
-            yield work(pa.Table.from_batches(held), True)
+            yield from work(pa.Table.from_batches(held), True)
         held = []
         release()
 
     return dealt.mapInArrow(run, FOUND)
 
 
+def claim_keys(batch: pa.RecordBatch, length: int):
+    """Of packed claims: a hash of each one's bytes and its gram's place in them, its suffix, where it begins in that,
+    and the bytes of the suffixes on end with their beginnings."""
+    shift = batch.column("shifts").flatten().to_numpy()
+    owner = np.repeat(np.arange(batch.num_rows), batch.column("shifts").value_lengths().to_numpy())
+    raw, off = text_bytes(batch.column("bytes"))
+    value = np.empty(len(owner), np.uint64)
+    for a, b in blocks_of(off):
+        here = slice(*np.searchsorted(owner, [a, b]))
+        value[here] = gram_values(raw[off[a] : off[b]], length)[off[owner[here]] - off[a] + shift[here]]
+    before = batch.column("skip").to_numpy()[owner] - shift
+    return mix(value ^ mix(before.astype(np.uint64))), owner, shift, raw, off
+
+
+CLAIM = SPAN + ", doc_id long, before int, window binary"
+
+
+def claims_met(pieces: DataFrame, length: int, block: int = 1 << 17) -> DataFrame:
+    """Claims whose hash another claim has: a claim that is alone has no equal in another piece."""
+    total = pieces.agg(F.sum("claims")).first()[0] or 0
+    n = max(1, -(-total // (4 << 20)))
+
+    def send(batches):
+        for b in batches:
+            for piece, body in zip(b.column("piece").to_pylist(), b.column("body")):
+                yield message(piece, np.unique(claim_keys(unpack(body.as_buffer()), length)[0]), n)
+        release()
+
+    def rows(batches):
+        for b in batches:
+            for body, masks in zip(b.column("body"), b.column("masks").to_pylist()):
+                batch = unpack(body.as_buffer())
+                key, owner, shift, raw, off = claim_keys(batch, length)
+                keys, back, count = np.unique(key, return_inverse=True, return_counts=True)
+                met = np.flatnonzero((flags_of((m["bucket"], m["n"], m["mask"]) for m in masks) | (count > 1))[back])
+                del key, keys, back, count
+                for at in range(0, len(met), block):
+                    some = met[at : at + block]
+                    own, start = owner[some], batch.column("at").to_numpy()[owner[some]] + shift[some]
+                    window = raw[(off[own] + shift[some])[:, None] + np.arange(length)]
+                    ends = pa.py_buffer((np.arange(len(some) + 1, dtype=np.int32) * length).tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("chunk").take(pa.array(own)), batch.column("row").take(pa.array(own)), pa.array(start), pa.array(start + length), batch.column("doc_id").take(pa.array(own)), pa.array((batch.column("skip").to_numpy()[own] - shift[some]).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(some), [None, ends, pa.py_buffer(window.tobytes())])],
+                        names=[f.split()[0] for f in CLAIM.split(", ")],
+                    )
+        release()
+
+    masks = masks_of(pieces.select("piece", "body").mapInArrow(send, SENT)).groupBy(F.col("chunk").alias("piece")).agg(F.collect_list(F.struct("bucket", "n", "mask")).alias("masks"))
+    return pieces.select("piece", "body").join(masks, "piece").select("body", "masks").mapInArrow(rows, CLAIM)
+
+
 def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(chunks, spans): the documents by the chunk, and what is covered in them (spans may overlap)."""
     chunks = chunk_table(docs)
@@ -400,8 +476,8 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     split_ = stored(spill_suffixes(chunks, masks, length, gram))
     found = stored(covered_spans(split_.where("stop is null"), length, gram))
     first = Window.partitionBy("before", "window").orderBy("doc_id", "chunk", "row", "start")
-    late = found.where("window is not null").withColumn("n", F.row_number().over(first)).where("n > 1")
-    spans = found.where("window is null").select("chunk", "row", "start", "stop").unionByName(late.select("chunk", "row", "start", "stop"))
+    late = claims_met(found.where("body is not null"), length).withColumn("n", F.row_number().over(first)).where("n > 1")
+    spans = found.where("body is null").select("chunk", "row", "start", "stop").unionByName(late.select("chunk", "row", "start", "stop"))
     own = split_.where("stop is not null").select("chunk", "row", F.col("at").alias("start"), "stop")
     return chunks, spans.unionByName(own)
 

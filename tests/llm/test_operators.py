@@ -292,10 +292,10 @@ def test_every_copy_has_its_longest_match():
     assert sum(x[0] > 0 for x in longest) > 20
 
 
-def test_suffix_dedup(spark, docs, rows):
-    order = sorted(((i, t) for i, t in rows if i is not None and i != 30), key=lambda r: r[0])
-    seen, expected = set(), {}
-    for i, t in order:
+def cut_by_hand(rows):
+    """The digest of each (doc_id, text), which are in order."""
+    seen, out = set(), {}
+    for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -303,12 +303,48 @@ def test_suffix_dedup(spark, docs, rows):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(b[p : p + 100])
         kept = bytes(x for x, y in zip(b, gone) if not y)
-        expected[i] = (len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and (not j or not gone[j - 1])), hashlib.sha256(kept).hexdigest())
+        out[i] = (len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and (not j or not gone[j - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def digests(df):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()}
+
+
+def test_suffix_dedup(spark, docs, rows):
+    order = sorted(((i, t) for i, t in rows if i is not None and i != 30), key=lambda r: r[0])
     plain = docs.where("doc_id is not null and doc_id <> 30").repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(plain).collect()}
-    assert got == expected
+    assert digests(suffix_dedup.report(plain)) == cut_by_hand(order)
     assert suffix_dedup.cut(docs.withColumn("kept", F.lit(1))).count() == len(rows)
     assert suffix_dedup.report(empty(spark)).count() == 0
+    # a null doc_id comes first, rows of one doc_id lose all but one of their copies
+    text = rows[30][1]
+    again = suffix_dedup.report(spark.createDataFrame([(5, text), (None, text), (7, text), (7, text)], DOCS)).collect()
+    assert Counter((r["doc_id"], r["n_removed"] == r["n_bytes"]) for r in again) == Counter([(None, False), (5, True), (7, True), (7, True)])
+
+
+def test_suffix_dedup_over_pieces(spark):
+    """A beginning that many documents share lies in many ranges: windows that differ stay in their pieces, equal ones
+    meet again. Each passage stands between texts of a document's own."""
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    passages = [text(45), text(30)]
+    rows = [(i, f"{text(15)} {passages[i % 7 == 0]} {text(12)}") for i in range(150)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    chunks = suffix_dedup.chunk_table(df, 4000)
+    split = suffix_dedup.stored(suffix_dedup.spill_suffixes(chunks, suffix_dedup.shared_grams(chunks, 2, 100, 24), 100, 24).where("stop is null"))
+    found = suffix_dedup.stored(suffix_dedup.covered_spans(split, 100, 24, 40, 60))
+    pieces = found.where("body is not null")
+    claims = pieces.agg(F.sum("claims")).first()[0]
+    met = suffix_dedup.claims_met(pieces, 100, 50)
+    assert pieces.count() > 4 and 0 < met.count() < claims / 2  # more pieces than ranges
+    assert met.groupBy("before", "window").count().where("count < 2").isEmpty()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert digests(suffix_dedup.report(df)) == cut_by_hand(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.mark.parametrize("n,num,den,scheme", [(3, 90, 100, (2, 1)), (5, 8, 10, (1, 0)), (5, 8, 10, (3, 1))])
