@@ -2,6 +2,9 @@
 
 Each stage takes the documents that its predecessor has left and returns documents with their columns (the last one
 adds its own); between stages they are written and read again.
+
+Defined cases: columns other than doc_id and text (and n_chars, which follows a cut text) pass all filtering stages as
+they are, whatever their names; a null text is judged as an empty one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,15 +16,28 @@ from foliant.llm import decontaminate, jaccard, lattice, quality, suffix_dedup
 from foliant.llm.common import stored
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """docs whose columns but doc_id and text have names that no operator uses, and what each was called."""
+    names = {c: c if c in ("doc_id", "text") else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(docs: DataFrame, names: dict, **new) -> DataFrame:
+    """The columns set aside under their own names; those in `new` by its expressions."""
+    return docs.select(*[new.get(c, F.col(h)).alias(c) for c, h in names.items()])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.7 and more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_scores(docs, labels).where("score >= 0.7").select(*docs.columns)
+    aside, names = set_aside(docs)
+    return restored(quality.quality_scores(aside, labels).where("score >= 0.7"), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of five-word Jaccard similarity 0.8 and more, the first row of the least doc_id. Rows go by
     doc_id and text; of equal rows that stay, one does."""
+    docs, names = set_aside(docs)
     groups = jaccard.near_duplicates(docs, words=5, num=8, den=10, scheme=(1, 0))
     kept = F.sum(F.col("keeper").cast("int"))
     # what is known of (doc_id, text) where some row goes; a list of bounded size is sent to the documents, a longer one
@@ -33,22 +49,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = going.where("kept > 0")
     if not again.isEmpty():
         rest = rest.unionByName(keyed.join(again, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]))
-    return rest.select(*docs.columns)
+    return restored(rest, names)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that a 100-byte string covers which starts earlier; n_chars follows the text.
     Documents of which nothing is left go."""
-    cut = suffix_dedup.cut(docs).where("n_removed < n_bytes or n_bytes = 0")
-    texts = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        texts["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns(texts).select(*docs.columns)
+    aside, names = set_aside(docs)
+    cut = suffix_dedup.cut(aside).where("n_removed < n_bytes or n_bytes = 0")
+    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(names["n_chars"]))
+    return restored(cut, names, **new)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    aside, names = set_aside(docs)
+    return restored(decontaminate.decontaminate(aside, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), names)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
