@@ -469,6 +469,19 @@ def test_pipeline(spark, sf):
     assert P.run(spark, sf).count() == seen.count()
 
 
+def test_pipeline_leaves_columns_alone(spark, sf):
+    """Columns named like those of the operators keep their values in every filtering stage."""
+    import corpus_pipeline as P
+
+    names = ["score", "n_words", "contaminated", "n_bytes", "kept", "keeper", "component_id", "_id", "_t"]
+    docs = P.stored(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "n_chars", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names]))
+    for _, stage in P.STAGES[:-1]:
+        out = P.stored(stage(spark, docs, sf))
+        assert out.columns == docs.columns and 0 < out.count() < docs.count()
+        assert out.where(" or ".join(f"not (`{c}` <=> concat('{c}', doc_id))" for c in names)).isEmpty()
+        assert out.where("n_chars <> length(text)").isEmpty()
+
+
 def test_attention_by_hand():
     """Forward pass and gradients of the attention model against plain sums and differences."""
     rng = np.random.default_rng(2)
