@@ -482,6 +482,18 @@ def test_pipeline_leaves_columns_alone(spark, sf):
         assert out.where("n_chars <> length(text)").isEmpty()
 
 
+def test_pipeline_of_nothing(spark, sf):
+    """Null and empty texts pass or go alike, an empty table stays empty."""
+    import corpus_pipeline as P
+
+    for docs in (empty(spark), spark.createDataFrame([(1, None), (2, ""), (3, None), (None, None)], DOCS)):
+        for _, stage in P.STAGES[1:-1]:
+            out = P.stored(stage(spark, docs, sf))
+            assert out.count() == docs.count()
+        kept = P.stored(P.keep_quality(spark, docs, sf)).count()
+        assert kept in (0, docs.count())
+
+
 def test_attention_by_hand():
     """Forward pass and gradients of the attention model against plain sums and differences."""
     rng = np.random.default_rng(2)
