@@ -25,15 +25,19 @@ LOW = -(1 << 63)
 HIGH, LO = "_key_high", "_key_low"
 
 
-def below(high: np.ndarray, low: np.ndarray, probes: list[tuple[int, int]]) -> np.ndarray:
-    """How many of the sorted probes are <= each key."""
-    ph, pl = np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.int64)
-    n = len(probes)
-    order = np.lexsort((np.concatenate([np.zeros(n, np.int8), np.ones(len(high), np.int8)]), np.concatenate([pl, low]), np.concatenate([ph, high])))
-    seen = np.cumsum(order < n)
-    out = np.empty(n + len(high), np.int64)
-    out[order] = seen
-    return out[n:]
+def below(high: np.ndarray, low: np.ndarray, at_high: np.ndarray, at_low: np.ndarray) -> np.ndarray:
+    """How many of the sorted probes (at_high, at_low) are <= each key: all keys halve their bracket together."""
+    first, last = np.zeros(len(high), np.int64), np.full(len(high), len(at_high), np.int64)
+    for _ in range(len(at_high).bit_length()):
+        mid = (first + last) // 2
+        probe = np.minimum(mid, len(at_high) - 1)
+        reached = (mid < last) & ((at_high[probe] < high) | (at_high[probe] == high) & (at_low[probe] <= low))
+        first, last = np.where(reached, mid + 1, first), np.where(reached, last, mid)
+    return first
+
+
+def arrays(probes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.int64)
 
 
 def number(key: tuple[int, int]) -> int:
@@ -46,11 +50,12 @@ def pair(value: int) -> tuple[int, int]:
 
 def histogram(keys: DataFrame, probes: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Exact (bytes, rows) below each probe."""
+    at_high, at_low = arrays(probes)
 
     def count(batches):
         total = np.zeros((2, len(probes) + 1), np.int64)
         for b in batches:
-            at = below(b.column(0).to_numpy(), b.column(1).to_numpy(), probes)
+            at = below(b.column(0).to_numpy(), b.column(1).to_numpy(), at_high, at_low)
             total[0] += np.bincount(at, b.column(2).to_numpy(), len(probes) + 1).astype(np.int64)
             total[1] += np.bincount(at, minlength=len(probes) + 1)
         filled = np.flatnonzero(total[1])
@@ -88,12 +93,14 @@ def splitters(keys: DataFrame, total: int, parts: int, wide: dict[int, int], pro
             best = min((lo, hi), key=lambda x: (abs(x[1] - goal[j]), x[0]))
             if abs(best[1] - goal[j]) <= wide[j] and best[2] >= 0 and best[0] or hi[0] - lo[0] <= 1:
                 done[j] = best if best[2] >= 0 else lo
+    if len(done) < len(goal):
+        raise RuntimeError(f"{len(goal) - len(done)} of {len(goal)} splitters are not found after {rounds} rounds")
     return [(pair(done[j][0]), done[j][1], done[j][2]) for j in sorted(done)]
 
 
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, part_bytes: int = 64 << 20) -> DataFrame:
     """docs with size, text_crc32, shard and slot: shard sizes differ from the mean by `tolerance` of it, or by what
-    one key holds; slots count from 0 in the order of the key."""
+    one key holds; slots count from 0 in the order of the key. Splitters that cannot be found are an error."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.drop("size", "text_crc32", "shard", "slot", HIGH, LO)
     base = base.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary")), HIGH: F.xxhash64(text), LO: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))})
@@ -103,17 +110,19 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, part_bytes
     subs = max(-(-total // (shards * part_bytes)), -(-spread // shards), 1)
     cuts = splitters(keys, total, shards * subs, {j: int((tolerance if j % subs == 0 else 0.25 / subs) * total / shards) for j in range(1, shards * subs)}) if total else []
     cuts = [((LOW, LOW), 0, 0), *cuts]
-    edges = [c[0] for c in cuts]
+    # three numbers a sub-range, so 36 bytes for each `part_bytes` of input: a table of their own, not literals of the plan
+    heads = [cuts[i - i % subs][2] for i in range(len(cuts))]
+    sent = docs.sparkSession.sparkContext.broadcast((*arrays([c[0] for c in cuts[1:]]), np.array([c[2] - h for c, h in zip(cuts, heads)], np.int64)))
 
-    @F.pandas_udf("int")
-    def part_of(high: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series(below(high.to_numpy(), low.to_numpy(), edges[1:]) if len(edges) > 1 else np.zeros(len(high), np.int64))
+    @F.pandas_udf("part int, base long")
+    def place(high: pd.Series, low: pd.Series) -> pd.DataFrame:
+        at_high, at_low, base = sent.value
+        part = below(high.to_numpy(), low.to_numpy(), at_high, at_low)
+        return pd.DataFrame({"part": part.astype(np.int32), "base": base[part]})
 
-    before = F.element_at(F.lit([int(c[2]) for c in cuts]), F.col("_part") + 1)
-    heads = F.element_at(F.lit([int(cuts[i - i % subs][2]) if i - i % subs < len(cuts) else 0 for i in range(len(cuts))]), F.col("_part") + 1)
     order = Window.partitionBy("_part").orderBy(HIGH, LO)
-    out = base.withColumn("_part", part_of(HIGH, LO)).withColumn("_row", F.row_number().over(order))
-    return out.withColumns({"shard": (F.col("_part") / subs).cast("int"), "slot": (before - heads + F.col("_row") - 1).cast("long")}).drop("_part", "_row", HIGH, LO)
+    out = base.withColumn("_place", place(HIGH, LO)).withColumn("_part", F.col("_place.part")).withColumn("_row", F.row_number().over(order))
+    return out.withColumns({"shard": (F.col("_part") / subs).cast("int"), "slot": (F.col("_place.base") + F.col("_row") - 1).cast("long")}).drop("_place", "_part", "_row", HIGH, LO)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -270,6 +270,48 @@ def test_sharding(spark, docs, rows):
     assert sharding.report(empty(spark)).count() == 0
 
 
+def test_shards_by_hand(spark, docs, rows):
+    """The order of the key, the shards' edges and the slots, against a plain sort; columns of clashing names."""
+    import xxhash
+
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, "hot text") for i in range(400)], DOCS))
+    frame = more.select("*", *[F.lit("old").alias(c) for c in ("size", "shard", "slot", "text_crc32")])
+    tolerance = 0.001
+    got = sorted((r["shard"], r["slot"], r["doc_id"], r["text"], r["size"]) for r in sharding.shard(frame, 8, tolerance).fillna({"text": "", "doc_id": sharding.LOW}).collect())
+    whole = [(sharding.LOW if i is None else i, t or "") for i, t in [*rows, *((1000 + i, "hot text") for i in range(400))]]
+    key = lambda d: ((h := xxhash.xxh64_intdigest(d[1].encode(), 42)) - (h >> 63 << 64), d[0])
+    plain = sorted(whole, key=key)
+    assert [g[2:4] for g in got] == plain  # shards follow each other in the order of the key
+    assert all(g[4] == len(g[3].encode()) + 1 for g in got)
+    assert [g[1] for g in got] == [n for s in range(8) for n in range(sum(g[0] == s for g in got))]
+    edges = {0: 0}  # bytes below each place where the key changes
+    for n, a in enumerate(plain[:-1], 1):
+        edges[n] = edges[n - 1] + len(a[1].encode()) + 1
+    edges = {n: b for n, b in edges.items() if not n or key(plain[n - 1]) != key(plain[n])}
+    total = sum(g[4] for g in got)
+    at = 0
+    for s in range(7):
+        at += sum(g[0] == s for g in got)
+        below = sum(g[4] for g in got[:at])
+        nearest = min(abs(b - total * (s + 1) // 8) for b in [*edges.values(), total])
+        assert abs(below - total * (s + 1) // 8) <= max(tolerance * total / 8, nearest)
+
+
+def test_probes_below():
+    rng = np.random.default_rng(2)
+    high, low = rng.integers(-3, 3, 500), rng.integers(-3, 3, 500)
+    for n in (0, 1, 2, 5, 8, 30):
+        probes = sorted({(int(a), int(b)) for a, b in rng.integers(-3, 3, (n, 2))})
+        got = sharding.below(high, low, *sharding.arrays(probes)) if probes else np.zeros(500)
+        assert got.tolist() == [sum(p <= k for p in probes) for k in zip(high.tolist(), low.tolist())]
+
+
+def test_splitters_raise(spark):
+    keys = spark.range(1000).select(F.col("id").alias("high"), F.col("id").alias("low"), F.lit(1).cast("long").alias("size"))
+    with pytest.raises(RuntimeError):
+        sharding.splitters(keys, 1000, 4, {j: 0 for j in (1, 2, 3)}, probes=3, rounds=2)
+
+
 def test_every_copy_has_its_longest_match():
     import pyarrow as pa
 
