@@ -2,8 +2,8 @@
 
 Each tree gives every vector a string of 32 hash bits (signs of random projections) and is the sorted array of them. A
 query descends in each tree to its longest-prefix match; from the deepest of these all trees ascend together, a bit at
-a time, until the subtrees hold `share` times as many entries as the block has vectors (`least_met` at least); the vectors met are ranked by
-the exact inner product. Vectors of any norm get one more component that evens them out, so that the largest inner
+a time, until the subtrees hold as many entries as `share` of the block's vectors and k for each tree; the vectors met
+are ranked by the exact inner product. Vectors of any norm get one more component that evens them out, so that the largest inner
 product is the smallest angle.
 
 Equal vectors are one class: only the k + 1 least ids of a class can be among the k nearest of anyone, and equal
@@ -86,7 +86,7 @@ def vectors_of(embeddings: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.sha2(F.col("v").cast("string"), 256))
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 128, share: float = 0.4, least_met: int = 4000, block: int = 16384) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 128, share: float = 0.2, block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every vec_id that `every` divides."""
     rows = vectors_of(embeddings)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -129,7 +129,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = 12
         def nearest(self, batch: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {"key": [], "vec_id": [], "score": []}
             q, keys = matrix(batch.column("v")), batch.column("key").to_pylist()
-            low, high = self.forest.search(strings(np.column_stack([q, np.zeros(len(q))]), p), max(share * len(self.x), least_met))
+            low, high = self.forest.search(strings(np.column_stack([q, np.zeros(len(q))]), p), share * len(self.x) + k * trees)
             for i in range(len(q)):
                 met = np.zeros(len(self.x), bool)
                 met[np.concatenate([o[a:b] for o, a, b in zip(self.forest.order, low[:, i], high[:, i])])] = True
