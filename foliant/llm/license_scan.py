@@ -153,9 +153,9 @@ def block_matches(files: DataFrame, threshold: float, templates=TEXTS) -> DataFr
         for whole in batches:
             for batch in slices(whole, "_low"):
                 found = [(r, *b) for r, x in zip(batch.column("_row").to_pylist(), batch.column("_low").to_pylist()) if (b := blocks.best(x))]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64())], names=["_row", "license", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64())], names=["_row", "license", "score"])
 
-    return files.select("_row", "_low").mapInArrow(run, "_row long, license string, score double")
+    return files.select("_row", "_low").mapInArrow(run, "_row string, license string, score double")
 
 
 def words_of(line: Column) -> Column:
@@ -184,7 +184,10 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = 0.75, templates
     docs = docs.drop("license", "how", "score", "licensed_by", "_row")
     weights = Weights(templates, threshold)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_row": F.xxhash64(F.coalesce(F.col(path), F.lit("")), text), "_path": F.col(path).cast("string")})
+    at = F.coalesce(F.col(path).cast("string"), F.lit(""))
+    # 128 bits: by one hash of 64, two of ten billion files would share a licence
+    row = F.concat(F.hex(F.xxhash64(at, text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text, at)))
+    keyed = docs.withColumns({"_row": row, "_path": F.col(path).cast("string")})
     is_file = F.coalesce(F.col("_path").rlike(LICENCE_FILE), F.lit(False))
     heads = "".join(sorted({re.escape(w[0]) for w in weights.triggers}))
     trigger = rf"(?=[{heads}])(?<![a-z0-9.])(?:" + "|".join(map(re.escape, weights.triggers)) + r")(?![a-z0-9])"
@@ -201,9 +204,14 @@ def scan(docs: DataFrame, path: str = "path", threshold: float = 0.75, templates
     top = licensed.groupBy("dir").agg(F.max(F.struct("score", F.lit(0))).alias("top")).select("dir", F.col("top.score").alias("score"))
     licensed = licensed.join(top, ["dir", "score"]).groupBy("dir", "score").agg(F.min("license").alias("license"))
     bare = files.join(own, "_row", "left_anti").where("path is not null").select("_row", "path").distinct()
-    parts = F.split("path", "/")
-    above = bare.select("_row", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir"))
-    inherited = above.join(licensed, "dir").groupBy("_row").agg(F.max_by(F.struct("dir", "license", "score"), F.length("dir")).alias("i")).select("_row", F.col("i.dir").alias("licensed_by"), F.col("i.license").alias("license"), F.col("i.score").alias("score"))
+    # directories look for theirs, not files: what meets at the root is every directory once
+    bare = bare.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    home = bare.select(F.col("dir").alias("home")).distinct()
+    steps = F.split("home", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    above = home.select("home", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), ups))).alias("dir"))
+    nearest = F.max_by(F.struct(F.col("dir").alias("licensed_by"), "license", "score"), F.length("dir"))
+    inherited = bare.join(above.join(licensed, "dir").groupBy(F.col("home").alias("dir")).agg(nearest.alias("i")), "dir").select("_row", "i.licensed_by", "i.license", "i.score")
     found = own.select("_row", F.lit(None).cast("string").alias("licensed_by"), "license", "score", F.lit("header").alias("how"))
     found = found.unionByName(inherited.withColumn("how", F.lit("inherited")))
     out = keyed.join(found, "_row", "left")
