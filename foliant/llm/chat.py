@@ -1,9 +1,10 @@
 """Chat formatting by multi-party perspective rotation: of every conversation, one rendering for each participant, who
 speaks as the assistant there; all others are named users. Built-in expressions only.
 
-A rendering comes in blocks of `turns` consecutive turn numbers, in order: a conversation of any length is never
-gathered whole, and the concatenation of its blocks is the rendering. mask lists the spans of characters to train on
-(start:stop, in the block), the assistant's text and the mark that ends it.
+A rendering comes in blocks of `block` consecutive turn numbers, in order, and a block of more than `most` turns (turns
+null or numbered alike) in parts: a conversation of any length is never gathered whole, and the concatenation of its
+blocks and their parts is the rendering. mask lists the spans of characters to train on
+(start:stop, in the part), the assistant's text and the mark that ends it.
 
 Defined cases: a null conv_id takes no part; narrators (system) keep their role in every perspective and are no
 participants; null or blank roles are the user "unknown", no participant; null text is empty; a null turn comes first;
@@ -14,19 +15,22 @@ no rows, nor does an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 
 
-def rotate(turns: DataFrame, block: int = 64, narrators: tuple[str, ...] = ("system",)) -> DataFrame:
-    """conv_id, perspective, block, n_turns, text, mask."""
+def rotate(turns: DataFrame, block: int = 64, narrators: tuple[str, ...] = ("system",), most: int = 4096) -> DataFrame:
+    """conv_id, perspective, block, part (0 but for blocks of more than `most` turns), n_turns, text, mask."""
     role = F.coalesce(F.nullif(F.trim(F.col("role").cast("string")), F.lit("")), F.lit("unknown"))
     said = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"<\|(im_start|im_end)\|>", "<$1>")
     rows = turns.where("conv_id is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), said.alias("text"))
     people = rows.where(~F.col("role").isin(*narrators, "unknown")).select("conv_id", F.col("role").alias("perspective")).distinct()
-    blocks = rows.groupBy("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / block))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("part", F.floor((rank - 1) / most))
+    blocks = rows.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     name = lambda r: F.regexp_replace(r, r"[\r\n<>|]", "_")
 
     def segment(x):
@@ -44,7 +48,7 @@ def rotate(turns: DataFrame, block: int = 64, narrators: tuple[str, ...] = ("sys
         return F.struct((stop + 1).alias("at"), F.when(p["mine"], F.concat(a["spans"], F.array(F.concat_ws(":", start.cast("string"), stop.cast("string"))))).otherwise(a["spans"]).alias("spans"))
 
     mask = F.array_join(F.aggregate("parts", begin, step)["spans"], ",")
-    return parts.select("conv_id", "perspective", "block", F.size("parts").cast("long").alias("n_turns"), text.alias("text"), mask.alias("mask"))
+    return parts.select("conv_id", "perspective", "block", "part", F.size("parts").cast("long").alias("n_turns"), text.alias("text"), mask.alias("mask"))
 
 
 def report(conversations: DataFrame) -> DataFrame:
@@ -54,10 +58,11 @@ def report(conversations: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS role, regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\1>', 'g') AS text, floor(coalesce(turn, 0) / 64)::BIGINT AS block FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role NOT IN ('system', 'unknown')),
-s AS (SELECT conv_id, perspective, block, row_number() OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, role, text) AS n, role = perspective AS mine,
-      '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || regexp_replace(role, '[\r\n<>|]', '_', 'g') END || chr(10) AS head, text || '<|im_end|>' AS body FROM t JOIN p USING (conv_id)),
-o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM s)
-SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY n) AS text,
+r AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text) - 1) // 4096 AS part FROM t),
+s AS (SELECT conv_id, perspective, block, part, row_number() OVER (PARTITION BY conv_id, perspective, block, part ORDER BY turn NULLS FIRST, role, text) AS n, role = perspective AS mine,
+      '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || regexp_replace(role, '[\r\n<>|]', '_', 'g') END || chr(10) AS head, text || '<|im_end|>' AS body FROM r JOIN p USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM s)
+SELECT conv_id, perspective, block, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY n) AS text,
        coalesce(string_agg(start::BIGINT || ':' || (start + length(body))::BIGINT, ',' ORDER BY n) FILTER (WHERE mine), '') AS mask
-FROM o GROUP BY conv_id, perspective, block
+FROM o GROUP BY conv_id, perspective, block, part
 """

@@ -92,6 +92,47 @@ def test_chat(spark):
     assert chat.rotate(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_hot_blocks(spark):
+    """A conversation without turn numbers comes in parts, whose concatenation is the rendering."""
+    turns = [(i, None, ("ann", "bob")[n % 2], f"{n:03d}") for i in (1, 2) for n in range(250)] + [(1, 70, "ann", "last")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("old"))
+    whole = {(r["conv_id"], r["perspective"], r["block"]): r for r in chat.rotate(df).collect()}
+    split: dict = {}
+    for r in sorted(chat.rotate(df, most=40).collect(), key=lambda r: (r["block"], r["part"])):
+        split.setdefault((r["conv_id"], r["perspective"], r["block"]), []).append(r)
+    assert set(split) == set(whole) and all(r["part"] == 0 for r in whole.values())
+    for at, parts in split.items():
+        assert "".join(r["text"] for r in parts) == whole[at]["text"]
+        assert [r["part"] for r in parts] == list(range(len(parts))) and len(parts) == (7 if at[2] == 0 else 1)
+        said = lambda r: [r["text"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split(",") if x)]
+        assert [x for r in parts for x in said(r)] == said(whole[at])
+
+
+def test_license_of_nearest_directory(spark):
+    """Inheritance against a walk up the path: roots, leading slashes, ties, repeated rows, a very long text."""
+    rng = np.random.default_rng(12)
+    names = ["a", "b", "c"]
+    files = {("LICENSE" if i % 9 == 0 else f"f{i}", tuple(rng.choice(names, int(rng.integers(0, 5))))) for i in range(300)}
+    notice = {0: ("MIT", "Released under the MIT License."), 1: ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), 2: (None, "no words of that kind " * 20000)}
+    rows = [("/".join((*d, n)), notice[zlib.crc32("/".join(d).encode()) % 3 if n == "LICENSE" else 2]) for n, d in sorted(files)]
+    rows += [("/etc/x", notice[2]), ("/LICENSE", notice[0]), ("c/b/LICENSE", notice[1]), ("c/b/COPYING", notice[0])]
+    rows += rows[:20]
+    licensed: dict = {}
+    for p, (name, _) in rows:
+        if name and re.search("LICENSE|COPYING", p):
+            licensed.setdefault(p.rpartition("/")[0], set()).add(name)
+    got = Counter((r["path"], r["licensed_by"], r["how"]) for r in license_scan.scan(spark.createDataFrame([(p, t[1][:400] if i % 50 else t[1]) for i, (p, t) in enumerate(rows)], "path string, text string")).collect())
+    expected: Counter = Counter()
+    for p, (name, _) in rows:
+        d = p.rpartition("/")[0]
+        while name is None and d and d not in licensed:
+            d = d.rpartition("/")[0]
+        near = None if name or d not in licensed else d
+        expected[p, near, "header" if name else "none" if near is None else "inherited"] += 1
+    assert got == expected
+    assert sum(n for (_, d, _), n in got.items() if d) > 50
+
+
 def test_forest(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 16)).astype(np.float32)
@@ -130,7 +171,7 @@ def test_forest_meets_a_part(spark):
     assert sum(len(got[q] & set(b)) for q, b in zip(asked.tolist(), best.tolist())) >= 0.9 * 20 * len(asked)
     codes = forest.strings(np.column_stack([x, np.zeros(len(x))]), forest.planes(65, 128))
     index = forest.Forest(codes)
-    low, high = index.search(codes[asked], 0.4 * len(x))
+    low, high = index.search(codes[asked], 0.2 * len(x) + 20 * 128)
     met = [len(np.unique(np.concatenate([o[a:b] for o, a, b in zip(index.order, low[:, i], high[:, i])]))) for i in range(len(asked))]
     assert np.mean(met) < 0.5 * len(x)
 
