@@ -14,6 +14,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -169,30 +170,52 @@ def held_out_events(chunks: DataFrame, back: DataFrame) -> DataFrame:
 
 def learn(events: DataFrame, tokens: int, uniform: float, rounds: int = 60, settled: float = 1e-4) -> np.ndarray:
     """Weights (level x bigram, unigram, uniform) by expectation-maximisation: one set for all events, and by level one
-    that leans on it with eight events. Rounds end when no weight moves by more than `settled`."""
+    that leans on it with eight events. Rounds end when none moves a weight by more than `settled`; a warning says so
+    if that takes more than `rounds`.
+
+    Two rounds give the course of each set of weights, along which it then leaps (squared extrapolation); a round from
+    there counts if it moves the set less than the round before did. The fixed point is that of the plain rounds."""
     p = [F.col("pair") / F.greatest("context", F.lit(1)), F.col("own") / F.lit(max(tokens, 1)), F.lit(uniform)]
-    common = np.array([0.4, 0.5, 0.1])
-    weights = np.tile(common, (LEVELS, 1))
-    for _ in range(rounds):
-        own = [F.get(F.lit(weights[:, i].tolist()), F.col("l").cast("int")) * p[i] for i in range(3)]
-        all_ = [F.lit(float(common[i])) * p[i] for i in range(3)]
-        share = lambda x, i: F.sum(F.col("n") * x[i] / (x[0] + x[1] + x[2]))
+    share = lambda x, i: F.sum(F.col("n") * x[i] / (x[0] + x[1] + x[2]))
+
+    def after(now: np.ndarray) -> np.ndarray:
+        """now: weights by level, the common ones last; after one round over all events."""
+        own = [F.get(F.lit(now[:-1, i].tolist()), F.col("l").cast("int")) * p[i] for i in range(3)]
+        all_ = [F.lit(float(now[-1, i])) * p[i] for i in range(3)]
         sums = events.groupBy("l").agg(*[share(x, i).alias(f"{name}{i}") for name, x in (("o", own), ("a", all_)) for i in range(3)]).collect()  # a row a level
         if not sums:
-            break
-        got, total = np.zeros((LEVELS, 3)), np.zeros(3)
+            return now
+        got = np.zeros((LEVELS + 1, 3))
         for r in sorted(sums):
             got[r["l"]] = [r["o0"], r["o1"], r["o2"]]
-            total += [r["a0"], r["a1"], r["a2"]]
-        before = np.vstack([weights, common])
-        common = np.maximum(total / total.sum(), FEWEST)
-        common /= common.sum()
-        got += 8 * common
-        weights = np.maximum(got / got.sum(1, keepdims=True), FEWEST)
-        weights /= weights.sum(1, keepdims=True)
-        if np.abs(np.vstack([weights, common]) - before).max() <= settled:
-            break
-    return weights
+            got[-1] += [r["a0"], r["a1"], r["a2"]]
+        got[-1] = inside(got[-1:] / got[-1].sum())
+        got[:-1] += 8 * got[-1]
+        return inside(got / got.sum(1, keepdims=True))
+
+    now, move, spent = np.tile([0.4, 0.5, 0.1], (LEVELS + 1, 1)), np.inf, 0
+    while spent < rounds:
+        one = after(now)
+        two = after(one)
+        spent += 3
+        if (move := np.abs(two - one).max()) <= settled:
+            return two[:-1]
+        course, bend = one - now, two - 2 * one + now
+        length = lambda x: np.sqrt((x * x).sum(1, keepdims=True))
+        far = np.maximum(length(course) / np.maximum(length(bend), 1e-12), 1)
+        while (out := (now + 2 * far * course + far * far * bend).min(1, keepdims=True) < FEWEST).any() and (far[out] > 1.01).any():
+            far = np.where(out, (1 + far) / 2, far)
+        leap = inside(now + 2 * far * course + far * far * bend)
+        then = after(leap)
+        now = np.where(length(then - leap) <= length(two - one), then, two)
+    warnings.warn(f"after {spent} rounds of expectation-maximisation weights still move by {move:.2g}", stacklevel=2)
+    return now[:-1]
+
+
+def inside(weights: np.ndarray) -> np.ndarray:
+    """Rows of weights, none below the least, that add up to one."""
+    weights = np.maximum(weights, FEWEST)
+    return weights / weights.sum(1, keepdims=True)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
