@@ -108,6 +108,24 @@ def test_chat_hot_blocks(spark):
         assert [x for r in parts for x in said(r)] == said(whole[at])
 
 
+def test_chat_query_whole_blocks(spark, tmp_path):
+    """A block of any number of turns is one row of the query, with the mask's places in all of it, as in its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    turns = [(1, None, ("ann", "bob", "system")[n % 3], f"{n:05d} é") for n in range(9000)] + [(1, 70, "ann", "last"), (2, 5, "ann", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = Q.queries()["op2_chat_rotation"](spark, str(tmp_path))
+    got = {(r["conv_id"], r["perspective"], r["block"]): r for r in out.collect()}
+    assert out.count() == len(got) == 5 and got[1, "ann", 0]["n_turns"] == 9000
+    hot = got[1, "ann", 0]
+    assert [hot["text"][int(a) : int(b)] for a, b in (x.split(":") for x in hot["mask"].split(","))] == [f"{n:05d} é<|im_end|>" for n in range(0, 9000, 3)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    result = con.execute(Q.oracle_sql()["op2_chat_rotation"])
+    names = [x[0] for x in result.description]
+    assert sorted(names) == sorted(out.columns)
+    assert sorted(result.fetchall()) == sorted(tuple(r[c] for c in names) for r in got.values())
+
+
 def test_license_of_nearest_directory(spark):
     """Inheritance against a walk up the path: roots, leading slashes, ties, repeated rows, a very long text."""
     rng = np.random.default_rng(12)
