@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import buckets, chunk_table, pack, split, unpack, unpack_array
-from .common import U64, WHITE, ascii_lower, mix, span_hashes, stored, text_bytes, word_bounds
+from .common import U64, WHITE, ascii_lower, mix, release, span_hashes, stored, text_bytes, word_bounds
 
 END, BEGIN = U64(0x3C6EF372FE94F82B), U64(0x510E527FADE682D1)
 LEVELS = 64
@@ -61,10 +61,11 @@ class Grams:
         low = ascii_lower(raw)
         starts, ends, before = word_bounds(low, off, WHITE)
         words = span_hashes(low, starts, ends)
+        del raw, low, starts, ends
         rows, counts = batch.num_rows, np.diff(before)
         self.ids = batch.column("doc_id").to_pylist()
         self.crc = np.array([residue(i) for i in self.ids], np.int64)
-        self.row = np.repeat(np.arange(rows), counts + 1)
+        self.row = np.repeat(np.arange(rows, dtype=np.int32), counts + 1)
         tokens = np.full(len(words) + rows, END, np.uint64)
         tokens[np.arange(len(words)) + np.repeat(np.arange(rows), counts)] = words
         context = np.empty_like(tokens)
@@ -74,14 +75,22 @@ class Grams:
         one = U64(1)
         with np.errstate(over="ignore"):
             pairs = mix(context * U64(0x9FB21C651E98DF25) + tokens) & ~one
-        begin = np.full(rows, BEGIN | one, np.uint64)
-        self.keys, at = np.unique(np.concatenate([tokens | one, pairs, begin]), return_inverse=True)
-        n = len(tokens)
-        self.token, self.pair, start = at[:n], at[n : 2 * n], at[2 * n :]
-        self.context = np.empty(n, np.int64)
+        del words, context
+        # unigrams and bigrams by themselves: sorting them together takes twice the memory
+        tokens |= one
+        single, token = np.unique(tokens, return_inverse=True)
+        token = token.astype(np.int32)
+        del tokens
+        double, pair = np.unique(pairs, return_inverse=True)
+        pair = pair.astype(np.int32)
+        del pairs
+        begin = np.full(min(rows, 1), BEGIN | one, np.uint64)
+        self.keys = np.sort(np.concatenate([np.union1d(single, begin), double]))
+        place = lambda keys: np.searchsorted(self.keys, keys).astype(np.int32)
+        self.token, self.pair, self.start = place(single)[token], place(double)[pair], np.repeat(place(begin), rows)
+        self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
-        self.context[self.begins[:-1]] = start
-        self.start = start
+        self.context[self.begins[:-1]] = self.start
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
         """Occurrences of each key in the rows that are True; BEGIN is counted once a row."""
@@ -89,6 +98,47 @@ class Grams:
         own = rows[self.row]
         return np.bincount(self.token[own], minlength=n) + np.bincount(self.pair[own], minlength=n) + np.bincount(self.start[rows], minlength=n)
 
+    def blocks(self, most: int = 1 << 18):
+        """(first row, row after the last) of about that many tokens, of a row at least."""
+        a = 0
+        while a < len(self.ids):
+            b = max(a + 1, int(np.searchsorted(self.begins, self.begins[a] + most, "right")) - 1)
+            yield a, b
+            a = b
+
+
+def met(table: pa.Table, most: int = 1 << 19) -> pa.Table:
+    """A bucket's messages answered: of every key sent, in the order sent, the sums over all chunks; and a row of chunk -1
+    (see count_exchange). The bucket's range is taken by parts of about `most` keys, whose sums are all that is held of
+    them besides the messages and the answers."""
+    sizes = table.column("n").to_pylist()
+    keys = [unpacked_keys(k.as_buffer(), n) for k, n in zip(table.column("keys"), sizes)]
+    sent = {name: [unpack_array(c.as_buffer(), np.uint32, n) for c, n in zip(table.column(name), sizes)] for name in ("all", "cut")}
+    back = {name: [np.empty(n, np.int64) for n in sizes] for name in sent}
+    low, high = int(min(k[0] for k in keys)), int(max(k[-1] for k in keys)) + 1
+    parts = -(-sum(sizes) // most)
+    bounds = np.array([low + (high - low) * i // parts for i in range(1, parts)], np.uint64)
+    edges = [np.concatenate([[0], np.searchsorted(k, bounds), [len(k)]]) for k in keys]
+    types, sums = 0, dict.fromkeys(sent, 0)
+    for i in range(parts):
+        where = [slice(e[i], e[i + 1]) for e in edges]
+        distinct, at = np.unique(np.concatenate([k[w] for k, w in zip(keys, where)]), return_inverse=True)
+        cuts = np.cumsum([w.stop - w.start for w in where])[:-1]
+        single = (distinct & U64(1)).astype(bool) & (distinct != BEGIN | U64(1))
+        for name in sent:
+            total = np.bincount(at, np.concatenate([x[w] for x, w in zip(sent[name], where)]), len(distinct)).astype(np.int64)
+            for out, w, x in zip(back[name], where, np.split(total[at], cuts)):
+                out[w] = x
+            sums[name] += int(total[single].sum())
+            types += int((single & (total > 0)).sum()) if name == "all" else 0
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({
+        "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()),
+        "bucket": pa.array([bucket] * (len(sizes) + 1), pa.int64()),
+        "n": pa.array([*sizes, types], pa.int64()),
+        **{name: pa.array([*map(pack, back[name]), sums[name].to_bytes(8, "little")], pa.binary()) for name in sent},
+    })
+
 
 def count_exchange(chunks: DataFrame, n: int) -> DataFrame:
     """(chunk, bucket, n, all, cut): of a chunk's keys in a bucket, the counts in all training texts and in the
@@ -105,26 +155,13 @@ def count_exchange(chunks: DataFrame, n: int) -> DataFrame:
                     [pa.array([chunk] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1].stop - p[1].start for p in parts], pa.int64()), *(pa.array([f(x[p[1]]) for p in parts], pa.binary()) for x, f in ((g.keys, packed_keys), (whole, pack), (part, pack)))],
                     names=["chunk", "bucket", "n", "keys", "all", "cut"],
                 )
+                del g, whole, part, parts
+                release()
 
     def meet(table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        keys = np.concatenate([unpacked_keys(k.as_buffer(), n) for k, n in zip(table.column("keys"), sizes)])
-        distinct, at = np.unique(keys, return_inverse=True)
-        cuts = np.cumsum(sizes)[:-1]
-        single = (distinct & U64(1)).astype(bool) & (distinct != BEGIN | U64(1))
-        sums, back = [], []
-        for name in ("all", "cut"):
-            own = np.concatenate([unpack_array(c.as_buffer(), np.uint32, n) for c, n in zip(table.column(name), sizes)])
-            total = np.bincount(at, own, len(distinct)).astype(np.int64)
-            back.append([pack(x) for x in np.split(total[at], cuts)])
-            sums.append(total)
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({
-            "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()),
-            "bucket": pa.array([bucket] * (len(sizes) + 1), pa.int64()),
-            "n": pa.array([*sizes, int((single & (sums[0] > 0)).sum())], pa.int64()),
-            **{name: pa.array([*b, int(s[single].sum()).to_bytes(8, "little")], pa.binary()) for name, b, s in zip(("all", "cut"), back, sums)},
-        })
+        out = met(table)
+        release()
+        return out
 
     sent = chunks.select("chunk", "body").mapInArrow(send, "chunk long, bucket long, n long, keys binary, all binary, cut binary")
     return sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket long, n long, all binary, cut binary")
@@ -153,6 +190,7 @@ def held_out_events(chunks: DataFrame, back: DataFrame) -> DataFrame:
         empty = pa.table({c: pa.array([], pa.int64()) for c in ("l", "context", "pair", "own", "n")})
         if not left.num_rows or not right.num_rows:
             return empty
+        release()
         g = Grams(unpack(left.column("body")[0].as_buffer()))
         own = (~held_out(g.crc) & deleted(g.crc))[g.row]
         if not own.any():
@@ -229,20 +267,26 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     weights = learn(held_out_events(chunks, back), tokens - cut, uniform)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         g = Grams(unpack(left.column("body")[0].as_buffer()))
         count = aligned(right, "all")
-        l, p2, p1 = estimates(g, count, tokens)
-        w = weights[l]
-        own = count[g.token]
-        total = lambda x: np.add.reduceat(x, g.begins[:-1]) if len(g.ids) else x[:0]
+        known, base, score = np.zeros(len(g.ids), np.int64), np.zeros(len(g.ids)), np.zeros(len(g.ids))
+        for a, b in g.blocks():
+            some = slice(g.begins[a], g.begins[b])
+            total = lambda x: np.add.reduceat(x, g.begins[a:b] - g.begins[a])  # noqa: B023, E731
+            l, p2, p1 = estimates(g, count, tokens, some)
+            w, own = weights[l], count[g.token[some]]
+            known[a:b] = total((own > 0).astype(np.int64))
+            base[a:b] = total(np.log10((own + 1) / (tokens + types + 1)))
+            score[a:b] = total(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * uniform))
         return pa.table({
             "doc_id": pa.array(g.ids, pa.int64()),
             "held_out": pa.array(held_out(g.crc)),
             "n_tokens": pa.array(np.diff(g.begins)),
-            "n_known": pa.array(total((own > 0).astype(np.int64))),
+            "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(len(g.ids), tokens)),
-            "base_score": pa.array(total(np.log10((own + 1) / (tokens + types + 1)))),
-            "score": pa.array(total(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * uniform))),
+            "base_score": pa.array(base),
+            "score": pa.array(score),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

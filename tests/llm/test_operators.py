@@ -4,6 +4,7 @@ columns of clashing names."""
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -251,6 +252,41 @@ def test_language_model(spark, docs, rows):
     assert language_model.lm_scores(empty(spark)).count() == 0
 
 
+def test_language_model_memory():
+    """A chunk of 2 MB in short words as n-grams, and the answers to its keys, in a bounded multiple of its bytes; parts of
+    a bucket answer as the whole does."""
+    rng = np.random.default_rng(8)
+    text = " ".join(map(str, rng.integers(0, 50000, 350_000).tolist()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": [text[i : i + len(text) // 100] for i in range(0, len(text) - 99, len(text) // 100)][:100]})
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    language_model.Grams(batch.slice(0, 1))
+    g, most = peak(lambda: language_model.Grams(batch))
+    assert most < 16 * len(text)
+    ones = [(zlib.crc32(str(i).encode()) % 7 != 2) for i in range(100)]
+    count = g.counts(np.array(ones)).astype(np.uint32)
+    halves = [g.keys[::2], g.keys[1::3], g.keys]
+    sent = [[language_model.packed_keys(k) for k in halves], [language_model.pack(c) for c in (count[::2], count[1::3], count)]]
+    table = pa.table({"chunk": [0, 1, 2], "bucket": [5] * 3, "n": [len(k) for k in halves], "keys": sent[0], "all": sent[1], "cut": sent[1]})
+    out, most = peak(lambda: language_model.met(table, 1 << 15))
+    assert most < 50 * sum(len(k) for k in halves)
+    total = count.astype(np.int64)
+    total[::2] += count[::2]
+    total[1::3] += count[1::3]
+    for name in ("all", "cut"):
+        for got, expected in zip(out.column(name), (total[::2], total[1::3], total)):
+            assert np.array_equal(language_model.unpack_array(got.as_buffer(), np.int64, len(expected)), expected)
+    single = ((g.keys & np.uint64(1)) > 0) & (g.keys != language_model.BEGIN | np.uint64(1))
+    assert out.column("n").to_pylist()[-1] == (single & (total > 0)).sum() and int.from_bytes(out.column("all")[3].as_py(), "little") == total[single].sum()
+    assert out.equals(language_model.met(table))
+
+
 def test_language_model_by_hand(spark):
     """With its learned weights, every score is the mixture of plain counts."""
     data = spark.createDataFrame([(i, f"a b c{i % 3} a b") for i in range(60)], DOCS)
