@@ -18,6 +18,7 @@ library; an empty table gives no rows; columns named like the results are replac
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 import uuid
@@ -25,6 +26,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,7 @@ class Model:
         out = [self.bytes[b] for b in char.encode()]
         return out if -1 not in out else [self.unknown]
 
+    @functools.cached_property
     def output(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes that each id decodes to, on end, and where each begins."""
         parts = []
@@ -113,13 +116,15 @@ class Model:
 
     def cut(self, text: str, cuts: int) -> list[int]:
         """Ids of the pieces of text that begin at the bits of cuts."""
-        out, begin = [], 0
-        for end, bit in enumerate(f"{cuts:b}"[1:] + "1", 1):
-            if bit == "1":
-                piece = text[begin:end]
-                hit = self.table.get(piece)
-                out += self.spelt(piece) if hit is None else (hit[0],)
-                begin = end
+        out, begin, bits, table = [], 0, f"{cuts:b}1", self.table
+        while begin < len(text):
+            end = bits.index("1", begin + 1)
+            piece = text[begin:end]
+            if piece in table:
+                out.append(table[piece][0])
+            else:
+                out += self.spelt(piece)
+            begin = end
         return out
 
     def merged(self, text: str) -> list[int]:
@@ -237,9 +242,14 @@ class Segments:
         out[order] = span_hashes(self.codes, self.starts[self.first[order]], self.ends[self.first[order]], kind=self.kind + 1)
         return out
 
-    def strings(self, which: np.ndarray) -> list[str]:
+    def strings(self, which: np.ndarray) -> pa.StringArray:
         first = self.first[which]
-        return [self.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())]
+        size = self.ends[first] - self.starts[first]
+        codes = gather(self.codes, self.starts[first], size)
+        places = np.concatenate([[0], np.cumsum((codes >= 0x80).view(np.int8) + (codes >= 0x800) + (codes >= 0x10000) + 1)])
+        data = codes.tobytes().decode("utf-32-le").encode()
+        offsets = places[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
+        return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(data))
 
     def folded(self, most: int) -> np.ndarray:
         """Which distinct segments go to the lattice: neither long nor holding the mark of the fold."""
@@ -269,14 +279,14 @@ class Group:
                     break
             own = s.folded(folded)
             fresh = np.flatnonzero(own & ~known)
-            texts.append(pa.array(s.strings(fresh), pa.string()))
+            texts.append(s.strings(fresh))
             place = np.concatenate([place, np.arange(len(place), len(place) + len(fresh))])
             self.keys, second = np.concatenate([self.keys, s.keys[fresh]]), np.concatenate([second, more[fresh]])
             order = np.argsort(self.keys, kind="stable")
             self.keys, second, place = self.keys[order], second[order], place[order]
             if encode:
                 rest = np.flatnonzero(~own)
-                self.chunks.append((batch, s.keys, own, s.at, s.before, {int(r): model.encode(t) for r, t in zip(rest, s.strings(rest))}))
+                self.chunks.append((batch, s.keys, own, s.at, s.before, {int(r): model.encode(t) for r, t in zip(rest, s.strings(rest).to_pylist())}))
         self.texts = pa.chunked_array(texts, pa.string()).combine_chunks().take(pa.array(place))
 
 
@@ -424,7 +434,7 @@ def decode_flat(ids: np.ndarray, begins: np.ndarray, model_output, prefix: bool)
 def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model: Model, block: int = 1 << 18) -> list[bool]:
     """Of each row, whether its ids decode to its text."""
     raw, off = text_bytes(batch.column("text"))
-    output, same, a = model.output(), [], 0
+    output, same, a = model.output, [], 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(begins, begins[a] + block, "right")) - 1)
         out, to = decode_flat(ids[begins[a] : begins[b]], begins[a : b + 1], output, model.prefix)
@@ -433,14 +443,22 @@ def same_text(ids: np.ndarray, begins: np.ndarray, batch: pa.RecordBatch, model:
     return same
 
 
-def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 2 << 20, together: int = 6) -> DataFrame:
-    """docs and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
+def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int = 2 << 20, together: int = 16, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the columns to drop and, of each: ids, n_pieces, and whether the ids decode to the text again (round_trip)."""
     docs = docs.drop("ids", "n_pieces", "round_trip")
     model, folded = read_model(path), min(folded, FOLDED)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chunks = docs.mapInArrow(chunk_rows(most, 9), "chunk long, size long, body binary")
-    # chunk numbers of a task follow each other, so a group is made of neighbours
-    chunks = bucketed(chunks.select(F.shiftright("chunk", 16).alias("_task"), (F.col("chunk").bitwiseAND(0xFFFF) / together).cast("long").alias("_n"), "body").select((F.shiftleft("_task", 16) + F.col("_n")).alias("group"), "body"))
+
+    def grouped(batches):
+        """Chunks in groups of neighbours: `together` of them, fewer where single texts are large."""
+        group, n, held = (TaskContext.get().partitionId() << 16) - 1, together, 0
+        for b in chunk_rows(most, 5)(batches):
+            if n == together or held >= together * most:
+                group, n, held = group + 1, 0, 0
+            n, held = n + 1, held + b.column("size")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), b.column("body")], names=["group", "body"])
+
+    chunks = bucketed(docs.mapInArrow(grouped, "group long, body binary"))
 
     def words(table: pa.Table) -> pa.Table:
         g = Group(table.column("body"), sent.value, folded, False)
@@ -450,14 +468,14 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
         release()
         return out
 
-    # a group's segments make some 100 MB of edges at most, and a task holds a third of that
+    # a group's segments make some 200 MB of edges at most, and a task holds a sixth of that
     groups = chunks.select("group").distinct().count()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * groups)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 6 * groups)
     sent_words = chunks.groupBy("group").applyInArrow(words, "seg string, owner long").repartition(parts, "seg")
     segments = sent_words.groupBy("seg").agg(F.collect_list("owner").alias("owners"))
     back = segment_cuts(segments, model).select(F.explode("owners").alias("owner"), "cuts")
     back = back.select(F.shiftright("owner", PLACE_BITS).alias("group"), F.col("owner").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("at"), "cuts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, n_pieces int, round_trip boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in drop) + ", ids array<int>, n_pieces int, round_trip boolean"
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
@@ -465,15 +483,16 @@ def encode(docs: DataFrame, path: str = MODEL, folded: int = FOLDED, most: int =
         cuts = np.zeros(len(g.keys), np.int64)
         cuts[right.column("at").to_numpy()] = right.column("cuts").to_numpy()
         flat, sizes = array("i"), np.zeros(len(g.keys), np.int64)
-        for i, c in enumerate(cuts.tolist()):
-            ids = m.cut(g.texts[i].as_py(), c & (1 << 64) - 1)
-            flat.extend(ids)
-            sizes[i] = len(ids)
+        for a in range(0, len(cuts), 1 << 14):
+            for i, (text, c) in enumerate(zip(g.texts.slice(a, 1 << 14).to_pylist(), cuts[a : a + (1 << 14)].view(np.uint64).tolist()), a):
+                ids = m.cut(text, c)
+                flat.extend(ids)
+                sizes[i] = len(ids)
         pool = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         place = np.cumsum(sizes) - sizes
         out = []
         while g.chunks:
-            out.append(chunk_ids(m, *g.chunks.pop(0), g.keys, pool, place, sizes))
+            out.append(chunk_ids(m, *g.chunks.pop(0), g.keys, pool, place, sizes).drop_columns(list(drop)))
         del g, pool, flat
         release()
         return pa.concat_tables(out)
@@ -511,7 +530,7 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string"
 
     def run(batches):
-        output, prefix = sent.value.output(), sent.value.prefix
+        output, prefix = sent.value.output, sent.value.prefix
         for b in batches:
             lists = b.column(ids).to_pylist()
             flat = np.array([i for x in lists for i in x or ()], np.int64)
@@ -525,4 +544,4 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame
 
 def report(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """Every whole text: its ids and the round trip."""
-    return encode(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path).select("doc_id", "n_pieces", "ids", "round_trip")
+    return encode(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path, drop=("text",)).select("doc_id", "n_pieces", "ids", "round_trip")

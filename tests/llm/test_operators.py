@@ -567,6 +567,28 @@ def test_words_are_told_apart(spark):
 
 
 
+def test_lattice_groups(spark):
+    """A group is sixteen chunks, whose segments are sent once, or fewer of large texts; segments as strings, in characters
+    of any width."""
+    rows = [(i, f"word{i % 7} été 日本 𝄞 " * 40) for i in range(48)] + [(100 + i, "long " * 8000) for i in range(5)]
+    data = spark.createDataFrame(rows, DOCS).coalesce(1)
+    before = {t.name for t in spark.catalog.listTables()}
+    out = lattice.encode(data, most=1 << 12)
+    (name,) = {t.name for t in spark.catalog.listTables()} - before
+    assert sorted(r["count"] for r in spark.table(name).groupBy("group").count().collect()) == [2, 2, 13]
+    assert out.columns == ["doc_id", "text", "ids", "n_pieces", "round_trip"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {k: r["text"] for k, r in got.items()} == dict(rows) and all(r["round_trip"] for r in got.values())
+    short = lattice.encode(data, most=1 << 12, together=1, drop=("text",))
+    assert short.columns == ["doc_id", "ids", "n_pieces", "round_trip"]
+    assert {r["doc_id"]: r["ids"] for r in short.collect()} == {k: r["ids"] for k, r in got.items()}
+    model = lattice.read_model()
+    s = lattice.Segments(pa.RecordBatch.from_pydict({"text": [t for _, t in rows[:9]]}), model)
+    at = np.argsort(s.keys)[::-1]
+    assert s.strings(at).to_pylist() == [s.codes[s.starts[i] : s.ends[i]].tobytes().decode("utf-32-le") for i in s.first[at]]
+    assert s.strings(at[:0]).to_pylist() == [] and model.output is model.output
+
+
 @pytest.mark.parametrize("kind", [lattice.BPE, lattice.UNIGRAM])
 def test_lattice(spark, docs, rows, tmp_path, kind):
     tokenizer = pytest.importorskip("sentencepiece")
