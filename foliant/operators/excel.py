@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.model import column_of, is_date_format, row_of, serial_date
 from ..sources.office import kind, present, relationships
 
+#: Kinds of facts that cells reads.
+CELLS = ("sheet_cell", "string", "xf", "number_format", "rel", "link", "comment", "merge", "sheet")
+
 
 def sheets(f: DataFrame) -> DataFrame:
     return kind(f, "sheet", name="name", sheet="part").select("doc_id", F.col("ord").alias("sheet_idx"), "name", "sheet")

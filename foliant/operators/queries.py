@@ -30,7 +30,7 @@ def docx_counts(s, d) -> DataFrame:
 
 
 def xlsx_cells(s, d) -> DataFrame:
-    return excel.cells(office.stored_facts(synth.orders_as_xlsx(table(s, d, "orders"), table(s, d, "lineitem"))))
+    return excel.cells(office.stored_facts(synth.orders_as_xlsx(table(s, d, "orders"), table(s, d, "lineitem")), kinds=excel.CELLS))
 
 
 def xlsx_totals(s, d) -> DataFrame:
@@ -98,8 +98,8 @@ def markdown(s, d) -> DataFrame:
 
 
 def orders_of_lines(s, d) -> DataFrame:
-    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(2)).alias("k"))
-    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "k"))).alias("t"))
+    """Flat: l_orderkey, l_linenumber, k."""
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(2)).alias("k"))
 
 
 def spans(rows: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def spans(rows: DataFrame) -> DataFrame:
         body = "".join("<w:tr>" + cell(x["l_linenumber"], '<w:vMerge w:val="restart"/>' if x["k"] or not i else "<w:vMerge/>") + cell("v", "") + "</w:tr>" for i, x in enumerate(r["t"]))
         return synth.docx(f"<w:tbl>{body}</w:tbl>")
 
-    c = word.cells(office.stored_facts(synth.files(rows, build, "l_orderkey"))).where("col = 0")
+    c = word.cells(office.stored_facts(synth.grouped(rows, build, "l_orderkey", ["l_linenumber", "k"]), kinds=["cell"])).where("col = 0")
     return c.select(F.col("doc_id").cast("long").alias("l_orderkey"), (F.col("row") + 1).cast("long").alias("nth"), F.col("row_span").cast("long").alias("row_span"))
 
 

@@ -21,12 +21,20 @@ def table(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def orders_lines(s, d, *columns: str) -> DataFrame:
     """l_orderkey and its lines, in order."""
-    li = table(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", *columns).alias("x"))
+    li = table(s, d, "lineitem").select("l_orderkey", F.struct(*LINE, *columns).alias("x"))
     return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("t"))
 
 
+def orders_files(s, d, build, *columns: str) -> DataFrame:
+    """A package an order: build(l_orderkey, and t: its lines in order)."""
+    return synth.grouped(table(s, d, "lineitem").select("l_orderkey", *LINE, *columns), build, "l_orderkey", [*LINE, *columns])
+
+
 def key(name: str = "l_orderkey"):
     return F.col("doc_id").cast("long").alias(name)
 
@@ -72,7 +80,7 @@ def formatted_runs(s, d) -> DataFrame:
 
         return word_package("".join(map(one, r["t"])), {"word/_rels/document.xml.rels": synth.rels([("rId1", "hyperlink", "http://h.example/")])})
 
-    f = office.stored_facts(synth.files(orders_lines(s, d, "l_returnflag", "l_linestatus"), build, "l_orderkey"))
+    f = office.stored_facts(orders_files(s, d, build, "l_returnflag", "l_linestatus"), kinds=render.MARKDOWN)
     p = word.paragraphs(f).groupBy("doc_id").agg(F.sum(F.size(F.filter("runs", M.has_formatting))).cast("long").alias("n_formatted"), F.sum(F.size(F.filter("runs", M.is_link))).cast("long").alias("n_links"), F.count_if(M.is_heading(F.col("heading"))).alias("n_headings"), F.count_if(M.is_empty(F.col("runs"), F.col("images"))).alias("n_empty"))
     return render.to_markdown(f).join(p, "doc_id").select(key(), "markdown", "n_formatted", "n_links", "n_headings", "n_empty")
 
@@ -103,7 +111,7 @@ def shaped_tables(s, d) -> DataFrame:
 
         return synth.docx(f"<w:tbl>{''.join(row(i, x) for i, x in enumerate(r['t']))}</w:tbl>")
 
-    return office.stored_facts(synth.files(orders_lines(s, d), build, "l_orderkey"))
+    return office.stored_facts(orders_files(s, d, build), kinds=render.MARKDOWN)
 
 
 def table_shapes(s, d) -> DataFrame:
@@ -178,7 +186,7 @@ def covered_cells(s, d) -> DataFrame:
         ranges += [["A1:A1048576"], ["E1:XFD1048576"], []][r["l_orderkey"] % 3]
         return synth.xlsx({"s": f"<sheetData>{rows}</sheetData><mergeCells>{''.join(f'<mergeCell ref={chr(34)}{x}{chr(34)}/>' for x in ranges)}</mergeCells>"})
 
-    c = excel.cells(office.stored_facts(synth.files(orders_lines(s, d), build, "l_orderkey")))
+    c = excel.cells(office.stored_facts(orders_files(s, d, build), kinds=excel.CELLS))
     return c.groupBy(key()).agg(F.count("*").alias("n_cells"), F.sum(F.col("value").cast("long")).alias("total"), F.sum("col_span").cast("long").alias("columns"), F.sum("row_span").cast("long").alias("rows"))
 
 
@@ -195,21 +203,19 @@ def sheet_values(s, d) -> DataFrame:
         return synth.xlsx({"s": f"<sheetData>{row}</sheetData>{link}"}, [], [0, 22], extra)
 
     days = table(s, d, "orders").groupBy("o_orderkey").agg(F.min(F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date"))).alias("d"))
-    c = render.grid_cells(office.stored_facts(synth.files(days, build, "o_orderkey")))
+    c = render.grid_cells(office.stored_facts(synth.files(days, build, "o_orderkey"), kinds=render.MARKDOWN))
     return c.groupBy(key("o_orderkey")).agg(*[F.max(F.when(F.col("col") == i, F.col("text"))).alias(n) for i, n in enumerate(("truth", "error", "moment", "linked"))])
 
 
 # --------------------------------------------------------------------------- PowerPoint
 def decks(s, d, broken: bool = False) -> DataFrame:
-    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-
     def build(r):
         extra = {f"ppt/media/m{r['conv_id'] % 3}.png": b"x"}
         if broken and r["conv_id"] % 10 == 3:
             extra["ppt/slides/slide2.xml"] = "<p:sld>"
         return synth.pptx([synth.shape([x["role"]], "title") + synth.shape((x["text"] or "").split("\n")) for x in r["t"]], extra)
 
-    return synth.files(turns, build, "conv_id")
+    return synth.grouped(table(s, d, "conversations").select("conv_id", "turn", "role", "text"), build, "conv_id", ["turn", "role", "text"])
 
 
 def parse_events(s, d) -> DataFrame:
@@ -233,7 +239,7 @@ def chart_tables(s, d) -> DataFrame:
         extra = {"ppt/slides/_rels/slide1.xml.rels": synth.rels([("rId2", "chart", "../charts/c.xml")]), "ppt/charts/c.xml": f"<c:chartSpace><c:chart><c:title><a:t>o{r['l_orderkey']}</a:t></c:title>{series}</c:chart></c:chartSpace>"}
         return synth.pptx([""], extra)
 
-    t = slides.chart_tables(office.stored_facts(synth.files(orders_lines(s, d), build, "l_orderkey")))
+    t = slides.chart_tables(office.stored_facts(orders_files(s, d, build), kinds=slides.CHARTS))
     return t.select(key(), F.array_join("header", ",").alias("header"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
 
 
@@ -268,7 +274,7 @@ def listed_items(s, d) -> DataFrame:
         body = "".join(para(f"i{i}", "", f'<w:numPr><w:ilvl w:val="{x["l_partkey"] % 2}"/><w:numId w:val="8"/></w:numPr>') for i, x in enumerate(r["t"]))
         return word_package(body, {"word/numbering.xml": numbers})
 
-    return render.to_markdown(office.stored_facts(synth.files(orders_lines(s, d), build, "l_orderkey"))).select(key(), "markdown")
+    return render.to_markdown(office.stored_facts(orders_files(s, d, build), kinds=render.MARKDOWN)).select(key(), "markdown")
 
 
 def revisions(s, d) -> DataFrame:
@@ -282,7 +288,7 @@ def revisions(s, d) -> DataFrame:
 
         return synth.docx("".join(one(i, x) for i, x in enumerate(r["t"])))
 
-    f = office.stored_facts(synth.files(orders_lines(s, d), build, "l_orderkey"))
+    f = office.stored_facts(orders_files(s, d, build), kinds=render.MARKDOWN)
     out = None
     for how in ("accept", "reject", "markup"):
         m = render.to_markdown(f, RenderOptions(revisions=how)).withColumnRenamed("markdown", how)
@@ -328,8 +334,8 @@ def sql_markdown(s, d) -> DataFrame:
         rows = "".join(f'<row r="{i}"><c r="A{i}"><v>{x["l_linenumber"]}</v></c><c r="B{i}"><v>{x["l_partkey"]}</v></c></row>' for i, x in enumerate(r["t"], 1))
         return synth.xlsx({"items": f"<sheetData>{rows}</sheetData>"})
 
-    files = name(synth.documents_as_docx(table(s, d, "documents")), "d").unionByName(name(synth.files(orders_lines(s, d), book, "l_orderkey"), "x")).unionByName(name(decks(s, d), "p"))
-    S.register_facts(s, office.stored_facts(files), RenderOptions(escape=False))
+    files = name(synth.documents_as_docx(table(s, d, "documents")), "d").unionByName(name(orders_files(s, d, book), "x")).unionByName(name(decks(s, d), "p"))
+    S.register_facts(s, office.stored_facts(files, kinds=render.MARKDOWN), RenderOptions(escape=False))
     return s.sql("SELECT f.doc_id, m.markdown FROM office_documents f, LATERAL doc_to_markdown(f.doc_id) m")
 
 

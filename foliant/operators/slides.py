@@ -10,6 +10,8 @@ from ..sources.office import kind, relationships, targets
 
 #: Placeholders that hold furniture, not content.
 FURNITURE = ("dt", "sldNum", "ftr", "hdr", "sldImg")
+#: Kinds of facts that chart_tables reads.
+CHARTS = ("chart", "category", "series", "point")
 
 
 def slides(f: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ from ..sources.office import documents, kind, present, resource_list
 
 BLOCK = ["doc_id", "section_idx", "region", "class", "ord", "block_type", "runs", "images", "heading", "list_type", "list_level", "list_number", "style_id", "style_name", "table_id", "alignment"]
 
+#: Kinds of facts that Markdown without front matter is made of: all but lists of parts and metadata.
+MARKDOWN = ("format", "para", "table", "cell", "note", "style", "num_level", "drawing", "vm", "rvb", "rv_value", "rv_key", "rv_rel", "slide", "slide_para", "placeholder", "slide_cell", "slide_pic", "slide_note", "slide_chart", *excel.CELLS, *slides.CHARTS)
+
 
 # --------------------------------------------------------------------------- blocks of all formats
 def blocks(f: DataFrame) -> DataFrame:

@@ -22,15 +22,23 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, packed: bool = False, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, packed: bool = False, by: str | None = None, dealt: tuple[str, int] | None = None) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again. packed: already compressed; by: a column of few
-    values whose rows are read apart."""
-    path = workspace(df.sparkSession)
+    values whose rows are read apart; dealt: a column by which df is in so many partitions already, and stays so."""
+    spark, path = df.sparkSession, workspace(df.sparkSession)
     writer = df.write.option("compression", "none" if packed else "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = writer.partitionBy(by) if by else writer
+    if dealt:
+        # a document's rows lie together, so joins by more columns than its id need no exchange either
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        table = f"work_{uuid.uuid4().hex}"
+        writer.bucketBy(dealt[1], dealt[0]).option("path", path).saveAsTable(table)
+        out = spark.table(table).select(*df.columns)
+    else:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     if by:  # what is not there need not be planned
-        out._present = values_of(df.sparkSession, path)
+        out._present = values_of(spark, path)
     return out
 
 
