@@ -321,7 +321,7 @@ def text_files(s, d) -> DataFrame:
 
     target = workspace(s)
     sinks.convert(synth.documents_as_docx(table(s, d, "documents")), target, ["md"], RenderOptions(escape=False), as_files=True)
-    found = s.read.format("binaryFile").load(f"{target}/md")
+    found = sinks.written(s, f"{target}/md")
     return found.select(F.regexp_extract("path", "/doc-([0-9]+)[.]md$", 1).cast("long").alias("doc_id"), F.col("length").alias("n_bytes"), F.md5("content").alias("md5"))
 
 

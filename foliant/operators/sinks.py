@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..options import HeadingConfig, RenderOptions
 from ..plans import render
 from ..sources import datasource, office
 
-# Names of formats.
+# Folders of text files (by the hash of doc_id), names of formats.
+FOLDERS = [f"{i:02x}" for i in range(256)]
 FORMATS = {"md": "md", "markdown": "md", "txt": "txt", "text": "txt", "json": "json"}
 
 
@@ -21,7 +24,7 @@ def save(rows: DataFrame, target: str, overwrite: bool = False) -> None:
 
 def convert(files: DataFrame, target: str, formats: list[str], options: RenderOptions | None = None, as_files: bool = False) -> None:
     """target/md, target/txt, target/json: rows of doc_id and text as Parquet, or (as_files) a text file for each
-    document, named after it. Packages are parsed once."""
+    document, named after it, in one of FOLDERS. Packages are parsed once."""
     facts = office.stored_facts(files)
     o = options or RenderOptions(frontmatter=True, headings=HeadingConfig())
     for name in dict.fromkeys(FORMATS[f] for f in formats):
@@ -30,7 +33,34 @@ def convert(files: DataFrame, target: str, formats: list[str], options: RenderOp
             out.write.mode("overwrite").parquet(f"{target}/{name}")
             continue
         body = next(c for c in out.columns if c != "doc_id")
-        save(out.select(F.concat(document_folder(F.col("doc_id")), F.lit(f".{name}")).alias("path"), F.col(body).alias("data")), f"{target}/{name}", True)
+        home = F.concat(F.substring(F.md5(F.coalesce("doc_id", F.lit(""))), 1, 2), F.lit("/"))
+        save(out.select(F.concat(home, document_folder(F.col("doc_id")), F.lit(f".{name}")).alias("path"), F.col(body).alias("data")), f"{target}/{name}", True)
+
+
+def written(spark: SparkSession, target: str) -> DataFrame:
+    """path, length, content of the files below target that convert has written, empty ones too (which the format
+    binaryFile leaves out). Tasks list a folder at a time, so the driver never has the list of all."""
+
+    def batch(files: list) -> pa.RecordBatch:
+        paths, bodies = zip(*files)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(map(len, bodies), pa.int64()), pa.array(bodies, pa.binary())], names=["path", "length", "content"])
+
+    def run(batches):
+        system, root = datasource.at(target)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                files, size = [], 0
+                for i in system.get_file_info(fs.FileSelector(f"{root}/{FOLDERS[folder]}", allow_not_found=True)):
+                    with system.open_input_file(i.path) as stream:
+                        files.append((i.path, stream.read()))
+                    size += len(files[-1][1])
+                    if size >= 4 << 20 or len(files) >= 1024:
+                        yield batch(files)
+                        files, size = [], 0
+                if files:
+                    yield batch(files)
+
+    return spark.range(0, len(FOLDERS), 1, min(len(FOLDERS), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "path string, length long, content binary")
 
 
 def info(f: DataFrame) -> DataFrame:

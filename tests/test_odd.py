@@ -2,7 +2,7 @@
 
 import pytest
 
-from foliant.operators import cleanup
+from foliant.operators import cleanup, roundtrips
 
 
 def same_as_sql(df, sql, **tables):
@@ -27,3 +27,8 @@ EMPTY = ["", " ", "\n", "\n\n", "a", "Page 3", "|", "*\n*", "all rights reserved
 def test_counts_of_texts_that_are_cleaned_away(spark, tmp_path):
     write(spark, tmp_path / "documents.parquet", EMPTY)
     same_as_sql(cleanup.queries()["text_counts"](spark, str(tmp_path)), cleanup.oracle_sql()["text_counts"], documents=tmp_path / "documents.parquet" / "*.parquet")
+
+
+def test_files_of_empty_documents(spark, tmp_path):
+    write(spark, tmp_path / "documents.parquet", [t for t in EMPTY if t is not None])
+    same_as_sql(roundtrips.QUERIES["text_files"](spark, str(tmp_path)), roundtrips.ORACLES["text_files"], documents=tmp_path / "documents.parquet" / "*.parquet")
