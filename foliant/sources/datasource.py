@@ -24,7 +24,9 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -110,7 +112,12 @@ class OfficeReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """The folder of a task's files, their folders below the target, and 16 bytes for each file: the hash of its name.
+    Names themselves stay with the files, as the driver may have millions to commit."""
+
+    folder: str
+    folders: list[str]
+    names: bytes
 
 
 class OfficeWriter(DataSourceWriter):
@@ -124,33 +131,41 @@ class OfficeWriter(DataSourceWriter):
         system, root = at(self.path)
         folder = f"{root}/{self.stage}/{uuid.uuid4().hex}"  # of this attempt alone
         system.create_dir(folder, recursive=True)
-        done = []
-        for n, row in enumerate(rows):
+        made, names = {""}, bytearray()
+        for row in rows:
             name = posixpath.normpath(row["path"] or "")
             if name in ("", ".") or name.startswith(("/", "../")) or name == "..":
                 raise ValueError(f"path outside the target: {row['path']!r}")
             data = row["data"]
-            with system.open_output_stream(f"{folder}/{n}") as out:
+            own, _, last = name.rpartition("/")
+            if own not in made:
+                system.create_dir(f"{folder}/{own}", recursive=True)
+                made.add(own)
+            names += blake2b(name.encode(), digest_size=16).digest()
+            with system.open_output_stream(f"{folder}/{name}") as out:
                 out.write(data.encode() if isinstance(data, str) else bytes(data or b""))
-            done.append((f"{folder}/{n}", name))
-        return Written(done)
+        return Written(folder, sorted(made), bytes(names))
 
     def commit(self, messages: list) -> None:
         system, root = at(self.path)
-        pairs = [p for m in messages if m is not None for p in m.files]
-        seen: set[str] = set()
-        for _, name in pairs:
-            if name in seen:
-                self.abort(messages)
-                raise ValueError(f"two rows for {name}")
-            seen.add(name)
+        done = [m for m in messages if m is not None]
+        names = np.sort(np.frombuffer(bytearray().join(m.names for m in done), [("a", ">u8"), ("b", ">u8")]), order=["a", "b"])
+        if len(names) > 1 and (names[1:] == names[:-1]).any():
+            self.abort(messages)
+            raise ValueError("two rows for one path")
+        del names
         if self.overwrite:
             for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if info.base_name != self.stage:
                     (system.delete_dir if info.type == fs.FileType.Directory else system.delete_file)(info.path)
         with ThreadPoolExecutor(32) as pool:  # each is a round trip to the store and no work
-            list(pool.map(lambda folder: system.create_dir(folder, recursive=True), {posixpath.dirname(f"{root}/{name}") for _, name in pairs}))
-            list(pool.map(lambda pair: system.move(pair[0], f"{root}/{pair[1]}"), pairs))
+            for m in done:  # the files of a task's folder at a time
+                for own in m.folders:
+                    home = posixpath.join(root, own).rstrip("/")
+                    system.create_dir(home, recursive=True)
+                    found = system.get_file_info(fs.FileSelector(posixpath.join(m.folder, own).rstrip("/")))
+                    for _ in pool.map(lambda i: system.move(i.path, f"{home}/{i.base_name}"), (i for i in found if i.type == fs.FileType.File)):  # noqa: B023
+                        pass
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
